@@ -64,7 +64,7 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     fill it, it lets more rows through; a join on the key has to follow in any case.
     """
     bit = _bit_of(F.col(key))
-    bitmap = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("_word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("_bits"))
+    bitmap = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("_bits"))
     marked = df.withColumn("_word", (bit / 64).cast("int")).join(F.broadcast(bitmap), "_word")
     return marked.where(F.getbit("_bits", F.pmod(bit, F.lit(64)).cast("int")) == 1).drop("_word", "_bits")
 

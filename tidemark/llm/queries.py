@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_decontamination
+from .minhash import op7_minhash_near_dedup
 from .sharding import op10_external_shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_external_shuffle": op10_external_shuffle,
 }
 #: DuckDB SQL where it can express a query; the others are held against brute force in tests/llm.
