@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_decontamination
 from .minhash import op7_minhash_near_dedup
+from .packing import op4_mixture_packing
 from .sharding import op10_external_shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_external_shuffle": op10_external_shuffle,
