@@ -10,11 +10,13 @@ from .decontamination import op5_decontamination
 from .minhash import op7_minhash_near_dedup
 from .packing import op4_mixture_packing
 from .sharding import op10_external_shuffle
+from .substrings import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_external_shuffle": op10_external_shuffle,
 }
 #: DuckDB SQL where it can express a query; the others are held against brute force in tests/llm.
