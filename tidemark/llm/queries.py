@@ -11,8 +11,11 @@ from .minhash import op7_minhash_near_dedup
 from .packing import op4_mixture_packing
 from .sharding import op10_external_shuffle
 from .substrings import op9_substring_dedup
+from .warc import ORACLE as WARC_ORACLE
+from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -20,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_external_shuffle": op10_external_shuffle,
 }
 #: DuckDB SQL where it can express a query; the others are held against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_warc": WARC_ORACLE}
