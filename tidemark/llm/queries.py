@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_decontamination
+from .language import op3_language_id
 from .minhash import op7_minhash_near_dedup
 from .packing import op4_mixture_packing
+from .quality import op8_quality_bayes
 from .sharding import op10_external_shuffle
 from .substrings import op9_substring_dedup
 from .warc import ORACLE as WARC_ORACLE
@@ -16,9 +18,11 @@ from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_language_id": op3_language_id,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_bayes": op8_quality_bayes,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_external_shuffle": op10_external_shuffle,
 }
