@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op5_decontamination
 from .language import op3_language_id
+from .lines import op6_line_dedup
 from .minhash import op7_minhash_near_dedup
 from .packing import op4_mixture_packing
 from .quality import op8_quality_bayes
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_bayes": op8_quality_bayes,
     "op9_substring_dedup": op9_substring_dedup,
