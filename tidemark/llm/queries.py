@@ -10,6 +10,7 @@ from .decontamination import op5_decontamination
 from .language import op3_language_id
 from .lines import op6_line_dedup
 from .minhash import op7_minhash_near_dedup
+from .neighbours import op2_nearest_neighbours
 from .packing import op4_mixture_packing
 from .quality import op8_quality_bayes
 from .sharding import op10_external_shuffle
@@ -19,6 +20,7 @@ from .warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_language_id": op3_language_id,
     "op4_mixture_packing": op4_mixture_packing,
     "op5_decontamination": op5_decontamination,
