@@ -1,18 +1,67 @@
-"""A corpus cleaned and packed in stages, each one reading all that its predecessor kept."""
+"""A corpus cleaned and packed in stages, each one reading all that its predecessor kept.
+
+Every stage takes `(spark, docs, sf_dir)`; all but the last return the columns of `documents`. Results are
+written as Parquet and read again between stages, so a stage survives lost executors and none is recomputed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import materialize, table, without
+from tidemark.llm.decontamination import decontaminate as mark_benchmark_words
+from tidemark.llm.lines import dedup_lines
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.packing import packed_pieces
+from tidemark.llm.quality import classify, sited
+
+#: Similarity of shingle sets, in per cent, from which on documents are one.
+NEAR_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither low in quality nor toxic."""
+    return classify(sited(docs), table(spark, sf_dir, "labels")).where("keep").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; a document of nothing else goes."""
+    found = dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return found.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; rows of one id go together."""
+    kept = near_duplicates(docs, NEAR_PERCENT).where("doc_id is not null")
+    gone = materialize(kept.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
+    return without(docs, gone, "doc_id").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return mark_benchmark_words(docs, table(spark, sf_dir, "benchmark")).where(F.size("hit_words") == 0).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left."""
+    return packed_pieces(docs)
 
-from tidemark.llm.common import materialize
 
-STAGES: list = []
-#: Several stages (a trained classifier, tokenizers) are beyond SQL; tests/llm has brute-force versions.
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: Several stages (trained classifiers, tokenizers) are beyond SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs

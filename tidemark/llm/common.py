@@ -57,16 +57,33 @@ def _bit_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
 
 
+def _marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`df` with `_maybe`: whether its key may be in `ids`; false only where it isn't.
+
+    A one-hash bitmap of fixed size is broadcast, so its bound doesn't depend on the data.
+    """
+    bit = _bit_of(F.col(key))
+    words = ids.select(_bit_of(F.col(key)).alias("b")).groupBy((F.col("b") / 64).cast("int").alias("_word"))
+    bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("_bits"))
+    marked = df.withColumn("_word", (bit / 64).cast("int")).join(F.broadcast(bitmap), "_word", "left")
+    there = F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return marked.withColumn("_maybe", there).drop("_word", "_bits")
+
+
 def prefilter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key may be in `ids` (all that are, few others), without shuffling `df`.
 
-    A one-hash bitmap of fixed size is broadcast, so its bound doesn't depend on the data. Where `ids`
-    fill it, it lets more rows through; a join on the key has to follow in any case.
+    Where `ids` fill the bitmap, it lets more rows through; an inner join on the key has to follow in any case.
     """
-    bit = _bit_of(F.col(key))
-    bitmap = ids.select(bit.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("_bits"))
-    marked = df.withColumn("_word", (bit / 64).cast("int")).join(F.broadcast(bitmap), "_word")
-    return marked.where(F.getbit("_bits", F.pmod(bit, F.lit(64)).cast("int")) == 1).drop("_word", "_bits")
+    return _marked(df, ids, key).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key isn't in `ids`; only those that may be are shuffled."""
+    marked = _marked(df, ids, key)
+    gone = ids.select(F.col(key).alias("_gone")).distinct()
+    maybe = marked.where("_maybe").join(gone, F.col(key) == F.col("_gone"), "left").where("_gone is null").drop("_gone")
+    return marked.where("not _maybe").unionByName(maybe).drop("_maybe")
 
 
 # ---- 64-bit hashing in numpy ------------------------------------------------------------------
