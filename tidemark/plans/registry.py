@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "url_canonicalize"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import entity_queries
+
+FLAGSHIP = "entity_resolution"
+QUERIES: dict = {**entity_queries.QUERIES}
+ORACLE_SQL: dict = {**entity_queries.ORACLE_SQL}
