@@ -34,7 +34,7 @@ from .common import BASE, WordHasher, materialize, mix64, prefilter, table, utf8
 
 WINDOW = 50
 #: Rounds at most; windows without a symbol of round `SURE` or later are their own anchor.
-ROUNDS, SURE = 14, 3
+ROUNDS, SURE = 14, 6
 #: Rounds that name runs before pairs.
 RUN_ROUNDS = (0, 6)
 BATCH_WORDS = 150_000
@@ -164,22 +164,40 @@ def _runs(texts: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "kind", "doc_id", "text_key", "start", "windows", "hashes"]
         for rows, words, windows in _batched(batches, 1):
-            out = [[] for _ in range(7)]
-            for i, (doc_id, wanted) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True)):
-                part = windows.of(i)
-                anchor, whole = windows.anchor[part], windows.hash[part]
-                cuts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
-                ends = np.append(cuts[1:], len(anchor))
-                good = np.isin(anchor[cuts], np.array(wanted, dtype=np.int64).view(np.uint64))
-                key = _text_key(words[i])
-                for a, b in zip(cuts[good].tolist(), ends[good].tolist(), strict=True):
-                    hashes = whole[a:b]
-                    kind = mix64(hashes ^ (np.arange(1, b - a + 1, dtype=np.uint64) * BASE)).sum(dtype=np.uint64)
-                    for column, value in zip(out, (int(anchor[a].view(np.int64)), int(kind.view(np.int64)), doc_id, key, a, b - a, hashes.view(np.int64)), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "kind", "doc_id", "text_key", "start", "windows", "hashes"])
+            own, wanted = [windows.of(i) for i in range(len(words))], rows.column(2)
+            at = np.concatenate([np.arange(s.start, s.stop) for s in own])
+            doc = np.repeat(np.arange(len(own)), [s.stop - s.start for s in own])
+            if not len(at):
+                continue
+            anchor = windows.anchor[at]
+            cuts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
+            size = np.diff(np.append(cuts, len(at)))
+            edges = np.searchsorted(doc[cuts], np.arange(len(own) + 1))
+            good = np.concatenate([np.isin(anchor[cuts[a:b]], wanted[i].values.to_numpy().view(np.uint64)) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))])
+            keep = np.repeat(good, size)
+            if not keep.any():
+                continue
+            cuts, size, at = cuts[good], size[good], at[keep]
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            hashes = windows.hash[at]
+            place = (np.arange(len(at)) - np.repeat(first, size) + 1).astype(np.uint64)
+            kind = np.add.reduceat(mix64(hashes ^ (place * BASE)), first)
+            source = doc[cuts]
+            keys = pa.array([_text_key(w) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(anchor[cuts].view(np.int64)),
+                    pa.array(kind.view(np.int64)),
+                    rows.column(0).take(pa.array(source)),
+                    keys.take(pa.array(source)),
+                    pa.array((at[first] - windows.first[source]).astype(np.int32)),
+                    pa.array(size.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(hashes.view(np.int64))),
+                ],
+                names=names,
+            )
 
     return texts.mapInArrow(run, "anchor long, kind long, doc_id long, text_key binary, start int, windows int, hashes array<long>")
 
