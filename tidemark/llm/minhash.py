@@ -5,10 +5,12 @@ shifted by one place per coordinate, ranks it. Coordinates in bands of equal val
 link holds only if the exact Jaccard similarity of the full shingle sets reaches the threshold.
 
 Documents with equal sets form a class, and only its representative (smallest id) goes on, so copies cost
-nothing more. In a band bucket, members are compared with a few probes (at first the smallest member) and what
-is linked by then is taken together; only pairs that are still in different components are left, and their
-members with the most links probe next, until no bucket has such a pair untested. No link between components
-is lost, and a bucket of mutual near-copies costs about its size.
+nothing more. In a band bucket, members are compared with a few probes (at first the most common member) and
+what is linked by then is taken together; only pairs that are still in different components are left, and
+their members with the most links probe next, until no bucket has such a pair untested. A pair whose symmetric
+difference is too large by a lower bound (shingles that no other set of the crowded buckets has, and what one
+lacks of the bucket's center beyond the other) can't be linked and isn't formed. No link between components is
+lost, and a bucket of near-copies costs about its size.
 
 Defined cases: a text without words, a null text and a row without id have no links (component: the own id);
 fewer words than a shingle has make one shingle; rows with equal id and text are one document; an empty table
@@ -30,8 +32,10 @@ SHINGLE_WORDS, PERCENT = 5, 85
 #: At a similarity of 0.85 all bands miss with a probability of 8e-7, at 0.8 of 7e-5.
 BANDS, ROWS = 25, 5
 UNIVERSE_BITS, SEED = 18, 20_240_607
-#: Members of a bucket that probe it in one round, after the first.
-PROBES = 32
+#: Members of a bucket that probe it in the second round, and how many times as many in each later one.
+PROBES, MORE = 32, 8
+#: Members from which on a bucket's lonely shingles are counted.
+CROWD = 4
 
 
 class Circulant:
@@ -112,26 +116,81 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs(a, b)` whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """`pairs(a, b)` with `shared` and `joint`, the sizes of intersection and union of their full sets."""
     import pyarrow as pa
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
+            shared, joint = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= percent * (len(both) - shared):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+                shared.append(int((both[1:] == both[:-1]).sum()))
+                joint.append(len(both) - shared[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], names=["a", "b", "shared", "joint"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"), F.octet_length("shingles").alias("n_x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.octet_length("shingles").alias("n_y"))
-    sized = pairs.join(left, "a").join(right, "b").where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    return sized.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long, shared long, joint long")
+
+
+def _links(facts: DataFrame, percent: int) -> DataFrame:
+    return facts.where(100 * F.col("shared") >= percent * F.col("joint")).select("a", "b")
+
+
+def lonely_shingles(sets: DataFrame) -> DataFrame:
+    """`(rep, lonely)`: how many shingles of a set are in no other set."""
+    import pyarrow as pa
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                each = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                owner = np.repeat(part.column(0).to_numpy(), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each), pa.int64()), pa.array(owner, pa.int64())], names=["shingle", "rep"])
+
+    rows = sets.select("doc_id", "shingles").mapInArrow(spread, "shingle long, rep long")
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("lonely"))
+
+
+def _may_link(percent: int):
+    """What two linked sets fulfil: close sizes, and a symmetric difference that leaves the similarity possible.
+
+    In it are the lonely shingles of both, and of the shingles of their bucket's center at least as many as one
+    of them misses more than the other.
+    """
+    sizes = F.col("size") + F.col("p_size")
+    apart = F.when(F.col("n") >= CROWD, F.col("lonely") + F.col("p_lonely") + F.coalesce(F.abs(F.col("missing") - F.col("p_missing")), F.lit(0))).otherwise(0)
+    close = 100 * F.least("size", "p_size") >= percent * F.greatest("size", "p_size")
+    return close & ((100 + percent) * apart <= (100 - percent) * sizes)
+
+
+def _pairs(members: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
+    """Distinct `(a, b)`: a bucket's probes with those of its members that are apart from them and may be linked."""
+    other = probes.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("rep", "size", "lonely", "missing", "component")))
+    apart = F.col("component") != F.col("p_component")
+    found = members.join(other, (members["bucket"] == other["bucket"]) & apart & _may_link(percent))
+    return found.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+
+
+def _with_missing(members: DataFrame, center: DataFrame, facts: DataFrame) -> DataFrame:
+    """`missing`: how many shingles of the bucket's center a member lacks, where they were compared."""
+    own = center.select("bucket", F.col("rep").alias("c"), F.col("size").alias("c_size"))
+    out = members.drop("missing").join(own, "bucket").withColumns({"a": F.least("rep", "c"), "b": F.greatest("rep", "c")})
+    out = out.join(facts.select("a", "b", "shared"), ["a", "b"], "left")
+    missing = F.when(F.col("rep") == F.col("c"), 0).otherwise(F.col("c_size") - F.col("shared")).cast("long")
+    return out.withColumn("missing", missing).drop("a", "b", "c", "c_size", "shared")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with theirs, and whether it's the bucket's largest (`main`)."""
+    out = members.drop("component", "main").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = out.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    split = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("k", "component")).alias("top")).where("parts > 1")
+    return out.join(split.select("bucket", F.col("top.component").alias("main")), "bucket").withColumn("main", F.col("component") == F.col("main"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -140,35 +199,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     full = sketches.where("doc_id is not null and set_key is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(buckets.join(shared.select("bucket", "low"), "bucket"), "members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(buckets.join(shared, "bucket"), "members")
 
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = prefilter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), involved, "doc_id")
-    sets = materialize(full_sets(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle_words), "sets")
-
-    tested = materialize(members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "tested")
-    links = materialize(linked(tested, sets, percent), "links")
-    probed = members.where("rep = low").select("bucket", "rep")
-    labels = connected_components(links)
-    while True:
-        labelled = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = labelled.groupBy("bucket", "component").count()
-        split = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("top"))
-        unprobed = labelled.join(split.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "bucket").join(probed, ["bucket", "rep"], "left_anti")
-        unprobed = unprobed.withColumn("apart", F.col("component") != F.col("main"))
-        waiting = unprobed.where("apart").groupBy("bucket").agg(F.count("*").alias("waiting"))
-        unprobed = materialize(unprobed.join(waiting, "bucket").withColumn("few", F.col("waiting") <= PROBES), "unprobed")
-        chosen = materialize(_probes(unprobed, links), "probes")
-        if not chosen.limit(1).count():
-            break
-        pairs = labelled.join(chosen, "bucket").where("component <> own").select(F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        probed = materialize(probed.union(chosen.select("bucket", F.col("probe").alias("rep"))), "probed")
-        if pairs.limit(1).count():
-            tested = materialize(tested.union(pairs), "tested")
-            links = materialize(links.union(linked(pairs, sets, percent)), "links")
-            labels = connected_components(links)
+    sets = materialize(full_sets(texts.join(involved, "doc_id").dropDuplicates(["doc_id"]), shingle_words), "sets")
+    members = materialize(_sized(members, sets, percent), "members")
+    labels = _components(members, sets, percent)
     drop_table(sets)
 
     of_class = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -177,17 +215,52 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     return keyed.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _probes(unprobed: DataFrame, links: DataFrame) -> DataFrame:
-    """`(bucket, probe, own)`: the members that probe next, of every bucket with an unprobed member apart.
+def _sized(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with the `size` of their sets and, in buckets of `CROWD` or more, their `lonely` shingles.
+
+    A set with more lonely shingles than a link leaves room for has no link there, and is left out.
+    """
+    crowd = members.where(F.col("n") >= CROWD).select(F.col("rep").alias("doc_id")).distinct()
+    lonely = lonely_shingles(sets.join(crowd, "doc_id", "left_semi"))
+    facts = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("size")).join(lonely, "rep", "left")
+    out = members.join(facts.select("rep", "size", F.coalesce("lonely", F.lit(0)).alias("lonely")), "rep")
+    return out.where((F.col("n") < CROWD) | (100 * F.col("lonely") <= (100 - percent) * F.col("size"))).withColumns({"component": F.col("rep"), "missing": F.lit(None).cast("long")})
+
+
+def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`(node, component)` of what is linked: members are compared with their bucket's most common one, then with probes."""
+    center = members.groupBy("bucket").agg(F.min(F.struct("lonely", "rep", "size", "missing", "component")).alias("c")).select("bucket", "c.*")
+    facts = materialize(compared(_pairs(members, center, percent), sets), "facts")
+    tested, links = facts.select("a", "b"), materialize(_links(facts, percent), "links")
+    labels = connected_components(links)
+    probed, probes = center.select("bucket", "rep"), PROBES
+    members = _with_missing(members.where("n > 2"), center, facts)
+    while True:
+        members = materialize(_labelled(members, labels), "open")
+        chosen = materialize(_probes(members.join(probed, ["bucket", "rep"], "left_anti"), links, probes), "probes")
+        if not chosen.limit(1).count():
+            return labels
+        facts = materialize(compared(_pairs(members, chosen, percent).join(tested, ["a", "b"], "left_anti"), sets), "facts")
+        tested, probed = tested.union(facts.select("a", "b")), probed.union(chosen.select("bucket", "rep"))
+        new = _links(facts, percent)
+        if new.limit(1).count():
+            links = materialize(links.union(new), "links")
+            labels = connected_components(links)
+        probes *= MORE
+
+
+def _probes(unprobed: DataFrame, links: DataFrame, probes: int) -> DataFrame:
+    """The members that probe next, of every bucket with an unprobed member outside its largest component.
 
-    Apart is who isn't in the bucket's largest component. Where they are few, all of them probe, as every open
-    pair has one of them; else the members with the most links, who are likeliest to join what is apart.
+    Where those are few, all of them probe, as every open pair has one of them; else the members with the most
+    links, who are likeliest to join what is apart.
     """
+    waiting = unprobed.where("not main").groupBy("bucket").agg((F.count("*") <= probes).alias("few"))
     ends = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
     order = Window.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("rep"), "rep")
-    ranked = unprobed.where("apart or not few").join(degree, "rep", "left").withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= PROBES).select("bucket", F.col("rep").alias("probe"), F.col("component").alias("own"))
+    ranked = unprobed.join(waiting, "bucket").where("not few or not main").join(degree, "rep", "left").withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= probes).select("bucket", "rep", "size", "lonely", "missing", "component")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
