@@ -168,11 +168,19 @@ def _may_link(percent: int):
     return close & ((100 + percent) * apart <= (100 - percent) * sizes)
 
 
-def _pairs(members: DataFrame, probes: DataFrame, percent: int) -> DataFrame:
-    """Distinct `(a, b)`: a bucket's probes with those of its members that are apart from them and may be linked."""
-    other = probes.select("bucket", *(F.col(c).alias(f"p_{c}") for c in ("rep", "size", "lonely", "missing", "component")))
-    apart = F.col("component") != F.col("p_component")
-    found = members.join(other, (members["bucket"] == other["bucket"]) & apart & _may_link(percent))
+def _pairs(members: DataFrame, probes: DataFrame, percent: int, once: bool = True) -> DataFrame:
+    """Distinct `(a, b)`: a bucket's probes with those of its members that are apart from them and may be linked.
+
+    once: in crowded buckets a pair is left to the first bucket that it shares; each bucket goes on until all its
+    open pairs have had a probe, so none is left out.
+    """
+    columns = ["rep", "size", "lonely", "missing", "component", "bands"]
+    other = probes.select("bucket", *(F.col(c).alias(f"p_{c}") for c in columns))
+    test = (members["bucket"] == other["bucket"]) & (F.col("component") != F.col("p_component")) & _may_link(percent)
+    if once:
+        common = F.filter(F.zip_with("bands", "p_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        test = test & F.coalesce(F.try_element_at(common, F.lit(1)) == members["bucket"], F.lit(True))
+    found = members.join(other, test)
     return found.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
 
 
@@ -205,7 +213,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = prefilter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), involved, "doc_id")
     sets = materialize(full_sets(texts.join(involved, "doc_id").dropDuplicates(["doc_id"]), shingle_words), "sets")
-    members = materialize(_sized(members, sets, percent), "members")
+    members = materialize(_sized(members, sets, classes.select("rep", "bands"), percent), "members")
     labels = _components(members, sets, percent)
     drop_table(sets)
 
@@ -215,22 +223,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     return keyed.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sized(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members with the `size` of their sets and, in buckets of `CROWD` or more, their `lonely` shingles.
+def _sized(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """Members with the `size` of their sets and, in buckets of `CROWD` or more, their `lonely` shingles and all `bands`.
 
     A set with more lonely shingles than a link leaves room for has no link there, and is left out.
     """
     crowd = members.where(F.col("n") >= CROWD).select(F.col("rep").alias("doc_id")).distinct()
     lonely = lonely_shingles(sets.join(crowd, "doc_id", "left_semi"))
-    facts = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("size")).join(lonely, "rep", "left")
-    out = members.join(facts.select("rep", "size", F.coalesce("lonely", F.lit(0)).alias("lonely")), "rep")
+    known = bands.join(crowd.withColumnRenamed("doc_id", "rep"), "rep").join(lonely, "rep", "left")
+    facts = sets.select(F.col("doc_id").alias("rep"), (F.octet_length("shingles") / 8).cast("long").alias("size")).join(known, "rep", "left")
+    out = members.join(facts.select("rep", "size", F.coalesce("lonely", F.lit(0)).alias("lonely"), "bands"), "rep")
+    out = out.withColumn("bands", F.when(F.col("n") >= CROWD, F.col("bands")))
     return out.where((F.col("n") < CROWD) | (100 * F.col("lonely") <= (100 - percent) * F.col("size"))).withColumns({"component": F.col("rep"), "missing": F.lit(None).cast("long")})
 
 
 def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """`(node, component)` of what is linked: members are compared with their bucket's most common one, then with probes."""
-    center = members.groupBy("bucket").agg(F.min(F.struct("lonely", "rep", "size", "missing", "component")).alias("c")).select("bucket", "c.*")
-    facts = materialize(compared(_pairs(members, center, percent), sets), "facts")
+    center = members.groupBy("bucket").agg(F.min(F.struct("lonely", "rep", "size", "missing", "component", "bands")).alias("c")).select("bucket", "c.*")
+    facts = materialize(compared(_pairs(members, center, percent, once=False), sets), "facts")
     tested, links = facts.select("a", "b"), materialize(_links(facts, percent), "links")
     labels = connected_components(links)
     probed, probes = center.select("bucket", "rep"), PROBES
@@ -260,7 +270,7 @@ def _probes(unprobed: DataFrame, links: DataFrame, probes: int) -> DataFrame:
     degree = ends.groupBy("rep").agg(F.count("*").alias("degree"))
     order = Window.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), F.xxhash64("rep"), "rep")
     ranked = unprobed.join(waiting, "bucket").where("not few or not main").join(degree, "rep", "left").withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= probes).select("bucket", "rep", "size", "lonely", "missing", "component")
+    return ranked.where(F.col("place") <= probes).select("bucket", "rep", "size", "lonely", "missing", "component", "bands")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
