@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
 from tidemark.functions import values as V
+from tidemark.operators import inspection
 
 from . import oracle as O
 
@@ -112,25 +113,11 @@ _PAGES = ["<form>Please sign in</form>", "<p>This JOB is no longer\n available</
 _PAGE_VALUES = "select * from (values " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PAGES)) + ") as t(id, html)"
 
 
-def signals(html):
-    page = F.lower(F.regexp_replace(html, r"(?U)\s+", " "))
-    many = lambda t: t.contains("step 1") | t.contains("step 2") | t.contains("multi-step") | t.contains("multistep") | (t.contains("of 2") & t.contains("step"))
-    return text.let(page, lambda t: F.struct(text.has_any(t, V.CAPTCHA).alias("captcha"), text.has_any(t, V.LOGIN).alias("login"), text.has_any(t, V.CLOSED).alias("closed"), many(t).alias("multi_step")))
-
-
-def scan_verdict(s, n_questions):
-    """`struct(status, reason)` of a page from its signals and the questions found."""
-    some = n_questions > 0
-    key = F.when(s["closed"], "closed").when(s["captcha"], "captcha").when(s["login"] & some, "login_fields").when(s["login"], "login").when(some & s["multi_step"], "steps").when(some, "fields").otherwise("none")
-    reasons = F.create_map(*(F.lit(x) for kv in V.REASONS.items() for x in kv))
-    return F.struct(F.when(key.isin("login_fields", "steps", "fields"), "partial").otherwise("unavailable").alias("status"), F.element_at(reasons, key).alias("reason"))
-
-
 def page_signals(spark, sf_dir):
     pages = _read(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "html")
     rows = spark.sql(_PAGE_VALUES).select(F.col("id").cast("long").alias("id"), "html").union(pages)
-    found = rows.select("id", signals(F.col("html")).alias("s"))
-    return found.select("id", "s.*", scan_verdict(F.col("s"), F.col("id") % 2).alias("v")).select("id", "captcha", "login", "closed", "multi_step", "v.status", "v.reason")
+    found = rows.select("id", inspection.signals(F.col("html")).alias("s"))
+    return found.select("id", "s.*", inspection.page_verdict(F.col("s"), F.col("id") % 2).alias("v")).select("id", "captcha", "login", "closed", "multi_step", "v.status", "v.reason")
 
 
 _LABELS = ["First name *", "Why do you want to join us?", "Are you authorized to work in the US? *", "Resume/CV **", "Race / Ethnicity", "<b>University</b>:", "Name", "Name*", "Anything else?", "Describe a project", "What is your start date", "Trace capacity statement", "Short", "one two three four five", "Years of experience required *"]
