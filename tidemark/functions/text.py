@@ -46,8 +46,8 @@ def _tables() -> tuple[str, str, str, list[tuple[str, str]]]:
 def fold(text: Column) -> Column:
     """Accents dropped, case folded, all but a-z and 0-9 as single spaces, trimmed."""
     source, target, gone, several = _tables()
-    out = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several, text)
-    out = F.lower(F.translate(out, source + gone, target))
+    plain = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), several, text)
+    out = F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(plain, source + gone, target)).otherwise(text))
     return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -47,23 +47,29 @@ def _encoded(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
-def _parts_of(clean: Column) -> Column:
-    """A trimmed link taken apart: scheme, host, port, way, and decoded pairs of the query."""
+def _query_pairs(clean: Column) -> Column:
+    """Decoded keys and values of a trimmed link's query."""
     query = F.regexp_extract(clean, r"^[^?#]*\?([^#]*)", 1)
     value = lambda p: F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(value(p)).alias("v")))
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(value(p)).alias("v")))
+
+
+def _parts_of(clean: Column) -> Column:
+    """A trimmed link taken apart: scheme, host, port, way, pairs of the query, and whether it is a board's."""
     return F.struct(
         clean.alias("clean"),
         F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1)).alias("scheme"),
         host(clean).alias("host"),
         F.regexp_extract(_authority(clean), r":0*([1-9][0-9]*)$", 1).alias("port"),
         F.regexp_replace(path(clean), "/{2,}", "/").alias("way"),
-        pairs.alias("pairs"),
+        _query_pairs(clean).alias("pairs"),
+        let(host(clean), lambda name: ends_with_any(name, V.PRESENTATION_HOSTS)).alias("board"),
     )
 
 
-def _joined(link: Column, remove_provider_tracking: bool) -> Column:
-    on_board = let(link["host"], lambda name: ends_with_any(name, V.PRESENTATION_HOSTS))
+def _joined(link: Column | dict[str, Column], remove_provider_tracking: bool) -> Column:
+    """The link put together again; `link` has the fields of `_parts_of`."""
+    on_board = link["board"]
 
     def kept(key: Column) -> Column:
         gone = key.startswith("utm_") | key.isin(V.ALWAYS_TRACKING) | (on_board & key.isin(V.PRESENTATION))
@@ -75,7 +81,7 @@ def _joined(link: Column, remove_provider_tracking: bool) -> Column:
     query = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     port = F.when(link["port"] == "", "").when(link["port"].try_cast("int") <= 65535, F.concat(F.lit(":"), link["port"]))
     way = F.when(link["way"].isin("", "/"), "/").otherwise(F.regexp_replace(link["way"], "/+$", ""))
-    whole = F.concat(link["scheme"], F.lit("://"), link["host"], port, way, let(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+    whole = F.concat(link["scheme"], F.lit("://"), link["host"], port, way, F.coalesce(F.concat(F.lit("?"), F.nullif(query, F.lit(""))), F.lit("")))
     return F.when(link["clean"].rlike(_ABSOLUTE), whole).otherwise(link["clean"])
 
 
@@ -87,7 +93,7 @@ def normalized(url: Column, remove_provider_tracking: bool = False) -> Column:
     return let(_parts_of(F.trim(url)), lambda link: _joined(link, remove_provider_tracking))
 
 
-def _known_id(link: Column) -> Column:
+def _known_id(link: Column | dict[str, Column]) -> Column:
     """The id that a board's link carries, from `struct(name, parts, n, jobs)`; null for other links."""
     name, parts, n, jobs = (link[c] for c in ("name", "parts", "n", "jobs"))
     part = lambda i: F.try_element_at(parts, F.lit(i))
@@ -133,6 +139,36 @@ def identity(url: Column) -> Column:
     return let(_parts_of(F.trim(url)), both)
 
 
+def with_identity(df: DataFrame, url: str) -> DataFrame:
+    """`df` with the fields of `identity` as columns, built up in steps that generated code runs; for large tables."""
+    steps = df.withColumn("_clean", F.trim(url)).withColumns(
+        {
+            "_absolute": F.col("_clean").rlike(_ABSOLUTE),
+            "_scheme": F.lower(F.regexp_extract("_clean", r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1)),
+            "_host": host(F.col("_clean")),
+            "_port": F.regexp_extract(_authority(F.col("_clean")), r":0*([1-9][0-9]*)$", 1),
+            "_way": F.regexp_replace(path(F.col("_clean")), "/{2,}", "/"),
+            "_pairs": _query_pairs(F.col("_clean")),
+        }
+    )
+    steps = steps.withColumn("_board", ends_with_any(F.col("_host"), V.PRESENTATION_HOSTS))
+    link = {c: F.col(f"_{c}") for c in ("clean", "scheme", "host", "port", "way", "pairs", "board")}
+    steps = steps.withColumns({"_plain": _joined(link, False), "_bare": _joined(link, True), "_name": F.when(F.col("_absolute"), F.col("_host")).otherwise(""), "_parts": F.when(F.col("_absolute"), F.filter(F.split("_way", "/"), lambda p: p != "")).otherwise(F.array().cast("array<string>"))})
+    steps = steps.withColumns({"_n": F.size("_parts"), "_jobs": F.array_position("_parts", F.lit("jobs")).cast("int")})
+    steps = steps.withColumn("_known", _known_id({c: F.col(f"_{c}") for c in ("name", "parts", "n", "jobs")}))
+    wrapper = reduce(lambda x, y: x | y, (in_domain(F.col("_name"), d) for d in V.AGGREGATORS))
+    stable = F.col("_known").isNotNull()
+    out = steps.withColumns(
+        {
+            "canonical_id": F.coalesce("_known", F.concat(F.lit("url:"), "_plain")),
+            "canonical_url": F.when(stable, F.col("_bare")).otherwise(F.col("_plain")),
+            "direct": stable | ((F.col("_name") != "") & ~wrapper),
+            "stable": stable,
+        }
+    )
+    return out.select(*df.columns, "canonical_id", "canonical_url", "direct", "stable")
+
+
 def provider(url: Column) -> Column:
     """The application board that a link's host belongs to, else `generic`."""
 

@@ -19,10 +19,9 @@ def identified(obs: DataFrame, priorities: DataFrame) -> DataFrame:
     priorities: `(source_id, priority)`; a source without one comes last.
     """
     known = obs.join(priorities, "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(1_000_000)))
-    known = known.withColumn("_id", urls.identity(F.col("application_url")))
+    known = urls.with_identity(known, "application_url")
     known = known.withColumn("fingerprint", text.fingerprint(*(F.col(c) for c in ("company", "position", "job_type", "location", "season"))))
-    strength = F.when(F.col("_id.stable"), 0).when(F.col("_id.direct"), 1).otherwise(2)
-    return known.select("*", "_id.*", strength.alias("strength")).drop("_id")
+    return known.withColumn("strength", F.when(F.col("stable"), 0).when(F.col("direct"), 1).otherwise(2))
 
 
 def attach_wrappers(known: DataFrame) -> DataFrame:

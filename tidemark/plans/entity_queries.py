@@ -16,8 +16,10 @@ BASELINES = [0]
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identified observations, kept as every query reads them twice or more (and as Catalyst would otherwise push
+    filters on the identity below it, with a copy of all that it is made of)."""
     priorities = polls(spark).select("source_id", "priority").distinct()
-    return resolve.identified(observations(spark, sf_dir), priorities)
+    return resolve.identified(observations(spark, sf_dir), priorities).persist()
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
