@@ -78,12 +78,17 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return _marked(df, ids, key).where("_maybe").drop("_maybe")
 
 
+def split_by(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """`df` in two: rows whose key may be in `ids`, and rows whose key isn't (nor is a null); neither is shuffled."""
+    marked = _marked(df, ids, key).withColumn("_maybe", F.coalesce("_maybe", F.lit(False)) & F.col(key).isNotNull())
+    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key isn't in `ids`; only those that may be are shuffled."""
-    marked = _marked(df, ids, key)
+    maybe, rest = split_by(df, ids, key)
     gone = ids.select(F.col(key).alias("_gone")).distinct()
-    maybe = marked.where("_maybe").join(gone, F.col(key) == F.col("_gone"), "left").where("_gone is null").drop("_gone")
-    return marked.where("not _maybe").unionByName(maybe).drop("_maybe")
+    return rest.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left").where("_gone is null").drop("_gone"))
 
 
 # ---- 64-bit hashing in numpy ------------------------------------------------------------------

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHasher, materialize, mix64, prefilter, table, utf8
+from .common import BASE, WordHasher, drop_table, materialize, mix64, prefilter, split_by, table, utf8
 
 MIN_WORDS = 8
 
@@ -36,17 +36,30 @@ def words_of(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
-def _sequence_hash(words: np.ndarray, salt: int) -> int:
-    """Of the words in order, as a signed value."""
-    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), BASE)]))
-    total = (np.append(words, np.uint64(salt)) * power).sum(dtype=np.uint64)
-    return int(mix64(total.reshape(1)).view(np.int64)[0])
+class Sequences:
+    """Hashes of any stretches of one long row of words, by prefix sums."""
 
+    def __init__(self, words: np.ndarray):
+        n = len(words) + 1
+        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]))
+        self.back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * self.power[:-1], dtype=np.uint64)])
+
+    def hash(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        size = stop - start
+        value = (self.sums[stop] - self.sums[start]) * self.back[start]
+        return mix64(value + salt.astype(np.uint64) * self.power[size]).view(np.int64)
 
-def half_keys(words: np.ndarray) -> list[int]:
-    """Hashes of the first and the last half; of both roundings, so that lines one word apart have one in common."""
-    n = len(words)
-    return [_sequence_hash(part, 2 * h + side) for h in {(n - 1) // 2, n // 2} for side, part in enumerate((words[:h], words[n - h :]))]
+
+def half_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[line, 4]: hashes of the first and the last half of each line, in both roundings, so that lines one word apart
+    have one in common. The lines follow each other in `words`."""
+    stop = np.cumsum(sizes)
+    start, sequences = stop - sizes, Sequences(words)
+    columns = []
+    for h in ((sizes - 1) // 2, sizes // 2):
+        columns += [sequences.hash(start, start + h, 2 * h), sequences.hash(stop - h, stop, 2 * h + 1)]
+    return np.stack(columns, axis=1)
 
 
 def variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,52 +104,59 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                out = [[] for _ in range(5)]
+                ids, text_ids, numbers, keys, kept, long = [], [], [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                     text_id = _text_id(text)
                     for number, line in enumerate(text.split(b"\n")):
                         if words := words_of(line):
-                            halves = half_keys(hasher(words)) if len(words) >= MIN_WORDS else None
-                            for column, value in zip(out, (doc_id, text_id, number, _key(words), halves), strict=True):
-                                column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "text_id", "line", "key", "halves"])
+                            ids.append(doc_id)
+                            text_ids.append(text_id)
+                            numbers.append(number)
+                            keys.append(_key(words))
+                            long.append(len(words) >= MIN_WORDS)
+                            if long[-1]:
+                                kept.append(words)
+                halves = half_keys(hasher([w for ws in kept for w in ws]), np.array([len(ws) for ws in kept], dtype=np.int64))
+                offsets = np.concatenate([[0], np.cumsum(np.array(long, dtype=np.int64) * 4)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves.ravel()))
+                columns = [pa.array(ids, pa.int64()), pa.array(text_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line", "key", "halves"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_id long, line int, key binary, halves array<long>")
 
 
-def candidate_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """`(key, at, words)` of the distinct lines that share a half with another; at: the first occurrence."""
+def candidate_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """`(lid, doc_id, line, words)` of the distinct lines that share a half with another, where they come first."""
     import pyarrow as pa
 
-    halves = firsts.where("halves is not null").select("key", "at", F.explode("halves").alias("half"))
-    own = F.xxhash64("key")
-    shared = halves.groupBy("half").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("half")
-    wanted = halves.join(shared, "half").select("key", "at").distinct()
-    spots = wanted.groupBy("at.doc_id", "at.text_id").agg(F.collect_list(F.col("at.line")).alias("lines"))
-    spots = materialize(spots, "spots")
+    halves = lines.select(F.xxhash64("key").alias("lid"), F.explode(F.array_distinct("halves")).alias("half"))
+    shared = halves.groupBy("half").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("half")
+    shared = materialize(shared, "halves")
+    wanted = materialize(prefilter(halves, shared, "half").distinct().join(shared, "half").select("lid").distinct(), "wanted")
+    spots = prefilter(firsts.select(F.xxhash64("key").alias("lid"), "at.*"), wanted, "lid").join(wanted, "lid")
+    spots = materialize(spots.groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("lines")), "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], []]
             for doc_id, text, text_id, lines in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if _text_id(text) != text_id:
                     continue
                 parts = text.split(b"\n")
                 for number in lines:
                     words = words_of(parts[number])
-                    for column, value in zip(out, (_key(words), doc_id, number, text_id, b" ".join(words)), strict=True):
+                    for column, value in zip(out, (_key(words), doc_id, number, b" ".join(words)), strict=True):
                         column.append(value)
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "line", "text_id", "words"])
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "line", "words"])
 
     texts = prefilter(docs.select("doc_id", "text"), spots, "doc_id").join(spots, "doc_id").select("doc_id", "text", "text_id", "lines")
-    found = texts.mapInArrow(run, "key binary, doc_id long, line int, text_id long, words binary").dropDuplicates(["key"])
-    return found.select("key", F.struct("doc_id", "line", "text_id").alias("at"), "words")
+    found = texts.mapInArrow(run, "key binary, doc_id long, line int, words binary").dropDuplicates(["key"])
+    return found.select(F.xxhash64("key").alias("lid"), "key", "doc_id", "line", "words")
 
 
 def _variant_rows(candidates: DataFrame) -> DataFrame:
-    """`(variant, place, key, at)`."""
+    """`(variant, place, lid, doc_id, line)`."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,41 +164,45 @@ def _variant_rows(candidates: DataFrame) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 2048):
                 part = batch.slice(first, 2048)
-                each = [variants(hasher(x.split())) for x in part.column(4).to_pylist()]
+                each = [variants(hasher(x.split())) for x in part.column(3).to_pylist()]
                 if not each:
                     continue
-                source = np.repeat(np.arange(len(each)), [len(k) for k, _ in each])
+                source = pa.array(np.repeat(np.arange(len(each)), [len(k) for k, _ in each]))
                 columns = [pa.array(np.concatenate([k for k, _ in each]), pa.int64()), pa.array(np.concatenate([p for _, p in each]).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, *(part.column(i).take(pa.array(source)) for i in range(4))], names=["variant", "place", "key", "doc_id", "line", "text_id"])
+                yield pa.RecordBatch.from_arrays([*columns, *(part.column(i).take(source) for i in range(3))], names=["variant", "place", "lid", "doc_id", "line"])
 
-    flat = candidates.select("key", "at.doc_id", "at.line", "at.text_id", "words")
-    rows = flat.mapInArrow(run, "variant long, place int, key binary, doc_id long, line int, text_id long")
-    return rows.select("variant", "place", "key", F.struct("doc_id", "line", "text_id").alias("at"))
+    return candidates.select("lid", "doc_id", "line", "words").mapInArrow(run, "variant long, place int, lid long, doc_id long, line int")
 
 
 def near_lines(candidates: DataFrame) -> DataFrame:
-    """Keys of the candidate lines of which an earlier one is within the edit, verified."""
+    """Keys of the candidate lines of which an earlier one is within the edit, verified.
+
+    Keys are aggregated before they are shuffled, and only the few rows whose key names two lines are joined back.
+    """
     import pyarrow as pa
 
     rows = materialize(_variant_rows(candidates), "variants")
-    earliest = F.min(F.struct("at", "key"))
-    replaced = rows.where("place >= 0").groupBy("variant", "place").agg(earliest.alias("e"), F.count("*").alias("n")).where("n > 1").select("variant", "place", "e")
-    whole = rows.where("place < 0").select("variant", F.col("at").alias("w_at"), F.col("key").alias("w_key"))
-    longest = rows.where("place >= 0").groupBy("variant").agg(earliest.alias("e"))
-    touching = whole.join(longest, "variant")
-    pairs = rows.join(replaced, ["variant", "place"]).where("e.at < at").select("key", F.col("e.key").alias("other"))
-    pairs = pairs.union(touching.where("e.at < w_at").select("w_key", "e.key"))
-    longer = rows.where("place >= 0").join(whole, "variant").where("w_at < at").select("key", F.col("w_key").alias("other"))
-    pairs = pairs.union(longer).where("key <> other").distinct()
+    at, earliest = F.struct("doc_id", "line", "lid"), F.min(F.struct("doc_id", "line", "lid")).alias("e")
+    replaced = materialize(rows.where("place >= 0").groupBy("variant", "place").agg(earliest, F.count("*").alias("n")).where("n > 1").drop("n"), "replaced")
+    again = prefilter(rows.where("place >= 0").withColumn("at", at), replaced, "variant").join(replaced, ["variant", "place"])
+    pairs = again.where("e < at").select("lid", F.col("e.lid").alias("other"))
+    whole = materialize(rows.where("place < 0").select("variant", at.alias("w")), "whole")
+    longer = materialize(prefilter(rows.where("place >= 0"), whole, "variant").join(whole, "variant").select("variant", at.alias("at"), "w"), "longer")
+    pairs = pairs.union(longer.where("w < at").select("at.lid", "w.lid"))
+    first = longer.groupBy("variant", "w").agg(F.min("at").alias("at"))
+    pairs = materialize(pairs.union(first.where("at < w").select("w.lid", "at.lid")).where("lid <> other").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [within_one_word(x.split(b" "), y.split(b" ")) for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield batch.select([0]).filter(pa.array(good, pa.bool_()))
 
-    texts = candidates.select("key", "words")
-    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other")
-    return both.select("key", "words", "other_words").mapInArrow(verify, "key binary").distinct()
+    texts = candidates.select("lid", "key", "words")
+    both = pairs.join(texts, "lid").join(texts.select(F.col("lid").alias("other"), F.col("words").alias("other_words")), "other")
+    near = materialize(both.select("key", "words", "other_words").mapInArrow(verify, "key binary").distinct(), "near")
+    for t in (rows, replaced, whole, longer, pairs):
+        drop_table(t)
+    return near
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -188,15 +212,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_removed", "_spots")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     lines = materialize(occurrences(known), "lines")
-    at = F.struct("doc_id", "line", "text_id")
-    firsts = lines.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("at"), F.count("*").alias("n"))
     firsts = materialize(firsts, "firsts")
-    candidates = materialize(candidate_lines(known, firsts), "candidates")
+    candidates = materialize(candidate_lines(known, lines, firsts), "candidates")
     near = near_lines(candidates).withColumn("near", F.lit(True))
-    verdicts = firsts.select("key", "at", "n").join(near, "key", "left").where("n > 1 or near").select("key", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("key", "doc_id", "text_id", "line").join(verdicts, "key").where("near or doc_id <> kept_at.doc_id or line <> kept_at.line")
+    verdicts = firsts.join(near, "key", "left").where("n > 1 or near").select("key", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
+    verdicts = materialize(verdicts, "verdicts")
+    gone = prefilter(lines.select("key", "doc_id", "text_id", "line"), verdicts, "key").join(verdicts, "key").where("near or doc_id <> kept_at.doc_id or line <> kept_at.line")
     spots = gone.groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("lines"))
     spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "lines")).alias("_spots"))  # one text, unless an id repeats
+    spots = materialize(spots, "gone")
+    for t in (lines, firsts, candidates, verdicts):
+        drop_table(t)
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     text_at, n = docs.columns.index("text"), len(docs.columns)
@@ -215,7 +242,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.join(spots.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").drop("_id").mapInArrow(cut, schema)
+    changed, same = split_by(docs, spots, "doc_id")
+    changed = changed.join(spots.withColumnRenamed("doc_id", "_id"), changed["doc_id"] == F.col("_id"), "left").drop("_id")
+    return changed.unionByName(same.withColumn("_spots", F.lit(None).cast(spots.schema["_spots"].dataType))).mapInArrow(cut, schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
