@@ -36,30 +36,19 @@ def words_of(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
-class Sequences:
-    """Hashes of any stretches of one long row of words, by prefix sums."""
-
-    def __init__(self, words: np.ndarray):
-        n = len(words) + 1
-        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE)]))
-        self.back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * self.power[:-1], dtype=np.uint64)])
-
-    def hash(self, start: np.ndarray, stop: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        size = stop - start
-        value = (self.sums[stop] - self.sums[start]) * self.back[start]
-        return mix64(value + salt.astype(np.uint64) * self.power[size]).view(np.int64)
-
+def half_keys(words: list[bytes], line: bytes) -> list[int]:
+    """Hashes of the first and the last half of a line (its words, and these joined), in both roundings, so that
+    lines one word apart have one in common."""
+    import xxhash
 
-def half_keys(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """[line, 4]: hashes of the first and the last half of each line, in both roundings, so that lines one word apart
-    have one in common. The lines follow each other in `words`."""
-    stop = np.cumsum(sizes)
-    start, sequences = stop - sizes, Sequences(words)
-    columns = []
-    for h in ((sizes - 1) // 2, sizes // 2):
-        columns += [sequences.hash(start, start + h, 2 * h), sequences.hash(stop - h, stop, 2 * h + 1)]
-    return np.stack(columns, axis=1)
+    n, digest = len(words), xxhash.xxh3_64_intdigest
+    k = n // 2
+    middle = sum(map(len, words[:k])) + k  # where word k begins
+    behind = middle + len(words[k]) + 1
+    if n % 2:
+        return [digest(line[: middle - 1], 2 * k), digest(line[behind:], 2 * k + 1)]
+    before = middle - len(words[k - 1]) - 1
+    return [digest(line[: middle - 1], 2 * k), digest(line[middle:], 2 * k + 1), digest(line[: before - 1], 2 * k - 2), digest(line[behind:], 2 * k - 1)]
 
 
 def variants(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,25 +89,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        import xxhash
+
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                ids, text_ids, numbers, keys, kept, long = [], [], [], [], [], []
+                ids, text_ids, numbers, keys, halves, ends = [], [], [], [], [], [0]
                 for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
                     text_id = _text_id(text)
-                    for number, line in enumerate(text.split(b"\n")):
-                        if words := words_of(line):
+                    for number, low in enumerate(text.lower().split(b"\n")):
+                        if words := low.split():
+                            line = b" ".join(words)
                             ids.append(doc_id)
                             text_ids.append(text_id)
                             numbers.append(number)
-                            keys.append(_key(words))
-                            long.append(len(words) >= MIN_WORDS)
-                            if long[-1]:
-                                kept.append(words)
-                halves = half_keys(hasher([w for ws in kept for w in ws]), np.array([len(ws) for ws in kept], dtype=np.int64))
-                offsets = np.concatenate([[0], np.cumsum(np.array(long, dtype=np.int64) * 4)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves.ravel()))
+                            keys.append(xxhash.xxh3_128_digest(line))
+                            if len(words) >= MIN_WORDS:
+                                halves += half_keys(words, line)
+                            ends.append(len(halves))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(halves, dtype=np.uint64).view(np.int64)))
                 columns = [pa.array(ids, pa.int64()), pa.array(text_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line", "key", "halves"])
 
@@ -129,7 +118,7 @@ def candidate_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> Dat
     """`(lid, doc_id, line, words)` of the distinct lines that share a half with another, where they come first."""
     import pyarrow as pa
 
-    halves = lines.select(F.xxhash64("key").alias("lid"), F.explode(F.array_distinct("halves")).alias("half"))
+    halves = lines.select(F.xxhash64("key").alias("lid"), F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("half")
     shared = materialize(shared, "halves")
     wanted = materialize(prefilter(halves, shared, "half").distinct().join(shared, "half").select("lid").distinct(), "wanted")
