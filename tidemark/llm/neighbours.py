@@ -8,7 +8,9 @@ and visits widen leaf by leaf until `RECALL` of these lie in visited leaves.
 
 Equal vectors are one entry with their k + 1 smallest ids, which are all that a result of k can name; so a vector
 that a third of the rows have costs one entry. Leaves are joined with their queries in blocks of bounded size on
-both sides. Distances are computed in double precision from the original vectors.
+both sides. Visits are made in rounds, each of `WIDEN` times as many leaves as all before it; a leaf gives only what
+is no farther than the k nearest that earlier rounds found, so what the rounds give grows with the queries and not
+with the leaves visited. Distances are computed in double precision from the original vectors.
 
 Defined cases: a vector that is null, zero, of another length than most, or has a null or non-finite component,
 takes no part; ties go to the smaller id; a row without id takes no part; of rows with one id and several
@@ -34,6 +36,8 @@ LEAF_ROWS, LEAF_SAMPLE, CHILDREN = 256, 8, 8
 RECALL = 0.98
 #: Vectors or queries of a leaf that are compared in one task.
 BLOCK = 4096
+#: Leaves of the first round of visits, and how many times as many are visited by the end of each later one.
+FIRST, WIDEN = 4, 4
 
 
 class Tree:
@@ -194,6 +198,34 @@ def calibrate(tree: Tree, indexed: DataFrame, queries: list, k: int, recall: flo
     return visits, reached
 
 
+def _compared(visiting: DataFrame, indexed: DataFrame, blocks: dict[int, int], k: int) -> DataFrame:
+    """`(low, vec_id, score)` of `visiting(leaf, embedding, low, far)`: the k + 1 nearest in each leaf, within `far`."""
+    import pyarrow as pa
+
+    parts = {r["leaf"]: -(-r["count"] // BLOCK) for r in visiting.groupBy("leaf").count().collect()}
+    several = lambda of: {leaf: n for leaf, n in of.items() if n > 1}
+    number = lambda of: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col("leaf")), F.lit(1)) if of else F.lit(1)
+    block, part = number(several(blocks)), number(several(parts))
+    own = indexed.select("leaf", F.pmod(F.xxhash64("embedding"), block).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), part - 1)).alias("part"), "embedding", "ids")
+    from_queries = visiting.select("leaf", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), F.pmod(F.xxhash64("embedding"), part).cast("int").alias("part"), "embedding", "low", "far")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if left.num_rows and right.num_rows:
+            ids = right.column("ids").to_pylist()
+            smallest = np.array([i[0] for i in ids], dtype=np.int64)
+            low, far = left.column("low").to_pylist(), left.column("far").to_pylist()
+            for q, at, exact in nearest(_matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks()), smallest, k + 1):
+                found = sorted((e, i) for a, e in zip(at.tolist(), exact.tolist(), strict=True) if e <= far[q] for i in ids[a])[: k + 1]
+                out[0] += [low[q]] * len(found)
+                out[1] += [i for _, i in found]
+                out[2] += [e for e, _ in found]
+        return pa.table({"low": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    keys = ["leaf", "block", "part"]
+    return from_queries.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(compare, "low long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL) -> DataFrame:
     """`(query_id, rank, vec_id, score)`: the k nearest found for each row that `is_query`, its own id left out."""
     import pyarrow as pa
@@ -222,33 +254,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RE
             orders = [shared.value.best_bins(q, visits) for q in _matrix(batch.column(0))]
             source = pa.array(np.repeat(np.arange(len(orders)), [len(o) for o in orders]))
             leaves = np.array([x for o in orders for x in o], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), batch.column(0).take(source), batch.column(1).take(source)], names=["leaf", "embedding", "low"])
+            turns = np.array([t for o in orders for t in range(len(o))], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(turns, pa.int32()), batch.column(0).take(source), batch.column(1).take(source)], names=["leaf", "turn", "embedding", "low"])
 
-    visiting = materialize(asked.select("embedding", "low").mapInArrow(visit, "leaf int, embedding array<double>, low long"), "visits")
+    visiting = materialize(asked.select("embedding", "low").mapInArrow(visit, "leaf int, turn int, embedding array<double>, low long"), "visits")
     blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("leaf").count().collect()}
-    parts = {r["leaf"]: -(-r["count"] // BLOCK) for r in visiting.groupBy("leaf").count().collect()}
-    number = lambda of: F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col("leaf"))
-    block, part = F.coalesce(number(blocks), F.lit(1)), F.coalesce(number(parts), F.lit(1))
-    own = indexed.select("leaf", F.pmod(F.xxhash64("embedding"), block).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), part - 1)).alias("part"), "embedding", "ids")
-    from_queries = visiting.select("leaf", F.explode(F.sequence(F.lit(0), block - 1)).alias("block"), F.pmod(F.xxhash64("embedding"), part).cast("int").alias("part"), "embedding", "low")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids = right.column("ids").to_pylist()
-            smallest = np.array([i[0] for i in ids], dtype=np.int64)
-            low = left.column("low").to_pylist()
-            for q, at, exact in nearest(_matrix(left.column("embedding").combine_chunks()), _matrix(right.column("embedding").combine_chunks()), smallest, k + 1):
-                found = sorted((e, i) for a, e in zip(at.tolist(), exact.tolist(), strict=True) for i in ids[a])[: k + 1]
-                out[0] += [low[q]] * len(found)
-                out[1] += [i for _, i in found]
-                out[2] += [e for e, _ in found]
-        return pa.table({"low": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    keys = ["leaf", "block", "part"]
-    near = from_queries.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(compare, "low long, vec_id long, score double")
     order = Window.partitionBy("low").orderBy("score", "vec_id")
-    best = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    best, begin, end = spark.createDataFrame([], "low long, vec_id long, score double"), 0, FIRST
+    while begin < visits:
+        bound = best.groupBy("low").agg(F.max("score").alias("far"), F.count("*").alias("n")).where(F.col("n") > k).select("low", "far")
+        turn = visiting.where((F.col("turn") >= begin) & (F.col("turn") < end)).join(bound, "low", "left")
+        near = _compared(turn.withColumn("far", F.coalesce("far", F.lit(float("inf")))), indexed, blocks, k)
+        merged = best.unionByName(near).withColumn("n", F.row_number().over(order))
+        best = materialize(merged.where(F.col("n") <= k + 1).drop("n"), "best")
+        begin, end = end, end * WIDEN
     named = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(asked.select("embedding", "low"), "embedding").select("query_id", "low")
     results = named.join(best, "low").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "low").orderBy("score", "vec_id"))
