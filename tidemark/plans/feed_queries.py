@@ -111,13 +111,20 @@ def scan_block_render(spark, sf_dir):
     return render.scan_blocks(found).select("page_id", "block")
 
 
+def block_upsert_whole(spark, sf_dir):
+    """Digests of whole bodies, every other one with text on both sides of its block; `block_upsert` shows short ones, as its oracle does."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("t"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat("t", F.lit("<!-- scan:start 7 -->old<!-- scan:end 7 -->"), "t")).otherwise(F.col("t"))
+    return docs.select("doc_id", F.sha2(render.upsert_block(body, "7", F.lit("new \\1 $2")), 256).alias("body_sha256"))
+
+
 def block_upsert(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.left("text", F.lit(40)).alias("t"))
     body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("t"), F.lit("<!-- scan:start 7 -->old<!-- scan:end 7 -->tail"))).otherwise(F.col("t"))
     return docs.select("doc_id", render.upsert_block(body, "7", F.lit("new \\1 $2")).alias("body"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, block_upsert)}
+QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, block_upsert, block_upsert_whole)}
 
 
 def _golden(columns: str, *rows: tuple) -> str:
@@ -181,4 +188,5 @@ ORACLE_SQL = {
     ),
     "scan_block_render": _golden("page_id, block", (1, BLOCK)),
     "block_upsert": "select doc_id, case when doc_id % 2 = 0 then left(text, 40) || '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->tail' else left(text, 40) || case when right(left(text, 40), 1) = chr(10) or text = '' then '' else chr(10) end || chr(10) || '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' || chr(10) end as body from documents",
+    "block_upsert_whole": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
 }

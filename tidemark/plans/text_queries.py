@@ -97,7 +97,7 @@ def json_props_feed(spark, sf_dir):
 
 def marker_lookup(spark, sf_dir):
     """Batch ids found in texts: pulled out once, then joined by equality."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.left("text", F.lit(20)), F.lit("<!-- batch:v1:"), (F.col("doc_id") % 50).cast("string"), F.lit(" -->")).alias("body"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("<!-- batch:v1:"), (F.col("doc_id") % 50).cast("string"), F.lit(" -->")).alias("body"))
     found = docs.select("doc_id", F.regexp_extract("body", r"<!-- batch:v1:(\w+) -->", 1).alias("batch_id"))
     batches = spark.range(0, 60, 2).select(F.col("id").cast("string").alias("batch_id"))
     return found.join(batches, "batch_id").groupBy("batch_id").agg(F.min("doc_id").alias("first_issue"))
@@ -146,10 +146,16 @@ def tri_state_required(spark, sf_dir):
 
 
 def redact_message(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see https://x.example/"), F.col("doc_id").cast("string"), F.lit(" auth_token="), F.col("source"), F.lit("; "), F.left("text", F.lit(600))).alias("m"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see https://x.example/"), F.col("doc_id").cast("string"), F.lit(" auth_token="), F.col("source"), F.lit("; "), "text").alias("m"))
     return docs.select("doc_id", text.safe_message(F.col("m")).alias("message"))
 
 
+def markdown_escape_whole(spark, sf_dir):
+    """Digests of whole texts as escaped; `markdown_escape` shows their first 300 characters, as its oracle does."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(text.markdown_cell(F.col("text")), 256).alias("cell_sha256"), F.sha2(text.escape_text(F.col("text")), 256).alias("escaped_sha256"))
+
+
 def markdown_escape(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(300)).alias("t"))
     return docs.select("doc_id", text.markdown_cell(F.col("t")).alias("cell"), text.escape_text(F.col("t")).alias("escaped"))
@@ -173,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_canonicalize, url_dedupe_best, url_safe_public, text_normalize, first_wins_dedupe, carry_forward, retention_expired, outbox_order, retry_eligible, overlay_targets,
-        json_props_feed, marker_lookup, anchor_extract, page_signals, question_categorize, field_type_map, tri_state_required, redact_message, markdown_escape, option_sets, sensitive_keys,
+        json_props_feed, marker_lookup, anchor_extract, page_signals, question_categorize, field_type_map, tri_state_required, redact_message, markdown_escape, markdown_escape_whole, option_sets, sensitive_keys,
     )
 }
 
@@ -206,6 +212,7 @@ ORACLE_SQL = {
     "tri_state_required": "select l_orderkey, bool_or(case l_returnflag when 'R' then true when 'A' then false end) as required from lineitem group by l_orderkey",
     "redact_message": "select doc_id, left(regexp_replace(regexp_replace('see https://x.example/' || doc_id || ' auth_token=' || source || '; ' || left(text, 600), '(?i)https?://[^\\s''\"<>]+', '<url>', 'g'), '(?i)\\b(cookie|csrf(?:[_ -]?token)?|(?:access|auth|refresh|session|id)?[_ -]?token|authorization)\\s*[=:]\\s*[^\\s,;]+', '\\1=<redacted>', 'g'), 500) as message from documents",
     "markdown_escape": "select doc_id, replace(replace(replace(replace(t, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>') as cell, replace(replace(replace(replace(replace(replace(replace(t, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ') as escaped from (select doc_id, left(text, 300) as t from documents)",
+    "markdown_escape_whole": "select doc_id, sha256(replace(replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>')) as cell_sha256, sha256(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ')) as escaped_sha256 from documents",
     "option_sets": "with f as (select p_size, lower(p_type) as key, arg_min(p_type, p_partkey) as option, min(p_partkey) as pk from part group by p_size, lower(p_type)) select p_size, string_agg(option, '; ' order by pk) as options from f group by p_size",
     "sensitive_keys": "select event_id, 'kind=' || coalesce(event_type, '') as metadata from events",
 }
