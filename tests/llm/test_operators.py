@@ -193,6 +193,27 @@ def test_packing_targets():
     assert abs(first.quota[1] - np.array([1024, 1024, 2048])).max() <= 1 or first.per_round[2] == 500
 
 
+def test_packing_keeps_a_queue_for_each_of_many_sources(spark):
+    P = pytest.importorskip("public_tokenizers")
+
+    docs = spark.range(280).selectExpr("id as doc_id", "repeat('alpha beta gamma ', 40) as text", "concat('s', id % 70) as source")
+    targets = {"s0": 0.5, **{f"s{i}": 0.5 / 69 for i in range(1, 70)}}
+    pieces = packing.pack(docs, P.path("word_bpe_49k.json"), targets, length=512).collect()
+    assert {p["queue"] for p in pieces} == set(targets)
+    first = {q: sum(p["length"] for p in pieces if p["queue"] == q and p["sequence_id"] == 0) for q in targets}
+    total = sum(p["doc_tokens"] for p in pieces if p["start"] == 0 and p["queue"] == "s0")
+    windows = min(64, sum(p["length"] for p in pieces) // 512)
+    assert abs(first["s0"] - min(256, total / windows)) <= 1
+    assert sum(first.values()) == 512 and min(first.values()) > 0
+    taken = {}
+    for p in pieces:
+        taken.setdefault(p["sequence_id"], []).append((p["offset"], p["offset"] + p["length"]))
+    for spans in taken.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)
+
+
 def test_deficits_end_at_zero():
     rng = np.random.default_rng(0)
     for _ in range(50):

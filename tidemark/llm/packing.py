@@ -12,13 +12,17 @@ their position in their queue, and deficits carry over between partitions withou
 over (queue, partition) totals. When queues run dry, a new phase shares the windows among the rest; the last
 tokens, less than a window, fill sequences of falling powers of two, so no sequence has padding.
 
-Defined cases: a null or empty text is its end token alone; a null source is the queue of the empty name; more
-than `MAX_QUEUES` sources are dealt to that many queues by hash; rows with equal ids are separate documents; an
-empty table gives no pieces; other columns aren't read.
+Each source has a queue of its own, however many there are. What all tasks share is the tokens of each queue in a
+round of each phase; the turns within a round are worked out where they are needed, and the last ones are kept.
+
+Defined cases: a null or empty text is its end token alone; a null source is the queue of the empty name; rows with
+equal ids are separate documents; an empty table gives no pieces; other columns aren't read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,23 +35,54 @@ from .common import materialize, table
 from .tokens import encoder
 
 LENGTH, END = 4096, 2
-ROUND, MAX_QUEUES = 64, 64
+ROUND = 64
+#: Bytes of turns that a process keeps (those in use are kept in any case).
+TURNS_KEPT = 64 << 20
 
 
 @dataclass
 class Phase:
-    """`rounds` rounds with the same shares. quota: [window of the round, queue] tokens sent before it."""
+    """`rounds` rounds of `windows` windows of `size` tokens with the same shares."""
 
     first_window: int
     first_token: np.ndarray
     rounds: int
     per_round: np.ndarray
-    quota: np.ndarray
-    offset: np.ndarray
+    windows: int
+    size: int
+
+    def turns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queues with a share in order, and for each [window of the round, queue] the tokens sent before it and the place in the window."""
+        queues = np.flatnonzero(self.per_round)
+        sent = deficit_round(self.per_round[queues].astype(np.int64), self.windows, self.size)
+        quota = np.zeros((self.windows + 1, len(queues)), dtype=np.int32)
+        np.cumsum(sent, axis=0, out=quota[1:])
+        return queues, quota, (np.cumsum(sent, axis=1) - sent).astype(np.int32)
 
     @property
-    def windows(self) -> int:
-        return len(self.quota) - 1
+    def quota(self) -> np.ndarray:
+        """[window of the round, queue]: tokens sent before it, of all queues."""
+        queues, quota, _ = self.turns()
+        out = np.zeros((self.windows + 1, len(self.per_round)), dtype=np.int64)
+        out[:, queues] = quota
+        return out
+
+
+class Turns:
+    """The turns of phases, worked out once as long as they are kept."""
+
+    def __init__(self, most: int = TURNS_KEPT):
+        self.most, self.bytes, self.kept = most, 0, OrderedDict()
+
+    def of(self, p: Phase) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if p.first_window in self.kept:
+            self.kept.move_to_end(p.first_window)
+        else:
+            self.kept[p.first_window] = found = p.turns()
+            self.bytes += sum(x.nbytes for x in found)
+            while self.bytes > self.most and len(self.kept) > 1:
+                self.bytes -= sum(x.nbytes for x in self.kept.popitem(last=False)[1])
+        return self.kept[p.first_window]
 
 
 def deficit_round(per_round: np.ndarray, windows: int, length: int) -> np.ndarray:
@@ -94,37 +129,38 @@ def schedule(totals: np.ndarray, weights: np.ndarray, length: int = LENGTH) -> l
         per_round = apportion(windows * size, share, left)
         active = per_round > 0
         rounds = max(1, min(int((left[active] // per_round[active]).min()), total // (windows * size)))
-        turns = deficit_round(per_round, windows, size)
-        quota = np.vstack([np.zeros(len(left), dtype=np.int64), np.cumsum(turns, axis=0)])
-        phases.append(Phase(window, sent.copy(), rounds, per_round, quota, np.cumsum(turns, axis=1) - turns))
+        phases.append(Phase(window, sent.copy(), rounds, per_round.astype(np.int32), windows, size))
         sent, left, window = sent + rounds * per_round, left - rounds * per_round, window + rounds * windows
     return phases
 
 
-def pieces_of(phases: list[Phase], queue: int, start: int, stop: int) -> Iterator[tuple[int, int, int, int]]:
+def pieces_of(phases: list[Phase], queue: int, start: int, stop: int, turns: Turns | None = None) -> Iterator[tuple[int, int, int, int]]:
     """Where tokens [start, stop) of a queue go: (first token, behind the last, sequence, offset there)."""
-    for p in phases:
+    turns = turns or Turns()
+    for p in phases[max(0, bisect_right(phases, start, key=lambda p: p.first_token[queue]) - 1) :]:
+        base = int(p.first_token[queue])
+        if base >= stop:
+            break
         size = int(p.per_round[queue])
-        a, b = max(start, int(p.first_token[queue])) - int(p.first_token[queue]), min(stop, int(p.first_token[queue]) + p.rounds * size) - int(p.first_token[queue])
+        a, b = max(start, base) - base, min(stop, base + p.rounds * size) - base
         if a >= b:
             continue
+        queues, quotas, offsets = turns.of(p)
+        at = int(np.searchsorted(queues, queue))
+        quota = quotas[:, at].astype(np.int64)
         rounds = np.arange(a // size, (b - 1) // size + 1)
-        cuts = (rounds[:, None] * size + p.quota[None, :-1, queue]).ravel()
+        cuts = (rounds[:, None] * size + quota[None, :-1]).ravel()
         cuts = np.unique(np.concatenate([[a], cuts[(cuts > a) & (cuts < b)]]))
         number = cuts // size
         in_round = cuts - number * size
-        w = np.searchsorted(p.quota[:, queue], in_round, side="right") - 1
+        w = np.searchsorted(quota, in_round, side="right") - 1
         sequence = p.first_window + number * p.windows + w
-        offset = p.offset[w, queue] + in_round - p.quota[w, queue]
-        base = int(p.first_token[queue])
+        offset = offsets[w, at] + in_round - quota[w]
         yield from zip((cuts + base).tolist(), [*(cuts[1:] + base).tolist(), b + base], sequence.tolist(), offset.tolist(), strict=True)
 
 
 def _queued(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"))
-    if docs.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        docs = docs.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    return docs
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"))
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
@@ -175,7 +211,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     plan = spark.sparkContext.broadcast((schedule(np.array([*totals.values()], dtype=np.int64), weights, length), number, "<u2" if _narrow(tokenizer) else "<u4"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phases, number, kind = plan.value
+        (phases, number, kind), turns = plan.value, Turns()
         names = ["doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
         for batch in batches:
@@ -183,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
                 rows = []
                 for doc_id, queue, at, n, ids in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
                     wide = np.frombuffer(ids, kind).astype("<u4").tobytes()
-                    for a, b, sequence, offset in pieces_of(phases, number[queue], at, at + n):
+                    for a, b, sequence, offset in pieces_of(phases, number[queue], at, at + n, turns):
                         rows.append((doc_id, queue, a - at, b - a, n, sequence, offset, wide[4 * (a - at) : 4 * (b - at)]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
