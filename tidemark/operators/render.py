@@ -48,10 +48,13 @@ def scan_blocks(questions: DataFrame) -> DataFrame:
 
 
 def upsert_block(body: Column, target: str, block: Column) -> Column:
-    """`body` with the target's block replaced where it has one, else behind the rest; the block is literal text."""
+    """`body` with the target's block, in either spelling of its marks, replaced where it has one, else behind the rest; the block is literal text."""
     start, end = f"<!-- scan:start {target} -->", f"<!-- scan:end {target} -->"
     whole = F.concat(F.lit(start + "\n"), block, F.lit("\n" + end))
-    at, to = F.instr(body, start), F.instr(body, end)
-    spliced = F.concat(F.substring(body, F.lit(1), at - 1), whole, F.substring(body, to + len(end), F.lit(1_000_000_000)))
     gap = F.when((body == "") | body.endswith("\n"), "").otherwise("\n")
-    return F.when((at > 0) & (to > at), spliced).otherwise(F.concat(body, gap, F.lit("\n"), whole, F.lit("\n")))
+    out = F.concat(body, gap, F.lit("\n"), whole, F.lit("\n"))
+    for first, last in ((f"<!-- scan:start:{target} -->", f"<!-- scan:end:{target} -->"), (start, end)):  # the older spelling counts where the present one isn't found
+        at = F.instr(body, first)
+        to = F.position(F.lit(last), body, at + len(first))
+        out = F.when((at > 0) & (to > 0), F.concat(F.substring(body, F.lit(1), at - 1), whole, F.substring(body, to + len(last), F.lit(1_000_000_000)))).otherwise(out)
+    return out

@@ -59,8 +59,10 @@ def per_source(members: DataFrame) -> DataFrame:
 
 
 def resolved(members: DataFrame) -> DataFrame:
-    """One row for each run and entity."""
-    links = per_source(members).groupBy("run_id", "canonical_id").agg(F.array_join(F.array_sort(F.collect_set("application_url")), " ").alias("url_aliases"))
+    """One row for each run and entity; its aliases are the links and, where observations have them, the source links of the survivors."""
+    named = F.array("application_url", "source_url") if "source_url" in members.columns else F.array("application_url")
+    own = F.filter(named, lambda u: u != "")
+    links = per_source(members).groupBy("run_id", "canonical_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))), " ").alias("url_aliases"))
     taken = [longest_of(c).alias(c) for c in LONGEST] + [first_of(c).alias(c) for c in FIRST]
     best = members.groupBy("run_id", "canonical_id").agg(
         *taken,

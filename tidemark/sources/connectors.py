@@ -10,9 +10,13 @@ import importlib
 import time
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-ATTEMPTS, BACKOFF, TIMEOUT = 3, 1.0, 30
+from tidemark.functions import urls
+
+ATTEMPTS, BACKOFF, TIMEOUT, PAGE_TIMEOUT = 3, 1.0, 30, 25
 
 
 class Permanent(Exception):
@@ -49,6 +53,41 @@ def http_get(url: str) -> str:
         raise
 
 
+def page_get(url: str) -> tuple[int, str, str]:
+    """Status, final link and text of a public page, decoded as it declares; what can't be decoded is replaced."""
+    from urllib.request import Request, urlopen
+
+    asked = Request(url, headers={"Accept": "text/html,application/xhtml+xml", "User-Agent": "tidemark/1.0"})
+    with urlopen(asked, timeout=PAGE_TIMEOUT) as answer:
+        charset = answer.headers.get_content_charset() or "utf-8"
+        return answer.status, answer.geturl(), answer.read().decode(charset, errors="replace")
+
+
+def public_pages(links: DataFrame, fetcher: str = f"{__name__}:page_get") -> DataFrame:
+    """`(url, http_status, final_url, html, error)` of the links in `url`; a link that isn't safe is never asked for."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.error import HTTPError
+
+        module, _, name = fetcher.partition(":")
+        fetch = getattr(importlib.import_module(module), name)
+        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            for url, safe in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = (url, None, None, None, "not a safe public link")
+                if safe:
+                    try:
+                        row = (url, *fetch(url), None)
+                    except HTTPError as error:
+                        row = (url, error.code, None, None, f"HTTP {error.code}")
+                    except Exception as error:
+                        row = (url, None, None, None, f"could not fetch: {type(error).__name__}")
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["url", "http_status", "final_url", "html", "error"])
+
+    return links.select("url", urls.safe_public(F.col("url")).alias("safe")).mapInArrow(run, "url string, http_status int, final_url string, html string, error string")
+
+
 class _Group(InputPartition):
     def __init__(self, repository: str, ref: str, files: list[tuple[str, str]]):
         self.repository, self.ref, self.files = repository, ref, files

@@ -63,7 +63,7 @@ def table_rows(documents: DataFrame) -> DataFrame:
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, line, company, position, location, salary, age, application_url, valid)` of every row."""
+    """`(source_id, category, line, company, position, location, salary, age, application_url, source_url, valid)` of every row."""
     rows = table_rows(documents).where("separated")
     # 1 + the place of the first name that the header has
     at = lambda field: F.coalesce(*(F.nullif(F.array_position("header.names", F.lit(n)), F.lit(0).cast("long")) for n in COLUMNS[field])).cast("int")
@@ -72,7 +72,7 @@ def parse(documents: DataFrame) -> DataFrame:
     fits = F.size("cells") == F.size("header.names")
     out = rows.select("source_id", "category", "line", fits.alias("fits"), *(plain(f).alias(f) for f in ("company", "position", "location", "salary", "age")), text.nonempty(apply_link(cell("posting"))).alias("application_url"))
     whole = F.col("fits") & F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())
-    return out.withColumn("valid", whole).drop("fits")
+    return out.withColumns({"source_url": F.col("application_url"), "valid": whole}).drop("fits")
 
 
 def health(rows: DataFrame) -> DataFrame:

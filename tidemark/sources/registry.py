@@ -1,4 +1,4 @@
-"""Feeds by format: every parser gives `(source_id, company, position, location, application_url, category, valid)`."""
+"""Feeds by format: every parser gives `(source_id, company, position, location, application_url, source_url, category, valid)`."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from . import html_table, json_feed, markdown
 
 PARSERS = {"markdown": markdown.parse, "json_internships": json_feed.internships, "json_new_graduates": json_feed.new_graduates, "html_table": html_table.parse}
-COLUMNS = ["source_id", "company", "position", "location", "application_url", "category", "valid"]
+COLUMNS = ["source_id", "company", "position", "location", "application_url", "source_url", "category", "valid"]
 
 
 def parse(documents: DataFrame) -> DataFrame:
