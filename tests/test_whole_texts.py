@@ -41,3 +41,9 @@ def test_redaction_sees_the_whole_text(spark, tmp_path):
     rows = [(1, "https://x.example/" + "y" * 700 + " the end", "en", "s")]
     found = registry.QUERIES["redact_message"](spark, _documents(spark, tmp_path, rows)).collect()[0]["message"]
     assert found == "see <url> auth_token=<redacted>; <url> the end"
+
+
+def test_all_links_of_a_page_count(spark, tmp_path):
+    html = "".join(f'<a href="https://x.example/{i}">{i}</a>' for i in range(120))
+    spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in registry.QUERIES["anchor_extract"](spark, str(tmp_path)).collect()] == [(1, 120, "https://x.example/0")]

@@ -106,7 +106,7 @@ def marker_lookup(spark, sf_dir):
 def anchor_extract(spark, sf_dir):
     """Links of pages with their text, in order."""
     pages = _read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">[^<]*</a>'), 1)).alias("position", "href"))
-    return pages.where("position < 50").groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", "position").alias("first_href"))
+    return pages.groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", "position").alias("first_href"))
 
 
 _PAGES = ["<form>Please sign in</form>", "<p>This JOB is no longer\n available</p>", "<script src=recaptcha></script>", "Step 1 of 2", "Log in to continue step 2", "nothing", "Multi-step form"]
