@@ -48,11 +48,34 @@ def text_normalize(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded_sha256"))
 
 
+#: Rows that a range holds about, and the most ranges; beyond it, ranges grow.
+RANGE_ROWS, MAX_RANGES = 10_000, 1_000
+
+
+def numbered(rows: DataFrame, group: str, order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`rows` with `ordinal`, the place by `order` in the group, without a whole group in one task.
+
+    Rows are numbered within ranges of `order` and behind the counts of the ranges before. Bounds of ranges are
+    approximate, which moves rows between ranges but changes no number.
+    """
+    n = min(MAX_RANGES, -(-rows.count() // range_rows))
+    bounds = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)]).alias("b")).first()["b"] if n > 1 else None
+    less = F.array_position(F.sort_array(F.array_append(F.array(*map(F.lit, bounds)), F.col(order))), F.col(order)) if bounds else F.lit(0)  # 1 + the bounds below
+    placed = rows.withColumn("_range", F.coalesce(less.cast("int"), F.lit(0)))
+    counts = placed.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = placed.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)))
+    counts = rows.sparkSession.createDataFrame(counts.collect(), counts.schema)  # few, as groups are large
+    known = own.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    return known.withColumn("ordinal", F.col("_before") + F.col("_own")).drop("_range", "_group", "_at", "_before", "_own")
+
+
 def first_wins_dedupe(spark, sf_dir):
     """The first document of each folded text, numbered in order of ids within its language."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.lower("text"), 256).alias("key"))
     first = docs.groupBy("key").agg(F.min_by("lang", "doc_id").alias("lang"), F.min("doc_id").alias("doc_id"))
-    return first.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("ordinal"))
+    return numbered(first, "lang", "doc_id").select("doc_id", "ordinal")
 
 
 def carry_forward(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Polls as a stream: each micro-batch is one run, folded into stored memberships."""
+"""Polls as a stream: each run is one micro-batch, folded into stored memberships."""
 
 from __future__ import annotations
 
@@ -20,9 +20,9 @@ def _shared(spark: SparkSession) -> str:
 
 
 def run_stream(observed: DataFrame, polls: DataFrame) -> DataFrame:
-    """Memberships after the last run, by Structured Streaming over one file for each run.
+    """Memberships after the last run, by Structured Streaming over one folder for each run.
 
-    Every state is written as a folder of its own, named by its run, so a batch that is repeated after a failure
+    A run's rows stay in as many files as they have partitions; its trigger takes them all as one batch. Every state is written as a folder of its own, named by its run, so a batch that is repeated after a failure
     starts from the same state.
     """
     spark = observed.sparkSession
@@ -32,21 +32,23 @@ def run_stream(observed: DataFrame, polls: DataFrame) -> DataFrame:
     columns = ["run_id", "canonical_id", "source_id", *lifecycle.MEANINGFUL]
     cached = observed.select(columns).persist()
     for run in runs:
-        cached.where(F.col("run_id") == run).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        cached.where(F.col("run_id") == run).write.parquet(f"{base}/in-{run}")
     cached.unpersist()
     inner = ", ".join(f"{c}: string" for c in lifecycle.MEANINGFUL)
     empty = spark.createDataFrame([], f"{_STATE}, v struct<{inner}>")
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch.persist()
-        first = rows.select("run_id").first()
-        run = first["run_id"] if first else runs[number]
-        state = spark.read.schema(empty.schema).parquet(f"{base}/state-{number - 1}") if number else empty
-        lifecycle.fold(state, rows, run, sources.get(run, [])).write.mode("overwrite").parquet(f"{base}/state-{number}")
-        rows.unpersist()
-
-    stream = spark.readStream.schema(observed.select(columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else len(runs) - 1
-    return spark.read.schema(empty.schema).parquet(f"{base}/state-{last}").drop("v")
+    state = empty
+    for run in runs:
+
+        def step(batch: DataFrame, number: int, state: DataFrame = state, run: int = run) -> None:
+            if number:
+                raise ValueError(f"run {run} came in more than one batch")
+            rows = batch.persist()
+            lifecycle.fold(state, rows, run, sources.get(run, [])).write.mode("overwrite").parquet(f"{base}/state-{run}")
+            rows.unpersist()
+
+        stream = spark.readStream.schema(observed.select(columns).schema).parquet(f"{base}/in-{run}")
+        query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/progress-{run}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = spark.read.schema(empty.schema).parquet(f"{base}/state-{run}")
+    return state.drop("v")
