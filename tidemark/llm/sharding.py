@@ -1,11 +1,12 @@
 """Two-pass external shuffle into shards.
 
-Pass 1 scatters rows into memory-sized buckets by a seeded hash of their id, so every bucket is a uniform
+Pass 1 scatters rows into memory-sized buckets by a seeded hash of their id and text, so every bucket is a uniform
 sample of the input. Pass 2 orders each bucket by id, shuffles it with Fisher-Yates under a seed of its own
 and places it behind the buckets before it. Cutting that one sequence into contiguous ranges gives shards
 whose row counts differ by one at most (law `rows`), each in uniformly random order.
 
-Defined cases: a null text counts as empty; a null id is hashed like any value; equal rows may change places
+Defined cases: a null text counts as empty; a null id is hashed like any value; rows that share an id spread by
+their texts, while copies of one text under one id share a bucket; equal rows may change places
 with each other, which no reader can tell; an empty table gives empty shards; other columns are carried along,
 and columns of the input named like the operator's own (`shard`, `slot`) give way to them.
 """
@@ -40,7 +41,7 @@ def bucket_layout(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES)
 
 
 def bucket_of(buckets: int, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(buckets)).cast("int")
 
 
 def shard_bounds(rows: int, shards: int) -> np.ndarray:

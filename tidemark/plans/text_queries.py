@@ -98,6 +98,19 @@ def outbox_order(spark, sf_dir):
     return events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"))
 
 
+def retention_expired_whole(spark, sf_dir):
+    """As `retention_expired`, of all users: an alert is an event that has a type."""
+    events = _read(spark, sf_dir, "events").where("event_type is not null")
+    cutoff = F.lit(NOW).cast("timestamp_ntz") - F.expr(f"interval {V.ALERT_RETENTION_DAYS} days")
+    return events.where(F.col("ts") <= cutoff).select("event_id")
+
+
+def outbox_order_whole(spark, sf_dir):
+    """As `outbox_order`, of all events."""
+    events = _read(spark, sf_dir, "events")
+    return events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"))
+
+
 def retry_eligible(spark, sf_dir):
     """Failed scans below the bound of attempts, with an issue, whose entry is known."""
     events = _read(spark, sf_dir, "events")
@@ -201,7 +214,7 @@ def sensitive_keys(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_canonicalize, url_dedupe_best, url_safe_public, text_normalize, first_wins_dedupe, carry_forward, retention_expired, outbox_order, retry_eligible, overlay_targets,
+        url_canonicalize, url_dedupe_best, url_safe_public, text_normalize, first_wins_dedupe, carry_forward, retention_expired, retention_expired_whole, outbox_order, outbox_order_whole, retry_eligible, overlay_targets,
         json_props_feed, marker_lookup, anchor_extract, page_signals, question_categorize, field_type_map, tri_state_required, redact_message, markdown_escape, markdown_escape_whole, option_sets, sensitive_keys,
     )
 }
@@ -224,6 +237,8 @@ ORACLE_SQL = {
     "carry_forward": "select conv_id, turn, coalesce(last_value(case when turn % 2 = 0 then role end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), '') as role from conversations",
     "retention_expired": f"select event_id from events where user_id % 2 = 0 and event_type is not null and ts <= timestamp '{NOW}' - interval {V.ALERT_RETENTION_DAYS} days",
     "outbox_order": "select event_id, row_number() over (partition by user_id order by ts, event_id) as position from events where event_id % 3 <> 0",
+    "retention_expired_whole": f"select event_id from events where event_type is not null and ts <= timestamp '{NOW}' - interval {V.ALERT_RETENTION_DAYS} days",
+    "outbox_order_whole": "select event_id, row_number() over (partition by user_id order by ts, event_id) as position from events",
     "retry_eligible": f"select event_id from events e where event_id % 4 = 0 and event_id % 3 < {V.SCAN_ATTEMPTS} and event_id % 5 >= 1 and exists (select 1 from events k where k.user_id = e.user_id and k.event_id % 7 <> 0)",
     "overlay_targets": "select user_id, arg_min(event_id, row(-(event_id % 3), event_id)) as target, max(event_id % 3) as kind from events group by user_id",
     "json_props_feed": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
