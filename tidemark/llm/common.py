@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 
 #: Bits of the bitmap that `prefilter` broadcasts: 65,536 rows of 16 bytes at most, whatever the input.
 BITMAP_BITS = 22
+#: A key is hot if it has such a part of all rows, and more rows than a task could mind.
+HOT, FEW = 1000, 32
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         root = f"file://{path}"
@@ -53,21 +58,102 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def carried(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` as the columns `own` and a struct `carried` of all others, so that no column of the caller's can clash
+    with an operator's; and what makes of its result the caller's columns again, with the named ones behind them.
+
+    A column of the caller's that is named like a result gives way to it.
+    """
+    mine = {c.lower() for c in own}
+    others = [c for c in docs.columns if c.lower() not in mine]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    narrow = docs.select(*own, (F.struct(*map(quoted, others)) if others else F.lit(True)).alias("carried"))
+
+    def restored(found: DataFrame, *results: str) -> DataFrame:
+        new = {c.lower() for c in results}
+        kept = [F.col(c) if c.lower() in mine else F.col("carried").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
+        return found.select(*kept, *results)
+
+    return narrow, restored
+
+
+def first_by_hash(rows: DataFrame, n: int, size: int, seed: int, *key: str, wide: bool = False) -> DataFrame:
+    """The `n` of `size` rows with the smallest hashes of `key`, in this order.
+
+    Only rows below a bound go further, about four times as many as are asked for; the bound is a 64-bit hash, so it
+    is as fine as any size needs. Where few keys have most rows, fewer than `n` rows may lie below: `wide` takes all.
+    """
+    place = F.xxhash64(F.lit(seed), *key)
+    share = (4 * n + 100) / max(1, size)
+    few = rows if wide or share >= 1 else rows.where(place < F.lit(int(share * 2**64) - 2**63))
+    return few.orderBy(place, *key).limit(n)
+
+
+def sampled(rows: DataFrame, n: int, size: int, seed: int, *key: str) -> list:
+    """`first_by_hash` collected: `n` rows, or all where there are fewer."""
+    found = first_by_hash(rows, n, size, seed, *key).collect()
+    return found if len(found) >= min(n, size) else first_by_hash(rows, n, size, seed, *key, wide=True).collect()
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """`rows` joined (inner or left) with `counted`: one row for each key, and in `n` the number of `rows` with it.
+
+    A key with a `HOT`-th of all rows is hot; there are `HOT` of them at most, whatever the input, so they are
+    broadcast, and no task gets all rows of one. `rows` and `counted` are read twice where there are hot keys.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    is_hot = (F.col(n) * HOT >= total) & (F.col(n) > FEW)
+    hot = counted.where(is_hot)
+    if not hot.limit(1).count():
+        return rows.join(counted.drop(n), keys, how)
+    warm = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(counted.where(~is_hot).drop(n), keys, how)
+    return warm.unionByName(rows.join(F.broadcast(hot.drop(n)), keys))
+
+
+class Bitmap:
+    """A set of 64-bit hashes by their last `bits` bits: of fixed size, and never without one that is in the set."""
+
+    def __init__(self, hashes: DataFrame, bits: int):
+        """hashes: one column of longs."""
+        (name,) = hashes.columns
+        self.mask, self.words = np.uint64((1 << bits) - 1), np.zeros(1 << (bits - 6), dtype=np.uint64)
+        bit = hashes.select(F.pmod(name, F.lit(1 << bits)).alias("b"))
+        for word, value in bit.groupBy((F.col("b") / 64).cast("int")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))")).collect():
+            self.words[word] = np.int64(value).view(np.uint64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _bit_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
 
 
-def _marked(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """`df` with `_maybe`: whether its key may be in `ids`; false only where it isn't.
+def _marked(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """`df` and the name of a new column: whether the key may be in `ids`; false only where it isn't, or is null.
 
     A one-hash bitmap of fixed size is broadcast, so its bound doesn't depend on the data.
     """
+    word, bits, maybe = unused(df, "word", "bits", "maybe")
     bit = _bit_of(F.col(key))
-    words = ids.select(_bit_of(F.col(key)).alias("b")).groupBy((F.col("b") / 64).cast("int").alias("_word"))
-    bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("_bits"))
-    marked = df.withColumn("_word", (bit / 64).cast("int")).join(F.broadcast(bitmap), "_word", "left")
-    there = F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), F.pmod(bit, F.lit(64)).cast("int")) == 1
-    return marked.withColumn("_maybe", there).drop("_word", "_bits")
+    words = ids.select(_bit_of(F.col(key)).alias("b")).groupBy((F.col("b") / 64).cast("int").alias(word))
+    bitmap = words.agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias(bits))
+    marked = df.withColumn(word, (bit / 64).cast("int")).join(F.broadcast(bitmap), word, "left")
+    there = F.getbit(F.coalesce(bits, F.lit(0).cast("long")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return marked.withColumn(maybe, there & F.col(key).isNotNull()).drop(word, bits), maybe
 
 
 def prefilter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -75,20 +161,20 @@ def prefilter(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
     Where `ids` fill the bitmap, it lets more rows through; an inner join on the key has to follow in any case.
     """
-    return _marked(df, ids, key).where("_maybe").drop("_maybe")
+    marked, maybe = _marked(df, ids, key)
+    return marked.where(maybe).drop(maybe)
 
 
 def split_by(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """`df` in two: rows whose key may be in `ids`, and rows whose key isn't (nor is a null); neither is shuffled."""
-    marked = _marked(df, ids, key).withColumn("_maybe", F.coalesce("_maybe", F.lit(False)) & F.col(key).isNotNull())
-    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
+    marked, maybe = _marked(df, ids, key)
+    return marked.where(maybe).drop(maybe), marked.where(~F.col(maybe)).drop(maybe)
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key isn't in `ids`; only those that may be are shuffled."""
     maybe, rest = split_by(df, ids, key)
-    gone = ids.select(F.col(key).alias("_gone")).distinct()
-    return rest.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left").where("_gone is null").drop("_gone"))
+    return rest.unionByName(maybe.join(ids.select(key), key, "left_anti"))
 
 
 # ---- 64-bit hashing in numpy ------------------------------------------------------------------
