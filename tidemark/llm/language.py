@@ -2,14 +2,17 @@
 
 N-grams of 1 to 3 characters of the case-folded text, in which all but letters is one space, are hashed to
 `FEATURES` features. Document frequencies cover all documents that may be learnt from; the weights are trained
-with FTRL (elastic net) on a bounded sample of them, `TRAIN_ROWS` in all and as many for each language, and one
-in five of these is kept back for the temperature that calibrates the scores.
+with FTRL (elastic net) on a bounded sample of them, `TRAIN_ROWS` in all and as many for each language: those with
+the smallest hashes, in this order, so the model doesn't depend on how rows are dealt. One in five of these is kept
+back for the temperature that calibrates the scores.
 
 A fifth of the documents by a hash of their id is held out and never learnt from.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; a row without language is predicted
 but not learnt from; a row without id isn't held out; without a row to learn from all is `und`; repeated rows
-are rows; columns other than the text, the id and the language aren't read.
+are rows, and a language of fewer rows than its part of the sample gives them all; very long texts are counted
+whole, in memory of their own size; columns other than the text, the id and the language are carried along, and
+those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -18,11 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import carried, table
 from .linear import FtrlProximal, scores, softmax, temperature
 
 FEATURES, LONGEST = 1 << 15, 3
@@ -106,13 +109,11 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -
         return LanguageModel([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0), np.float32))
     n, seen = document_frequencies(learnable)
     idf = np.log((1.0 + n) / (1.0 + seen)) + 1.0
-    languages = list(sizes)
-    share = F.lit(0)
-    place = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000))
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, train_rows / len(sizes) / size) * 1_000_000)).otherwise(share)
-    sample = learnable.where(place < share).select("text", "lang", (F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(5)) == 0).alias("back"))
-    rows = _features(sample).limit(2 * train_rows).collect()  # the bound of the sample, whatever the hash
+    languages, rows = list(sizes), []
+    for wide in (False, True):
+        rows = sorted(_features(_sample(learnable, sizes, -(-train_rows // len(sizes)), wide)).collect())
+        if len(rows) >= sum(min(s, -(-train_rows // len(sizes))) for s in sizes.values()):
+            break
     examples = []
     for r in rows:
         at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
@@ -127,24 +128,38 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -
     return LanguageModel(languages, idf, weights, temperature(logits, labels[kept]))
 
 
+def _sample(learnable: DataFrame, sizes: dict[str, int], most: int, wide: bool) -> DataFrame:
+    """`(place, text, lang, back)`: of each language the `most` rows with the smallest hashes of id and text.
+
+    Rows go on only below a bound on their hash, about four times as many as are taken; `wide`: all.
+    """
+    place = F.xxhash64(F.lit(5), "doc_id", "text")
+    bound = lambda size: 2**63 - 1 if wide or 4 * most + 100 >= size else int((4 * most + 100) / size * 2**64) - 2**63
+    bounds = learnable.sparkSession.createDataFrame([(lang, bound(size)) for lang, size in sizes.items()], "lang string, bound long")
+    few = learnable.select(place.alias("place"), "text", "lang").join(F.broadcast(bounds), "lang").where("place <= bound")
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    return chosen.select("place", "text", "lang", (F.pmod("place", F.lit(5)) == 0).alias("back"))
+
+
 def _features(sample: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [ngram_counts(t) for t in batch.column(0).to_pylist()]
+            counts = [ngram_counts(t) for t in batch.column(1).to_pylist()]
             at = [np.flatnonzero(c) for c in counts]
             columns = [pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.float32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(1), batch.column(2)], names=["at", "counts", "lang", "back"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2), batch.column(3)], names=["place", "at", "counts", "lang", "back"])
 
-    return sample.mapInArrow(run, "at binary, counts binary, lang string, back boolean")
+    return sample.mapInArrow(run, "place long, at binary, counts binary, lang string, back boolean")
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """`docs` with `lang_pred` and `score`, from the text alone."""
     import pyarrow as pa
 
-    docs = docs.drop("lang_pred", "score")
+    docs, restored = carried(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
@@ -155,7 +170,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [own.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return restored(docs.mapInArrow(run, schema), "lang_pred", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
