@@ -8,8 +8,9 @@ posterior is the prior that the document's evidence updates.
 
 Defined cases: a null or empty text has only the features of its length; a null host or path is a site of its
 own; labels that are null or without document are left out, and of repeated ones the strictest holds; without
-labels, or with one kind only, the evidence is 0 and every document is kept; repeated rows are rows; columns
-named like a result give way to it.
+labels, or with one kind only, the evidence is 0 and every document is kept; repeated rows are rows; very long
+texts count whole, in memory of their own size; an empty table gives an empty result; other columns are carried
+along, and those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, utf8
+from .common import carried, materialize, sampled, table, utf8
 from .linear import FtrlProximal, scores
 
 FEATURES = 1 << 18
@@ -65,26 +66,28 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """Features and labels of `train_rows` labelled rows, about, chosen by a hash of the id."""
+    """`(doc_id, at, <heads>)` of the labelled ids with the smallest hashes, `train_rows` at most; an id with several
+    texts is its first text."""
     import pyarrow as pa
 
     clean = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n = clean.count()
-    share = int(min(1.0, train_rows / max(1, n)) * 1_000_000)
-    chosen = clean.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_000)) < share).limit(2 * train_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
+    clean = materialize(clean, "labels")
+    chosen = clean.sparkSession.createDataFrame(sampled(clean, train_rows, clean.count(), 8, "doc_id"), clean.schema)  # the bound of the broadcast
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    rows = texts.select("doc_id", "text", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = pa.array([features(t).astype(np.int32).tobytes() for t in utf8(batch.column(0))], pa.binary())
-            yield pa.RecordBatch.from_arrays([at, batch.column(1), batch.column(2)], names=["at", *HEADS])
+            at = pa.array([features(t).astype(np.int32).tobytes() for t in utf8(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, batch.column(2), batch.column(3)], names=["doc_id", "at", *HEADS])
 
-    return rows.mapInArrow(run, "at binary, low_quality int, toxic int").limit(2 * train_rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, at binary, low_quality int, toxic int")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[str, tuple[np.ndarray, float]]:
     """For each head with labels of both kinds: the weights and the log odds among what it learnt from."""
-    rows = labelled_sample(docs, labels, train_rows).collect()
+    rows = sorted(labelled_sample(docs, labels, train_rows).collect())
     at = [np.frombuffer(r["at"], np.int32).astype(np.int64) for r in rows]
     examples = [(a, np.ones(len(a))) for a in at]
     out = {}
@@ -96,14 +99,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epoc
     return out
 
 
-def with_evidence(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+def with_evidence(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]], keep_text: bool = True) -> DataFrame:
     """`docs` with the log likelihood ratio of each head (`llr_<head>`) and its probability (`p_<head>`)."""
     import pyarrow as pa
 
     names = [f"{k}_{h}" for h in HEADS for k in ("llr", "p")]
-    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def with_evidence(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]])
                     columns += [logit - prior, 1 / (1 + np.exp(-logit))]
                 else:
                     columns += [np.zeros(len(found)), np.zeros(len(found))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in columns)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(c, pa.float64()) for c in columns)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -153,14 +156,18 @@ def site_rates(scored: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, flo
 
 
 def _with_hosts(paths: DataFrame, hosts: DataFrame) -> DataFrame:
-    other = hosts.withColumnRenamed("host", "_host")
-    return paths.join(other, paths["host"].eqNullSafe(other["_host"])).drop("_host")
+    other = hosts.withColumnRenamed("host", "of_host")
+    return paths.join(other, paths["host"].eqNullSafe(other["of_host"])).drop("of_host")
 
 
 def with_posteriors(scored: DataFrame, sites: DataFrame, priors: dict[str, tuple[float, float, float]]) -> DataFrame:
-    """`scored` with `<head>` (posterior probability) and `keep`."""
-    other = sites.withColumnsRenamed({"host": "_host", "path": "_path"})
-    out = scored.drop(*HEADS, "keep").join(other, scored["host"].eqNullSafe(other["_host"]) & scored["path"].eqNullSafe(other["_path"]), "left")
+    """`scored` with `<head>` (posterior probability) and `keep`.
+
+    Sites are broadcast as long as they are small (Spark decides by their size); beyond that rows are shuffled by
+    site, and adaptive execution splits a site that has most of them.
+    """
+    other = sites.withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    out = scored.join(other, scored["host"].eqNullSafe(other["of_host"]) & scored["path"].eqNullSafe(other["of_path"]), "left")
     for h in HEADS:
         rate, by_host, by_path = priors[h]
         own = F.col(f"p_{h}")
@@ -172,7 +179,7 @@ def with_posteriors(scored: DataFrame, sites: DataFrame, priors: dict[str, tuple
     keep = F.lit(True)
     for h in HEADS:
         keep = keep & (F.col(h) < THRESHOLD)
-    used = ["_host", "_path", "n_host", "n_path", *(f"{k}_{h}" for h in HEADS for k in ("host", "path", "llr", "p"))]
+    used = ["of_host", "of_path", "n_host", "n_path", *(f"{k}_{h}" for h in HEADS for k in ("host", "path", "llr", "p"))]
     return out.withColumn("keep", keep).drop(*used)
 
 
@@ -181,16 +188,24 @@ def sited(docs: DataFrame) -> DataFrame:
     return docs.withColumn("host", F.col("source").cast("string")).withColumn("path", F.col("lang").cast("string"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` (with `host` and `path`) and `low_quality`, `toxic`, `keep`; texts are read twice, and never shuffled."""
+def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = True) -> DataFrame:
+    """`docs` (with `host` and `path`) and `low_quality`, `toxic`, `keep`.
+
+    Features of a text are computed once: rows are written with their evidence (without the texts, and a column of
+    texts left out of the result, unless `keep_text`), from which both the sites' rates and the posteriors are read.
+    """
     models = train(docs, labels)
-    narrow = with_evidence(docs.select("text", "host", "path"), models).drop("text")
-    sites, priors = site_rates(narrow)
-    found = with_posteriors(with_evidence(docs, models), sites, priors)
-    return found if len(models) else found.withColumn("keep", F.lit(True))
+    own = ["text", "host", "path"]
+    narrow, restored = carried(docs, *own)
+    scored = materialize(with_evidence(narrow, models, keep_text), "evidence")
+    sites, priors = site_rates(scored)
+    found = with_posteriors(scored, sites, priors)
+    found = found if len(models) else found.withColumn("keep", F.lit(True))
+    found = found if keep_text else found.withColumn("text", F.lit(None).cast("string"))
+    return restored(found, *HEADS, "keep") if keep_text else restored(found, *HEADS, "keep").drop("text")
 
 
 def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sited(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    found = classify(docs, table(spark, sf_dir, "labels"))
+    found = classify(docs, table(spark, sf_dir, "labels"), keep_text=False)
     return found.select("doc_id", "host", "path", "low_quality", "toxic", "keep")
