@@ -2,17 +2,22 @@
 
 A window of an item is the set of its word shingles, and a document contains a window only if it contains all
 of them; so of a window's shingles, ordered by rarity in the corpus, the first one alone is a necessary prefix
-(containment 1 leaves a prefix of |shingles| - |shingles| + 1 = 1). Pass 1 counts in how many documents each
-benchmark shingle occurs. Pass 2 joins document shingles with the windows that have them as prefix, bounds the
-candidate by position (the window has to start at or after the first word) and by length (and to end in the
-document), and verifies the rest word by word.
+(containment 1 leaves a prefix of |shingles| - |shingles| + 1 = 1).
 
-The benchmark goes to the tasks in blocks of at most `BLOCK_WORDS` words, so that what is broadcast has a bound;
-a larger benchmark takes one chained step per block and never a shuffle of the corpus.
+Windows are a table, and so are their shingles. A pass over the corpus counts in how many documents each of these
+occurs; windows with a shingle that none has are gone, the others keep their rarest. A second pass gives the places
+of these prefixes in documents, which Spark joins with the windows' prefixes. A candidate is bound by position (the
+window has to start at or after the first word) and by length (and to end in the document). What is left is
+verified exactly: the words at the candidate's place are joined with the windows' words.
+
+Both passes leave out shingles that the benchmark can't have by a bitmap of `BITS` bits, the only thing that is
+broadcast by hand; with a benchmark that fills it they let more through, and joins drop that again. Texts aren't
+shuffled but for those with candidates, once each, however many copies there are.
 
 Defined cases: null texts and texts without words have no words and no hits; an item without words takes no
 part; items with equal ids count once; an item without id counts under the empty id; repeated rows are judged
-one by one; an empty benchmark hits nothing; columns of the input named like a result give way to it.
+one by one; an empty benchmark hits nothing; a very long text or item is split into words whole, and its windows
+are rows of their own; other columns are carried along, and those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -20,186 +25,167 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table, utf8
+from .common import Bitmap, WordHasher, carried, join_counted, materialize, ngram_hashes, prefilter, split_by, table, utf8
 
 WINDOW = 10
-#: Words of the items in one block, and the words in a shingle.
-BLOCK_WORDS, SHINGLE = 2_000_000, 3
+#: Words in a shingle, and bits of the bitmaps (2 MB).
+SHINGLE, BITS = 3, 24
+#: Rows of one Arrow batch that a task gives.
+BATCH_ROWS = 20_000
 #: A-Z to a-z; ASCII other than letters and digits separates words.
 _FOLD = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256)).lower()
+#: The same words, found in a text as it is.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class Block(NamedTuple):
-    """Items of one block: the numbers of their words, and their windows (rows of word numbers by length)."""
-
-    vocabulary: dict[bytes, int]
-    windows: dict[int, np.ndarray]
-    owners: dict[int, list[list[str]]]
-
-    def shingles(self, length: int) -> np.ndarray:
-        """Keys of the shingles of the windows of one length: [window, position]."""
-        return shingle_keys(self.windows[length], min(SHINGLE, length))
-
-
-def shingle_keys(numbers: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n-word shingles along the last axis; -1 where a word isn't the benchmark's."""
-    m = numbers.shape[-1] - n + 1
-    if m <= 0:
-        return np.empty((*numbers.shape[:-1], 0), dtype=np.int64)
-    key, good = np.zeros((*numbers.shape[:-1], m), dtype=np.int64), np.ones((*numbers.shape[:-1], m), dtype=bool)
-    for j in range(n):
-        part = numbers[..., j : j + m]
-        key = (key << 21) | part
-        good &= part >= 0
-    return np.where(good, key, -1)
-
-
-def blocks_of(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
-    """The benchmark in blocks; one item at a time passes through the driver."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null").distinct()
-    held, size = [], 0
-    for row in rows.toLocalIterator():
-        words = words_of(row["text"].encode())
-        if not words:
-            continue
-        if held and size + len(words) > block_words:
-            yield _block(held, window)
-            held, size = [], 0
-        held.append((row["item_id"], words))
-        size += len(words)
-    if held:
-        yield _block(held, window)
-
-
-def _block(items: list[tuple[str, list[bytes]]], window: int) -> Block:
-    vocabulary: dict[bytes, int] = {}
-    owners: dict[int, dict[tuple, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item_id, words in items:
-        numbers = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-        n = min(window, len(numbers))
-        for at in range(len(numbers) - n + 1):
-            owners[n][tuple(numbers[at : at + n])].add(item_id)
-    assert len(vocabulary) < 1 << 21
-    windows = {n: np.array(list(own), dtype=np.int64) for n, own in owners.items()}
-    return Block(vocabulary, windows, {n: [sorted(x) for x in own.values()] for n, own in owners.items()})
-
-
-def shingle_frequencies(docs: DataFrame, block: Block) -> dict[int, int]:
-    """For each benchmark shingle that the corpus has: the number of document rows with it."""
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """`(item_id, window, length, shingles)`: a row for each window of each item, its words joined by spaces."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    known = {n: np.unique(np.concatenate([block.shingles(k).ravel() for k in block.windows if min(SHINGLE, k) == n])) for n in {min(SHINGLE, k) for k in block.windows}}
-    shared = spark.sparkContext.broadcast((block.vocabulary, known))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                words = words_of(text)
+                n = min(window, len(words))
+                k = min(SHINGLE, n)
+                keys = ngram_hashes(hasher(words), k).view(np.int64)
+                for first in range(0, len(words) - n + 1 if n else 0, BATCH_ROWS):
+                    at = range(first, min(first + BATCH_ROWS, len(words) - n + 1))
+                    columns = [[item_id] * len(at), [b" ".join(words[i : i + n]).decode() for i in at], [n] * len(at), [keys[i : i + n - k + 1] for i in at]]
+                    types = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item_id", "window", "length", "shingles"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
+    return rows.mapInArrow(run, "item_id string, window string, length int, shingles array<long>")
+
+
+def _places(hasher: WordHasher, known: Bitmap, sizes: list[int], text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of words, and hashes and places of the shingles that may be in the bitmap."""
+    words = words_of(text)
+    hashes, found, places = hasher(words), [], []
+    for k in sizes:
+        if len(words) >= k:
+            keys = ngram_hashes(hashes, k)
+            at = np.flatnonzero(known.has(keys))
+            found.append(keys[at])
+            places.append(at)
+    empty = [np.empty(0, dtype=np.uint64)]
+    return len(words), np.concatenate(found or empty), np.concatenate(places or [np.empty(0, dtype=np.int64)])
+
+
+def shingle_frequencies(texts: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """`(shingle, docs)`: for each of the benchmark's shingles that the corpus has, the number of rows with it."""
+    import pyarrow as pa
+
+    shared = texts.sparkSession.sparkContext.broadcast(Bitmap(shingles.select("shingle"), BITS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = shared.value
-        counts = {n: np.zeros(len(keys), dtype=np.int64) for n, keys in known.items()}
+        hasher, known = WordHasher(), shared.value
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                numbers = _numbers(text, vocabulary)
-                for n, keys in known.items():
-                    found = shingle_keys(numbers, n)
-                    found = np.unique(found[found >= 0])
-                    at = np.searchsorted(keys, found)
-                    at = at[keys[np.minimum(at, len(keys) - 1)] == found]
-                    counts[n][at] += 1
-        for n, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), pa.int32()), pa.array(known[n][at], pa.int64()), pa.array(c[at], pa.int64())], names=["n", "shingle", "docs"])
-
-    parts = docs.select("text").mapInArrow(count, "n int, shingle long, docs long")
-    return {(r["n"], r["shingle"]): r["docs"] for r in parts.groupBy("n", "shingle").agg(F.sum("docs").alias("docs")).collect()}
-
-
-def _numbers(text: bytes | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    words, get = words_of(text), vocabulary.get
-    return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-
-
-class PrefixIndex:
-    """The windows of a block under their rarest shingle."""
-
-    def __init__(self, block: Block, frequency: dict):
-        self.vocabulary, self.windows, self.owners = block.vocabulary, block.windows, block.owners
-        self.prefixes = []
-        for length, rows in block.windows.items():
-            n, keys = min(SHINGLE, length), block.shingles(length)
-            seen = np.vectorize(lambda k, n=n: frequency.get((n, k), 0), otypes=[np.int64])(keys)
-            at = np.argmin(seen, axis=1)  # the rarest; the first of equals
-            window = np.arange(len(rows))
-            possible = seen[window, at] > 0  # a shingle that no document has: nowhere to be found
-            prefix, at, window = keys[window, at][possible], at[possible], window[possible]
-            order = np.argsort(prefix, kind="stable")
-            self.prefixes.append((length, n, prefix[order], at[order], window[order]))
-
-    def search(self, text: bytes | None) -> tuple[int, np.ndarray, set[str]]:
-        """The number of words, whether each is hit, and the items with windows that occur."""
-        numbers = _numbers(text, self.vocabulary)
-        hit, items = np.zeros(len(numbers), dtype=bool), set()
-        known = {n: shingle_keys(numbers, n) for n in {p[1] for p in self.prefixes}}
-        for length, n, prefix, offset, window in self.prefixes:
-            if len(numbers) < length:
-                continue
-            place = np.flatnonzero(known[n] >= 0)
-            keys = known[n][place]
-            first, last = np.searchsorted(prefix, keys, "left"), np.searchsorted(prefix, keys, "right")
-            times = last - first
-            if not times.any():
-                continue
-            entry = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            start = np.repeat(place, times) - offset[entry]
-            fits = (start >= 0) & (start + length <= len(numbers))
-            start, found = start[fits], window[entry[fits]]
-            same = (numbers[start[:, None] + np.arange(length)] == self.windows[length][found]).all(axis=1)
-            for s in start[same]:
-                hit[s : s + length] = True
-            for w in np.unique(found[same]):
-                items.update(self.owners[length][w])
-        return len(numbers), hit, items
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`docs` with `n_words`, `hit_words` (positions of the hit words) and `items` (sorted ids of the items found)."""
+            each = [np.unique(_places(hasher, known, sizes, t)[1]) for t in utf8(batch.column(0))]
+            keys, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["shingle", "docs"])
+
+    return texts.select("text").mapInArrow(count, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
+
+
+def prefixes_of(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """`(shingle, spots)`: the rarest shingle of each window, and where in windows of which lengths it is.
+
+    A window with a shingle that no document has is nowhere to be found and has no prefix.
+    """
+    each = windows.select("window", "length", F.posexplode("shingles").alias("offset", "shingle"), F.size("shingles").alias("n"))
+    seen = each.join(frequencies, "shingle").groupBy("window", "length", "n").agg(F.min(F.struct("docs", "offset", "shingle")).alias("rarest"), F.count("*").alias("found"))
+    prefixes = seen.where("found = n").select("rarest.shingle", "rarest.offset", "length").distinct()
+    return prefixes.groupBy("shingle").agg(F.collect_list(F.struct("offset", "length")).alias("spots"))
+
+
+def candidates_of(texts: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """`(text_key, starts)`: where (start, length) windows may be in texts, within their bounds."""
+    import pyarrow as pa
+
+    shared = texts.sparkSession.sparkContext.broadcast(Bitmap(prefixes.select("shingle"), BITS))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, known = WordHasher(), shared.value
+        for batch in batches:
+            found = [_places(hasher, known, sizes, t) for t in utf8(batch.column(1))]
+            at = [i for i, f in enumerate(found) if len(f[1])]
+            if at:
+                lists = [pa.array([found[i][c].view(np.int64) for i in at], pa.list_(pa.int64())) for c in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([found[i][0] for i in at], pa.int64()), *lists], names=["text_key", "n_words", "shingles", "places"])
+
+    rows = texts.select("text_key", "text").mapInArrow(scan, "text_key binary, n_words long, shingles array<long>, places array<long>")
+    each = rows.select("text_key", "n_words", F.explode(F.arrays_zip("shingles", "places")).alias("p")).select("text_key", "n_words", F.col("p.shingles").alias("shingle"), F.col("p.places").alias("place"))
+    near = each.join(prefixes, "shingle").select("text_key", "n_words", "place", F.explode("spots").alias("s"))
+    starts = near.select("text_key", "n_words", (F.col("place") - F.col("s.offset")).alias("start"), "s.length").where("start >= 0 and start + length <= n_words")
+    return starts.groupBy("text_key").agg(F.collect_set(F.struct("start", "length")).alias("starts"))
+
+
+def candidate_windows(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """`(text_key, window, length, starts)`: the words at the candidates' places."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "hit_words", "items")
-    n, counted = len(docs.columns), False
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    text_at = docs.columns.index("text")
-    out = docs
-
-    def step(index, first: bool):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = index.value if index is not None else None
-            for batch in batches:
-                texts = utf8(batch.column(text_at))
-                found = [own.search(t) for t in texts] if own else [(len(words_of(t)), np.zeros(0, bool), set()) for t in texts]
-                hits, items = [np.flatnonzero(x[1]).tolist() for x in found], [sorted(x[2]) for x in found]
-                if not first:
-                    hits = [sorted({*a, *b}) for a, b in zip(hits, batch.column(n + 1).to_pylist(), strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(items, batch.column(n + 2).to_pylist(), strict=True)]
-                columns = [*batch.columns[:n], pa.array([x[0] for x in found], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-        return search
-
-    for block in blocks_of(benchmark, window, block_words):
-        index = spark.sparkContext.broadcast(PrefixIndex(block, shingle_frequencies(docs, block)))
-        out, counted = out.mapInArrow(step(index, not counted), schema), True
-    return out if counted else out.mapInArrow(step(None, True), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int64())]
+        for batch in batches:
+            for key, text, starts in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words, at = words_of(text), defaultdict(list)
+                for s in starts:
+                    at[b" ".join(words[s["start"] : s["start"] + s["length"]]), s["length"]].append(s["start"])
+                rows = [(key, w.decode(), n, places) for (w, n), places in at.items()]
+                for first in range(0, len(rows), BATCH_ROWS):
+                    part = zip(*rows[first : first + BATCH_ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names=["text_key", "window", "length", "starts"])
+
+    chosen = prefilter(texts, candidates, "text_key").dropDuplicates(["text_key"]).join(candidates, "text_key")
+    return chosen.select("text_key", "text", "starts").mapInArrow(run, "text_key binary, window string, length int, starts array<long>")
+
+
+def _text_key():
+    return F.unhex(F.md5("text"))
+
+
+def contaminated_texts(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`(text_key, hit_words, items)` of the texts in `(text_key, text)` that hold a window."""
+    rows = materialize(windows_of(benchmark, window), "windows")
+    windows = rows.groupBy("window", "length").agg(F.first("shingles").alias("shingles"))  # equal windows have equal ones
+    sizes = sorted({min(SHINGLE, r["length"]) for r in rows.select("length").distinct().collect()})
+    shingles = rows.select(F.explode("shingles").alias("shingle")).distinct()
+    prefixes = materialize(prefixes_of(windows, shingle_frequencies(texts, shingles, sizes)), "prefixes")
+    candidates = materialize(candidates_of(texts, prefixes, sizes), "candidates")
+    places = materialize(candidate_windows(texts, candidates), "places")
+    counted = places.groupBy("window").agg(F.count("*").alias("n")).join(rows.select("window").distinct(), "window")
+    hits = materialize(join_counted(places, materialize(counted, "counted"), ["window"]), "hits")
+    spread = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1)))
+    words = hits.select("text_key", spread.alias("w")).groupBy("text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("hit_words"))
+    items = hits.select("text_key", "window").join(rows.select("window", "item_id").distinct(), "window").groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return words.join(items, "text_key")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """`docs` with `n_words`, `hit_words` (positions of the hit words) and `items` (sorted ids of the items found)."""
+    narrow, restored = carried(docs, "text")
+    keyed = narrow.withColumn("text_key", _text_key())
+    found = materialize(contaminated_texts(keyed.where("text is not null").select("text_key", "text"), benchmark, window), "contaminated")
+    keyed = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
+    maybe, rest = split_by(keyed, found, "text_key")
+    counted = found.join(maybe.groupBy("text_key").agg(F.count("*").alias("n")), "text_key")
+    hit = join_counted(maybe, materialize(counted, "counted"), ["text_key"], how="left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rest = rest.withColumns({"hit_words": none("long"), "items": none("string")})
+    hit = hit.withColumns({"hit_words": F.coalesce("hit_words", none("long")), "items": F.coalesce("items", none("string"))})
+    return restored(hit.unionByName(rest), "n_words", "hit_words", "items")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
