@@ -13,7 +13,8 @@ Emitting variants is dear (about 50 a line), so lines do it only if another line
 edit leaves the first or the second half of a line as it was, a necessary condition for any link.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are neither compared nor removed; a row
-without id is neither compared nor changed; rows equal in id and text keep the same lines; an empty table gives
+without id is neither compared nor changed; rows equal in id and text keep the same lines; a very long text is cut
+into lines whole, and a very long line has as many variants as words, in rows of their own; an empty table gives
 an empty result; other columns are carried along, and those named like a result give way to it.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, WordHasher, drop_table, materialize, mix64, prefilter, split_by, table, utf8
+from .common import BASE, WordHasher, carried, drop_table, join_counted, materialize, mix64, prefilter, split_by, table, utf8
 
 MIN_WORDS = 8
 
@@ -78,12 +79,6 @@ def _key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _text_id(text: bytes) -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """`(doc_id, text_id, line, key, halves)`: every line that isn't blank; halves only where edits count."""
     import pyarrow as pa
@@ -95,8 +90,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
                 ids, text_ids, numbers, keys, halves, ends = [], [], [], [], [], [0]
-                for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
-                    text_id = _text_id(text)
+                for doc_id, text, text_id in zip(part.column(0).to_pylist(), utf8(part.column(1)), part.column(2).to_pylist(), strict=True):
                     for number, low in enumerate(text.lower().split(b"\n")):
                         if words := low.split():
                             line = b" ".join(words)
@@ -111,7 +105,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(ids, pa.int64()), pa.array(text_ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_id", "line", "key", "halves"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_id long, line int, key binary, halves array<long>")
+    return docs.select("doc_id", "text", "text_id").mapInArrow(run, "doc_id long, text_id long, line int, key binary, halves array<long>")
 
 
 def candidate_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -119,18 +113,16 @@ def candidate_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> Dat
     import pyarrow as pa
 
     halves = lines.select(F.xxhash64("key").alias("lid"), F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("half")
+    shared = halves.groupBy("half").agg(F.min("lid").alias("a"), F.max("lid").alias("b"), F.count("*").alias("n")).where("a <> b").select("half", "n")
     shared = materialize(shared, "halves")
-    wanted = materialize(prefilter(halves, shared, "half").distinct().join(shared, "half").select("lid").distinct(), "wanted")
+    wanted = materialize(join_counted(prefilter(halves, shared, "half").distinct(), shared, ["half"]).select("lid").distinct(), "wanted")
     spots = prefilter(firsts.select(F.xxhash64("key").alias("lid"), "at.*"), wanted, "lid").join(wanted, "lid")
     spots = materialize(spots.groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("lines")), "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], []]
-            for doc_id, text, text_id, lines in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if _text_id(text) != text_id:
-                    continue
+            for doc_id, text, lines in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 parts = text.split(b"\n")
                 for number in lines:
                     words = words_of(parts[number])
@@ -139,7 +131,7 @@ def candidate_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> Dat
             kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "doc_id", "line", "words"])
 
-    texts = prefilter(docs.select("doc_id", "text"), spots, "doc_id").join(spots, "doc_id").select("doc_id", "text", "text_id", "lines")
+    texts = prefilter(docs, spots, "doc_id").join(spots, ["doc_id", "text_id"]).select("doc_id", "text", "lines")
     found = texts.mapInArrow(run, "key binary, doc_id long, line int, words binary").dropDuplicates(["key"])
     return found.select(F.xxhash64("key").alias("lid"), "key", "doc_id", "line", "words")
 
@@ -172,8 +164,8 @@ def near_lines(candidates: DataFrame) -> DataFrame:
 
     rows = materialize(_variant_rows(candidates), "variants")
     at, earliest = F.struct("doc_id", "line", "lid"), F.min(F.struct("doc_id", "line", "lid")).alias("e")
-    replaced = materialize(rows.where("place >= 0").groupBy("variant", "place").agg(earliest, F.count("*").alias("n")).where("n > 1").drop("n"), "replaced")
-    again = prefilter(rows.where("place >= 0").withColumn("at", at), replaced, "variant").join(replaced, ["variant", "place"])
+    replaced = materialize(rows.where("place >= 0").groupBy("variant", "place").agg(earliest, F.count("*").alias("n")).where("n > 1"), "replaced")
+    again = join_counted(prefilter(rows.where("place >= 0").withColumn("at", at), replaced, "variant"), replaced, ["variant", "place"])
     pairs = again.where("e < at").select("lid", F.col("e.lid").alias("other"))
     whole = materialize(rows.where("place < 0").select("variant", at.alias("w")), "whole")
     longer = materialize(prefilter(rows.where("place >= 0"), whole, "variant").join(whole, "variant").select("variant", at.alias("at"), "w"), "longer")
@@ -198,42 +190,40 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with what is left of `text`, and `n_lines` (that aren't blank) and `n_removed`."""
     import pyarrow as pa
 
-    docs = docs.drop("n_lines", "n_removed", "_spots")
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    docs, restored = carried(docs, "doc_id", "text")
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_id").where("doc_id is not null and text is not null")
     lines = materialize(occurrences(known), "lines")
     firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "text_id")).alias("at"), F.count("*").alias("n"))
     firsts = materialize(firsts, "firsts")
     candidates = materialize(candidate_lines(known, lines, firsts), "candidates")
     near = near_lines(candidates).withColumn("near", F.lit(True))
-    verdicts = firsts.join(near, "key", "left").where("n > 1 or near").select("key", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
+    verdicts = firsts.join(near, "key", "left").where("n > 1 or near").select("key", F.col("at").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"), "n")
     verdicts = materialize(verdicts, "verdicts")
-    gone = prefilter(lines.select("key", "doc_id", "text_id", "line"), verdicts, "key").join(verdicts, "key").where("near or doc_id <> kept_at.doc_id or line <> kept_at.line")
-    spots = gone.groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("lines"))
-    spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "lines")).alias("_spots"))  # one text, unless an id repeats
-    spots = materialize(spots, "gone")
+    gone = join_counted(prefilter(lines.select("key", "doc_id", "text_id", "line"), verdicts, "key"), verdicts, ["key"]).where("near or doc_id <> kept_at.doc_id or line <> kept_at.line")
+    spots = materialize(gone.groupBy("doc_id", "text_id").agg(F.collect_list("line").alias("spots")), "gone")
     for t in (lines, firsts, candidates, verdicts):
         drop_table(t)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    text_at, n = docs.columns.index("text"), len(docs.columns)
+    own = ["doc_id", "text", "carried"]
+    schema = T.StructType([*docs.select(own).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, removed = [], [], []
-            for text, spots in zip(utf8(batch.column(text_at)), batch.column(n).to_pylist(), strict=True):
+            for text, spots in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), strict=True):
                 parts = text.split(b"\n") if text is not None else []
-                own = _text_id(text) if spots else None
-                drop = {x for s in spots or [] if s["text_id"] == own for x in s["lines"]}
+                drop = set(spots or [])
                 texts.append(text if not drop else b"\n".join(p for i, p in enumerate(parts) if i not in drop))
                 counts.append(sum(not p.isspace() and p != b"" for p in parts))
                 removed.append(len(drop))
-            columns = [*batch.columns[:n], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
-            columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
+            columns = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(2), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     changed, same = split_by(docs, spots, "doc_id")
-    changed = changed.join(spots.withColumnRenamed("doc_id", "_id"), changed["doc_id"] == F.col("_id"), "left").drop("_id")
-    return changed.unionByName(same.withColumn("_spots", F.lit(None).cast(spots.schema["_spots"].dataType))).mapInArrow(cut, schema)
+    changed = changed.join(spots, ["doc_id", "text_id"], "left")
+    same = same.withColumn("spots", F.lit(None).cast("array<int>"))
+    return restored(changed.unionByName(same).select(*own, "spots").mapInArrow(cut, schema), "n_lines", "n_removed")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
