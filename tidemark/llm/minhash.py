@@ -14,7 +14,9 @@ lost, and a bucket of near-copies costs about its size.
 
 Defined cases: a text without words, a null text and a row without id have no links (component: the own id);
 fewer words than a shingle has make one shingle; rows with equal id and text are one document; an empty table
-gives an empty result; columns of the input other than the id and the text are not read.
+gives an empty result; a very long text has all its shingles (beyond some 100,000 its coordinates say less, as the
+permutations are over 2^18 places, which only adds candidates); columns of the input other than the id and the text
+are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_table, materialize, mix64, ngram_hashes, prefilter, table, utf8
+from .common import WordHasher, drop_table, join_counted, materialize, mix64, ngram_hashes, prefilter, table, utf8
 from .graph import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 85
@@ -205,7 +207,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     """One row per document: `doc_id, n_shingles, component_id, kept`."""
     sketches = materialize(sketch(docs, shingle_words, bands, rows), "sketches")
     full = sketches.where("doc_id is not null and set_key is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(buckets.join(shared, "bucket"), "members")
@@ -217,8 +219,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     labels = _components(members, sets, percent)
     drop_table(sets)
 
-    of_class = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    keyed = full.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key").drop("set_key")
+    of_class = classes.select("set_key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    moved = materialize(of_class.select("set_key", F.coalesce("component", "rep").alias("component_id"), "n"), "moved")
+    keyed = join_counted(full.select("doc_id", "n_shingles", "set_key"), moved, ["set_key"]).drop("set_key")
     rest = sketches.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return keyed.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
