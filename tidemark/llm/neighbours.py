@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted to a bounded sample (`SAMPLE` distinct vectors); every row is indexed, in the leaf that a
+The tree is fitted to a bounded sample (`SAMPLE` distinct vectors, those with the smallest hashes); every row is indexed, in the leaf that a
 descent to the nearest child reaches. A query goes through the tree best bin first: a priority queue holds the
 nodes not yet visited by the distance to their centre, and the order in which leaves come out is the order of
 visits. How many leaves to visit is calibrated: for some queries the exact neighbours are found over all rows,
@@ -16,6 +16,9 @@ Defined cases: a vector that is null, zero, of another length than most, or has
 takes no part; ties go to the smaller id; a row without id takes no part; of rows with one id and several
 vectors each vector stands for itself; a query finds all candidates where these are fewer than asked for;
 without candidates or queries the result is empty; other columns aren't read.
+
+Leaves hold `LEAF_ROWS` vectors about up to 160,000 distinct ones, and grow beyond, as a leaf needs `LEAF_SAMPLE`
+of the sample; the visits are calibrated to whatever the leaves are.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import join_counted, materialize, sampled, table
 
 #: Vectors that the tree is fitted to and queries it is calibrated on, at most.
 SAMPLE, CALIBRATION = 20_000, 100
 #: Rows that a leaf should hold, sampled vectors it needs at least, children of a node.
-LEAF_ROWS, LEAF_SAMPLE, CHILDREN = 256, 8, 8
-RECALL = 0.98
+LEAF_ROWS, LEAF_SAMPLE, CHILDREN = 64, 8, 8
+RECALL = 0.95
 #: Vectors or queries of a leaf that are compared in one task.
 BLOCK = 4096
 #: Leaves of the first round of visits, and how many times as many are visited by the end of each later one.
@@ -124,7 +127,8 @@ def nearest(queries: np.ndarray, vectors: np.ndarray, low: np.ndarray, k: int) -
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """`(vec_id, embedding)` of the rows that take part, and their dimension."""
     good = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(good)
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"  # floats take half the room, and are as exact
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding")).where(good)
     size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = size[0]["d"] if size else 0
     return rows.where(F.size("embedding") == d), d
@@ -138,7 +142,8 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    """Vectors in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
@@ -151,7 +156,11 @@ def index(entries: DataFrame, tree) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(tree.value.assign(_matrix(batch.column(0))), pa.int32()), *batch.columns], names=["leaf", "embedding", "ids"])
 
-    return entries.mapInArrow(run, "leaf int, embedding array<double>, ids array<long>")
+    return entries.mapInArrow(run, f"leaf int, embedding {_kind(entries)}, ids array<long>")
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["embedding"].dataType.simpleString()
 
 
 def exact_leaves(indexed: DataFrame, queries: np.ndarray, keys: np.ndarray, k: int) -> dict[int, list[int]]:
@@ -227,27 +236,24 @@ def _compared(visiting: DataFrame, indexed: DataFrame, blocks: dict[int, int], k
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL) -> DataFrame:
-    """`(query_id, rank, vec_id, score)`: the k nearest found for each row that `is_query`, its own id left out."""
+    """`(query_id, rank, vec_id, score, visited, recall)`: the k nearest found for each row that `is_query`, its own id
+    left out; the share of leaves visited for each query, and the recall of that in calibration."""
     import pyarrow as pa
 
     spark = vectors.sparkSession
     rows, _ = usable(vectors)
     entries = materialize(distinct_vectors(rows, k), "vectors")
     n = entries.count()
-    asked = rows.where(is_query).groupBy("embedding").agg(F.min("vec_id").alias("low"))
+    asked = rows.where(is_query).groupBy("embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     asked = materialize(asked, "asked")
-    if not n or not asked.limit(1).count():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = lambda most, of: int(min(1.0, most / max(1, of)) * 1_000_000)
-    place = F.pmod(F.xxhash64(F.lit(4), "embedding"), F.lit(1_000_000))
-    sample = np.array([r[0] for r in entries.where(place < share(SAMPLE, n)).select("embedding").limit(2 * SAMPLE).collect()])
-    if not len(sample):
-        sample = np.array([entries.select("embedding").first()[0]])
+    queries = asked.count()
+    if not n or not queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visited double, recall double")
+    sample = np.array([r["embedding"] for r in sampled(entries.select("embedding"), SAMPLE, n, 4, "embedding")], dtype=np.float64)
     tree = Tree(sample, -(-n // LEAF_ROWS))
     shared = spark.sparkContext.broadcast(tree)
     indexed = materialize(index(entries, shared), "index")
-    some = asked.where(place < share(CALIBRATION, asked.count())).limit(2 * CALIBRATION).collect() or asked.limit(1).collect()
-    visits, _ = calibrate(tree, indexed, some, k, recall)
+    visits, reached = calibrate(tree, indexed, sampled(asked, CALIBRATION, queries, 4, "embedding"), k, recall)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +263,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RE
             turns = np.array([t for o in orders for t in range(len(o))], dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(turns, pa.int32()), batch.column(0).take(source), batch.column(1).take(source)], names=["leaf", "turn", "embedding", "low"])
 
-    visiting = materialize(asked.select("embedding", "low").mapInArrow(visit, "leaf int, turn int, embedding array<double>, low long"), "visits")
+    visiting = materialize(asked.select("embedding", "low").mapInArrow(visit, f"leaf int, turn int, embedding {_kind(asked)}, low long"), "visits")
     blocks = {r["leaf"]: -(-r["count"] // BLOCK) for r in indexed.groupBy("leaf").count().collect()}
     order = Window.partitionBy("low").orderBy("score", "vec_id")
     best, begin, end = spark.createDataFrame([], "low long, vec_id long, score double"), 0, FIRST
@@ -268,10 +274,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RE
         merged = best.unionByName(near).withColumn("n", F.row_number().over(order))
         best = materialize(merged.where(F.col("n") <= k + 1).drop("n"), "best")
         begin, end = end, end * WIDEN
-    named = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(asked.select("embedding", "low"), "embedding").select("query_id", "low")
-    results = named.join(best, "low").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id", "low").orderBy("score", "vec_id"))
-    return results.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    named = join_counted(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "embedding").distinct(), asked, ["embedding"]).select("query_id", "low")
+    lists = best.groupBy("low").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))  # k + 1 each
+    results = join_counted(named, lists.join(asked.select("low", "n"), "low"), ["low"])
+    others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    ranked = results.select("query_id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score", F.lit(visits / tree.leaves).alias("visited"), F.lit(reached).alias("recall"))
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
