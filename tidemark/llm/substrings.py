@@ -12,13 +12,16 @@ in the window; it depends on the window's words alone, so equal windows have equ
 dozen windows. Anchors are counted over the corpus; only windows with an anchor of two or more documents go on.
 Neighbouring windows with one anchor are a run: a run that a smaller document has whole is settled at once, and
 the first of its kind is compared window by window, by anchor and window hash (128 bits), with what other
-runs of its anchor hold.
+runs of its anchor hold. What agrees by hash is then verified on the words: those of the smaller document are laid
+beside the other's, and only where all are equal are they removed. Anchors, runs and windows that very many
+documents share are hot keys, whose few rows of the smaller side are broadcast.
 
-Exact copies are settled before that by a hash of their words: they lose all words if they fill a window.
+Exact copies are settled before that by the SHA-256 of their words: they lose all words if they fill a window.
 
 Defined cases: a null text has no words; a text with fewer words than a window loses none; a row without id is
-neither compared nor changed; rows with equal ids are compared with smaller ids only; an empty table gives an
-empty result; columns other than the id and the text aren't read.
+neither compared nor changed; rows with equal ids are compared with smaller ids only; a very long text is renamed
+whole, by one task in memory of some 100 bytes a word; an empty table gives an empty result; columns other than the
+id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHasher, materialize, mix64, prefilter, table, utf8
+from .common import BASE, WordHasher, join_counted, materialize, mix64, prefilter, table, utf8
 
 WINDOW = 50
 #: Rounds at most; windows without a symbol of round `SURE` or later are their own anchor.
@@ -202,8 +205,25 @@ def _runs(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, kind long, doc_id long, text_key binary, start int, windows int, hashes array<long>")
 
 
+def _words_at(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of `(doc_id, text, text_key, spans)`: the words of each span, `(low_id, low_key, low_start, windows, words)`."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["low_id", "low_key", "low_start", "windows", "words"]
+        for batch in batches:
+            for doc_id, text, key, spans in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = words_of(text)
+                if _text_key(words) == key:
+                    rows = [(doc_id, key, s["low_start"], s["windows"], b" ".join(words[s["low_start"] : s["low_start"] + s["windows"] - 1 + window])) for s in spans]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return texts.mapInArrow(run, "low_id long, low_key binary, low_start int, windows int, words binary")
+
+
 def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of `(doc_id, text, text_key, spans)`: the result for rows with this key."""
+    """Of `(doc_id, text, text_key, spans)`: the result for rows with this key; spans whose words aren't there don't count."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +235,10 @@ def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
                     continue
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in spans:
-                    cover[s["start"]] += 1
-                    cover[s["start"] + s["windows"] - 1 + window] -= 1
+                    end = s["start"] + s["windows"] - 1 + window
+                    if b" ".join(words[s["start"] : end]) == s["words"]:
+                        cover[s["start"]] += 1
+                        cover[end] -= 1
                 gone = np.cumsum(cover[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 for column, value in zip(out, (doc_id, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept), strict=True):
@@ -229,22 +251,37 @@ def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """`(doc_id, text_key, spans)`: windows of a document (start, and how many) that a smaller one has too."""
+    """`(doc_id, text_key, start, windows, low_id, low_key, low_start)`: windows of a document that hash like windows of
+    a smaller one, and where these are."""
     first = profile.where("doc_id is not null and size(anchors) > 0").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
     anchors = first.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    wanted = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    wanted = materialize(join_counted(anchors, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
     runs = materialize(_runs(prefilter(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "anchors")), "runs")
 
-    kinds = runs.groupBy("anchor", "kind").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    whole = runs.join(kinds.where("low < high").drop("high"), ["anchor", "kind"]).where("low < doc_id").select("doc_id", "text_key", "start", "windows")
+    spot = F.struct("doc_id", "text_key", "start")
+    told = ["doc_id", "text_key", "start", "windows", F.col("low.doc_id").alias("low_id"), F.col("low.text_key").alias("low_key"), F.col("low.start").alias("low_start")]
+    kinds = materialize(runs.groupBy("anchor", "kind").agg(F.min(spot).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")), "kinds")
+    whole = join_counted(runs.drop("hashes"), kinds.where("low.doc_id < high").drop("high"), ["anchor", "kind"]).where("low.doc_id < doc_id").select(*told)
 
-    novel = runs.join(mixed, "anchor").join(kinds.select("anchor", "kind", "low"), ["anchor", "kind"]).where("low = doc_id")
+    mixed = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1").select("anchor", "n"), "mixed")
+    firsts = join_counted(kinds.drop("high", "n"), mixed, ["anchor"]).select("anchor", "kind", F.col("low.doc_id").alias("doc_id"))
+    novel = runs.join(firsts, ["anchor", "kind", "doc_id"])
     single = materialize(novel.select("anchor", "doc_id", "text_key", "start", F.posexplode("hashes").alias("at", "hash")).select("anchor", "hash", "doc_id", "text_key", (F.col("start") + F.col("at")).alias("start")), "windows")
-    lowest = single.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    alone = single.join(lowest, ["anchor", "hash"]).where("low < doc_id").select("doc_id", "text_key", "start", F.lit(1).alias("windows"))
-    return whole.union(alone).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    lowest = materialize(single.groupBy("anchor", "hash").agg(F.min(spot).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low.doc_id < high").drop("high"), "lowest")
+    alone = join_counted(single, lowest, ["anchor", "hash"]).where("low.doc_id < doc_id").withColumn("windows", F.lit(1)).select(*told)
+    return whole.union(alone)
+
+
+def verifiable_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """`(doc_id, text_key, spans)`: starts and windows, with the words that are in the smaller document."""
+    low = ["low_id", "low_key", "low_start", "windows"]
+    counted = materialize(spans.groupBy(*low).agg(F.count("*").alias("n")), "low")
+    wanted = materialize(counted.groupBy("low_id", "low_key").agg(F.collect_list(F.struct("low_start", "windows")).alias("spans")), "wanted")
+    texts = prefilter(docs.withColumnRenamed("doc_id", "low_id"), wanted, "low_id").join(wanted, "low_id").select("low_id", "text", "low_key", "spans")
+    words = materialize(_words_at(texts).dropDuplicates(low).join(counted, low), "words")
+    told = join_counted(spans, words, low)
+    return told.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "windows", "words")).alias("spans"))
 
 
 def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -255,14 +292,14 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(_profile(docs), "profile")
     known = docs.where("doc_id is not null")
-    spans = materialize(repeated_spans(known, profile), "spans")
+    spans = materialize(verifiable_spans(known, materialize(repeated_spans(known, profile), "spans")), "verifiable")
     texts = prefilter(known, spans, "doc_id").join(spans, "doc_id").select("doc_id", "text", "text_key", "spans")
     changed = _removed(texts)
     if not keep_text:
         changed = changed.drop("kept_text")
     changed = changed.dropDuplicates(["doc_id", "text_key"])
-    low = profile.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = profile.drop("anchors").join(low, "text_key", "left").join(changed, ["doc_id", "text_key"], "left")
+    low = profile.where("doc_id is not null").groupBy("words_sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    out = join_counted(profile.drop("anchors"), materialize(low, "copies"), ["words_sha"], how="left").join(changed, ["doc_id", "text_key"], "left")
     copy = (F.col("low") < F.col("doc_id")) & (F.col("n_words") >= WINDOW)
     columns = [
         "doc_id",
