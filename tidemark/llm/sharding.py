@@ -1,47 +1,64 @@
 """Two-pass external shuffle into shards.
 
 Pass 1 scatters rows into memory-sized buckets by a seeded hash of their id and text, so every bucket is a uniform
-sample of the input. Pass 2 orders each bucket by id, shuffles it with Fisher-Yates under a seed of its own
-and places it behind the buckets before it. Cutting that one sequence into contiguous ranges gives shards
+sample of the input. Pass 2 orders each bucket by a hash of whole rows, shuffles it with Fisher-Yates under a seed of
+its own and places it behind the buckets before it. Cutting that one sequence into contiguous ranges gives shards
 whose row counts differ by one at most (law `rows`), each in uniformly random order.
 
+There are as many buckets as the input needs. Rows before a bucket are summed in two levels: within ranges of
+`RANGE` buckets by Spark, and over the ranges' totals (one row for 64 GB of text) on the driver.
+
 Defined cases: a null text counts as empty; a null id is hashed like any value; rows that share an id spread by
-their texts, while copies of one text under one id share a bucket; equal rows may change places
-with each other, which no reader can tell; an empty table gives empty shards; other columns are carried along,
-and columns of the input named like the operator's own (`shard`, `slot`) give way to them.
+their texts; copies of one text under one id share a bucket, unless they fill more than one: then they are dealt
+over as many by their place in a written table; equal rows may change places with each other, which no reader can
+tell; a very long text is a row like any other, in a bucket that it may fill alone; an empty table gives empty shards;
+other columns are carried along, and those named like a result (`shard`, `slot`) give way to it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path
+from .common import carried, materialize, scratch_path
 
 LAW = "rows"
-#: Text bytes that a bucket holds on average, and the most buckets; beyond it, buckets grow.
-BUCKET_BYTES, MAX_BUCKETS = 16 << 20, 1 << 20
+#: Text bytes that a bucket holds on average, and buckets in a range.
+BUCKET_BYTES, RANGE = 16 << 20, 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + F.lit(16).cast("long"))
 
 
-def bucket_layout(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, np.ndarray]:
-    """The number of buckets, and the rows before each bucket and in all (length buckets + 1)."""
+def scattered(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Pass 1: `docs` with `bucket`, a seeded hash of id and text.
+
+    Equal ids with equal texts that are more than a bucket are dealt in turn over several; they are written first, so
+    that every later reading finds each row in the same place.
+    """
+    spread = docs.withColumn("spread", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    keys = materialize(sized(spread).groupBy("spread").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where(f"bytes > {bucket_bytes} and n > 1").select("spread"), "heavy")
     total = sized(docs).agg(F.sum("size")).first()[0] or 0
-    buckets = int(min(MAX_BUCKETS, max(1, -(-total // bucket_bytes))))
-    counts = docs.groupBy(bucket_of(buckets, seed).alias("bucket")).count().collect()
-    starts = np.zeros(buckets + 1, dtype=np.int64)
-    for b, n in counts:
-        starts[b + 1] = n
-    return buckets, np.cumsum(starts)
+    buckets = max(1, -(-total // bucket_bytes))
+    bucket = lambda *salt: F.pmod(F.xxhash64("spread", *salt), F.lit(buckets))
+    if not keys.limit(1).count():
+        return spread.withColumn("bucket", bucket()).drop("spread")
+    heavy = materialize(spread.join(F.broadcast(keys), "spread").withColumn("turn", F.monotonically_increasing_id()), "dealt")  # at most a key for each bucket
+    light = spread.join(F.broadcast(keys), "spread", "left_anti").withColumn("bucket", bucket())
+    return light.unionByName(heavy.withColumn("bucket", bucket("turn")).drop("turn")).drop("spread")
 
 
-def bucket_of(buckets: int, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(buckets)).cast("int")
+def bucket_starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """`(bucket, start)`: the rows before each bucket, and the rows in all."""
+    counts = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")), "counts").withColumn("range", F.floor(F.col("bucket") / RANGE).cast("long"))
+    ranges = [tuple(r) for r in counts.groupBy("range").agg(F.sum("n")).orderBy("range").collect()]
+    before = np.concatenate([[0], np.cumsum([n for _, n in ranges])]).tolist()
+    firsts = rows.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(ranges, before, strict=False)], "range long, first long")
+    own = F.sum("n").over(Window.partitionBy("range").orderBy("bucket")) - F.col("n")
+    return counts.withColumn("own", own).join(F.broadcast(firsts), "range").select("bucket", (F.col("first") + F.col("own")).alias("start")), int(before[-1])
 
 
 def shard_bounds(rows: int, shards: int) -> np.ndarray:
@@ -53,21 +70,25 @@ def external_shuffle(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_b
     """The rows of `docs` with `shard` (int) and `slot` (long, gapless from 0 in each shard)."""
     import pyarrow as pa
 
-    docs = docs.drop("shard", "slot", "_bucket")
-    buckets, starts = bucket_layout(docs, seed, bucket_bytes)
-    bounds = shard_bounds(int(starts[-1]), shards)
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-
-    def place(tables: pa.Table) -> pa.Table:
-        bucket = tables.column("_bucket")[0].as_py()
-        rows = tables.drop_columns(["_bucket"])
-        rows = rows.take(np.argsort(rows.column("doc_id").fill_null(-1).to_numpy(), kind="stable"))
+    narrow, restored = carried(docs, "doc_id", "text")
+    kinds = narrow.schema["carried"].dataType.simpleString()
+    others = F.lit(0) if "map<" in kinds or "variant" in kinds else F.col("carried")  # Spark hashes neither
+    narrow = narrow.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "text", others))
+    rows = scattered(narrow, seed, bucket_bytes)
+    starts, total = bucket_starts(rows)
+    bounds = shard_bounds(total, shards)
+    schema = T.StructType([*narrow.drop("place").schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+
+    def place(tables: pa.Table, start: pa.Table) -> pa.Table:
+        bucket, first = tables.column("bucket")[0].as_py(), start.column("start")[0].as_py()
+        rows = tables.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).drop_columns(["bucket", "place"])
         rows = rows.take(np.random.default_rng([seed, bucket]).permutation(rows.num_rows))  # Fisher-Yates
-        at = starts[bucket] + np.arange(rows.num_rows)
+        at = first + np.arange(rows.num_rows)
         shard = np.searchsorted(bounds, at, side="right") - 1
         return rows.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(at - bounds[shard], pa.int64()))
 
-    return docs.withColumn("_bucket", bucket_of(buckets, seed)).groupBy("_bucket").applyInArrow(place, schema)
+    found = rows.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(place, schema)
+    return restored(found, "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> None:
