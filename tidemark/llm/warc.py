@@ -11,7 +11,8 @@ Of captures with equal payloads that with the smallest page id is a response, th
 Defined cases: a null payload is empty; captures with equal page id and payload are alike, all responses or all
 revisits; a capture without page id revisits another of its payload where that has an id, else it is a
 response; a null url is the empty target; line breaks and other control characters in a url are percent-encoded;
-an empty table gives no archive and no records; other columns aren't read.
+a payload is held whole by the task that writes or reads its record, and no other; repeated rows are records of
+their own; an empty table gives no archive and no records; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path, table
+from .common import join_counted, materialize, scratch_path, split_by, table
 
 #: Bytes of an archive after which the next one begins, and bytes read at a time.
 ARCHIVE_BYTES, STEP = 64 << 20, 1 << 16
@@ -79,12 +80,13 @@ def compress(record: bytes, level: int = 4) -> bytes:
 
 
 def captures(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """`(page_id, url, payload, refers_to)`."""
+    """`(page_id, url, payload, refers_to)`; only payloads that may be repeated are shuffled, and very common ones aren't."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.unhex(F.sha1("html")))
     again = F.octet_length("html") >= least
-    first = rows.where(again).groupBy("key").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "key", "left").withColumn("low", F.when(again, F.col("low")))
+    first = materialize(rows.where(again).groupBy("key").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    maybe, once = split_by(rows, first, "key")
+    joined = join_counted(maybe, first, ["key"], how="left").unionByName(once, allowMissingColumns=True).withColumn("low", F.when(again, F.col("low")))
     refers = F.when(F.col("low").isNotNull() & ~F.col("low").eqNullSafe(F.col("page_id")), F.col("low"))
     return joined.select("page_id", "url", F.col("html").cast("binary").alias("payload"), refers.alias("refers_to"))
 
