@@ -123,13 +123,15 @@ def test_line_edits(spark):
     assert found[8]["text"] is None and found[9]["text"] == "" and found[2]["text"] == ""
 
 
-def test_decontamination(spark, docs, rows, none):
+def test_decontamination(spark, docs, rows, none, monkeypatch):
     texts = [t for _, t, *_ in rows if t]
     items = [(1, " ".join(texts[0].split()[:25])), (2, "w1 w2 w3 w4"), (3, "one"), (4, None), (5, "!!"), (1, "the | w5"), (None, " ".join(texts[4 if len(texts) > 4 else 0].split()[:12]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     expected = sorted(decontamination.brute_force([r[:2] for r in rows], items), key=repr)
-    for words in (decontamination.BLOCK_WORDS, 20):  # one block, and several
-        found = decontamination.decontaminate(docs.withColumn("items", F.lit("clash")), bench, block_words=words)
+    for bits in (decontamination.BITS, 8):  # a bitmap that leaves most out, and one that is full
+        monkeypatch.setattr(decontamination, "BITS", bits)
+        found = decontamination.decontaminate(docs.withColumn("items", F.lit("clash")).withColumn("text_key", F.lit("clash")), bench)
+        assert {r["text_key"] for r in found.select("text_key").collect()} == {"clash"}
         shown = found.select("doc_id", "n_words", F.size("hit_words").alias("n_hit"), F.size("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"), (F.size("hit_words") > 0).alias("c"))
         assert collected(shown, "doc_id", "n_words", "n_hit", "n_items", "sha", "c") == expected
     assert decontamination.decontaminate(none, bench).count() == 0
@@ -360,3 +362,107 @@ def test_hash_of_ngrams():
 
 def test_digest():
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39")
+
+
+def test_rows_of_one_id_spread_over_buckets(spark):
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then id when id % 3 = 1 then 7 end as doc_id", "concat('text ', id) as text")
+    starts, total = sharding.bucket_starts(sharding.scattered(rows, seed=17, bucket_bytes=3000))
+    at = sorted(r["start"] for r in starts.collect()) + [total]
+    assert total == 3000 and len(at) > 10 and max(b - a for a, b in zip(at, at[1:], strict=False)) < 3 * 3000 / (len(at) - 1)
+    found = sharding.external_shuffle(rows, shards=4, bucket_bytes=3000).select("text", "shard", "slot").collect()
+    assert len({r["text"] for r in found}) == len(found) == 3000 and len({(r["shard"], r["slot"]) for r in found}) == 3000
+
+
+def test_equal_rows_spread_over_buckets(spark):
+    rows = spark.range(3000).selectExpr("case when id % 2 = 0 then id end as doc_id", "case when id % 2 = 0 then concat('text ', id) else '' end as text")
+    starts, total = sharding.bucket_starts(sharding.scattered(rows, seed=17, bucket_bytes=3000))
+    at = sorted(r["start"] for r in starts.collect()) + [total]
+    assert max(b - a for a, b in zip(at, at[1:], strict=False)) < 4 * 3000 / (len(at) - 1)  # half of the rows are equal
+    found = sharding.external_shuffle(rows, shards=3, bucket_bytes=3000).select("doc_id", "shard", "slot").collect()
+    assert len({(r["shard"], r["slot"]) for r in found}) == 3000 and sum(r["doc_id"] is None for r in found) == 1500
+
+
+def test_sharding_does_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    rows = [(i % 5, f"text {i}", i) for i in range(200)]  # few ids, many texts
+    one = spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(3)
+    other = spark.createDataFrame(rows[::-1], "doc_id long, text string, place long").repartition(2)
+    monkeypatch.setattr(sharding, "RANGE", 2)
+    run = lambda d: collected(sharding.external_shuffle(d, shards=3, bucket_bytes=600), "place", "shard", "slot")
+    assert run(one) == run(other)
+
+
+CLASHES = ["_id", "_word", "_bits", "_maybe", "n_host", "n_path", "host_toxic", "keep", "host", "path", "n_lines", "items", "carried", "text_key", "text_id", "spots", "bucket", "place", "shard", "queue", "score", "kept"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """Every name that an operator uses as a column of the caller's."""
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def _same(found, results):
+    kept = [c for c in CLASHES if c not in results and c in found.columns]
+    assert set(CLASHES) - set(results) <= set(found.columns)
+    assert {tuple(r) for r in found.select(*kept).distinct().collect()} == {tuple(f"own {c}" for c in kept)}
+
+
+def test_columns_of_the_caller_stay(spark, clashing):
+    bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    _same(lines.dedup_lines(clashing), ["n_lines", "n_removed"])
+    _same(decontamination.decontaminate(clashing, bench), ["n_words", "hit_words", "items"])
+    _same(quality.classify(clashing, labels), ["keep", *quality.HEADS])
+    _same(sharding.external_shuffle(clashing, shards=2), ["shard", "slot"])
+    _same(language.predict(clashing, language.train(clashing)), ["lang_pred", "score"])
+    assert minhash.near_duplicates(clashing).count() == clashing.count() == substrings.dedup_substrings(clashing).count()
+    assert packing.pack(clashing, pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")).count() >= clashing.count()
+    common.prefilter(clashing, clashing.select("doc_id"), "doc_id").count()
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"))
+    all_of = common.sampled(rows, 5000, 5000, 1, "k")
+    assert common.sampled(rows, 100, 5000, 1, "k") == all_of[:100] and len(set(all_of)) == 5000
+    assert common.sampled(rows, 10, 10**15, 1, "k") == all_of[:10]  # below the bound there are too few: all are looked at
+    same = rows.select(F.lit(3).alias("k"))
+    assert len(common.sampled(same, 100, 5000, 1, "k")) == 100
+
+
+def test_a_language_is_sampled_however_large(spark, monkeypatch):
+    """The share of a sample of 10^12 rows isn't 0."""
+    learnable = spark.createDataFrame([(i, f"t{i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    few = language._sample(learnable, {"en": 50}, 7, False)
+    assert few.count() == 7 and [r["text"] for r in few.orderBy("place").collect()] == [r["text"] for r in language._sample(learnable, {"en": 50}, 50, True).orderBy("place").limit(7).collect()]
+
+
+def test_language_model_does_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["der", "und", "nicht"] if i % 2 else ["the", "and", "not"], k=8)), "de" if i % 2 else "en") for i in range(80)]
+    models = [language.train(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)) for r, n in ((rows, 3), (rows[::-1], 2))]
+    assert (models[0].weights == models[1].weights).all() and models[0].temperature == models[1].temperature
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    monkeypatch.setattr(common, "FEW", 1)
+    rows = spark.range(400).selectExpr("case when id < 200 then 1 when id < 390 then id end as k", "id")
+    counted = rows.where("k is not null and k % 2 = 1").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    for how in ("inner", "left"):
+        assert collected(common.join_counted(rows, counted, ["k"], how=how), "k", "id", "low") == collected(rows.join(counted.drop("n"), ["k"], how), "k", "id", "low")
+
+
+def test_spans_are_verified_on_words(spark):
+    """A span whose words differ, as after a collision of hashes, is not removed."""
+    words = [f"w{i}" for i in range(60)]
+    key = substrings._text_key([w.encode() for w in words])
+    spans = [{"start": 0, "windows": 1, "words": " ".join(words[:50]).encode()}, {"start": 5, "windows": 1, "words": " ".join(words[:50]).encode()}]
+    df = spark.createDataFrame([(1, " ".join(words), key, spans)], "doc_id long, text string, text_key binary, spans array<struct<start int, windows int, words binary>>")
+    assert substrings._removed(df).first()["n_removed"] == 50
+
+
+def test_decontamination_of_repetitive_and_long_texts(spark):
+    rows = [(1, "a " * 3000), (2, "b a a a a a a a a a a c"), (3, "x " * 50_000), (None, "a " * 12), (4, "a " * 3000)]
+    items = [(1, "a " * 40), (2, "q r s t u v w x y z a b"), (3, "c")]
+    found = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    shown = found.select("doc_id", "n_words", F.size("hit_words").alias("n_hit"), F.array_join("items", ",").alias("i"))
+    assert collected(shown, "doc_id", "n_words", "n_hit", "i") == sorted([(1, 3000, 3000, "1"), (2, 12, 11, "1,3"), (3, 50_000, 0, ""), (None, 12, 12, "1"), (4, 3000, 3000, "1")], key=repr)
