@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests import test_lifecycle as T
-from tidemark.llm import sharding
 from tidemark.plans import text_queries
 from tidemark.streaming import polls as stream
 
@@ -29,14 +28,6 @@ def test_a_run_keeps_its_partitions(spark, tmp_path, monkeypatch):
     assert max(files) > 1
 
 
-def test_rows_of_one_id_spread_over_buckets(spark):
-    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then id when id % 3 = 1 then 7 end as doc_id", "concat('text ', id) as text")
-    buckets, starts = sharding.bucket_layout(rows, seed=17, bucket_bytes=3000)
-    assert buckets > 10 and max(starts[1:] - starts[:-1]) < 3 * 3000 / buckets
-    found = sharding.external_shuffle(rows, shards=4, bucket_bytes=3000).select("text", "shard", "slot").collect()
-    assert len({r["text"] for r in found}) == len(found) == 3000 and len({(r["shard"], r["slot"]) for r in found}) == 3000
-
-
 def test_queries_over_all_events(spark, tmp_path):
     rows = [(i, i % 2, "click" if i < 5 else None, datetime(2024, 1, 1)) for i in range(6)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz")
