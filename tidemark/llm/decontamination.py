@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Bitmap, WordHasher, carried, join_counted, materialize, ngram_hashes, prefilter, split_by, table, utf8
 
@@ -39,8 +40,6 @@ SHINGLE, BITS = 3, 24
 BATCH_ROWS = 20_000
 #: A-Z to a-z; ASCII other than letters and digits separates words.
 _FOLD = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256)).lower()
-#: The same words, found in a text as it is.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -173,24 +172,39 @@ def contaminated_texts(texts: DataFrame, benchmark: DataFrame, window: int = WIN
     return words.join(items, "text_key")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with `n_words`, `hit_words` (positions of the hit words) and `items` (sorted ids of the items found)."""
+def _with_counts(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """`docs` with `n_words`, and without the text unless it is to be kept."""
+    import pyarrow as pa
+
+    kept = [i for i, c in enumerate(docs.columns) if keep_text or c != "text"]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField("n_words", T.LongType())])
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(words_of(t)) for t in utf8(batch.column(text_at))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), n], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+    """`docs` (with null texts, unless `keep_text`) and `n_words`, `hit_words` (positions of the hit words) and `items` (sorted ids of the items found)."""
     narrow, restored = carried(docs, "text")
     keyed = narrow.withColumn("text_key", _text_key())
     found = materialize(contaminated_texts(keyed.where("text is not null").select("text_key", "text"), benchmark, window), "contaminated")
-    keyed = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
     maybe, rest = split_by(keyed, found, "text_key")
     counted = found.join(maybe.groupBy("text_key").agg(F.count("*").alias("n")), "text_key")
     hit = join_counted(maybe, materialize(counted, "counted"), ["text_key"], how="left")
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    rest = rest.withColumns({"hit_words": none("long"), "items": none("string")})
-    hit = hit.withColumns({"hit_words": F.coalesce("hit_words", none("long")), "items": F.coalesce("items", none("string"))})
-    return restored(hit.unionByName(rest), "n_words", "hit_words", "items")
+    out = _with_counts(hit.unionByName(rest, allowMissingColumns=True), keep_text)
+    out = out.withColumns({"hit_words": F.coalesce("hit_words", none("long")), "items": F.coalesce("items", none("string"))})
+    return restored(out if keep_text else out.withColumn("text", F.lit(None).cast("string")), "n_words", "hit_words", "items")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select(
         "doc_id",
         "n_words",
