@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHasher, join_counted, materialize, mix64, prefilter, table, utf8
+from .common import BASE, WordHasher, drop_table, join_counted, materialize, mix64, prefilter, split_by, table, utf8
 
 WINDOW = 50
 #: Rounds at most; windows without a symbol of round `SURE` or later are their own anchor.
@@ -253,26 +253,39 @@ def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """`(doc_id, text_key, start, windows, low_id, low_key, low_start)`: windows of a document that hash like windows of
     a smaller one, and where these are."""
-    first = profile.where("doc_id is not null and size(anchors) > 0").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    anchors = first.select("doc_id", F.explode("anchors").alias("anchor"))
+    anchors = _first_texts(profile.where("doc_id is not null and size(anchors) > 0")).select("doc_id", F.explode("anchors").alias("anchor"))
     shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    wanted = materialize(join_counted(anchors, shared, ["anchor"]).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    wanted = materialize(join_counted(prefilter(anchors, shared, "anchor"), shared, ["anchor"]).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    drop_table(shared)
     runs = materialize(_runs(prefilter(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "anchors")), "runs")
+    drop_table(wanted)
 
     spot = F.struct("doc_id", "text_key", "start")
     told = ["doc_id", "text_key", "start", "windows", F.col("low.doc_id").alias("low_id"), F.col("low.text_key").alias("low_key"), F.col("low.start").alias("low_start")]
     kinds = materialize(runs.groupBy("anchor", "kind").agg(F.min(spot).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")), "kinds")
-    whole = join_counted(runs.drop("hashes"), kinds.where("low.doc_id < high").drop("high"), ["anchor", "kind"]).where("low.doc_id < doc_id").select(*told)
+    whole = materialize(join_counted(runs.drop("hashes"), kinds.where("low.doc_id < high").drop("high"), ["anchor", "kind"]).where("low.doc_id < doc_id").select(*told), "spans")
 
     mixed = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1").select("anchor", "n"), "mixed")
     firsts = join_counted(kinds.drop("high", "n"), mixed, ["anchor"]).select("anchor", "kind", F.col("low.doc_id").alias("doc_id"))
     novel = runs.join(firsts, ["anchor", "kind", "doc_id"])
     single = materialize(novel.select("anchor", "doc_id", "text_key", "start", F.posexplode("hashes").alias("at", "hash")).select("anchor", "hash", "doc_id", "text_key", (F.col("start") + F.col("at")).alias("start")), "windows")
+    for t in (runs, kinds, mixed):
+        drop_table(t)
     lowest = materialize(single.groupBy("anchor", "hash").agg(F.min(spot).alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low.doc_id < high").drop("high"), "lowest")
-    alone = join_counted(single, lowest, ["anchor", "hash"]).where("low.doc_id < doc_id").withColumn("windows", F.lit(1)).select(*told)
+    alone = materialize(join_counted(single, lowest, ["anchor", "hash"]).where("low.doc_id < doc_id").withColumn("windows", F.lit(1)).select(*told), "spans")
+    for t in (single, lowest):
+        drop_table(t)
     return whole.union(alone)
 
 
+def _first_texts(profile: DataFrame) -> DataFrame:
+    """`(doc_id, anchors)` of each distinct text, under its smallest id; only copies are shuffled."""
+    copies = materialize(profile.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"), "copies")
+    maybe, single = split_by(profile, copies, "text_key")
+    firsts = maybe.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
+    return single.select("doc_id", "anchors").unionByName(firsts.select("doc_id", "anchors"))
+
+
 def verifiable_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """`(doc_id, text_key, spans)`: starts and windows, with the words that are in the smaller document."""
     low = ["low_id", "low_key", "low_start", "windows"]
@@ -292,7 +305,9 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = materialize(_profile(docs), "profile")
     known = docs.where("doc_id is not null")
-    spans = materialize(verifiable_spans(known, materialize(repeated_spans(known, profile), "spans")), "verifiable")
+    found = repeated_spans(known, profile)
+    spans = materialize(verifiable_spans(known, found), "verifiable")
+    drop_table(found)
     texts = prefilter(known, spans, "doc_id").join(spans, "doc_id").select("doc_id", "text", "text_key", "spans")
     changed = _removed(texts)
     if not keep_text:
