@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -190,3 +190,8 @@ def lenient_boolean(text: Column) -> Column:
     """true, 1, yes; false, 0, no; else null."""
     low = F.lower(text)
     return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)
+
+
+def carry_forward(value: str, group: str, order: str) -> Column:
+    """The last value that isn't null, up to and with this row of its group."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

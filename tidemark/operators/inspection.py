@@ -86,24 +86,45 @@ def inspect(targets: DataFrame, schemas: DataFrame, static: DataFrame, linked: D
     return known.select("canonical_id", "provider", verdict.alias("r")).select("canonical_id", "provider", "r.*")
 
 
+def anchors(html: Column) -> Column:
+    """The anchors of a page, tags included, in order."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), 1)
+
+
+def href(anchor: Column) -> Column:
+    """The link of an anchor's first tag; empty if it has none."""
+    return text.unescape(F.regexp_extract(anchor, r"(?is)^<a\s[^>]*?href\s*=\s*[\"']([^\"']+)", 1))
+
+
+def absolute(link: Column, base_url: Column) -> Column:
+    """A link as seen from a page: absolute ones stay; others are a path of the host, a query, or beside the page."""
+    scheme, root = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
+    page = F.regexp_replace(base_url, r"[?#].*$", "")
+    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    whole = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
+    )
+    for _ in range(4):  # one step up each time
+        whole = F.regexp_replace(whole, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*?)/(?!\.\.?/)[^/?#]+/\.\./", "$1/")
+    return whole
+
+
 def apply_link(html: Column, base_url: Column) -> Column:
     """The first anchor whose text speaks of applying and that leads, safely, to the same host or a known board.
 
-    Links are absolute, or paths from the host's root; hidden anchors (by their own attributes) don't count.
+    Links are seen from the page; hidden anchors (by their own attributes) don't count.
     """
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)(<a\s[^>]*>.*?</a>)"), 1)
     hidden = lambda a: a.rlike(r"(?is)^<a\s[^>]*(\shidden[\s>=]|aria-hidden\s*=\s*[\"']true|display\s*:\s*none|visibility\s*:\s*hidden)")
     says = lambda a: text.has_any(F.lower(F.regexp_replace(a, "<[^>]*>", " ")), ["apply", "application"])
-    root = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-
-    def target(a: Column) -> Column:
-        href = text.unescape(F.regexp_extract(a, r"(?is)^<a\s[^>]*?href\s*=\s*[\"']([^\"']+)", 1))
-        return F.when(href.startswith("/") & ~href.startswith("//"), F.concat(root, href)).otherwise(href)
 
     def allowed(link: Column) -> Column:
         board = urls.host(link)
         known = urls.ends_with_any(board, [f".{d}" for d in V.PROVIDER_HOSTS.values()])
         return urls.safe_public(link) & ((board == urls.host(base_url)) | known)
 
-    links = F.transform(F.filter(anchors, lambda a: says(a) & ~hidden(a)), target)
+    links = F.transform(F.filter(anchors(html), lambda a: says(a) & ~hidden(a)), lambda a: absolute(href(a), base_url))
     return F.try_element_at(F.filter(links, allowed), F.lit(1))

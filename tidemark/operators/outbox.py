@@ -36,6 +36,11 @@ def deliverable(entries: DataFrame) -> DataFrame:
     return entries.groupBy("batch_id").agg(F.bool_and("found").alias("complete")).where("complete").select("batch_id")
 
 
+def ordered(batches: DataFrame, *group: str) -> DataFrame:
+    """`batches` with `position`, the order of delivery in their group: by time, then id."""
+    return batches.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("created_at", "batch_id")).cast("long"))
+
+
 def sent_marks(issues: DataFrame) -> DataFrame:
     """`(batch_id, issue_number)`: the first issue that isn't a pull request for each batch named in a body."""
     named = issues.where("pull_request is null").select("number", F.explode(F.regexp_extract_all("body", F.lit(BATCH_MARK), 1)).alias("batch_id"))

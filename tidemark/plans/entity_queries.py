@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
-from tidemark.operators import lifecycle, resolve
+from tidemark.operators import lifecycle, outbox, resolve
+from tidemark.sources import markdown
 from tidemark.streaming import polls as stream
 
 from . import oracle as O
@@ -101,9 +102,11 @@ def new_entity_alerts(spark, sf_dir):
 def batch_resolve(spark, sf_dir):
     """Entries of pending batches joined with the history by id; a batch is deliverable if none is missing."""
     new = lifecycle.new_entities(observed(spark, sf_dir), polls(spark), BASELINES)
-    history = entity_lifecycle(spark, sf_dir).select("canonical_id", "active")
-    found = new.join(history, "canonical_id", "left")
-    return found.groupBy("run_id").agg(F.bool_and(F.col("active").isNotNull()).alias("deliverable"), F.count_if("active").alias("still_active"), F.count("*").alias("entries"))
+    batches = new.groupBy(F.col("run_id").alias("batch_id")).agg(F.array_sort(F.collect_list("canonical_id")).alias("job_ids"))
+    entries = outbox.entries_by_id(batches, entity_lifecycle(spark, sf_dir).select("canonical_id", "active"))
+    whole = outbox.deliverable(entries).withColumn("deliverable", F.lit(True))
+    counts = entries.groupBy("batch_id").agg(F.count_if("active").alias("still_active"), F.count("*").alias("entries"))
+    return counts.join(whole, "batch_id", "left").select(F.col("batch_id").alias("run_id"), F.coalesce("deliverable", F.lit(False)).alias("deliverable"), "still_active", "entries")
 
 
 def fallback_promotion(spark, sf_dir):
@@ -132,9 +135,7 @@ def parse_health(spark, sf_dir):
     """Rows with and without all required fields by feed and category; feeds that lost too many are unhealthy."""
     rows = observations(spark, sf_dir)
     whole = text.nonempty(F.col("company")).isNotNull() & text.nonempty(F.col("position")).isNotNull() & text.nonempty(F.col("salary")).isNotNull() & text.nonempty(F.col("application_url")).isNotNull()
-    found = rows.groupBy("source_id", "category").agg(F.count("*").alias("candidates"), F.count_if(whole).alias("parsed"))
-    skipped = F.col("candidates") - F.col("parsed")
-    return found.select("*", skipped.alias("skipped"), ((F.col("parsed") > 0) & ~((skipped >= 5) & (skipped > F.col("parsed")))).alias("healthy"))
+    return markdown.health(rows.withColumn("valid", whole))
 
 
 def dashboard_rows(spark, sf_dir):

@@ -94,6 +94,63 @@ def feed_dispatch(spark, sf_dir):
     return found.groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
 
 
+def _broken(spark: SparkSession) -> DataFrame:
+    """Feeds that are whole, broken in one way each, or weren't fetched."""
+    lines = MARKDOWN.splitlines()
+    malformed = "\n".join(x.replace("Apply now", "More").replace('alt="Apply"', 'alt="More"') for x in lines)
+    rows = [
+        ("whole", "markdown", MARKDOWN, None),
+        ("no_marker", "markdown", MARKDOWN.replace("<!-- TABLE_QUANT_END -->", ""), None),
+        ("no_header", "markdown", MARKDOWN.replace("| Company | Position | Location | Application |", "| Company | Position | Application |"), None),
+        ("no_separator", "markdown", MARKDOWN.replace("\n|---|---|---|---|\n", "\n"), None),
+        ("stray", "markdown", MARKDOWN.replace("| Beta |", "Note.\n| Beta |"), None),
+        ("malformed", "markdown", malformed, None),
+        ("no_json", "json_internships", "{", None),
+        ("no_array", "json_internships", '{"jobs": {}}', None),
+        ("no_rows", "json_new_graduates", '{"jobs": [5, {"title": "SWE", "eligibility": "New Grad"}]}', None),
+        ("typed", "json_internships", INTERNSHIPS.replace('" Acme "', "5"), None),
+        ("no_section", "html_table", TABLE.replace("Engineering Internship", "Engineering"), None),
+        ("no_columns", "html_table", TABLE.replace("<th>Age</th>", ""), None),
+        ("table", "html_table", TABLE, None),
+        ("away", "markdown", None, "HTTP 500"),
+        ("other", "csv", "a,b", None),
+    ]
+    return spark.createDataFrame(rows, "source_id string, format string, body string, error string")
+
+
+def _diagnosed(spark, *sources: str) -> DataFrame:
+    return registry.diagnose(_broken(spark).where(F.col("source_id").isin(*sources))).select("source_id", "category", "candidates", "parsed", "error")
+
+
+def feed_missing_marker(spark, sf_dir):
+    return _diagnosed(spark, "no_marker")
+
+
+def feed_missing_header(spark, sf_dir):
+    return _diagnosed(spark, "no_header", "no_separator", "stray")
+
+
+def feed_all_malformed(spark, sf_dir):
+    return _diagnosed(spark, "malformed", "typed")
+
+
+def poll_outcomes(spark, sf_dir):
+    """Which polls answered, and why others didn't; a broken feed is never an empty one."""
+    return registry.outcomes(_broken(spark))
+
+
+def healthy_observations(spark, sf_dir):
+    """Observations with all that their feeds tell; none of a source whose poll didn't answer."""
+    metadata = F.array_join(F.transform(F.array_sort(F.map_entries("source_metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return registry.healthy(_broken(spark)).select("source_id", "company", "position", "salary", "age", "season", "source_job_id", metadata.alias("metadata"))
+
+
+def provenance_infer(spark, sf_dir):
+    """Names of the sources of records that carry a file and a type only."""
+    rows = [(1, "README.md", "Internship", None, None), (2, "NEW_GRAD_USA.md", "New Grad", "", None), (3, "README.md", "New Grad", None, ""), (4, "README.md", "Internship", "own", "Own")]
+    return registry.with_provenance(spark.createDataFrame(rows, "id int, source_file string, job_type string, source_id string, source_label string")).select("id", "source_id", "source_label")
+
+
 def _shown(questions: DataFrame) -> DataFrame:
     return questions.select("ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "category", "section", "is_custom", "field_name")
 
@@ -111,20 +168,14 @@ def scan_block_render(spark, sf_dir):
     return render.scan_blocks(found).select("page_id", "block")
 
 
-def block_upsert_whole(spark, sf_dir):
-    """Digests of whole bodies, every other one with text on both sides of its block; `block_upsert` shows short ones, as its oracle does."""
+def block_upsert(spark, sf_dir):
+    """Digests of whole bodies, every other one with text on both sides of its block."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("t"))
     body = F.when(F.col("doc_id") % 2 == 0, F.concat("t", F.lit("<!-- scan:start 7 -->old<!-- scan:end 7 -->"), "t")).otherwise(F.col("t"))
     return docs.select("doc_id", F.sha2(render.upsert_block(body, "7", F.lit("new \\1 $2")), 256).alias("body_sha256"))
 
 
-def block_upsert(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.left("text", F.lit(40)).alias("t"))
-    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("t"), F.lit("<!-- scan:start 7 -->old<!-- scan:end 7 -->tail"))).otherwise(F.col("t"))
-    return docs.select("doc_id", render.upsert_block(body, "7", F.lit("new \\1 $2")).alias("body"))
-
-
-QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, block_upsert, block_upsert_whole)}
+QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes, healthy_observations, provenance_infer)}
 
 
 def _golden(columns: str, *rows: tuple) -> str:
@@ -132,6 +183,10 @@ def _golden(columns: str, *rows: tuple) -> str:
     return "select * from (values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") as t({columns})"
 
 
+def _diagnoses(*rows: tuple) -> str:
+    return "select source_id, category, candidates::bigint as candidates, parsed::bigint as parsed, error from (" + _golden("source_id, category, candidates, parsed, error", *rows) + ")"
+
+
 BLOCK = """### Application questions (7, 0 custom)
 
 - Skills: SQL, Java
@@ -165,7 +220,7 @@ ORACLE_SQL = {
     "html_table_scan": _golden(
         "row, company, position, location, application_url, source_url, source_job_id, age, category, valid",
         (1, "Orbit", "SWE Intern 🎓", "San Mateo, CA | Austin, TX", "https://orbit.example/j/1", "https://simplify.jobs/p/abc", "abc", "1d", "FAANG+", True),
-        (2, "Orbit", "Data Intern", "2 locationsSF, CA | NY", "https://simplify.jobs/p/def", "https://simplify.jobs/p/def", "def", "2d", "Unknown", True),
+        (2, "Orbit", "Data Intern", "SF, CA | NY", "https://simplify.jobs/p/def", "https://simplify.jobs/p/def", "def", "2d", "Unknown", True),
         (3, None, "SWE", "SF", None, None, None, None, "Unknown", False),
     ),
     "feed_dispatch": "select source_id, candidates::bigint as candidates, parsed::bigint as parsed from (values ('m', 5, 3), ('i', 2, 1), ('g', 1, 1), ('h', 3, 2)) as t(source_id, candidates, parsed)",
@@ -186,7 +241,30 @@ ORACLE_SQL = {
         (3, "Office", "single_select", None, "SF|NY", "other", "questions", False, "q2"),
         (4, "Consent", "checkbox", True, "", "compliance_demographic", "compliance", False, "c"),
     ),
+    "feed_missing_marker": _diagnoses(("no_marker", "FAANG+", 2, 1, None), ("no_marker", "Quant", 0, 0, "not exactly one pair of markers in order"), ("no_marker", "Other", 2, 1, None)),
+    "feed_missing_header": _diagnoses(
+        ("no_header", "FAANG+", 2, 1, None), ("no_header", "Quant", 0, 0, "no compatible table"), ("no_header", "Other", 2, 1, None),
+        ("no_separator", "FAANG+", 2, 1, None), ("no_separator", "Quant", 0, 0, "no separator behind the header"), ("no_separator", "Other", 2, 1, None),
+        ("stray", "FAANG+", 0, 0, "something else than rows behind the header"), ("stray", "Quant", 1, 1, None), ("stray", "Other", 2, 1, None),
+    ),
+    "feed_all_malformed": _diagnoses(
+        ("malformed", "FAANG+", 2, 0, "none of the rows could be parsed"), ("malformed", "Quant", 1, 0, "none of the rows could be parsed"), ("malformed", "Other", 2, 1, None),
+        ("typed", "Software Engineering", 3, 0, "no valid rows"),
+    ),
+    "poll_outcomes": "select source_id, ok, parsed::bigint as parsed, error from (" + _golden(
+        "source_id, ok, parsed, error",
+        ("whole", True, 3, None), ("no_marker", False, 2, "Quant: not exactly one pair of markers in order"), ("no_header", False, 2, "Quant: no compatible table"),
+        ("no_separator", False, 2, "Quant: no separator behind the header"), ("stray", False, 2, "FAANG+: something else than rows behind the header"), ("malformed", False, 1, "FAANG+: none of the rows could be parsed"),
+        ("no_json", False, 0, "Software Engineering: not valid JSON"), ("no_array", False, 0, "Software Engineering: no array of jobs"), ("no_rows", False, 0, "Software Engineering: no valid rows"),
+        ("typed", False, 0, "Software Engineering: no valid rows"), ("no_section", False, 0, "Software Engineering: no section of the expected name"), ("no_columns", False, 0, "Software Engineering: unexpected header"),
+        ("table", True, 2, None), ("away", False, 0, "HTTP 500"), ("other", False, 0, "no parser for this format"),
+    ) + ")",
+    "healthy_observations": _golden(
+        "source_id, company, position, salary, age, season, source_job_id, metadata",
+        ("whole", "Alpha", "Engineer \\| Core", "$50/hr", "1d", None, None, None), ("whole", "Gamma & Co", "Quant Dev", None, None, None, None, None), ("whole", "Delta", "Dev", "$1", "3d", None, None, None),
+        ("table", "Orbit", "SWE Intern 🎓", None, "1d", "Summer 2027", "abc", "simplify_url=https://simplify.jobs/p/abc"), ("table", "Orbit", "Data Intern", None, "2d", "Summer 2027", "def", "simplify_url=https://simplify.jobs/p/def"),
+    ),
+    "provenance_infer": _golden("id, source_id, source_label", (1, "speedyapply_internships", "SpeedyApply"), (2, "speedyapply_new_grad", "SpeedyApply"), (3, "legacy_speedyapply", "SpeedyApply"), (4, "own", "Own")),
     "scan_block_render": _golden("page_id, block", (1, BLOCK)),
-    "block_upsert": "select doc_id, case when doc_id % 2 = 0 then left(text, 40) || '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->tail' else left(text, 40) || case when right(left(text, 40), 1) = chr(10) or text = '' then '' else chr(10) end || chr(10) || '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' || chr(10) end as body from documents",
-    "block_upsert_whole": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
+    "block_upsert": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
 }

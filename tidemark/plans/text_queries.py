@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
 from tidemark.functions import values as V
-from tidemark.operators import inspection
+from tidemark.operators import inspection, outbox
+from tidemark.sources import state
 
 from . import oracle as O
 
@@ -73,7 +74,7 @@ def numbered(rows: DataFrame, group: str, order: str, range_rows: int = RANGE_RO
 
 def first_wins_dedupe(spark, sf_dir):
     """The first document of each folded text, numbered in order of ids within its language."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.lower("text"), 256).alias("key"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(text.fold(F.col("text")), 256).alias("key"))
     first = docs.groupBy("key").agg(F.min_by("lang", "doc_id").alias("lang"), F.min("doc_id").alias("doc_id"))
     return numbered(first, "lang", "doc_id").select("doc_id", "ordinal")
 
@@ -81,48 +82,41 @@ def first_wins_dedupe(spark, sf_dir):
 def carry_forward(spark, sf_dir):
     """A role left out at odd turns is that of the turn before."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("own"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return turns.select("conv_id", "turn", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")).alias("role"))
+    return turns.select("conv_id", "turn", F.coalesce(text.carry_forward("own", "conv_id", "turn"), F.lit("")).alias("role"))
 
 
-def retention_expired(spark, sf_dir):
-    """Alerts (even users' events) created up to the cutoff, that day included."""
-    events = _read(spark, sf_dir, "events").where("user_id % 2 = 0 and event_type is not null")
-    cutoff = F.lit(NOW).cast("timestamp_ntz") - F.expr(f"interval {V.ALERT_RETENTION_DAYS} days")
-    return events.where(F.col("ts") <= cutoff).select("event_id")
-
-
-def outbox_order(spark, sf_dir):
-    """Delivery order of each user's pending alerts: by time, then id."""
-    events = _read(spark, sf_dir, "events").where("event_id % 3 <> 0")
-    return events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"))
+def _issues(spark, sf_dir):
+    """Events as issues: those of a type are alerts, a purchase stands for a pull request."""
+    events = _read(spark, sf_dir, "events")
+    body = F.when(F.col("event_type").isNotNull(), F.lit("text <!-- batch:v1:b --> text")).otherwise("text")
+    return events.select(F.col("event_id").alias("number"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), body.alias("body"), F.when(F.col("event_type") == "purchase", "pull").alias("pull_request"))
 
 
-def retention_expired_whole(spark, sf_dir):
-    """As `retention_expired`, of all users: an alert is an event that has a type."""
-    events = _read(spark, sf_dir, "events").where("event_type is not null")
-    cutoff = F.lit(NOW).cast("timestamp_ntz") - F.expr(f"interval {V.ALERT_RETENTION_DAYS} days")
-    return events.where(F.col("ts") <= cutoff).select("event_id")
+def retention_expired(spark, sf_dir):
+    """Alerts created up to the cutoff, that moment included."""
+    return outbox.expired(_issues(spark, sf_dir), f"{NOW}Z").select(F.col("number").alias("event_id"))
 
 
-def outbox_order_whole(spark, sf_dir):
-    """As `outbox_order`, of all events."""
-    events = _read(spark, sf_dir, "events")
-    return events.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("position"))
+def outbox_order(spark, sf_dir):
+    """Delivery order of each user's events as pending batches: by time, then id."""
+    batches = _read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("created_at"), F.col("event_id").cast("string").alias("batch_id"))
+    return outbox.ordered(batches, "user_id").select("event_id", "position")
 
 
 def retry_eligible(spark, sf_dir):
     """Failed scans below the bound of attempts, with an issue, whose entry is known."""
-    events = _read(spark, sf_dir, "events")
-    scans = events.select("event_id", "user_id", (F.col("event_id") % 4 == 0).alias("failed"), (F.col("event_id") % 3).alias("attempts"), (F.col("event_id") % 5).alias("issue"))
-    known = events.where("event_id % 7 <> 0").select("user_id").distinct()
-    return scans.where(F.col("failed") & (F.col("attempts") < V.SCAN_ATTEMPTS) & (F.col("issue") >= 1)).join(known, "user_id", "left_semi").select("event_id")
+    events = _read(spark, sf_dir, "events").withColumn("canonical_id", F.col("user_id").cast("string"))
+    status = F.when(F.col("event_id") % 4 == 0, "failed").otherwise("partial")
+    scans = events.select("event_id", "canonical_id", status.alias("status"), (F.col("event_id") % 3).alias("attempt_count"), (F.col("event_id") % 5).alias("issue_number"))
+    history = events.where("event_id % 7 <> 0").select("canonical_id").distinct()
+    return outbox.retryable(scans, history).select("event_id")
 
 
 def overlay_targets(spark, sf_dir):
     """Targets for each user: a backfill covers a delivery, which covers a retry."""
-    events = _read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 3).alias("kind"))
-    return events.groupBy("user_id").agg(F.min_by("event_id", F.struct(-F.col("kind"), F.col("event_id"))).alias("target"), F.max("kind").alias("kind"))
+    events = _read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("canonical_id"), F.col("event_id").alias("issue_number"))
+    of = lambda kind: events.where(F.col("event_id") % 3 == kind)
+    return outbox.scan_targets(of(0), of(1), of(2)).select(F.col("canonical_id").alias("user_id"), F.col("issue_number").alias("target"), "origin")
 
 
 def json_props_feed(spark, sf_dir):
@@ -132,17 +126,17 @@ def json_props_feed(spark, sf_dir):
 
 
 def marker_lookup(spark, sf_dir):
-    """Batch ids found in texts: pulled out once, then joined by equality."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("<!-- batch:v1:"), (F.col("doc_id") % 50).cast("string"), F.lit(" -->")).alias("body"))
-    found = docs.select("doc_id", F.regexp_extract("body", r"<!-- batch:v1:(\w+) -->", 1).alias("batch_id"))
-    batches = spark.range(0, 60, 2).select(F.col("id").cast("string").alias("batch_id"))
-    return found.join(batches, "batch_id").groupBy("batch_id").agg(F.min("doc_id").alias("first_issue"))
+    """The first issue with each batch's mark, which is pulled out of the bodies once and not searched for."""
+    body = F.concat("text", F.lit("<!-- batch:v1:"), (F.col("doc_id") % 50).cast("string"), F.lit(" -->"))
+    issues = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), body.alias("body"), F.when(F.col("doc_id") % 7 == 3, "pull").alias("pull_request"))
+    return outbox.sent_marks(issues).select("batch_id", F.col("issue_number").alias("first_issue"))
 
 
 def anchor_extract(spark, sf_dir):
     """Links of pages with their text, in order."""
-    pages = _read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">[^<]*</a>'), 1)).alias("position", "href"))
-    return pages.groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", "position").alias("first_href"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.posexplode(inspection.anchors(F.col("html"))).alias("position", "a"))
+    links = pages.select("page_id", "position", inspection.href(F.col("a")).alias("href")).where("href <> ''")
+    return links.groupBy("page_id").agg(F.count("*").alias("n"), F.min_by("href", "position").alias("first_href"))
 
 
 _PAGES = ["<form>Please sign in</form>", "<p>This JOB is no longer\n available</p>", "<script src=recaptcha></script>", "Step 1 of 2", "Log in to continue step 2", "nothing", "Multi-step form"]
@@ -161,10 +155,11 @@ _LABEL_VALUES = "select * from (values " + ", ".join(f"({i}, '{x}', {'null' if i
 
 
 def question_categorize(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.substring_index("text", "\n", 1).alias("label"), F.lit(None).cast("string").alias("section"))
+    """Labels and whole documents as labels; what is left of them is shown as a digest."""
+    docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("label"), F.lit(None).cast("string").alias("section"))
     rows = spark.sql(_LABEL_VALUES).select(F.col("id").cast("long").alias("id"), "label", "section").union(docs)
     found = rows.select("id", text.label(F.col("label")).alias("clean"), text.question_category(F.col("label"), F.col("section")).alias("category"), "label")
-    return found.select("id", "clean", "category", text.is_custom_question(F.col("label"), F.col("category")).alias("is_custom"))
+    return found.select("id", F.sha2("clean", 256).alias("clean_sha256"), "category", text.is_custom_question(F.col("label"), F.col("category")).alias("is_custom"))
 
 
 _TYPES = ["input_text", "Multi Select", "textarea", "checkbox", "select", "date-time", "TEL", "", "datetime", "multi_value_single_select"]
@@ -186,17 +181,12 @@ def redact_message(spark, sf_dir):
     return docs.select("doc_id", text.safe_message(F.col("m")).alias("message"))
 
 
-def markdown_escape_whole(spark, sf_dir):
-    """Digests of whole texts as escaped; `markdown_escape` shows their first 300 characters, as its oracle does."""
+def markdown_escape(spark, sf_dir):
+    """Digests of whole texts as escaped."""
     docs = _read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(text.markdown_cell(F.col("text")), 256).alias("cell_sha256"), F.sha2(text.escape_text(F.col("text")), 256).alias("escaped_sha256"))
 
 
-def markdown_escape(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(300)).alias("t"))
-    return docs.select("doc_id", text.markdown_cell(F.col("t")).alias("cell"), text.escape_text(F.col("t")).alias("escaped"))
-
-
 def option_sets(spark, sf_dir):
     """Answer options in order, the first of each kind regardless of case."""
     parts = _read(spark, sf_dir, "part").select("p_size", "p_partkey", "p_type")
@@ -205,17 +195,18 @@ def option_sets(spark, sf_dir):
 
 
 def sensitive_keys(spark, sf_dir):
-    """Metadata without the keys that mustn't be kept."""
-    events = _read(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("Auth_Token"), F.lit("x"), F.lit("kind"), F.col("event_type"), F.concat(F.lit("session"), F.col("user_id").cast("string")), F.lit("y")).alias("m"))
-    kept = F.map_filter("m", lambda k, v: ~text.has_any(F.replace(F.lower(k), F.lit("_"), F.lit("")), V.SENSITIVE))
-    return events.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";").alias("metadata"))
+    """Metadata without the keys that mustn't be kept, at any depth, and with the others in order."""
+    inner = F.struct(F.lit("p").alias("Pass_word"), F.col("event_id").alias("k"))
+    data = F.struct(F.lit("x").alias("Auth_Token"), F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("sessionId"), F.array(inner, inner).alias("n")).alias("deep"), F.lit("y").alias("csrf"))
+    events = _read(spark, sf_dir, "events").select("event_id", F.to_json(data, {"ignoreNullFields": "false"}).alias("m"))
+    return events.select("event_id", state.pruned(F.col("m")).alias("metadata"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        url_canonicalize, url_dedupe_best, url_safe_public, text_normalize, first_wins_dedupe, carry_forward, retention_expired, retention_expired_whole, outbox_order, outbox_order_whole, retry_eligible, overlay_targets,
-        json_props_feed, marker_lookup, anchor_extract, page_signals, question_categorize, field_type_map, tri_state_required, redact_message, markdown_escape, markdown_escape_whole, option_sets, sensitive_keys,
+        url_canonicalize, url_dedupe_best, url_safe_public, text_normalize, first_wins_dedupe, carry_forward, retention_expired, outbox_order, retry_eligible, overlay_targets,
+        json_props_feed, marker_lookup, anchor_extract, page_signals, question_categorize, field_type_map, tri_state_required, redact_message, markdown_escape, option_sets, sensitive_keys,
     )
 }
 
@@ -233,24 +224,21 @@ ORACLE_SQL = {
     "url_dedupe_best": f"with {O.links('pages', 'url', 'x')} select l_clean as bare, min(page_id) as first_page, arg_min(url, row(-length(url), page_id)) as longest_url, string_agg(distinct url, ' ' order by url) as aliases, count(*) as n from x group by l_clean",
     "url_safe_public": f"with v as ({_TARGET_VALUES}), r as (select id::bigint as id, url from v union all select page_id + 1000, url from pages), {O.links('r', 'url', 'x')}, y as (select id, l_url, l_host as h, regexp_full_match(l_host, '((25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[1-9]?[0-9])(\\.(?!$)|$)){{4}}') as four from (select * replace (rtrim(l_host, '.') as l_host) from x))".replace("(\\.(?!$)|$)", "\\.?") + f", z as (select *, case when four and len(string_split(h, '.')) = 4 then list_reduce(list_transform(string_split(h, '.'), lambda o: o::bigint), lambda a, b: a * 256 + b) end as n from y) select id, regexp_matches(lower(l_url), '^https?://') and h not in ('', 'localhost') and h not like '%.localhost' and (n is null or not ({_pub})) as is_safe from z",
     "text_normalize": f"select doc_id, sha256({O.fold('text')}) as folded_sha256 from documents",
-    "first_wins_dedupe": "select doc_id, row_number() over (partition by lang order by doc_id) as ordinal from (select arg_min(lang, doc_id) as lang, min(doc_id) as doc_id from documents group by lower(text))",
+    "first_wins_dedupe": f"select doc_id, row_number() over (partition by lang order by doc_id) as ordinal from (select arg_min(lang, doc_id) as lang, min(doc_id) as doc_id from documents group by {O.fold('text')})",
+    "retention_expired": f"select event_id from events where event_type is not null and event_type <> 'purchase' and date_trunc('second', ts) <= timestamp '{NOW}' - interval {V.ALERT_RETENTION_DAYS} days",
+    "outbox_order": "select event_id, row_number() over (partition by user_id order by ts, event_id::varchar) as position from events",
     "carry_forward": "select conv_id, turn, coalesce(last_value(case when turn % 2 = 0 then role end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row), '') as role from conversations",
-    "retention_expired": f"select event_id from events where user_id % 2 = 0 and event_type is not null and ts <= timestamp '{NOW}' - interval {V.ALERT_RETENTION_DAYS} days",
-    "outbox_order": "select event_id, row_number() over (partition by user_id order by ts, event_id) as position from events where event_id % 3 <> 0",
-    "retention_expired_whole": f"select event_id from events where event_type is not null and ts <= timestamp '{NOW}' - interval {V.ALERT_RETENTION_DAYS} days",
-    "outbox_order_whole": "select event_id, row_number() over (partition by user_id order by ts, event_id) as position from events",
     "retry_eligible": f"select event_id from events e where event_id % 4 = 0 and event_id % 3 < {V.SCAN_ATTEMPTS} and event_id % 5 >= 1 and exists (select 1 from events k where k.user_id = e.user_id and k.event_id % 7 <> 0)",
-    "overlay_targets": "select user_id, arg_min(event_id, row(-(event_id % 3), event_id)) as target, max(event_id % 3) as kind from events group by user_id",
+    "overlay_targets": "select user_id, arg_min(event_id, row(-(event_id % 3), event_id)) as target, case max(event_id % 3) when 0 then 'retry' when 1 then 'delivery' else 'backfill' end as origin from events group by user_id",
     "json_props_feed": "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "marker_lookup": "select (doc_id % 50)::varchar as batch_id, min(doc_id) as first_issue from documents where doc_id % 50 % 2 = 0 group by 1",
-    "anchor_extract": "with m as (select page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)[1:50] as h from pages) select page_id, len(h) as n, h[1] as first_href from m where len(h) > 0",
+    "marker_lookup": "select (doc_id % 50)::varchar as batch_id, min(doc_id) as first_issue from documents where doc_id % 7 <> 3 group by 1",
+    "anchor_extract": "with m as (select page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>'), lambda a: regexp_extract(a, '(?is)^<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']+)', 1)), lambda h: h <> '') as h from pages) select page_id, len(h) as n, replace(h[1], '&amp;', '&') as first_href from m where len(h) > 0",
     "page_signals": f"with v as ({_PAGE_VALUES}), r as (select id::bigint as id, html from v union all select page_id + 1000, html from pages), t as (select id, lower(regexp_replace(html, '\\s+', ' ', 'g')) as t from r), s as (select id, {_any('t', V.CAPTCHA)} as captcha, {_any('t', V.LOGIN)} as login, {_any('t', V.CLOSED)} as closed, {_steps} as multi_step from t), k as (select *, {_verdict} as k from s) select id, captcha, login, closed, multi_step, case when k in ('login_fields', 'steps', 'fields') then 'partial' else 'unavailable' end as status, {_reason} as reason from k",
-    "question_categorize": f"with v as ({_LABEL_VALUES}), r as (select id::bigint as id, label, section from v union all select doc_id + 1000, string_split(text, chr(10))[1], null from documents), c as (select id, {_label('label')} as clean, section from r), l as (select *, lower(clean) as low from c), k as (select *, {_cats} as category from l) select id, clean, category, category = 'job_specific' or (category = 'other' and (contains(clean, '?') or len(list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> '')) >= 5)) as is_custom from k",
+    "question_categorize": f"with v as ({_LABEL_VALUES}), r as (select id::bigint as id, label, section from v union all select doc_id + 1000, text, null from documents), c as (select id, {_label('label')} as clean, section from r), l as (select *, lower(clean) as low from c), k as (select *, {_cats} as category from l) select id, sha256(clean) as clean_sha256, category, category = 'job_specific' or (category = 'other' and (contains(clean, '?') or len(list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> '')) >= 5)) as is_custom from k",
     "field_type_map": f"with v as ({_TYPE_VALUES}), r as (select *, replace(replace(trim(lower(coalesce(nullif(kind, ''), 'unknown'))), '-', '_'), ' ', '_') as r from v), k as (select *, {_kinds} as t from r) select id, case when multiple and t in ('single_select', 'checkbox') then 'multi_select' else t end as field_type from k",
     "tri_state_required": "select l_orderkey, bool_or(case l_returnflag when 'R' then true when 'A' then false end) as required from lineitem group by l_orderkey",
-    "redact_message": "select doc_id, left(regexp_replace(regexp_replace('see https://x.example/' || doc_id || ' auth_token=' || source || '; ' || left(text, 600), '(?i)https?://[^\\s''\"<>]+', '<url>', 'g'), '(?i)\\b(cookie|csrf(?:[_ -]?token)?|(?:access|auth|refresh|session|id)?[_ -]?token|authorization)\\s*[=:]\\s*[^\\s,;]+', '\\1=<redacted>', 'g'), 500) as message from documents",
-    "markdown_escape": "select doc_id, replace(replace(replace(replace(t, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>') as cell, replace(replace(replace(replace(replace(replace(replace(t, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ') as escaped from (select doc_id, left(text, 300) as t from documents)",
-    "markdown_escape_whole": "select doc_id, sha256(replace(replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>')) as cell_sha256, sha256(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ')) as escaped_sha256 from documents",
+    "redact_message": "select doc_id, left(regexp_replace(regexp_replace('see https://x.example/' || doc_id || ' auth_token=' || source || '; ' || text, '(?i)https?://[^\\s''\"<>]+', '<url>', 'g'), '(?i)\\b(cookie|csrf(?:[_ -]?token)?|(?:access|auth|refresh|session|id)?[_ -]?token|authorization)\\s*[=:]\\s*[^\\s,;]+', '\\1=<redacted>', 'g'), 500) as message from documents",
+    "markdown_escape": "select doc_id, sha256(replace(replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>')) as cell_sha256, sha256(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ')) as escaped_sha256 from documents",
     "option_sets": "with f as (select p_size, lower(p_type) as key, arg_min(p_type, p_partkey) as option, min(p_partkey) as pk from part group by p_size, lower(p_type)) select p_size, string_agg(option, '; ' order by pk) as options from f group by p_size",
-    "sensitive_keys": "select event_id, 'kind=' || coalesce(event_type, '') as metadata from events",
+    "sensitive_keys": "select event_id, '{\"deep\": {\"n\": [{\"k\": ' || event_id || '}, {\"k\": ' || event_id || '}]}, \"kind\": ' || coalesce('\"' || event_type || '\"', 'null') || '}' as metadata from events",
 }

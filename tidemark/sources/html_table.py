@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -15,7 +15,7 @@ SECTION = r"(?ims)^##\s+[^\n]*Software Engineering Internship Roles[ \t]*$(.*?)(
 HEADER = ["company", "role", "location", "application", "age"]
 # Marks of continued companies, and of presentation.
 CONTINUED, PRESENTATION, HOT = ["↳", "â†³"], "🔥🛂🇺🇸🎓🔒", "🔥"
-OWN_HOST = "simplify.jobs"
+OWN_HOST, SEASON = "simplify.jobs", "Summer 2027"
 
 
 class _Cells(HTMLParser):
@@ -23,7 +23,7 @@ class _Cells(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.found, self.row, self.column, self.texts, self.links, self.link = [], -1, -1, None, [], None
+        self.found, self.row, self.column, self.texts, self.links, self.link, self.summaries = [], -1, -1, None, [], None, 0
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
@@ -34,6 +34,8 @@ class _Cells(HTMLParser):
             self.column, self.texts, self.links = self.column + 1, [], []
         elif self.texts is not None and tag == "br":
             self.texts.append("\n")
+        elif self.texts is not None and tag == "summary":
+            self.summaries += 1
         elif self.texts is not None and tag == "a":
             self.link = {"href": given.get("href") or "", "text": [], "alts": []}
             self.links.append(self.link)
@@ -45,19 +47,22 @@ class _Cells(HTMLParser):
             self._close()
         elif tag == "a":
             self.link = None
+        elif tag == "summary" and self.summaries:
+            self.summaries -= 1
 
     def handle_data(self, data):
         if self.texts is not None:
-            self.texts.append(data)
+            if not self.summaries:  # a summary only counts the places behind it
+                self.texts.append(data)
             if self.link is not None:
                 self.link["text"].append(data)
 
     def _close(self):
         if self.texts is not None:
-            lines = [" ".join(x.split()) for x in "".join(self.texts).split("\n")]
+            shown = " ".join("".join(self.texts).replace("\n", " | ").split())
             links = [(x["href"].strip(), "".join(x["text"]).strip(), [a.strip().lower() for a in x["alts"]]) for x in self.links if x["href"].strip()]
-            self.found.append((self.row, self.column, " | ".join(x for x in lines if x), links))
-        self.texts, self.link = None, None
+            self.found.append((self.row, self.column, shown, links))
+        self.texts, self.link, self.summaries = None, None, 0
 
 
 @udtf(returnType="row int, column int, cell string, links array<struct<href: string, text: string, alts: array<string>>>")
@@ -70,19 +75,38 @@ class TableCells:
         yield from cells.found
 
 
+def _section():
+    """The text behind the section's heading; null if there is none."""
+    return F.when(F.col("body").rlike(SECTION), F.regexp_extract("body", SECTION, 1))
+
+
+def _headers(all_cells: DataFrame) -> DataFrame:
+    """`(source_id, names, fit)`: the names of the first row, and whether they are the expected ones."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda x: F.lower(x["cell"]))
+    header = all_cells.where("row = 0").groupBy("source_id").agg(names.alias("names"))
+    return header.withColumn("fit", (F.size("names") == len(HEADER)) & F.forall(F.array(*map(F.lit, HEADER)), lambda n: F.array_contains("names", n)))
+
+
+def diagnose(documents: DataFrame) -> DataFrame:
+    """`(source_id, category, candidates, parsed, skipped, error)`: one row for each document; a table without valid rows has an error."""
+    parsed = parse(documents).groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
+    known = documents.select("source_id", _section().isNotNull().alias("there")).join(_headers(cells(documents)).drop("names"), "source_id", "left").join(parsed, "source_id", "left").fillna(0, ["candidates", "parsed"])
+    error = F.when(~F.coalesce("there", F.lit(False)), "no section of the expected name").when(F.col("fit").isNull(), "empty table").when(~F.col("fit"), "unexpected header").when(F.col("parsed") == 0, "no valid rows")
+    return known.select("source_id", F.lit("Software Engineering").alias("category"), "candidates", "parsed", (F.col("candidates") - F.col("parsed")).alias("skipped"), error.alias("error"))
+
+
 def cells(documents: DataFrame) -> DataFrame:
     """`(source_id, row, column, cell, links)` of the section's table."""
     spark = documents.sparkSession
     spark.udtf.register("table_cells", TableCells)
-    found = documents.select("source_id", F.regexp_extract("body", SECTION, 1).alias("section"))
+    found = documents.select("source_id", _section().alias("section"))
     return spark.sql("select d.source_id, c.* from {found} d, lateral table_cells(d.section) c", found=found)
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """`(source_id, row, company, position, location, application_url, source_url, source_job_id, age, category, valid)`."""
+    """`(source_id, row, company, position, location, application_url, source_url, source_job_id, age, category, season, source_metadata, valid)`."""
     all_cells = cells(documents)
-    header = all_cells.where("row = 0").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda x: F.lower(x["cell"])).alias("names"))
-    good = header.where((F.size("names") == len(HEADER)) & F.forall(F.array(*map(F.lit, HEADER)), lambda n: F.array_contains("names", n)))
+    good = _headers(all_cells).where("fit").drop("fit")
     rows = all_cells.where("row > 0").groupBy("source_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "cell", "links"))), lambda x: F.struct(x["cell"].alias("cell"), x["links"].alias("links"))).alias("c"))
     rows = rows.join(good, "source_id").withColumn("fits", F.size("c") == len(HEADER))
     at = lambda name: F.try_element_at("c", F.array_position("names", F.lit(name)).cast("int"))
@@ -90,9 +114,8 @@ def parse(documents: DataFrame) -> DataFrame:
 
     shown = F.trim(F.regexp_replace(F.translate("company", PRESENTATION, ""), r"(?U)\s+", " "))
     continued = F.trim("company").isin(CONTINUED)
-    w = Window.partitionBy("source_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.when(F.col("fits") & ~continued, F.nullif(shown, F.lit("")))
-    company = F.when(continued, F.last(own, ignorenulls=True).over(w)).otherwise(own)
+    named = named.withColumn("own", F.when(F.col("fits") & ~continued, F.nullif(shown, F.lit(""))))
+    company = F.when(continued, text.carry_forward("own", "source_id", "row")).otherwise(F.col("own"))
 
     direct = lambda link: ~urls.host(link["href"]).endswith(OWN_HOST)
     pick = lambda test: F.try_element_at(F.filter("links", test), F.lit(1))["href"]
@@ -102,5 +125,6 @@ def parse(documents: DataFrame) -> DataFrame:
         "source_id", "row", company.alias("company"), text.nonempty(F.col("role")).alias("position"), text.nonempty(F.col("location")).alias("location"), link.alias("application_url"),
         source_url.alias("source_url"), urls.aggregator_job_id(source_url).alias("source_job_id"), text.nonempty(F.col("age")).alias("age"),
         F.when(F.col("company").contains(HOT), "FAANG+").otherwise("Unknown").alias("category"), "fits",
+        F.lit(SEASON).alias("season"), F.map_filter(F.create_map(F.lit("simplify_url"), source_url), lambda k, v: v.isNotNull()).alias("source_metadata"),
     )
     return out.withColumn("valid", F.col("fits") & F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())).drop("fits")

@@ -2,38 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.functions import values as V
 
 FIELDS = ["id", "company", "title", "location", "category", "season", "eligibility", "matchKind", "listingUrl", "url", "posted", "age"]
-_SCHEMA = "struct<updatedAt: string, jobs: array<struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">>>"
+CATEGORY = "Software Engineering"
+
+
+def _kind(variant: str) -> Column:
+    return F.coalesce(F.expr(f"schema_of_variant({variant})"), F.lit(""))
+
+
+def _string(variant: str, field: str) -> Column:
+    """A field that is a string, trimmed and not empty; numbers and other values are none."""
+    at = f"try_variant_get({variant}, '$.{field}', 'variant')"
+    return F.when(_kind(at) == "STRING", text.nonempty(F.expr(f"try_variant_get({variant}, '$.{field}', 'string')")))
 
 
 def rows(documents: DataFrame) -> DataFrame:
-    """`(source_id, index, <fields>, updated_at, error)`: one row for each job, or one with an error for a broken feed."""
-    parsed = documents.select("source_id", F.from_json("body", _SCHEMA).alias("d"))
-    jobs = parsed.select("source_id", F.col("d.updatedAt").alias("updated_at"), F.col("d.jobs").isNull().alias("error"), F.posexplode_outer("d.jobs").alias("index", "j"))
-    return jobs.select("source_id", "index", *(text.nonempty(F.col(f"j.{f}")).alias(f) for f in FIELDS), text.nonempty(F.col("updated_at")).alias("updated_at"), "error")
+    """`(source_id, index, <fields>, updated_at, object, error)`: one row for each job, or one with an error for a broken feed."""
+    parsed = documents.select("source_id", F.try_parse_json("body").alias("d"))
+    there = _kind("try_variant_get(d, '$.jobs', 'variant')").startswith("ARRAY")
+    error = F.when(F.col("d").isNull(), "not valid JSON").when(~there, "no array of jobs")
+    told = parsed.select("source_id", _string("d", "updatedAt").alias("updated_at"), error.alias("error"), F.expr("try_variant_get(d, '$.jobs', 'array<variant>')").alias("jobs"))
+    jobs = told.select("source_id", "updated_at", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("jobs"))).alias("index", "j"))
+    return jobs.select("source_id", "index", *(_string("j", f).alias(f) for f in FIELDS), "updated_at", _kind("j").startswith("OBJECT").alias("object"), "error")
 
 
-def _observations(jobs: DataFrame, category, kept_keys: list[str]) -> DataFrame:
+def _observations(jobs: DataFrame, category: Column, season: Column, kept_keys: list[str]) -> DataFrame:
     link = F.coalesce("listingUrl", "url")
     pairs = [F.lit(k) if i == 0 else F.col(k) for k in kept_keys for i in (0, 1)]
     metadata = F.map_filter(F.create_map(*pairs, F.lit("feedUpdatedAt"), F.col("updated_at")), lambda k, v: v.isNotNull())
-    out = jobs.select("source_id", "index", "company", F.col("title").alias("position"), "location", link.alias("application_url"), F.col("id").alias("source_job_id"), F.col("url").alias("source_url"), "posted", "age", "season", category.alias("category"), metadata.alias("source_metadata"))
+    out = jobs.select("source_id", "index", "company", F.col("title").alias("position"), "location", link.alias("application_url"), F.col("id").alias("source_job_id"), F.col("url").alias("source_url"), "posted", "age", season.cast("string").alias("season"), category.alias("category"), metadata.alias("source_metadata"))
     whole = F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())
     return out.withColumn("valid", whole)
 
 
 def internships(documents: DataFrame) -> DataFrame:
-    jobs = rows(documents).where("not error and lower(category) = 'software engineering'")
-    return _observations(jobs, F.lit("Software Engineering"), ["id", "url", "listingUrl", "category", "season", "posted", "age"])
+    jobs = rows(documents).where(f"error is null and lower(category) = '{CATEGORY.lower()}'")
+    return _observations(jobs, F.lit(CATEGORY), F.col("season"), ["id", "url", "listingUrl", "category", "season", "posted", "age"])
 
 
 def new_graduates(documents: DataFrame) -> DataFrame:
     """Early-career rows whose title names software work; the feed has no categories."""
-    jobs = rows(documents).where(~F.col("error") & F.col("eligibility").isin(V.LEVELS) & text.has_any(F.lower("title"), V.TITLE_TOKENS))
-    return _observations(jobs.withColumn("season", F.lit(None).cast("string")), F.lit("Unknown"), ["id", "url", "listingUrl", "eligibility", "matchKind", "posted", "age"])
+    jobs = rows(documents).where(F.col("error").isNull() & F.col("eligibility").isin(V.LEVELS) & text.has_any(F.lower("title"), V.TITLE_TOKENS))
+    return _observations(jobs, F.lit("Unknown"), F.lit(None), ["id", "url", "listingUrl", "eligibility", "matchKind", "posted", "age"])
+
+
+def diagnose(documents: DataFrame, parse=internships) -> DataFrame:
+    """`(source_id, category, candidates, parsed, skipped, error)`: one row for each document; a feed without valid rows has an error.
+
+    Candidates are all jobs of the feed; skipped ones aren't objects, or are in scope and lack what is required.
+    """
+    feed = rows(documents).groupBy("source_id").agg(F.count("index").alias("candidates"), F.count_if(F.col("index").isNotNull() & ~F.col("object")).alias("broken"), F.max("error").alias("feed_error"))
+    kept = parse(documents).groupBy("source_id").agg(F.count_if("valid").alias("parsed"), F.count_if(~F.col("valid")).alias("lacking"))
+    known = feed.join(kept, "source_id", "left").fillna(0, ["parsed", "lacking"])
+    error = F.coalesce("feed_error", F.when(F.col("parsed") == 0, "no valid rows"))
+    return known.select("source_id", F.lit(CATEGORY).alias("category"), "candidates", "parsed", (F.col("broken") + F.col("lacking")).alias("skipped"), error.alias("error"))

@@ -48,23 +48,27 @@ def sections(documents: DataFrame) -> DataFrame:
     return documents.select("source_id", F.explode(F.array(*each)).alias("s")).select("source_id", "s.*")
 
 
-def table_rows(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, line, cells, header, separated)` of the rows behind the header of each section."""
+def table_lines(documents: DataFrame) -> DataFrame:
+    """`(source_id, category, line, row, cells, header, separated, stray)` of every line of each section.
+
+    header: the place and names of the first line with all required names, null if there is none; separated: whether
+    the line behind it is a separator; stray: whether something that isn't a row is behind both.
+    """
     lines = sections(documents).where("section is not null").select("source_id", "category", F.posexplode(F.split("section", r"\r?\n")).alias("line", "row"))
-    parsed = lines.where(F.trim("row") != "").withColumn("cells", cells(F.col("row"))).where("cells is not null")
+    parsed = lines.withColumn("row", F.trim("row")).withColumn("cells", cells(F.col("row")))
     names = F.transform("cells", lambda c: F.lower(text.clean_cell(c)))
     is_header = F.forall(F.array(*map(F.lit, ("company", "position", "location"))), lambda n: F.array_contains(names, n)) & F.arrays_overlap(names, F.array(*map(F.lit, COLUMNS["posting"])))
-    w = Window.partitionBy("source_id", "category").orderBy("line")
-    known = parsed.withColumn("header", F.first(F.when(is_header, F.struct("line", names.alias("names"))), ignorenulls=True).over(w)).where("header is not null")
-    known = known.withColumn("number", F.row_number().over(w))
+    w = Window.partitionBy("source_id", "category")
+    known = parsed.withColumn("header", F.min(F.when(is_header, F.struct("line", names.alias("names")))).over(w))
     is_separator = (F.size("cells") == F.size("header.names")) & F.forall("cells", lambda c: c.rlike("^:?-{3,}:?$"))
-    separated = F.max(F.when((F.col("number") == 2) & is_separator, True)).over(Window.partitionBy("source_id", "category"))
-    return known.withColumn("separated", F.coalesce(separated, F.lit(False))).where("number > 2")
+    behind = F.col("line") - F.col("header.line")
+    flags = {"separated": F.max((behind == 1) & is_separator).over(w), "stray": F.max((behind > 1) & (F.col("row") != "") & F.col("cells").isNull()).over(w)}
+    return known.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
 def parse(documents: DataFrame) -> DataFrame:
     """`(source_id, category, line, company, position, location, salary, age, application_url, source_url, valid)` of every row."""
-    rows = table_rows(documents).where("separated")
+    rows = table_lines(documents).where("separated and not stray and cells is not null and line > header.line + 1")
     # 1 + the place of the first name that the header has
     at = lambda field: F.coalesce(*(F.nullif(F.array_position("header.names", F.lit(n)), F.lit(0).cast("long")) for n in COLUMNS[field])).cast("int")
     cell = lambda field: F.try_element_at(F.col("cells"), at(field))
@@ -75,14 +79,26 @@ def parse(documents: DataFrame) -> DataFrame:
     return out.withColumns({"source_url": F.col("application_url"), "valid": whole}).drop("fits")
 
 
+def diagnose(documents: DataFrame) -> DataFrame:
+    """`(source_id, category, candidates, parsed, skipped, error)`: one row for every expected category of every document."""
+    tables = table_lines(documents).groupBy("source_id", "category").agg(F.max("header").isNotNull().alias("headed"), F.max("separated").alias("separated"), F.max("stray").alias("stray"))
+    counts = parse(documents).groupBy("source_id", "category").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
+    each = sections(documents).select("source_id", "category", F.col("section").isNotNull().alias("marked"))
+    known = each.join(tables, ["source_id", "category"], "left").join(counts, ["source_id", "category"], "left")
+    known = known.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("candidates", "parsed")}).withColumn("skipped", F.col("candidates") - F.col("parsed"))
+    error = (
+        F.when(~F.col("marked"), "not exactly one pair of markers in order")
+        .when(~F.coalesce("headed", F.lit(False)), "no compatible table")
+        .when(~F.col("separated"), "no separator behind the header")
+        .when(F.col("stray"), "something else than rows behind the header")
+        .when((F.col("candidates") > 0) & (F.col("parsed") == 0), "none of the rows could be parsed")
+        .when((F.col("skipped") >= MANY_SKIPPED) & (F.col("skipped") > F.col("parsed")), "more rows malformed than parsed")
+    )
+    return known.select("source_id", "category", "candidates", "parsed", "skipped", error.alias("error"))
+
+
 def health(rows: DataFrame) -> DataFrame:
-    """Counts by category, and whether its rows may change the history."""
+    """Counts by category of rows that there are, and whether these may change the history; `diagnose` also knows of tables without rows."""
     found = rows.groupBy("source_id", "category").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
     skipped = F.col("candidates") - F.col("parsed")
     return found.select("*", skipped.alias("skipped"), ((F.col("parsed") > 0) & ~((skipped >= MANY_SKIPPED) & (skipped > F.col("parsed")))).alias("healthy"))
-
-
-def healthy_rows(rows: DataFrame) -> DataFrame:
-    """Valid rows of sources all of whose categories are healthy."""
-    sick = health(rows).where("not healthy").select("source_id").distinct()
-    return rows.where("valid").join(sick, "source_id", "left_anti")

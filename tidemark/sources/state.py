@@ -1,9 +1,11 @@
 """Stored histories as JSON: the present layout, and the old one by link."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text, urls
 from tidemark.functions import values as V
@@ -58,3 +60,33 @@ def scan_violations(scans: DataFrame) -> DataFrame:
     }
     broken = F.filter(F.array(*(F.when(test, name) for name, test in rules.items())), lambda x: x.isNotNull())
     return scans.select("canonical_id", F.explode(broken).alias("violation"))
+
+
+def key_names(record: Column) -> Column:
+    """All keys of a JSON text, at any depth: its strings that a colon follows."""
+    strings = F.regexp_extract_all(record, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), 1)
+    keys = F.filter(strings, lambda x: x.endswith(":"))
+    return F.transform(keys, lambda x: text.key_name(x))
+
+
+def prohibited(record: Column) -> Column:
+    """Whether a JSON text has, at any depth, a key that a stored scan must not have."""
+    return F.coalesce(F.exists(key_names(record), lambda k: text.has_any(k, PROHIBITED)), F.lit(False))
+
+
+@F.pandas_udf(T.StringType())
+def pruned(record: pd.Series) -> pd.Series:
+    """A JSON text without sensitive keys, at any depth, and with the others sorted; null where it isn't JSON."""
+
+    def kept(value):
+        if isinstance(value, dict):
+            return {k: kept(v) for k, v in sorted(value.items()) if not any(t in "".join(c for c in k.casefold() if c.isalnum()) for t in V.SENSITIVE)}
+        return [kept(v) for v in value] if isinstance(value, list) else value
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(kept(json.loads(text)), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return record.map(one)
