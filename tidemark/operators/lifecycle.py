@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 
-#: What makes an observation another one; ages pass by themselves.
+#: What makes an observation another one; ages pass by themselves, and so do some keys of the metadata.
 MEANINGFUL = ["company", "position", "job_type", "location", "salary", "application_url", "category", "season"]
+#: What also counts where observations have it, and keys of their metadata that don't.
+SOURCED = ["posted", "source_url", "source_job_id", "source_file", "source_label"]
+VOLATILE = ["age", "feedUpdatedAt"]
+
+
+def meaning(observed: DataFrame) -> Column:
+    """What is compared of an observation: columns that it lacks count as null, and metadata as sorted pairs."""
+    parts = [(F.col(c) if c in observed.columns else F.lit(None)).cast("string").alias(c) for c in MEANINGFUL + SOURCED]
+    none = F.lit(None).cast("array<struct<key: string, value: string>>")
+    pairs = F.array_sort(F.map_entries(F.map_filter("source_metadata", lambda k, v: ~k.isin(VOLATILE)))) if "source_metadata" in observed.columns else none
+    return F.struct(*parts, F.when(F.size(pairs) > 0, pairs).alias("metadata"))
 
 
 def answered(members: DataFrame, polls: DataFrame) -> DataFrame:
@@ -22,7 +33,8 @@ def answered(members: DataFrame, polls: DataFrame) -> DataFrame:
 def changes(observed: DataFrame, polls: DataFrame) -> DataFrame:
     """Observations (one for each run, entity and source) with `changed` and `reactivated` against the one before."""
     w = Window.partitionBy("canonical_id", "source_id").orderBy("run_id")
-    differs = ~F.struct(*MEANINGFUL).eqNullSafe(F.lag(F.struct(*MEANINGFUL)).over(w))
+    observed = observed.withColumn("meaning", meaning(observed))
+    differs = ~F.col("meaning").eqNullSafe(F.lag("meaning").over(w))
     out = observed.withColumn("before", F.lag("run_id").over(w)).withColumn("changed", F.col("before").isNull() | differs)
     return _gap(out, polls)
 
@@ -43,9 +55,9 @@ def memberships(observed: DataFrame, polls: DataFrame) -> DataFrame:
         F.max(F.when(F.col("changed") | F.col("reactivated"), F.col("run_id"))).alias("last_seen"),
         F.max("run_id").alias("last_observed"),
     )
-    later = polls.where("ok").select(F.col("run_id").alias("later"), "source_id")
-    gone = pairs.join(later, "source_id").where("later > last_observed").groupBy("canonical_id", "source_id").agg(F.min("later").alias("inactive_at"))
-    out = pairs.join(gone, ["canonical_id", "source_id"], "left")
+    order = Window.partitionBy("source_id").orderBy("run_id")
+    after = polls.where("ok").select("source_id", F.col("run_id").alias("last_observed"), F.lead("run_id").over(order).alias("inactive_at"))
+    out = pairs.join(after, ["source_id", "last_observed"], "left")  # the next answer after the last one that had it
     return out.select("canonical_id", "source_id", "first_seen", "last_seen", "inactive_at", F.col("inactive_at").isNull().alias("active"))
 
 
@@ -56,21 +68,30 @@ def entities(members: DataFrame) -> DataFrame:
 
 
 def activity(observed: DataFrame, polls: DataFrame) -> DataFrame:
-    """`(canonical_id, run_id, active)` from the first run on: each source's last word is carried over failed polls."""
-    pairs = observed.groupBy("canonical_id", "source_id").agg(F.min("run_id").alias("start"))
-    grid = pairs.join(polls.select("run_id", "source_id", "ok"), "source_id").where("run_id >= start")
-    seen = observed.select("canonical_id", "source_id", "run_id", F.lit(True).alias("seen"))
-    w = Window.partitionBy("canonical_id", "source_id").orderBy("run_id")
-    said = F.last(F.when(F.col("ok"), F.coalesce("seen", F.lit(False))), ignorenulls=True).over(w)
-    state = grid.join(seen, ["canonical_id", "source_id", "run_id"], "left").withColumn("active", said)
-    return state.groupBy("canonical_id", "run_id").agg(F.bool_or("active").alias("active"))
+    """`(canonical_id, run_id, active)` at each run in which it may change: an observation, or the answer behind the last one.
+
+    Between these, each source's last word holds, over failed polls too, so no row for every pair and run is made.
+    """
+    order = Window.partitionBy("source_id").orderBy("run_id")
+    answers = polls.where("ok").select("source_id", "run_id", F.lead("run_id").over(order).alias("next"))
+    seen = observed.select("canonical_id", "source_id", "run_id").join(answers, ["source_id", "run_id"])
+    again = F.lead("run_id").over(Window.partitionBy("canonical_id", "source_id").orderBy("run_id"))
+    seen = seen.withColumn("gone", F.when(again.isNull() | (F.col("next") < again), F.col("next")))
+    came = F.lag("gone").over(Window.partitionBy("canonical_id", "source_id").orderBy("run_id"))
+    first = F.row_number().over(Window.partitionBy("canonical_id", "source_id").orderBy("run_id")) == 1
+    steps = seen.withColumn("up", (first | came.isNotNull()).cast("int"))
+    moves = steps.select("canonical_id", "run_id", F.col("up").alias("step")).union(seen.where("gone is not null").select("canonical_id", F.col("gone").alias("run_id"), F.lit(-1)))
+    sums = moves.groupBy("canonical_id", "run_id").agg(F.sum("step").alias("step"))
+    active = F.sum("step").over(Window.partitionBy("canonical_id").orderBy("run_id")) > 0
+    return sums.select("canonical_id", "run_id", active.alias("active"))
 
 
 def transitions(active: DataFrame) -> DataFrame:
-    """For each run, how many entities end and how many come back."""
+    """For each run in which any do, how many entities end and how many come back."""
     w = Window.partitionBy("canonical_id").orderBy("run_id")
     moved = active.withColumn("was", F.lag("active").over(w))
-    return moved.groupBy("run_id").agg(F.count_if(F.col("was") & ~F.col("active")).alias("inactive"), F.count_if(~F.col("was") & F.col("active")).alias("reactivated"))
+    counts = moved.groupBy("run_id").agg(F.count_if(F.col("was") & ~F.col("active")).alias("inactive"), F.count_if(~F.col("was") & F.col("active")).alias("reactivated"))
+    return counts.where("inactive + reactivated > 0")
 
 
 def _folded_location(runs: Column) -> Column:
@@ -128,12 +149,12 @@ def promotions(known: DataFrame, resolved: DataFrame) -> DataFrame:
     return found.groupBy("fallback_id").agg(F.min_by("canonical_id", F.struct("run_id", "canonical_id")).alias("canonical_id"), F.min("run_id").alias("run_id"))
 
 
-def fold(state: DataFrame, observed: DataFrame, run: int, answered_sources: list[str]) -> DataFrame:
+def fold(state: DataFrame, observed: DataFrame, run, answered_sources: list[str]) -> DataFrame:
     """One poll on stored memberships: the incremental form of `memberships`.
 
     state: its columns, the last values (`v`); observed: one row for each entity and source of the run.
     """
-    new = observed.select("canonical_id", "source_id", F.struct(*MEANINGFUL).alias("now"))
+    new = observed.select("canonical_id", "source_id", (F.col("meaning") if "meaning" in observed.columns else meaning(observed)).alias("now"))
     both = state.join(new, ["canonical_id", "source_id"], "full_outer")
     seen, said = F.col("now").isNotNull(), F.col("source_id").isin(answered_sources)
     moved = F.col("first_seen").isNull() | ~F.coalesce("active", F.lit(False)) | ~F.col("v").eqNullSafe(F.col("now"))
@@ -142,7 +163,7 @@ def fold(state: DataFrame, observed: DataFrame, run: int, answered_sources: list
         "source_id",
         F.coalesce("first_seen", F.lit(run)).alias("first_seen"),
         F.when(seen & moved, F.lit(run)).otherwise(F.col("last_seen")).alias("last_seen"),
-        F.when(seen, F.lit(None)).when(said & F.col("active"), F.lit(run)).otherwise(F.col("inactive_at")).cast("int").alias("inactive_at"),
+        F.when(seen, F.lit(None)).when(said & F.col("active"), F.lit(run)).otherwise(F.col("inactive_at")).alias("inactive_at"),
         F.when(seen, True).when(said, False).otherwise(F.col("active")).alias("active"),
         F.coalesce("now", "v").alias("v"),
     )

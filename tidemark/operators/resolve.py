@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text, urls
 
 #: Values that an entity takes from its strongest observation that has them.
-FIRST = ["salary", "age", "category", "season"]
+FIRST = ["salary", "age", "category", "posted", "season"]
 #: Values of which it takes the longest.
 LONGEST = ["company", "position", "location"]
 
@@ -63,7 +63,7 @@ def resolved(members: DataFrame) -> DataFrame:
     named = F.array("application_url", "source_url") if "source_url" in members.columns else F.array("application_url")
     own = F.filter(named, lambda u: u != "")
     links = per_source(members).groupBy("run_id", "canonical_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own)))), " ").alias("url_aliases"))
-    taken = [longest_of(c).alias(c) for c in LONGEST] + [first_of(c).alias(c) for c in FIRST]
+    taken = [longest_of(c).alias(c) for c in LONGEST] + [first_of(c).alias(c) for c in FIRST if c in members.columns]
     best = members.groupBy("run_id", "canonical_id").agg(
         *taken,
         F.min_by("application_url", _order()).alias("application_url"),
@@ -76,6 +76,7 @@ def resolved(members: DataFrame) -> DataFrame:
 
 
 def source_labels(members: DataFrame) -> DataFrame:
-    """The sorted distinct sources of each entity and run, joined."""
-    names = F.array_join(F.array_sort(F.collect_set("source_id")), ", ")
+    """The sorted distinct labels (ids, where sources have none) of each entity's sources and run, joined; `Unknown` if there are none."""
+    label = F.coalesce(F.nullif(F.col("source_label"), F.lit("")), F.col("source_id")) if "source_label" in members.columns else F.col("source_id")
+    names = F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(label, F.lit("")))), ", "), F.lit("")), F.lit("Unknown"))
     return members.groupBy("run_id", "canonical_id").agg(names.alias("labels"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Feeds in order of priority.
 FEEDS = ["feed_a", "feed_b", "feed_c", "feed_d", "feed_e"]
@@ -35,7 +36,9 @@ select obs_id, run_id, source_id, 'Größe & Söhne ' || b as company,
   case when obs_id % 3 = 0 then null else '$' || (100 + obs_id % 50) || 'k' end as salary,
   {_CASE_URL} as application_url, (obs_id % 30) || 'd' as age,
   case cast(obs_id % 4 as int) when 0 then 'Unknown' when 1 then 'Other' when 2 then 'FAANG+' else 'Unknown' end as category,
-  case when form = 2 then 'Summer 2027' end as season
+  case when form = 2 then 'Summer 2027' end as season,
+  case when obs_id % 4 = 1 then 'https://simplify.jobs/p/' || k when obs_id % 4 = 2 then {_CASE_URL} end as source_url,
+  case when obs_id % 6 = 0 then '2026-01-0' || (k % 9) end as posted, 'kind-' || (obs_id % 2) as kind
 from (
   select o_orderkey as obs_id, cast(year(o_orderdate) - 1995 as int) as run_id, {_CASE_FEED} as source_id, o_orderpriority as priority_text,
     k, cast(k % 9 as int) as form, cast(floor(k / 9) as bigint) as b
@@ -48,7 +51,9 @@ POLLS = f"select * from (values {_VALUES}) as t(run_id, source_id, priority, ok)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OBS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    rows = spark.sql(OBS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    metadata = F.create_map(F.lit("kind"), F.col("kind"), F.lit("feedUpdatedAt"), F.col("obs_id").cast("string"))  # of which one key passes by itself
+    return rows.withColumn("source_metadata", metadata).drop("kind")
 
 
 def polls(spark: SparkSession) -> DataFrame:

@@ -53,7 +53,7 @@ def wrapper_attach(spark, sf_dir):
 
 
 def entity_resolution(spark, sf_dir):
-    columns = ["run_id", "canonical_id", "company", "position", "location", "salary", "age", "category", "season", "application_url", "job_type", "url_aliases", "observations"]
+    columns = ["run_id", "canonical_id", "company", "position", "location", "salary", "age", "category", "posted", "season", "application_url", "job_type", "url_aliases", "observations"]
     return resolve.resolved(members(spark, sf_dir)).select(columns)
 
 
@@ -126,9 +126,9 @@ def alias_union(spark, sf_dir):
 
 def alias_subset(spark, sf_dir):
     """Whether a run's links were all known before it."""
-    per_run = members(spark, sf_dir).groupBy("canonical_id", "run_id").agg(F.collect_set("application_url").alias("now"))
-    w = F.flatten(F.collect_list("now").over(lifecycle.Window.partitionBy("canonical_id").orderBy("run_id").rowsBetween(lifecycle.Window.unboundedPreceding, -1)))
-    return per_run.withColumn("known", w).select("canonical_id", "run_id", (F.size(F.array_except("now", "known")) == 0).alias("is_subset"))
+    links = members(spark, sf_dir).select("canonical_id", "run_id", "application_url").distinct()
+    first = F.min("run_id").over(lifecycle.Window.partitionBy("canonical_id", "application_url"))
+    return links.withColumn("first", first).groupBy("canonical_id", "run_id").agg(F.bool_and(F.col("first") < F.col("run_id")).alias("is_subset"))
 
 
 def parse_health(spark, sf_dir):
@@ -181,7 +181,7 @@ ORACLE_SQL = {
     "location_filter": _q(f"obs as ({O.obs_sql()}), t as (select location, {O.fold('location')} as f from obs)", f"select location, count(*) as n from t where regexp_matches(f, '(^| ){_place}( |$)') or {_regions} group by location"),
     "fingerprint": _q(f"obs as ({O.obs_sql()})", f"select obs_id, {O.fingerprint()} as fingerprint from obs"),
     "wrapper_attach": _q(O.member_ctes(), "select obs_id, canonical_id from members where not direct"),
-    "entity_resolution": _q(O.resolved_ctes(), "select run_id, canonical_id, company, position, location, salary, age, category, season, application_url, job_type, url_aliases, observations from resolved"),
+    "entity_resolution": _q(O.resolved_ctes(), "select run_id, canonical_id, company, position, location, salary, age, category, posted, season, application_url, job_type, url_aliases, observations from resolved"),
     "source_labels": _q(O.member_ctes(), "select run_id, canonical_id, string_agg(distinct source_id, ', ' order by source_id) as labels from members group by all"),
     "resolution_counts": _q(O.member_ctes(), "select run_id, count(*) as observations, count(distinct canonical_id) as entities, count(*) - count(distinct canonical_id) as duplicates from members group by run_id"),
     "membership_lifecycle": _q(O.lifecycle_ctes(), _MEMBERSHIPS),

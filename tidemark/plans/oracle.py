@@ -98,14 +98,14 @@ def resolved_ctes() -> str:
     first = lambda c: f"arg_min({c}, {key}) filter (where {c} <> '') as {c}"
     return f"""
 {member_ctes()},
-aliases as (select run_id, canonical_id, string_agg(distinct application_url, ' ' order by application_url) as url_aliases from survivors group by all),
-best as (select run_id, canonical_id, {longest('company')}, {longest('position')}, {longest('location')}, {first('salary')}, {first('age')}, {first('category')}, {first('season')},
+aliases as (select run_id, canonical_id, string_agg(distinct u, ' ' order by u) as url_aliases from (select run_id, canonical_id, unnest([application_url, source_url]) as u from survivors) where u <> '' group by all),
+best as (select run_id, canonical_id, {longest('company')}, {longest('position')}, {longest('location')}, {first('salary')}, {first('age')}, {first('category')}, {first('posted')}, {first('season')},
   arg_min(application_url, {key}) as application_url, arg_min(job_type, {key}) as job_type, arg_min(direct, {key}) as direct, count(*) as observations from members group by run_id, canonical_id),
 resolved as (select b.* replace (coalesce(category, 'Unknown') as category), a.url_aliases from best b join aliases a using (run_id, canonical_id))
 """.strip()
 
 
-MEANINGFUL = "company, position, job_type, location, salary, application_url, category, season"
+MEANINGFUL = "company, position, job_type, location, salary, application_url, category, season, posted, source_url, kind"
 
 
 def lifecycle_ctes() -> str:

@@ -14,8 +14,11 @@ _STATE = "canonical_id string, source_id string, first_seen int, last_seen int,
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that all executors see; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    """A folder that all executors see; a local one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that driver and executors share")
+    root = root or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{root.rstrip('/')}/polls-{uuid.uuid4().hex}"
 
 
@@ -29,13 +32,12 @@ def run_stream(observed: DataFrame, polls: DataFrame) -> DataFrame:
     base = _shared(spark)
     sources = {r["run_id"]: r["s"] for r in polls.where("ok").groupBy("run_id").agg(F.collect_list("source_id").alias("s")).collect()}
     runs = sorted(r["run_id"] for r in polls.select("run_id").distinct().collect())
-    columns = ["run_id", "canonical_id", "source_id", *lifecycle.MEANINGFUL]
-    cached = observed.select(columns).persist()
+    rows = observed.select("run_id", "canonical_id", "source_id", lifecycle.meaning(observed).alias("meaning"))
+    cached = rows.persist()
     for run in runs:
         cached.where(F.col("run_id") == run).write.parquet(f"{base}/in-{run}")
     cached.unpersist()
-    inner = ", ".join(f"{c}: string" for c in lifecycle.MEANINGFUL)
-    empty = spark.createDataFrame([], f"{_STATE}, v struct<{inner}>")
+    empty = spark.createDataFrame([], f"{_STATE}, v {rows.schema['meaning'].dataType.simpleString()}")
 
     state = empty
     for run in runs:
@@ -43,11 +45,9 @@ def run_stream(observed: DataFrame, polls: DataFrame) -> DataFrame:
         def step(batch: DataFrame, number: int, state: DataFrame = state, run: int = run) -> None:
             if number:
                 raise ValueError(f"run {run} came in more than one batch")
-            rows = batch.persist()
-            lifecycle.fold(state, rows, run, sources.get(run, [])).write.mode("overwrite").parquet(f"{base}/state-{run}")
-            rows.unpersist()
+            lifecycle.fold(state, batch, run, sources.get(run, [])).write.mode("overwrite").parquet(f"{base}/state-{run}")
 
-        stream = spark.readStream.schema(observed.select(columns).schema).parquet(f"{base}/in-{run}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in-{run}")
         query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/progress-{run}").trigger(availableNow=True).start()
         query.awaitTermination()
         state = spark.read.schema(empty.schema).parquet(f"{base}/state-{run}")
