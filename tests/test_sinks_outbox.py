@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import settings
 from tidemark.operators import outbox, render, sinks
 from tidemark.sources import connectors, state
 
@@ -72,11 +73,54 @@ def test_block_upsert_is_idempotent(spark):
 
 
 def test_dashboard_and_alerts(spark):
-    rows = spark.createDataFrame([(True, 1, "B|x", "P", "L", None, "s", "u1"), (True, 2, "a", "P", "L", "$1", None, "u2"), (False, 1, "c", "P", "L", None, "s", "u3")], "active boolean, first_seen int, company string, position string, location string, salary string, labels string, application_url string")
-    body = {r["active"]: r["body"] for r in render.dashboard(rows).collect()}
-    assert body[True].splitlines()[2:] == ["| a | P | L | $1 | Unknown | 2 | [Apply](u2) |", "| B\\|x | P | L | N/A | s | 1 | [Apply](u1) |"]
-    alerts = render.alert_bodies(rows.select(F.lit("k").alias("batch_id"), "company", "position", "location", F.col("application_url").alias("canonical_id"), "application_url")).first()
-    assert alerts["title"] == "3 new entries" and alerts["body"].startswith("<!-- batch:v1:k -->")
+    columns = "active boolean, first_seen string, last_seen string, company string, position string, job_type string, category string, location string, salary string, labels string, application_url string"
+    rows = [(True, "2026-01-01", "2026-01-02", "B|x", "P", "J", "K", "L", None, "s", "u1"), (True, "2026-01-03", "2026-01-03", "a", "P", "J", "K", "L", "$1", None, "u2"), (True, "2026-01-01", "2026-01-01", "a", "P", "J", "K", "L", "", "", "u3")]
+    entities = spark.createDataFrame(rows, columns)
+    lines = [r["line"] for r in render.dashboard(entities, "Title", "About.").collect()]
+    head = ["| " + " | ".join(render.COLUMNS) + " |", "|" + "---|" * 11]
+    assert lines == [
+        render.GENERATED, "", "# Title", "", "About.", "", "## Active Jobs (3)", "", *head,
+        "| a | P | J | K | L | Unknown | $1 | 2026-01-03 | 2026-01-03 | Yes | [Apply](<u2>) |", "| a | P | J | K | L | Unknown | N/A | 2026-01-01 | 2026-01-01 | Yes | [Apply](<u3>) |",
+        "| B\\|x | P | J | K | L | s | N/A | 2026-01-01 | 2026-01-02 | Yes | [Apply](<u1>) |", "", "## Historical / Closed or Removed Jobs (0)", "", *head, "| _No historical matching jobs_ |" + "  |" * 10, "",
+    ]
+    assert [r["line"] for r in render.dashboard(entities, "Title", "About.", initialized=False).collect()][-2:] == [render.NO_BASELINE, ""]
+    alerts = render.alert_bodies(entities.limit(1).withColumns({"batch_id": F.lit("k"), "canonical_id": F.lit("i"), "posted": F.lit("today")})).first()
+    assert alerts["title"] == "1 new entry"
+    assert alerts["body"] == "# New postings\n\n## B|x\n\n**P**\n\n- **Type:** J\n- **Category:** K\n- **Location:** L\n- **Sources:** s\n- **Salary:** N/A\n- **Age:** N/A\n- **Posted:** today\n\n### [Apply to B|x →](<u1>)\n\n---\n\nDetected automatically.\n\n<!-- batch:v1:k -->\n"
+    assert "batch:v1" not in render.test_body() + render.test_body("https://x.example/1")
+
+
+def test_effects_are_isolated(spark):
+    """One issue that can't be closed, patched, labelled or whose batch lacks an entry stops no other."""
+    mark, seen = "<!-- batch:v1:x -->", []
+    issues = spark.createDataFrame([(1, "2026-01-01T00:00:00Z", mark, None), (2, "2026-01-01T00:00:00Z", mark, None)], "number int, created_at string, body string, pull_request string")
+
+    def act(*row):
+        seen.append(row)
+        if row[0] == 1:
+            raise OSError("down")
+
+    assert [tuple(r) for r in outbox.close_expired(issues, act, "2026-03-01T00:00:00Z").orderBy("number").collect()] == [(1, False, "OSError"), (2, True, None)]
+    bodies = spark.createDataFrame([(1, "one"), (2, None), (3, "three\n\n<!-- scan:start c -->\nC\n<!-- scan:end c -->\n")], "number int, body string")
+    blocks = spark.createDataFrame([("a", 1, "A"), ("b", 1, "B"), ("a", 2, "A"), ("c", 3, "C")], "canonical_id string, issue_number int, block string")
+    updates = outbox.issue_updates(blocks, bodies)
+    assert {r["number"]: r["body"].count("scan:start") for r in updates.collect()} == {1: 2, 2: 1}  # the third is as it should be
+    assert [tuple(r)[:2] for r in outbox.update_issues(updates, act).orderBy("number").collect()] == [(1, False), (2, True)]
+    box = spark.createDataFrame([("b1", "t", None, "pending"), ("b2", "t", None, "pending")], "batch_id string, created_at string, issue_number int, status string")
+    whole = spark.createDataFrame([("b2",)], "batch_id string")
+    none = spark.createDataFrame([], "number int, pull_request string, body string")
+    sent = {r["batch_id"]: tuple(r)[1:] for r in outbox.deliver(box, none, lambda row: 1, label=act, complete=whole).collect()}
+    assert sent == {"b1": (None, "pending: entries missing"), "b2": (1, "sent")}
+    batches = spark.createDataFrame([("b1", ["i", "j"], True), ("b2", ["j", "gone"], True), ("b3", ["k"], False)], "batch_id string, job_ids array<string>, scan_eligible boolean")
+    told = spark.createDataFrame([("b2", 8, "sent"), ("b1", 7, "sent"), ("b3", 9, "sent")], "batch_id string, issue_number int, status string")
+    history = spark.createDataFrame([("i",), ("j",), ("k",)], "canonical_id string")
+    assert sorted(tuple(r) for r in outbox.delivery_targets(told, batches, history).collect()) == [("i", 7), ("j", 7)]
+
+
+def test_settings():
+    env = {"A": " Yes ", "B": "yess", "N": "3", "Z": "0", "X": "x"}
+    assert settings.flag(env, "A") and not settings.flag(env, "B", True) and settings.flag(env, "none", True)
+    assert [settings.positive(env, k, 5) for k in ("N", "Z", "X", "none")] == [3, 5, 5, 5]
 
 
 def test_connectors(spark):
@@ -110,6 +154,14 @@ def test_stored_histories(spark, tmp_path):
     found = state.entries(state.read(spark, str(old))).collect()
     assert [(r["canonical_id"], r["company"], r["active"], len(r["url_aliases"])) for r in found] == [("lever:a:1", "B", True, 2)]
     assert state.needs_baseline(state.read(spark, str(old))).first()["baseline"]
+    missing = str(tmp_path / "none.json")
+    assert state.entries(state.read(spark, missing)).count() == state.entries(state.read_current(spark, missing)).count() == state.read_questions(spark, missing).count() == 0
+    asked = tmp_path / "q.json"
+    asked.write_text('{"schema_version": 1, "scans": {"a": {"status": "partial", "questions": [{"label": "Your answer: \\"token\\": x"}]}}}')
+    assert state.read_questions(spark, str(asked)).count() == 1
+    asked.write_text('{"schema_version": 1, "scans": {"a": {"metadata": [{"deep": {"Session-Cookie": 1}}]}}}')
+    with pytest.raises(Exception, match="prohibited"):
+        state.read_questions(spark, str(asked)).collect()
     bad = tmp_path / "v9.json"
     bad.write_text('{"schema_version": 9}')
     with pytest.raises(Exception, match="known version"):

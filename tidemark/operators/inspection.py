@@ -20,6 +20,10 @@ CLOSED = "Application appears to be closed or unavailable."
 DENIED = "Public application page requires authentication or denies access."
 COMPLETE = "Greenhouse public structured application schema was retrieved."
 FAILED = "Application inspection failed."
+CLOSED_SCHEMA = "Application appears to be closed or unavailable."
+NO_ACCESS = "Public Greenhouse application data is not accessible."
+FAILED_SCHEMA = "Greenhouse form inspection failed."
+NO_FIELDS = "Greenhouse returned no recognizable public form fields; completeness cannot be confirmed."
 DYNAMIC = ["ashby", "lever", "workday"]
 
 
@@ -53,8 +57,19 @@ def _rung(pages: DataFrame, name: str) -> DataFrame:
     return judged.select("canonical_id", F.lit(True).alias(f"{name}_there"), *(F.col(c).alias(f"{name}_{c}") for c in ("http_status", "final_url", "error", "v")), F.coalesce("n_questions", F.lit(0)).alias(f"{name}_n"))
 
 
+def schema_verdict(schemas: DataFrame) -> DataFrame:
+    """`(canonical_id, status, reason, error_message)` of structured forms `(canonical_id, http_status, n_questions, error)` on their own.
+
+    Only a schema with questions is complete; one without any is partial, as nothing shows that it has none.
+    """
+    refused, gone = F.coalesce(F.col("http_status").isin(REFUSED), F.lit(False)), F.coalesce(F.col("http_status").isin(GONE), F.lit(False))
+    told = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    verdict = F.when(gone, told("unavailable", CLOSED_SCHEMA)).when(refused, told("unavailable", NO_ACCESS)).when(F.col("error").isNotNull(), told("failed", FAILED_SCHEMA)).when(F.col("n_questions") > 0, told("complete", COMPLETE)).otherwise(told("partial", NO_FIELDS))
+    return schemas.select("canonical_id", verdict.alias("v"), text.safe_message(F.col("error")).alias("error_message")).select("canonical_id", "v.*", "error_message")
+
+
 def inspect(targets: DataFrame, schemas: DataFrame, static: DataFrame, linked: DataFrame, rendered: DataFrame) -> DataFrame:
-    """`(canonical_id, provider, status, reason, rung, questions)` of `targets(canonical_id, application_url)`.
+    """`(canonical_id, provider, status, reason, rung, questions, error_message)` of `targets(canonical_id, application_url)`.
 
     schemas: `(canonical_id, http_status, n_questions, error)` of structured forms; the others are pages.
     """
@@ -83,7 +98,9 @@ def inspect(targets: DataFrame, schemas: DataFrame, static: DataFrame, linked: D
         .when(usable("rendered") | (there("rendered") & ~usable("static")), _of_page("rendered"))
         .otherwise(_of_page("static"))
     )
-    return known.select("canonical_id", "provider", verdict.alias("r")).select("canonical_id", "provider", "r.*")
+    found = known.select("canonical_id", "provider", verdict.alias("r"), "static_error").select("canonical_id", "provider", "r.*", "static_error")
+    message = F.when(F.col("status") == "failed", text.safe_message(F.coalesce("static_error", F.lit("page was not fetched"))))
+    return found.withColumn("error_message", message).drop("static_error")
 
 
 def anchors(html: Column) -> Column:

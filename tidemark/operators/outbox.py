@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 
+from . import render
+
 BATCH_MARK = r"<!-- batch:v1:(\w+) -->"
 
 
@@ -47,24 +50,75 @@ def sent_marks(issues: DataFrame) -> DataFrame:
     return named.groupBy("batch_id").agg(F.min("number").alias("issue_number"))
 
 
-def deliver(outbox: DataFrame, issues: DataFrame, create: Callable[[dict], int]) -> DataFrame:
+def deliver(outbox: DataFrame, issues: DataFrame, create: Callable[[dict], int], label: Callable[[int], None] | None = None, complete: DataFrame | None = None) -> DataFrame:
     """Send pending batches in order of time and id; `(batch_id, issue_number, status)`.
 
-    A batch whose mark an issue has is only marked sent. Sending is an outside effect of few, ordered calls, so it
-    runs on the driver, one batch at a time; a batch that fails stays pending and stops no other.
+    A batch whose mark an issue has is only marked sent; one that isn't in `complete` (as of `deliverable`) stays
+    pending. Sending is an outside effect of few, ordered calls, so it runs on the driver, one batch at a time; a batch
+    that fails stays pending and stops no other. A label is tried once, and an issue without it is sent all the same.
     """
     spark = outbox.sparkSession
     known = outbox.join(sent_marks(issues).withColumnRenamed("issue_number", "found_issue"), "batch_id", "left")
+    if complete is not None:
+        known = known.join(complete.select("batch_id", F.lit(True).alias("whole")), "batch_id", "left")
     done = known.where("status = 'sent' or found_issue is not null").select("batch_id", F.coalesce("found_issue", "issue_number").alias("issue_number"), F.lit("sent").alias("status"))
     rows = []
     for row in known.where("status <> 'sent' and found_issue is null").orderBy("created_at", "batch_id").toLocalIterator():
+        if complete is not None and not row["whole"]:
+            rows.append((row["batch_id"], None, "pending: entries missing"))
+            continue
         try:
             rows.append((row["batch_id"], create(row.asDict()), "sent"))
         except Exception as error:  # what a sender raises is its own; the batch is tried again
             rows.append((row["batch_id"], None, f"pending: {type(error).__name__}"))
+            continue
+        if label is not None:
+            with contextlib.suppress(Exception):
+                label(rows[-1][1])
     return done.unionByName(spark.createDataFrame(rows, done.schema))
 
 
+def _each(rows: DataFrame, act: Callable[..., None], *columns: str) -> DataFrame:
+    """`act` on each of a few rows, one after another on the driver; `(<first column>, done, error)`. One that fails stops no other."""
+    out = []
+    for row in rows.select(*columns).orderBy(columns[0]).toLocalIterator():
+        try:
+            act(*row)
+            out.append((row[0], True, None))
+        except Exception as error:
+            out.append((row[0], False, type(error).__name__))
+    return rows.sparkSession.createDataFrame(out, f"{columns[0]} {dict(rows.dtypes)[columns[0]]}, done boolean, error string")
+
+
+def close_expired(issues: DataFrame, close: Callable[[int], None], now: str, days: int = V.ALERT_RETENTION_DAYS) -> DataFrame:
+    """Close the alert issues that are past their time; `(number, done, error)`. Closing deletes nothing."""
+    if days < 1:
+        raise ValueError("days must be positive")
+    return _each(expired(issues, now, days), close, "number")
+
+
+def delivery_targets(delivered: DataFrame, batches: DataFrame, history: DataFrame, eligible_only: bool = True) -> DataFrame:
+    """`(canonical_id, issue_number)` to scan after a delivery: known entries of batches sent, the first batch's issue for each."""
+    sent = delivered.where("status = 'sent' and issue_number >= 1").select("batch_id", F.col("issue_number").alias("issue"))
+    chosen = batches.where("scan_eligible") if eligible_only else batches
+    ids = chosen.join(sent, "batch_id").select("batch_id", "issue", F.explode("job_ids").alias("canonical_id"))
+    known = ids.join(history.select("canonical_id"), "canonical_id", "left_semi")
+    return known.groupBy("canonical_id").agg(F.min_by("issue", "batch_id").alias("issue_number"))
+
+
+def issue_updates(blocks: DataFrame, bodies: DataFrame) -> DataFrame:
+    """`(number, body)` of the issues whose text changes as blocks `(canonical_id, issue_number, block)` are laid into it."""
+    own = blocks.groupBy(F.col("issue_number").alias("number")).agg(F.array_sort(F.collect_list(F.struct("canonical_id", "block"))).alias("blocks"))
+    both = bodies.join(own, "number").withColumn("old", F.coalesce("body", F.lit("")))
+    new = F.aggregate("blocks", F.col("old"), lambda body, x: render.upsert_block(body, x["canonical_id"], x["block"]))
+    return both.withColumn("body", new).where("body <> old").select("number", "body")
+
+
+def update_issues(updates: DataFrame, patch: Callable[[int, str], None]) -> DataFrame:
+    """Patch the issues; `(number, done, error)`. Scans are stored before, so what fails is laid in by the next run without another scan."""
+    return _each(updates, patch, "number", "body")
+
+
 def scan_targets(retries: DataFrame, deliveries: DataFrame, backfill: DataFrame | None = None) -> DataFrame:
     """`(canonical_id, issue_number, origin)`: a delivery covers a retry, a backfill both; the first issue of each wins."""
     parts = [retries.select("canonical_id", "issue_number", F.lit(2).alias("rank"), F.lit("retry").alias("origin")), deliveries.select("canonical_id", "issue_number", F.lit(1).alias("rank"), F.lit("delivery").alias("origin"))]

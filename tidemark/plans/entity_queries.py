@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
-from tidemark.operators import lifecycle, outbox, resolve
+from tidemark.operators import lifecycle, outbox, render, resolve
 from tidemark.sources import markdown
 from tidemark.streaming import polls as stream
 
@@ -139,14 +139,14 @@ def parse_health(spark, sf_dir):
 
 
 def dashboard_rows(spark, sf_dir):
-    """Rendered rows in the dashboard's order: active first, newest first, then by name."""
-    state = entity_lifecycle(spark, sf_dir)
-    last = resolve.resolved(members(spark, sf_dir)).groupBy("canonical_id").agg(F.max_by(F.struct("company", "position", "location"), "run_id").alias("v"))
-    rows = state.join(last, "canonical_id").select("canonical_id", "active", "first_seen", "v.*")
-    cells = [text.markdown_cell(F.col(c)) for c in ("company", "position", "location")]
+    """Rendered rows, and what the dashboard orders them by: active first, newest first, then by name."""
+    found = membership_lifecycle(spark, sf_dir)
+    labels = found.groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ", ").alias("labels"), F.max("last_seen").alias("last_seen"))
+    values = ["company", "position", "job_type", "category", "location", "salary", "application_url"]
+    last = resolve.resolved(members(spark, sf_dir)).groupBy("canonical_id").agg(F.max_by(F.struct(*values), "run_id").alias("v"))
+    rows = lifecycle.entities(found).join(labels, "canonical_id").join(last, "canonical_id").select("canonical_id", "active", "first_seen", "last_seen", "labels", "v.*")
     sort_key = F.concat_ws("/", F.when(F.col("active"), "0").otherwise("1"), F.lower("company"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    return rows.select("canonical_id", "active", line.alias("line"), "first_seen", sort_key.alias("sort_key"))
+    return rows.select("canonical_id", "active", render.row_line().alias("line"), "first_seen", sort_key.alias("sort_key"))
 
 
 def _q(ctes: str, select: str) -> str:
@@ -202,5 +202,9 @@ ORACLE_SQL = {
     "alias_union": _q(O.member_ctes(), "select canonical_id, string_agg(distinct application_url, ' ' order by application_url) as url_aliases, count(distinct application_url) as n from members group by canonical_id"),
     "alias_subset": _q(O.member_ctes(), "select canonical_id, run_id, bool_and(seen < run_id) as is_subset from (select distinct canonical_id, run_id, min(run_id) over (partition by canonical_id, application_url) as seen, application_url from members) group by canonical_id, run_id"),
     "parse_health": _q(f"obs as ({O.obs_sql()})", "select source_id, category, candidates, parsed, candidates - parsed as skipped, parsed > 0 and not (candidates - parsed >= 5 and candidates - parsed > parsed) as healthy from (select source_id, category, count(*) as candidates, count(*) filter (where trim(company) <> '' and trim(position) <> '' and trim(salary) <> '' and trim(application_url) <> '') as parsed from obs group by all)"),
-    "dashboard_rows": _q(O.resolved_ctes().replace(O.member_ctes(), O.lifecycle_ctes()) + ", " + _state() + ", v as (select canonical_id, arg_max(row(company, position, location), run_id) as v from resolved group by canonical_id)", f"select canonical_id, active, '| ' || {_esc('v[1]')} || ' | ' || {_esc('v[2]')} || ' | ' || {_esc('v[3]')} || ' |' as line, first_seen, case when active then '0' else '1' end || '/' || lower(v[1]) as sort_key from state join v using (canonical_id)"),
+    "dashboard_rows": _q(
+        O.resolved_ctes().replace(O.member_ctes(), O.lifecycle_ctes()) + ", " + _state()
+        + ", l as (select canonical_id, string_agg(source_id, ', ' order by source_id) as labels, max(last_seen) as last_seen from memberships group by canonical_id), v as (select canonical_id, arg_max(row(company, position, job_type, category, location, salary, application_url), run_id) as v from resolved group by canonical_id)",
+        f"select canonical_id, active, '| ' || {_esc('v[1]')} || ' | ' || {_esc('v[2]')} || ' | ' || {_esc('v[3]')} || ' | ' || {_esc('v[4]')} || ' | ' || {_esc('v[5]')} || ' | ' || labels || ' | ' || coalesce(v[6], 'N/A') || ' | ' || first_seen || ' | ' || last_seen || ' | ' || case when active then 'Yes' else 'No' end || ' | [Apply](<' || v[7] || '>) |' as line, first_seen, case when active then '0' else '1' end || '/' || lower(v[1]) as sort_key from state join l using (canonical_id) join v using (canonical_id)",
+    ),
 }

@@ -165,7 +165,17 @@ def ats_schema_extract(spark, sf_dir):
 
 def scan_block_render(spark, sf_dir):
     found = forms.questions(spark.createDataFrame([(1, FORM)], "page_id int, html string"))
-    return render.scan_blocks(found).select("page_id", "block")
+    scans = spark.createDataFrame([(1, "generic", "partial", "https://x.example/a b?c=(1)", "Only a part.")], "page_id int, provider string, status string, application_url string, reason string")
+    return render.scan_blocks(scans, found)
+
+
+def schema_nested(spark, sf_dir):
+    """Questions below the top of a group, of other spellings; a group that is a bare value makes a schema invalid."""
+    nested = {"questions": {"page": [{"question": "Why?", "type": "textarea", "name": "w"}, {"label": "No shape"}]}, "compliance": [{"questions": [{"label": "Sex", "required": "yes", "type": "select", "options": ["A", {"name": "B"}]}]}], "demographics": None}
+    rows = [(1, json.dumps(nested)), (2, '{"questions": [], "compliance": 5}'), (3, "{}")]
+    payloads = spark.createDataFrame(rows, "page_id int, payload string")
+    found = forms.schema_questions(payloads).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section")
+    return found.unionByName(forms.invalid_groups(payloads).select("page_id", "section"), allowMissingColumns=True)
 
 
 def block_upsert(spark, sf_dir):
@@ -175,7 +185,7 @@ def block_upsert(spark, sf_dir):
     return docs.select("doc_id", F.sha2(render.upsert_block(body, "7", F.lit("new \\1 $2")), 256).alias("body_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes, healthy_observations, provenance_infer)}
+QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, schema_nested, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes, healthy_observations, provenance_infer)}
 
 
 def _golden(columns: str, *rows: tuple) -> str:
@@ -187,19 +197,46 @@ def _diagnoses(*rows: tuple) -> str:
     return "select source_id, category, candidates::bigint as candidates, parsed::bigint as parsed, error from (" + _golden("source_id, category, candidates, parsed, error", *rows) + ")"
 
 
-BLOCK = """### Application questions (7, 0 custom)
+BLOCK = """## Application Questions
+
+**Scan status:** Partial␠
+**Provider:** Generic␠
+**Questions detected:** 7␠
+**Custom / screening questions:** 0
+
+[Open application](<https://x.example/a%20b?c=%281%29>)
+
+> Only a part.
+
+### Work authorization
 
-- Skills: SQL, Java
-- Cover letter
-- Do you need visa sponsorship? (required): Yes, No
+6. **Do you need visa sponsorship?**␠
+   Required — radio — Options: Yes / No
 
-<details><summary>Profile and compliance</summary>
+### Other visible questions
 
-- Full name (required)
-- Email
-- Phone number
-- Country: US, FR
-</details>"""
+8. **Skills**␠
+   Requirement not stated — multi select — Options: SQL / Java
+
+<details>
+<summary>Standard application fields</summary>
+
+1. **Full name**␠
+   Required — text
+2. **Email**␠
+   Optional — email
+3. **Phone number**␠
+   Requirement not stated — phone
+5. **Country**␠
+   Requirement not stated — single select — Options: US / FR
+4. **Cover letter**␠
+   Requirement not stated — long text
+
+</details>
+
+> Application scanning is read-only. No application was submitted, no answers were entered, and no files were uploaded.
+> This scan is partial: conditional, multi-step, or authentication-gated fields may not be visible.
+""".replace("␠", "  ")
 
 ORACLE_SQL = {
     "markdown_table_scan": _golden(
@@ -265,6 +302,10 @@ ORACLE_SQL = {
         ("table", "Orbit", "SWE Intern 🎓", None, "1d", "Summer 2027", "abc", "simplify_url=https://simplify.jobs/p/abc"), ("table", "Orbit", "Data Intern", None, "2d", "Summer 2027", "def", "simplify_url=https://simplify.jobs/p/def"),
     ),
     "provenance_infer": _golden("id, source_id, source_label", (1, "speedyapply_internships", "SpeedyApply"), (2, "speedyapply_new_grad", "SpeedyApply"), (3, "legacy_speedyapply", "SpeedyApply"), (4, "own", "Own")),
+    "schema_nested": _golden(
+        "page_id, ordinal, label, field_type, required, options, section",
+        (1, 1, "Why?", "long_text", None, "", "questions"), (1, 2, "Sex", "single_select", True, "A|B", "compliance"), (2, None, None, None, None, None, "compliance"),
+    ),
     "scan_block_render": _golden("page_id, block", (1, BLOCK)),
     "block_upsert": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
 }

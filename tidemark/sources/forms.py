@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -141,25 +141,71 @@ def questions(pages: DataFrame) -> DataFrame:
     return _classified(single.unionByName(groups))
 
 
-_FIELD = "struct<name: string, type: string, values: array<string>>"
-_QUESTION = f"struct<label: string, required: string, fields: array<{_FIELD}>>"
-_PAYLOAD = "struct<" + ", ".join(f"{g}: array<{_QUESTION}>" for g in GROUPS) + ">"
+_FIELD = "struct<name: string, type: string, values: array<string>, options: array<string>>"
+_QUESTION = f"struct<label: string, question: string, required: string, type: string, name: string, values: array<string>, options: array<string>, fields: array<{_FIELD}>>"
+#: How deep questions are looked for in a group.
+DEPTH = 2
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+
+
+def _inside(value: Column) -> Column:
+    """What a list or object holds, as an array; nothing else holds anything."""
+    items = F.try_variant_get(value, "$", "array<variant>")
+    members = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+    none = F.array().cast("array<variant>")
+    return F.when(_kind(value).startswith("ARRAY"), F.coalesce(items, none)).when(_kind(value).startswith("OBJECT"), F.coalesce(members, none)).otherwise(none)
+
+
+def _is_question(value: Column) -> Column:
+    """An object with a label that is a string, and fields, a type or whether it is required."""
+    there = lambda f: F.try_variant_get(value, f"$.{f}", "variant").isNotNull()
+    named = lambda f: _kind(F.try_variant_get(value, f"$.{f}", "variant")) == "STRING"
+    return _kind(value).startswith("OBJECT") & (named("label") | named("question")) & (there("fields") | there("required") | there("type"))
+
+
+def invalid_groups(payloads: DataFrame) -> DataFrame:
+    """`(page_id, section)` of groups that are neither absent, null, a list nor an object: such a schema isn't complete."""
+    parsed = payloads.select("page_id", F.try_parse_json("payload").alias("p"))
+    kinds = F.array(*(F.struct(F.lit(g).alias("section"), _kind(F.try_variant_get("p", f"$.{g}", "variant")).alias("kind")) for g in GROUPS))
+    bad = parsed.select("page_id", F.explode(kinds).alias("g")).select("page_id", "g.*")
+    return bad.where("kind not in ('', 'VOID') and not startswith(kind, 'ARRAY') and not startswith(kind, 'OBJECT')").select("page_id", "section")
 
 
 def schema_questions(payloads: DataFrame) -> DataFrame:
-    """Questions of `(page_id, payload)`, a structured form schema as JSON; groups in order, hidden fields left out."""
-    parsed = payloads.select("page_id", F.from_json("payload", _PAYLOAD).alias("p"))
+    """Questions of `(page_id, payload)`, a structured form schema as JSON; groups in order, hidden fields left out.
+
+    Questions are found in lists and objects of a group, `DEPTH` deep; a question isn't searched for others. Pages with an
+    invalid group (`invalid_groups`) have none.
+    """
+    parsed = payloads.join(invalid_groups(payloads).select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.try_parse_json("payload").alias("p"))
 
     def group(name: str):
-        asked = F.coalesce(f"p.{name}", F.array().cast(f"array<{_QUESTION}>"))
+        found = F.array(F.try_variant_get("p", f"$.{name}", "variant"))
+        for _ in range(DEPTH):  # what isn't a question gives way to what it holds, in its place
+            found = F.flatten(F.transform(found, lambda v: F.when(_is_question(v), F.array(v)).otherwise(_inside(v))))
+        asked = F.transform(F.filter(found, _is_question), lambda v: F.from_json(F.to_json(v), _QUESTION))
         return F.transform(asked, lambda q: F.struct(F.lit(name).alias("section"), q.alias("q")))
 
     groups = F.array(*map(group, GROUPS))
     rows = parsed.select("page_id", F.posexplode(F.flatten(groups)).alias("at", "g")).select("page_id", "at", "g.section", "g.q.*")
-    visible = F.filter("fields", lambda f: ~F.lower(F.coalesce(f["type"], F.lit(""))).isin("hidden", "input_hidden"))
+    rows = rows.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "question"))
+    visible = F.filter(F.coalesce("fields", F.array().cast(f"array<{_FIELD}>")), lambda f: ~F.lower(F.coalesce(f["type"], F.lit(""))).isin("hidden", "input_hidden"))
     rows = rows.withColumn("visible", visible).where("label is not null and label <> '' and (fields is null or size(fields) = 0 or size(visible) > 0)")
-    first = F.try_element_at("visible", F.lit(1))
-    told = F.transform(F.flatten(F.transform("visible", lambda f: F.coalesce(f["values"], F.array().cast("array<string>")))), lambda v: F.coalesce(F.get_json_object(v, "$.label"), F.get_json_object(v, "$.name"), F.get_json_object(v, "$.value"), F.when(~v.startswith("{"), v), F.lit("")))
-    out = rows.select("page_id", "at", "label", F.coalesce(first["type"], F.lit("unknown")).alias("kind"), text.lenient_boolean(F.col("required")).alias("required"), F.coalesce(told, F.array().cast("array<string>")).alias("options"), "section", ((F.size("visible") > 1) & F.lower(first["type"]).isin("checkbox", "select")).alias("multiple"), text.nonempty(first["name"]).alias("field_name"))
+    first, none = F.try_element_at("visible", F.lit(1)), F.array().cast("array<string>")
+    own = F.coalesce("values", "options", none)
+    told = F.when(F.size("visible") > 0, F.flatten(F.transform("visible", lambda f: F.coalesce(f["values"], f["options"], none)))).otherwise(own)
+    shown = F.transform(told, lambda v: F.coalesce(F.get_json_object(v, "$.label"), F.get_json_object(v, "$.name"), F.get_json_object(v, "$.value"), F.when(~v.startswith("{"), v), F.lit("")))
+    kind = F.coalesce(first["type"], "type", F.lit("unknown"))
+    out = rows.select("page_id", "at", "label", kind.alias("kind"), text.lenient_boolean(F.col("required")).alias("required"), shown.alias("options"), "section", ((F.size("visible") > 1) & F.lower(kind).isin("checkbox", "select")).alias("multiple"), text.nonempty(F.coalesce(first["name"], "name")).alias("field_name"))
     numbered = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).drop("at")
     return _classified(numbered)
+
+
+def ordered(questions: DataFrame) -> DataFrame:
+    """`(page_id, questions)`: a page's questions as one array, in order of place, label and name."""
+    rest = [c for c in questions.columns if c not in ("page_id", "ordinal")]
+    key = F.struct("ordinal", F.lower("label").alias("low"), F.coalesce("field_name", F.lit("")).alias("name"), F.struct("ordinal", *rest).alias("q"))
+    return questions.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["q"]).alias("questions"))

@@ -16,14 +16,37 @@ _STATE = f"struct<schema_version: int, initialized: boolean, initialized_at: str
 
 # Parts of keys that a stored scan must not have.
 PROHIBITED = ["answer", "resume", "coverletter", "candidate", "cookie", "csrf", "token", "authorization", "credential", "password", "localstorage"]
-STATUSES = ["complete", "partial", "unavailable", "failed"]
+STATUSES = ["complete", "partial", "unsupported", "unavailable", "failed"]
+
+
+_QUESTIONS = "struct<schema_version: int, scans: map<string, string>>"
+
+
+def _file(spark: SparkSession, path: str, schema: str, versions: list[int], what: str) -> DataFrame:
+    """`(state)` of a JSON file; one with all fields null if there is no file, an error if its version isn't known or it isn't JSON."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.range(1).select(F.from_json(F.lit('{"jobs": {}, "scans": {}}'), schema).alias("state"))
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("state"))
+    known = F.coalesce(F.col("state.schema_version").isin(versions), F.lit(False))
+    return parsed.select(F.when(known, F.col("state")).otherwise(F.raise_error(F.lit(f"not {what} of a known version"))).alias("state"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """`(state)` of a history file; a version that isn't known, or a file that isn't JSON, is an error."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", _STATE).alias("state"))
-    known = F.coalesce(F.col("state.schema_version").isin(1, VERSION), F.lit(False))
-    return parsed.select(F.when(known, F.col("state")).otherwise(F.raise_error(F.lit("not a history of a known version"))).alias("state"))
+    """`(state)` of a history file."""
+    return _file(spark, path, _STATE, [1, VERSION], "a history")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """`(state)` of a file of active entries."""
+    return _file(spark, path, _STATE, [1, VERSION], "a current state")
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """`(canonical_id, record)` of a file of scans, each record as JSON; a record with a prohibited key, at any depth, is an error."""
+    scans = _file(spark, path, _QUESTIONS, [1], "questions").select(F.explode("state.scans").alias("canonical_id", "record"))
+    checked = F.when(prohibited(F.col("record")), F.raise_error(F.concat(F.lit("prohibited field in scan "), F.col("canonical_id")))).otherwise(F.col("record"))
+    return scans.select("canonical_id", checked.alias("record"))
 
 
 def entries(state: DataFrame) -> DataFrame:
