@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import text, urls
+from tidemark.functions import text
 from tidemark.functions import values as V
 
 from . import lifecycle, outbox, resolve
 
 VALUES = ["company", "position", "location", "salary", "application_url", "age", "category", "job_type", "posted", "season"]
 STICKY = ["FAANG+", "Quant"]
-_ENTITY = "canonical_id string, " + ", ".join(f"{c} string" for c in VALUES) + ", url_aliases array<string>, active boolean, first_seen {at}, last_seen {at}, inactive_at {at}"
+_ENTITY = "canonical_id string, " + ", ".join(f"{c} string" for c in VALUES) + ", direct boolean, url_aliases array<string>, active boolean, first_seen {at}, last_seen {at}, inactive_at {at}"
 _MEMBERSHIP = "canonical_id string, source_id string, first_seen {at}, last_seen {at}, inactive_at {at}, active boolean, v {v}"
 _OUTBOX = "batch_id string, created_at {at}, issue_number int, job_ids array<string>, job_urls array<string>, status string, scan_eligible boolean"
 
@@ -58,14 +58,13 @@ def merged(old: str, new: str) -> dict[str, Column]:
     was, now = (lambda c: F.col(f"{old}.{c}")), (lambda c: F.col(f"{new}.{c}"))
     longer = lambda c: F.when(F.length(was(c)) > F.coalesce(F.length(now(c)), F.lit(0)), was(c)).otherwise(now(c))
     kept = F.coalesce(now("category") == "Unknown", F.lit(True)) | was("category").isin(STICKY)
-    direct = lambda c: urls.identity(c)["direct"]
     clean = text.counts_locations(was("location")) & ~text.counts_locations(now("location")) & now("location").isNotNull()
     return {
         "company": longer("company"),
         "position": longer("position"),
         "location": F.when(clean, now("location")).otherwise(longer("location")),
         "salary": F.coalesce(now("salary"), was("salary")),
-        "application_url": F.when(direct(was("application_url")) & ~direct(now("application_url")), was("application_url")).otherwise(now("application_url")),
+        "application_url": F.when(was("direct") & ~now("direct"), was("application_url")).otherwise(now("application_url")),
         "age": F.coalesce(was("age"), now("age")),
         "category": F.when(was("category").isNotNull() & kept, was("category")).otherwise(now("category")),
         "job_type": now("job_type"),
@@ -103,7 +102,7 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
     answered = answered or [r[0] for r in members.select("source_id").distinct().collect()]
     baseline = initialize or not history.initialized or history.scope != V.SCOPE_VERSION
     found = resolve.resolved(members).withColumn("url_aliases", F.split("url_aliases", " "))
-    found = found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "url_aliases")
+    found = found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "direct", "url_aliases")
     moved = promotions(history.entities, found)
     entities, stored = _renamed(history.entities, moved), _renamed(history.memberships, moved)
 
@@ -129,6 +128,7 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
     out = out.select(
         "canonical_id",
         *(F.col(f"m_{c}").alias(c) for c in VALUES),
+        (F.coalesce("o.direct", F.lit(False)) | F.coalesce("n.direct", F.lit(False))).alias("direct"),
         aliases.alias("url_aliases"),
         active.alias("active"),
         F.coalesce("o.first_seen", now).alias("first_seen"),
@@ -156,4 +156,4 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
 def current(history: History) -> DataFrame:
     """Active entities without their lifecycle, each with what its active sources said last, in order of sources."""
     said = history.memberships.where("active").groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("source_id", "v"))).alias("sources"))
-    return history.entities.where("active").drop("active", "first_seen", "last_seen", "inactive_at").join(said, "canonical_id", "left")
+    return history.entities.where("active").drop("direct", "active", "first_seen", "last_seen", "inactive_at").join(said, "canonical_id", "left")

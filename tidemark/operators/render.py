@@ -102,12 +102,16 @@ def scan_blocks(scans: DataFrame, questions: DataFrame) -> DataFrame:
     found = questions.groupBy("page_id").agg(F.array_sort(F.collect_list(key)).alias("k"), F.count("*").alias("n"), F.count_if("is_custom").alias("custom"))
     all_of = scans.join(found, "page_id", "left").withColumn("k", F.coalesce("k", F.array().cast(found.schema["k"].dataType)))
 
+    def lines_of(*ranks: int) -> Column:
+        each = [F.filter("k", lambda x: x["rank"] == F.lit(r)) for r in ranks]  # called at once, so each has its own rank
+        return F.array_join(F.transform(F.flatten(F.array(*each)), lambda x: x["line"]), "\n")
+
     def part(heading: str, *ranks: int) -> Column:
-        lines = F.array_join(F.transform(F.flatten(F.array(*(F.filter("k", lambda x, r=r: x["rank"] == r) for r in ranks))), lambda x: x["line"]), "\n")
+        lines = lines_of(*ranks)
         return F.when(lines != "", F.concat(F.lit(f"### {heading}\n\n"), lines))
 
     def folded(summary: str, *ranks: int) -> Column:
-        lines = F.array_join(F.transform(F.flatten(F.array(*(F.filter("k", lambda x, r=r: x["rank"] == r) for r in ranks))), lambda x: x["line"]), "\n")
+        lines = lines_of(*ranks)
         return F.when(lines != "", F.concat(F.lit(f"<details>\n<summary>{summary}</summary>\n\n"), lines, F.lit("\n\n</details>")))
 
     count = lambda c: F.coalesce(c, F.lit(0)).cast("string")

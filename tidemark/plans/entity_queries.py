@@ -194,7 +194,7 @@ ORACLE_SQL = {
   coalesce(last_value(case when direct then application_url end ignore nulls) over w, application_url) as application_url, job_type
   from resolved window w as (partition by canonical_id order by run_id)"""),
     "change_detection": _q(O.lifecycle_ctes(), "select run_id, canonical_id, source_id, changed, reactivated from changed where changed or reactivated"),
-    "inactive_reactivated_counts": _q(O.lifecycle_ctes(), "select run_id, count(*) filter (where was and not active) as inactive, count(*) filter (where not was and active) as reactivated from (select *, lag(active) over (partition by canonical_id order by run_id) as was from activity) group by run_id"),
+    "inactive_reactivated_counts": _q(O.lifecycle_ctes(), "select run_id, count(*) filter (where was and not active) as inactive, count(*) filter (where not was and active) as reactivated from (select *, lag(active) over (partition by canonical_id order by run_id) as was from activity) group by run_id having count(*) filter (where was <> active) > 0"),
     "new_entity_alerts": _q(O.member_ctes() + ", " + _NEW, "select run_id, sha256(string_agg(canonical_id, chr(10) order by canonical_id)) as batch_id, count(*) as entries, 'pending' as status from fresh group by run_id"),
     "batch_resolve": _q(O.lifecycle_ctes() + ", " + _state() + ", " + _NEW, "select f.run_id, bool_and(active is not null) as deliverable, count(*) filter (where active) as still_active, count(*) as entries from fresh f left join state s using (canonical_id) group by f.run_id"),
     "fallback_promotion": _q(O.resolved_ctes() + ", f0 as (select *, row_number() over (partition by canonical_id order by run_id) as r from resolved), d as (select canonical_id, run_id, 'fallback:' || " + O.fingerprint() + " as fallback_id from f0 where r = 1 and canonical_id not like 'fallback:%'), b as (select canonical_id as fallback_id, run_id as fallback_run from f0 where r = 1 and canonical_id like 'fallback:%')", "select fallback_id, arg_min(canonical_id, row(run_id, canonical_id)) as canonical_id, min(run_id) as run_id from d join b using (fallback_id) where fallback_run < run_id group by fallback_id"),

@@ -144,7 +144,7 @@ def questions(pages: DataFrame) -> DataFrame:
 _FIELD = "struct<name: string, type: string, values: array<string>, options: array<string>>"
 _QUESTION = f"struct<label: string, question: string, required: string, type: string, name: string, values: array<string>, options: array<string>, fields: array<{_FIELD}>>"
 #: How deep questions are looked for in a group.
-DEPTH = 2
+DEPTH = 4
 
 
 def _kind(value: Column) -> Column:
