@@ -1,12 +1,13 @@
 """Stored history, one poll after another: the incremental form of the lifecycle.
 
 Three tables and a row of facts are all that a poll needs of what was before. `apply_run` gives the next ones by joins
-on the entity's id; nothing is kept in memory between polls, and what a poll doesn't touch is carried over as it is.
+on the entity's id; what a poll doesn't touch is carried over as it is. Intermediate tables are persisted, as several
+results read them, until `Step.release`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,12 @@ class Step:
     new: DataFrame
     counts: DataFrame
     baseline: bool
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what was kept for the tables above, once they are written."""
+        for df in self.held:
+            df.unpersist()
 
 
 def empty(spark: SparkSession, at: str = "string") -> History:
@@ -102,14 +109,14 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
     answered = answered or [r[0] for r in members.select("source_id").distinct().collect()]
     baseline = initialize or not history.initialized or history.scope != V.SCOPE_VERSION
     found = resolve.resolved(members).withColumn("url_aliases", F.split("url_aliases", " "))
-    found = found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "direct", "url_aliases")
-    moved = promotions(history.entities, found)
+    found = found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "direct", "url_aliases").persist()
+    moved = promotions(history.entities, found).persist()
     entities, stored = _renamed(history.entities, moved), _renamed(history.memberships, moved)
 
     seen = resolve.per_source(members)
     seen = seen.select("canonical_id", "source_id", lifecycle.meaning(seen).alias("meaning"))
     before = stored.select("canonical_id", "source_id", F.struct("last_seen", "active").alias("was"))
-    memberships = lifecycle.fold(stored, seen, at, answered)
+    memberships = lifecycle.fold(stored, seen, at, answered).persist()
     told = memberships.join(before, ["canonical_id", "source_id"], "left").groupBy("canonical_id").agg(
         F.bool_or("active").alias("any_active"),
         F.bool_or(F.coalesce(F.col("active"), F.lit(False)) & (F.col("was").isNull() | ~F.col("last_seen").eqNullSafe(F.col("was.last_seen")))).alias("source_moved"),
@@ -136,7 +143,7 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
         F.when(active, F.lit(None)).when(was_active, now).otherwise(F.col("o.inactive_at")).alias("inactive_at"),
         is_new.alias("is_new"),
         was_active.alias("was_active"),
-    )
+    ).persist()
     ready = history.sources.select("source_id").distinct()
     alerting = seen.join(ready, "source_id", "left_semi").select("canonical_id").distinct()
     new = out.where(F.col("is_new") & F.lit(not baseline)).join(alerting, "canonical_id", "left_semi").select("canonical_id", "application_url")
@@ -150,7 +157,7 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
     )
     named = spark.createDataFrame([(x,) for x in answered], "source_id string")
     following = History(out.drop("is_new", "was_active"), memberships, ready.union(named).distinct(), batches, True, V.SCOPE_VERSION)
-    return Step(following, new, counts, baseline)
+    return Step(following, new, counts, baseline, [found, moved, memberships, out])
 
 
 def current(history: History) -> DataFrame:

@@ -47,9 +47,11 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
         answered = [r["source_id"] for r in told if r["ok"]]
         if not answered:
             raise ValueError("no source answered: " + "; ".join(f"{r['source_id']}: {r['error']}" for r in told))
-        rows = registry.healthy(documents).where(text.location_matches(F.col("location")))
-        observed = rows.withColumns({"run_id": F.lit(at), "obs_id": F.xxhash64("source_id", "company", "position", "location", "application_url", "source_url")})
-        members = resolve.attach_wrappers(resolve.identified(observed, documents.select("source_id", "priority"))).persist()
+        rows = registry.parse(documents.where(F.col("source_id").isin(answered))).where("valid").drop("valid").persist()  # each step is kept, so that plans stay small
+        matching = rows.where(text.location_matches(F.col("location")))
+        observed = matching.withColumns({"run_id": F.lit(at), "obs_id": F.xxhash64("source_id", "company", "position", "location", "application_url", "source_url")})
+        known = resolve.identified(observed, documents.select("source_id", "priority")).persist()
+        members = resolve.attach_wrappers(known).persist()
         step = history.apply_run(stored(store), members, answered, at, initialize)
         matching = members.groupBy("source_id").agg(F.count("*").alias("matching"))
         summary = polls.join(matching, "source_id", "left").fillna(0, ["matching"]).select("source_id", "ok", "parsed", "matching", "error")
@@ -58,6 +60,12 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
         if not dry_run:
             facts = spark.createDataFrame([(step.history.initialized, step.history.scope)], "initialized boolean, scope string")
             changed = store.commit(**{t: getattr(step.history, t) for t in _TABLES}, facts=facts)
+            step.history, counts = stored(store), step.counts.collect()
+            step.counts = spark.createDataFrame(counts, step.counts.schema)
+            step.new = spark.createDataFrame(step.new.collect(), step.new.schema)  # the ids of one alert
+            step.release()
+            for df in (members, known, rows):
+                df.unpersist()
         return Poll(step, summary, changed)
     finally:
         documents.unpersist()

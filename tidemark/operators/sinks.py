@@ -81,7 +81,8 @@ class Snapshots:
         return changed
 
     def _publish(self, path: str, text: str) -> None:
-        """Write beside and rename: a rename onto an existing version fails, so two writers can't both commit it."""
+        """Write beside and rename. On stores whose rename is atomic and fails onto an existing file, as HDFS's is, two writers
+        can't both commit a version; elsewhere (object stores, local disks) commits need one writer at a time."""
         fs, target = self._fs(path)
         draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/manifests/.draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
