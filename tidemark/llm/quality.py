@@ -66,7 +66,7 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """`(doc_id, at, <heads>)` of the labelled ids with the smallest hashes, `train_rows` at most; an id with several
+    """`(place, at, <heads>)` of the labelled ids with the smallest hashes, `train_rows` at most; an id with several
     texts is its first text."""
     import pyarrow as pa
 
@@ -74,20 +74,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> Data
     clean = materialize(clean, "labels")
     chosen = clean.sparkSession.createDataFrame(sampled(clean, train_rows, clean.count(), 8, "doc_id"), clean.schema)  # the bound of the broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    rows = texts.select("doc_id", "text", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
+    rows = texts.select(F.xxhash64(F.lit(8), "doc_id").alias("place"), "text", (F.col("quality") == 0).cast("int").alias("low_quality"), F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = pa.array([features(t).astype(np.int32).tobytes() for t in utf8(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), at, batch.column(2), batch.column(3)], names=["doc_id", "at", *HEADS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), at, batch.column(2), batch.column(3)], names=["place", "at", *HEADS])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, at binary, low_quality int, toxic int")
+    return rows.mapInArrow(run, "place long, at binary, low_quality int, toxic int")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> dict[str, tuple[np.ndarray, float]]:
     """For each head with labels of both kinds: the weights and the log odds among what it learnt from."""
-    rows = sorted(labelled_sample(docs, labels, train_rows).collect())
+    rows = sorted(labelled_sample(docs, labels, train_rows).collect())  # in the order of hashes, however rows are dealt
     at = [np.frombuffer(r["at"], np.int32).astype(np.int64) for r in rows]
     examples = [(a, np.ones(len(a))) for a in at]
     out = {}
