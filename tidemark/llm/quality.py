@@ -30,6 +30,8 @@ from .linear import FtrlProximal, scores
 FEATURES = 1 << 18
 #: Labelled rows that are learnt from, at most.
 TRAIN_ROWS, EPOCHS = 5000, 3
+#: Step and L1 penalty, the best of a grid on labelled rows held out of the fit.
+ALPHA, L1 = 1.0, 4.0
 THRESHOLD, CLIP = 0.5, 15.0
 HEADS = ("low_quality", "toxic")
 _MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
@@ -93,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, epoc
     for head in HEADS:
         y = [int(r[head] > 0) for r in rows]
         if 0 < sum(y) < len(y):
-            model = FtrlProximal(FEATURES, 2, alpha=0.1, l1=2.0, l2=0.1).fit(examples, y, epochs)
+            model = FtrlProximal(FEATURES, 2, alpha=ALPHA, l1=L1, l2=0.1).fit(examples, y, epochs)
             out[head] = model.weights(), float(np.log(sum(y) / (len(y) - sum(y))))
     return out
 
