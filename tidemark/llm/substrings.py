@@ -2,10 +2,15 @@
 
 A text starts as the names of its words. Rounds rename it: a round of runs turns a run of one symbol into a
 symbol for (symbol, length), a round of pairs splits the symbols in two halves by a coin of their names and
-turns each left symbol with a right one behind it into a symbol for the pair. A name is the hash of what it
-stands for, so all tasks name alike with no table between them. What becomes of a symbol depends on itself and
-at most one neighbour on each side, so each symbol knows the stretch of words that determines it; wherever that
-stretch occurs, so does the symbol. Texts shrink by about a quarter each round.
+turns each left symbol with a right one behind it into a symbol for the pair. What becomes of a symbol depends on
+itself and at most one neighbour on each side, so each symbol knows the stretch of words that determines it; wherever
+that stretch occurs, so does the symbol. Texts shrink by about a quarter each round.
+
+In the first `LOCAL_ROUNDS` rounds a name is the hash of what it stands for, so tasks name alike with no table between
+them. Each later round is a round of Spark's: the symbols and pairs of all texts are grouped, those of two texts or
+more get a name of their own, the table of names is written, and joined back to the texts. What has no name is in one
+text only; windows that hold it are in no other text and are left, as are symbols that are in no window any more. So
+rounds get small where little is repeated.
 
 The anchor of a window (50 words) is the leftmost symbol, of the latest round that has one, whose stretch lies
 in the window; it depends on the window's words alone, so equal windows have equal anchors, one for about a
@@ -13,7 +18,7 @@ dozen windows. Anchors are counted over the corpus; only windows with an anchor
 Neighbouring windows with one anchor are a run: a run that a smaller document has whole is settled at once, and
 the first of its kind is compared window by window, by anchor and window hash (128 bits), with what other
 runs of its anchor hold. What agrees by hash is then verified on the words: those of the smaller document are laid
-beside the other's, and only where all are equal are they removed. Anchors, runs and windows that very many
+beside the other's, and only where all are equal are they removed. Symbols, anchors, runs and windows that very many
 documents share are hot keys, whose few rows of the smaller side are broadcast.
 
 Exact copies are settled before that by the SHA-256 of their words: they lose all words if they fill a window.
@@ -36,11 +41,12 @@ from pyspark.sql import functions as F
 from .common import BASE, WordHasher, drop_table, join_counted, materialize, mix64, prefilter, split_by, table, utf8
 
 WINDOW = 50
-#: Rounds at most; windows without a symbol of round `SURE` or later are their own anchor.
-ROUNDS, SURE = 14, 6
-#: Rounds that name runs before pairs.
-RUN_ROUNDS = (0, 6)
+#: Rounds that name by hash, each within its task; a window without a symbol of the last one is its own anchor.
+LOCAL_ROUNDS = 6
+#: Rounds that name by a table, in this order.
+SPARK_ROUNDS = ("runs", "pairs", "pairs", "pairs", "pairs", "pairs", "pairs")
 BATCH_WORDS = 150_000
+STATE = "row long, doc_id long, text_key binary, n_words int, sym array<long>, lo array<int>, hi array<int>, anchors array<long>, starts array<int>, sizes array<int>"
 
 
 def name_runs(sym, lo, hi, doc, first, last):
@@ -77,52 +83,187 @@ def name_pairs(sym, lo, hi, doc, first, last, number: int):
     return name, new_lo, new_hi, d
 
 
+def window_hashes(words: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of each window of the words' hashes, a hash of its own."""
+    if len(words) < window:
+        return np.empty(0, dtype=np.uint64)
+    power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words) - 1, BASE)]))
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words) - window, inverse)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power, dtype=np.uint64)])
+    return mix64((sums[window:] - sums[:-window]) * back)
+
+
 class Windows:
-    """The windows of some documents at once: their hashes, and the anchor of each."""
+    """The windows of some documents at once: their hashes, the anchor of each, and the symbols after `LOCAL_ROUNDS`."""
 
     def __init__(self, sizes: list[int], words: np.ndarray, window: int = WINDOW):
         self.window, self.last = window, np.cumsum(sizes)
         self.first = self.last - np.asarray(sizes)
         n = len(words)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        self.hash = self._hashes(words, window)
+        self.hash = window_hashes(words, window)
         self.anchor = mix64(self.hash + BASE)
         sym, lo, hi = words, np.arange(n), np.arange(1, n + 1)
-        for number in range(ROUNDS):
-            if number in RUN_ROUNDS:
+        for number in range(LOCAL_ROUNDS):
+            if number == 0:
                 sym, lo, hi, doc = name_runs(sym, lo, hi, doc, self.first, self.last)
             sym, lo, hi, doc = name_pairs(sym, lo, hi, doc, self.first, self.last, number)
-            if number + 1 < SURE or not len(sym):
-                continue
-            before = np.cumsum(np.bincount(lo + 1, minlength=n + 2))[: len(self.hash)]  # symbols that begin before each window
-            inside = before < len(sym)
-            before = np.minimum(before, len(sym) - 1)
-            inside &= hi[before] <= np.arange(len(self.hash)) + window
-            if not inside.any():
-                break
-            self.anchor[inside] = mix64(sym[before[inside]] + np.uint64(number))
-
-    @staticmethod
-    def _hashes(words: np.ndarray, window: int) -> np.ndarray:
-        if len(words) < window:
-            return np.empty(0, dtype=np.uint64)
-        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words) - 1, BASE)]))
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words) - window, inverse)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * power, dtype=np.uint64)])
-        return mix64((sums[window:] - sums[:-window]) * back)
+        at, inside = first_inside(lo, hi, np.arange(len(self.hash)), window)
+        self.anchor[inside] = mix64(sym[at[inside]])
+        self.sym, self.lo, self.hi, self.doc = sym, lo, hi, doc
 
     def of(self, i: int) -> slice:
         """Positions of the windows of document i."""
         return slice(self.first[i], max(self.first[i], self.last[i] - self.window + 1))
 
 
+def first_inside(lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """For each window the first symbol that begins in it, and whether that one's stretch ends in it too."""
+    at = np.searchsorted(lo, starts, "left")
+    inside = at < len(lo)
+    if len(lo):
+        at = np.minimum(at, len(lo) - 1)
+        inside &= hi[at] <= starts + window
+    return at, inside
+
+
+def run_lengths(row: np.ndarray, starts: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of neighbouring windows with one anchor begin, and how many windows each has."""
+    if not len(starts):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return cuts, np.diff(np.append(cuts, len(starts)))
+
+
+# ---- rounds of Spark's ------------------------------------------------------------------------
+#
+# A state is, of each text, its symbols with their stretches, and the runs of windows that may yet be repeated. Symbol 0
+# is a barrier: the edge of a text, or where nothing that is left to find passes through.
+
+
+def grouped(sym, lo, hi, kind: str, salt: int):
+    """What this round names: `(left, right, lo, hi, at)`; right is 0 for a symbol that stays alone, left for a barrier."""
+    if kind == "runs":
+        at = np.flatnonzero(np.concatenate([[True], (sym[1:] != sym[:-1]) | (sym[1:] == 0)]))
+        length = np.diff(np.append(at, len(sym)))
+        wall = sym[at] == 0
+        new_lo = np.where(wall, lo[at], lo[np.maximum(at - 1, 0)])
+        new_hi = np.where(wall, hi[at], hi[np.minimum(at + length, len(sym) - 1)])
+        return sym[at], np.where(length > 1, length, 0), new_lo, new_hi, at
+    live = sym != 0
+    coin = (mix64(sym.view(np.uint64) ^ mix64(np.array([salt], dtype=np.uint64))[0]) >> np.uint64(63)).astype(bool)
+    is_right, is_left = live & coin, live & ~coin
+    pair = np.append(is_left[:-1] & is_right[1:], False)
+    at = np.flatnonzero(~np.concatenate([[False], pair[:-1]]))
+    after, before = np.minimum(at + 1, len(sym) - 1), np.maximum(at - 1, 0)
+    return sym[at], np.where(pair[at], sym[after], 0), np.where(is_right[at], lo[before], lo[at]), np.where(is_left[at], hi[after], hi[at]), at
+
+
+def _loaded(batch):
+    """The texts of a batch of states beside each other: symbols, stretches, the text of each symbol, and bases."""
+    flat = lambda i: batch.column(i).flatten().to_numpy(zero_copy_only=False)
+    names = batch.schema.names
+    sym, lo, hi = (flat(names.index(c)) for c in ("sym", "lo", "hi"))
+    sizes = batch.column(names.index("sym")).value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(batch.num_rows), sizes)
+    extent = batch.column(names.index("n_words")).to_numpy(zero_copy_only=False).astype(np.int64) + WINDOW + 2
+    base = np.cumsum(extent) - extent + 1
+    return sym, lo + base[row], hi + base[row], row, base
+
+
+def _grouped_of(state: DataFrame, kind: str, salt: int) -> DataFrame:
+    """`(row, at, left, right)`: all that this round may name."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sym, lo, hi, row, _ = _loaded(batch)
+            left, right, _, _, at = grouped(sym, lo, hi, kind, salt)
+            mine = row[at]
+            place = np.arange(len(at)) - np.searchsorted(mine, np.arange(batch.num_rows))[mine]
+            live = left != 0
+            columns = [batch.column(0).take(pa.array(mine[live])), pa.array(place[live].astype(np.int32)), pa.array(left[live]), pa.array(right[live].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "left", "right"])
+
+    return state.select("row", "n_words", "sym", "lo", "hi").mapInArrow(run, "row long, at int, left long, right long")
+
+
+def _renamed(state: DataFrame, kind: str, salt: int) -> DataFrame:
+    """Of a state and `told`, the names of each text: the state after this round."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sym, lo, hi, row, base = _loaded(batch)
+            left, _, lo, hi, at = grouped(sym, lo, hi, kind, salt)
+            row = row[at]
+            names = np.zeros(len(at), dtype=np.int64)
+            told = batch.column(batch.schema.names.index("told"))
+            each = told.flatten()
+            owner = np.repeat(np.arange(batch.num_rows), told.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            names[np.searchsorted(row, owner) + each.field(0).to_numpy(zero_copy_only=False)] = each.field(1).to_numpy(zero_copy_only=False)
+
+            sizes = batch.column(9).flatten().to_numpy(zero_copy_only=False)
+            run_row = np.repeat(np.arange(batch.num_rows), batch.column(9).value_lengths().to_numpy(zero_copy_only=False))
+            run_start = batch.column(8).flatten().to_numpy(zero_copy_only=False) + base[run_row]
+            starts = np.repeat(run_start - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            anchors, window_row = np.repeat(batch.column(7).flatten().to_numpy(zero_copy_only=False), sizes), np.repeat(run_row, sizes)
+            alone = (left != 0) & (names == 0)
+            open_ = ~first_inside(lo[alone], hi[alone], starts)[1]
+            starts, anchors, window_row = starts[open_], anchors[open_], window_row[open_]
+            named = names != 0
+            where, inside = first_inside(lo[named], hi[named], starts)
+            anchors[inside] = names[named][where[inside]]
+
+            names[np.searchsorted(starts, lo, "right") <= np.searchsorted(starts, hi - WINDOW, "left")] = 0  # in no window
+            keep = np.concatenate([[True], (names[1:] != 0) | (names[:-1] != 0) | (row[1:] != row[:-1])])
+            names, lo, hi, row = names[keep], lo[keep] - base[row[keep]], hi[keep] - base[row[keep]], row[keep]
+            cuts, lengths = run_lengths(window_row, starts, anchors)
+            every = np.arange(batch.num_rows + 1)
+            by_symbol, by_run = (pa.array(np.searchsorted(r, every).astype(np.int32)) for r in (row, window_row[cuts]))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:4],
+                    pa.ListArray.from_arrays(by_symbol, pa.array(names)),
+                    pa.ListArray.from_arrays(by_symbol, pa.array(lo.astype(np.int32))),
+                    pa.ListArray.from_arrays(by_symbol, pa.array(hi.astype(np.int32))),
+                    pa.ListArray.from_arrays(by_run, pa.array(anchors[cuts])),
+                    pa.ListArray.from_arrays(by_run, pa.array((starts[cuts] - base[window_row[cuts]]).astype(np.int32))),
+                    pa.ListArray.from_arrays(by_run, pa.array(lengths.astype(np.int32))),
+                ],
+                names=batch.schema.names[:10],
+            )
+            yield out.filter(pa.array(np.diff(np.searchsorted(window_row, every)) > 0))
+
+    columns = [c.split()[0] for c in STATE.split(", ")]
+    return state.select(*columns, "told").mapInArrow(run, STATE)
+
+
+def name_globally(state: DataFrame) -> DataFrame:
+    """The state after `SPARK_ROUNDS`: each names, in a table of the whole corpus, what two texts or more have."""
+    for number, kind in enumerate(SPARK_ROUNDS):
+        groups = _grouped_of(state, kind, number + LOCAL_ROUNDS + 1)
+        shared = groups.groupBy("left", "right").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low < high")
+        name = F.monotonically_increasing_id() * 16 + (number + 1)  # no two rounds give one name twice
+        names = materialize(shared.select("left", "right", "n", name.alias("name")), "names")
+        told = join_counted(groups, names, ["left", "right"]).groupBy("row").agg(F.collect_list(F.struct("at", "name")).alias("told"))
+        old, state = state, materialize(_renamed(state.join(told, "row", "left"), kind, number + LOCAL_ROUNDS + 1), "state")
+        drop_table(old)
+        drop_table(names)
+    return state
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []  # of bytes: white space is \x09-\x0D and \x20
 
 
 def _batched(batches, text_at: int) -> Iterator[tuple]:
-    """(rows, words of each text, Windows over them)."""
+    """(rows, words of each text, the hashes of all words)."""
     hasher = WordHasher()
     for batch in batches:
         start, size, words = 0, 0, []
@@ -130,8 +271,7 @@ def _batched(batches, text_at: int) -> Iterator[tuple]:
             words.append(words_of(text))
             size += len(words[-1])
             if size >= BATCH_WORDS or i + 1 == batch.num_rows:
-                flat = hasher([w for ws in words for w in ws])
-                yield batch.slice(start, i + 1 - start), words, Windows([len(w) for w in words], flat)
+                yield batch.slice(start, i + 1 - start), words, hasher([w for ws in words for w in ws])
                 start, size, words = i + 1, 0, []
 
 
@@ -142,60 +282,75 @@ def _text_key(words: list[bytes]) -> bytes:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_words, text_key, words_sha, anchors)` of every row."""
+    """`(doc_id, n_words, text_key, words_sha)` of every row, and its state after `LOCAL_ROUNDS`."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, windows in _batched(batches, 1):
-            anchors = [np.unique(windows.anchor[windows.of(i)]).view(np.int64).tolist() for i in range(len(words))]
+        names = ["doc_id", "n_words", "text_key", "words_sha", "sym", "lo", "hi", "anchors", "starts", "sizes"]
+        for rows, words, flat in _batched(batches, 1):
+            windows = Windows([len(w) for w in words], flat)
+            every, first, last = np.arange(len(words)), windows.first, windows.last
+            edges = np.stack([np.searchsorted(windows.doc, every), np.searchsorted(windows.doc, every, "right")], axis=1).ravel()
+            walls = np.stack([np.full(len(words), -1), last - first], axis=1).ravel()
+            doc = np.insert(windows.doc, edges, np.repeat(every, 2))
+            sym = np.insert(windows.sym, edges, np.uint64(0))
+            lo = np.insert(windows.lo - first[windows.doc], edges, walls)
+            hi = np.insert(windows.hi - first[windows.doc], edges, walls + 1)
+            spans = [windows.of(i) for i in every]
+            at, owner = np.concatenate([np.arange(s.start, s.stop) for s in spans]), np.repeat(every, [s.stop - s.start for s in spans])
+            anchor = windows.anchor[at]
+            cuts, sizes = run_lengths(owner, at, anchor)
+            by_symbol, by_run = (pa.array(np.searchsorted(d, np.arange(len(words) + 1)).astype(np.int32)) for d in (doc, owner[cuts]))
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([_text_key(w) for w in words], pa.binary()),
                     pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()),
-                    pa.array(anchors, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(by_symbol, pa.array(sym.view(np.int64))),
+                    pa.ListArray.from_arrays(by_symbol, pa.array(lo.astype(np.int32))),
+                    pa.ListArray.from_arrays(by_symbol, pa.array(hi.astype(np.int32))),
+                    pa.ListArray.from_arrays(by_run, pa.array(anchor[cuts].view(np.int64))),
+                    pa.ListArray.from_arrays(by_run, pa.array((at[cuts] - first[owner[cuts]]).astype(np.int32))),
+                    pa.ListArray.from_arrays(by_run, pa.array(sizes.astype(np.int32))),
                 ],
-                names=["doc_id", "n_words", "text_key", "words_sha", "anchors"],
+                names=names,
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, text_key binary, words_sha string, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, text_key binary, words_sha string, " + STATE.split(", ", 4)[4])
 
 
 def _runs(texts: DataFrame) -> DataFrame:
-    """Of `(doc_id, text, anchors)`: the runs of windows with one of these anchors."""
+    """Of `(doc_id, text, text_key, spans)`: these runs of windows, with the hashes of the windows."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "kind", "doc_id", "text_key", "start", "windows", "hashes"]
-        for rows, words, windows in _batched(batches, 1):
-            own, wanted = [windows.of(i) for i in range(len(words))], rows.column(2)
-            at = np.concatenate([np.arange(s.start, s.stop) for s in own])
-            doc = np.repeat(np.arange(len(own)), [s.stop - s.start for s in own])
-            if not len(at):
-                continue
-            anchor = windows.anchor[at]
-            cuts = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            size = np.diff(np.append(cuts, len(at)))
-            edges = np.searchsorted(doc[cuts], np.arange(len(own) + 1))
-            good = np.concatenate([np.isin(anchor[cuts[a:b]], wanted[i].values.to_numpy().view(np.uint64)) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))])
-            keep = np.repeat(good, size)
-            if not keep.any():
+        for rows, words, flat in _batched(batches, 1):
+            keys = rows.column(2).to_pylist()
+            right = np.array([_text_key(w) == k for w, k in zip(words, keys, strict=True)])  # two texts may have one id
+            lists = rows.column(3)
+            each = lists.flatten()
+            owner = np.repeat(np.arange(len(words)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            good = right[owner]
+            if not good.any():
                 continue
-            cuts, size, at = cuts[good], size[good], at[keep]
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            hashes = windows.hash[at]
+            anchor, start, size = (each.field(i).to_numpy(zero_copy_only=False)[good] for i in range(3))
+            owner = owner[good]
+            last = np.cumsum([len(w) for w in words])
+            base = last - [len(w) for w in words]
+            first = np.cumsum(size) - size
+            at = np.repeat(start + base[owner] - first, size) + np.arange(size.sum())
+            hashes = window_hashes(flat)[at]
             place = (np.arange(len(at)) - np.repeat(first, size) + 1).astype(np.uint64)
             kind = np.add.reduceat(mix64(hashes ^ (place * BASE)), first)
-            source = doc[cuts]
-            keys = pa.array([_text_key(w) for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(anchor[cuts].view(np.int64)),
+                    pa.array(anchor),
                     pa.array(kind.view(np.int64)),
-                    rows.column(0).take(pa.array(source)),
-                    keys.take(pa.array(source)),
-                    pa.array((at[first] - windows.first[source]).astype(np.int32)),
+                    rows.column(0).take(pa.array(owner)),
+                    rows.column(2).take(pa.array(owner)),
+                    pa.array(start.astype(np.int32)),
                     pa.array(size.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(hashes.view(np.int64))),
                 ],
@@ -253,12 +408,16 @@ def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """`(doc_id, text_key, start, windows, low_id, low_key, low_start)`: windows of a document that hash like windows of
     a smaller one, and where these are."""
-    anchors = _first_texts(profile.where("doc_id is not null and size(anchors) > 0")).select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    wanted = materialize(join_counted(prefilter(anchors, shared, "anchor"), shared, ["anchor"]).groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "wanted")
+    first = _first_texts(profile.where("doc_id is not null and size(starts) > 0"))
+    state = name_globally(materialize(first.select(F.monotonically_increasing_id().alias("row"), *first.columns), "state"))
+    anchors = state.select("doc_id", "text_key", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("r")).select("doc_id", "text_key", F.col("r.anchors").alias("anchor"), "r.starts", "r.sizes")
+    shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
+    told = join_counted(prefilter(anchors, shared, "anchor"), shared, ["anchor"])
+    wanted = materialize(told.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "starts", "sizes")).alias("spans")), "wanted")
     drop_table(shared)
-    runs = materialize(_runs(prefilter(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "anchors")), "runs")
+    runs = materialize(_runs(prefilter(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "text_key", "spans")), "runs")
     drop_table(wanted)
+    drop_table(state)
 
     spot = F.struct("doc_id", "text_key", "start")
     told = ["doc_id", "text_key", "start", "windows", F.col("low.doc_id").alias("low_id"), F.col("low.text_key").alias("low_key"), F.col("low.start").alias("low_start")]
@@ -279,11 +438,13 @@ def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def _first_texts(profile: DataFrame) -> DataFrame:
-    """`(doc_id, anchors)` of each distinct text, under its smallest id; only copies are shuffled."""
+    """The state of each distinct text, under its smallest id; only copies are shuffled."""
+    columns = [c.split()[0] for c in STATE.split(", ")][3:]
+    profile = profile.withColumn("n_words", F.col("n_words").cast("int"))
     copies = materialize(profile.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"), "copies")
     maybe, single = split_by(profile, copies, "text_key")
-    firsts = maybe.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"))
-    return single.select("doc_id", "anchors").unionByName(firsts.select("doc_id", "anchors"))
+    firsts = maybe.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*columns)).alias("s"))
+    return single.select("doc_id", "text_key", *columns).unionByName(firsts.select("doc_id", "text_key", "s.*"))
 
 
 def verifiable_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -314,7 +475,7 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         changed = changed.drop("kept_text")
     changed = changed.dropDuplicates(["doc_id", "text_key"])
     low = profile.where("doc_id is not null").groupBy("words_sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    out = join_counted(profile.drop("anchors"), materialize(low, "copies"), ["words_sha"], how="left").join(changed, ["doc_id", "text_key"], "left")
+    out = join_counted(profile.select("doc_id", "n_words", "text_key", "words_sha"), materialize(low, "copies"), ["words_sha"], how="left").join(changed, ["doc_id", "text_key"], "left")
     copy = (F.col("low") < F.col("doc_id")) & (F.col("n_words") >= WINDOW)
     columns = [
         "doc_id",
