@@ -102,6 +102,20 @@ def test_anchors_depend_on_the_window_alone():
     assert (x.hash[200 : 200 + n] == y.hash[13 : 13 + n]).all() and (x.anchor[200 : 200 + n] == y.anchor[13 : 13 + n]).all()
 
 
+def test_names_are_of_the_whole_corpus(spark):
+    """Spark's rounds name the windows two texts share alike, and leave what is in one text only."""
+    shared = [f"s{i}" for i in range(55)] + ["again"] * 5 + [f"t{i}" for i in range(15)]
+    rows = [(7, [f"a{i}" for i in range(90)] + shared), (3, shared + [f"b{i}" for i in range(60)]), (5, [f"c{i}" for i in range(120)]), (9, ["few", "words"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    first = substrings._first_texts(substrings._profile(df).where("size(starts) > 0"))
+    state = substrings.name_globally(common.materialize(first.select(F.monotonically_increasing_id().alias("row"), *first.columns), "state"))
+    anchors = {r["doc_id"]: {s + i: a for a, s, n in zip(r["anchors"], r["starts"], r["sizes"], strict=True) for i in range(n)} for r in state.collect()}
+    n = len(shared) - substrings.WINDOW + 1
+    assert set(anchors) == {7, 3}
+    assert [anchors[7][90 + i] for i in range(n)] == [anchors[3][i] for i in range(n)]
+    assert not any(p < 40 for p in anchors[7]) and len(set(anchors[3].values())) < n
+
+
 def test_kept_text(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, long), (2, f"before {long} after"), (3, long), (None, long)], "doc_id long, text string")
