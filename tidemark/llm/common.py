@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of the bitmap that `prefilter` broadcasts: 65,536 rows of 16 bytes at most, whatever the input.
@@ -234,3 +234,35 @@ def utf8(column) -> list:
 
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+# ---- places in a sorted whole -----------------------------------------------------------------
+
+#: Rows of a table that may be broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if it has `SMALL` rows at most; otherwise Spark joins it by shuffling."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def placed(rows: DataFrame, group: list[str], order: list[str | Column], place: str) -> DataFrame:
+    """`rows` sorted by `group` (nulls first) and `order`, with their place in the group, a long from 0.
+
+    The sort is a distributed one, written once; what is before a row is its place in its partition, and the rows that
+    earlier partitions have of its group, of which there is one count for each partition and group. A group may have
+    any number of rows: equal keys are split over partitions too.
+    """
+    mid, part, first, before, n, tie = unused(rows, "mid", "part", "first", "before", "n", "tie")
+    keyed = rows.withColumn(tie, F.monotonically_increasing_id()).orderBy(*(F.col(g).asc_nulls_first() for g in group), *order, tie).drop(tie)
+    rows = materialize(keyed.withColumn(mid, F.monotonically_increasing_id()), "sorted")
+    found = rows.withColumn(part, F.shiftright(mid, 33))
+    runs = found.groupBy(part, *group).agg(F.min(mid).alias(first), F.count("*").alias(n))
+    earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialize(runs.withColumn(before, F.coalesce(F.sum(n).over(earlier), F.lit(0))).drop(n), "runs").alias("runs")
+    same = F.col(f"rows.{part}") == F.col(f"runs.{part}")
+    for g in group:
+        same &= F.col(f"rows.{g}").eqNullSafe(F.col(f"runs.{g}"))
+    joined = found.alias("rows").join(small(runs), same)
+    return joined.select(*(F.col(f"rows.`{c}`") for c in rows.columns if c != mid), (F.col(before) + F.col(mid) - F.col(first)).alias(place))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Remembered words in one Python worker; then it starts afresh.
@@ -71,3 +73,93 @@ class Encoder:
                 ids = known[w] = self._word(w)
             out.append(ids)
         return b"".join(out)
+
+
+# ---- byte-level vocabularies ------------------------------------------------------------------
+
+#: White space and what is behind it: ASCII white space behind anything else always begins a piece of its own.
+_CHUNK = re.compile(rb"\s*[^\s]+|\s+")
+_byte_encoders: dict = {}
+
+
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder per worker and file."""
+    if path not in _byte_encoders:
+        _byte_encoders[path] = ByteEncoder(path)
+    return _byte_encoders[path]
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, others in order from U+0100."""
+    shown = {b for low, high in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)) for b in range(low, high + 1)}
+    others = iter(range(256))
+    return [chr(b) if b in shown else chr(256 + next(others)) for b in range(256)]
+
+
+class ByteEncoder:
+    """`tokenizers` with a byte-level vocabulary, applied to chunks of white space and a word, which are remembered.
+
+    No piece of the vocabulary's pattern goes from other characters on into white space, so chunks are encoded on
+    their own. Where a chunk ends in white space beyond ASCII, and where a text may hold a special token, the text goes
+    through the tokenizer whole. The ids equal those of encoding the text at once (tests/llm).
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model, self.character = self.tokenizer.model, byte_characters()
+        before = spec["pre_tokenizer"] or {}
+        self.by_chunk = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"] and not spec["truncation"]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), *(t["id"] + 1 for t in spec["added_tokens"])) <= 1 << 16 else "<u4"
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        """A chunk that is one piece: a space or none, and letters."""
+        return np.array([t.id for t in self.model.tokenize("".join(map(self.character.__getitem__, piece)))], dtype=self.kind).tobytes()
+
+    def _remembered(self, chunk: bytes) -> bytes | None:
+        ids = self.known.get(chunk, 0)
+        if ids == 0:
+            ids = self.known[chunk] = self._chunk(chunk)
+        return ids
+
+    def _chunk(self, chunk: bytes) -> bytes | None:
+        """The ids of a chunk; None if what follows could join it."""
+        text = chunk.decode()
+        if not chunk[-1:].isspace() and text[-1].isspace():
+            return None
+        word = text[1:] if chunk[0] == 0x20 else text
+        if word.isalpha() and max(word) < "\u0250":
+            return self._piece(chunk)
+        stem = chunk.rstrip(b".,!?;:")
+        if stem and len(stem) < len(chunk) and (last := stem.decode()[-1]).isalpha() and last < "\u0250":  # letters and marks never share a piece
+            return self._remembered(stem) + self._remembered(chunk[len(stem) :])
+        if len(chunk) > 1 and chunk[0] == 0x0A and word[1].isalpha():  # one line end, and a word of its own behind it
+            return self._remembered(chunk[:1]) + self._remembered(chunk[1:])
+        return self._whole(chunk)
+
+    def __call__(self, text: bytes | None) -> bytes:
+        """The ids as little-endian values of `kind`."""
+        if not text:
+            return b""
+        if not self.by_chunk or any(s in text for s in self.special):
+            return self._whole(text)
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        get, out = self.known.get, []
+        for c in _CHUNK.findall(text):
+            ids = get(c, 0)
+            if ids == 0:
+                ids = self._remembered(c)
+            if ids is None:
+                return self._whole(text)
+            out.append(ids)
+        return b"".join(out)
