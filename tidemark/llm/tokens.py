@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
@@ -79,6 +80,8 @@ class Encoder:
 
 #: White space and what is behind it: ASCII white space behind anything else always begins a piece of its own.
 _CHUNK = re.compile(rb"\s*[^\s]+|\s+")
+#: Remembered chunks in one Python worker, about 200 MB.
+CACHE_CHUNKS = 1_000_000
 _byte_encoders: dict = {}
 
 
@@ -117,13 +120,15 @@ class ByteEncoder:
         self.by_chunk = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec["normalizer"] and not spec["truncation"]
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.kind = "<u2" if max(self.tokenizer.get_vocab_size(), *(t["id"] + 1 for t in spec["added_tokens"])) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
 
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
         """A chunk that is one piece: a space or none, and letters."""
-        return np.array([t.id for t in self.model.tokenize("".join(map(self.character.__getitem__, piece)))], dtype=self.kind).tobytes()
+        ids = [t.id for t in self.model.tokenize("".join(map(self.character.__getitem__, piece)))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _remembered(self, chunk: bytes) -> bytes | None:
         ids = self.known.get(chunk, 0)
@@ -133,6 +138,9 @@ class ByteEncoder:
 
     def _chunk(self, chunk: bytes) -> bytes | None:
         """The ids of a chunk; None if what follows could join it."""
+        if chunk[1:].isalpha() and (chunk[0] == 0x20 or chunk[:1].isalpha()):  # bytes: ASCII letters alone
+            ids = [t.id for t in self.model.tokenize(("\u0120" if chunk[0] == 0x20 else chunk[:1].decode()) + chunk[1:].decode())]
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
         text = chunk.decode()
         if not chunk[-1:].isspace() and text[-1].isspace():
             return None
@@ -152,7 +160,7 @@ class ByteEncoder:
             return b""
         if not self.by_chunk or any(s in text for s in self.special):
             return self._whole(text)
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_CHUNKS:
             self.known.clear()
         get, out = self.known.get, []
         for c in _CHUNK.findall(text):
