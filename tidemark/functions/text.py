@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
+import zlib
 from collections.abc import Callable
 from functools import cache, reduce
 
@@ -85,12 +88,78 @@ def nonempty(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: White space that is stripped from the ends of cells.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+#: A character reference, or what stands between references.
+_REFERENCE = r"(?s)(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"
+_NAME_TABLES = 64
+
+
+@cache
+def _names() -> tuple[str, str]:
+    """HTML's names of characters in small tables by a hash of the name, as one text; and a pattern of those that need no semicolon, the longest first."""
+    tables = ["\0"] * _NAME_TABLES
+    for name, character in html.entities.html5.items():
+        tables[zlib.crc32(name.encode()) % _NAME_TABLES] += f"{name}\1{character}\0"
+    bare = sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    return "\2".join(tables), f"^({'|'.join(bare)})"
+
+
+def _named(name: Column) -> Column:
+    """The one or two characters that a name stands for, or null."""
+    own = F.get(F.split(F.lit(_names()[0]), "\2"), F.pmod(F.crc32(name.cast("binary")), F.lit(_NAME_TABLES)).cast("int"))
+
+    def found(t: Column) -> Column:
+        at = F.instr(t, F.concat(F.lit("\0"), name, F.lit("\1")))
+        return F.when(at > 0, F.substring_index(F.substring(t, at + F.length(name) + 2, F.lit(3)), "\0", 1))
+
+    return let(own, found)
+
+
+def _numbered(number: Column) -> Column:
+    """The character of a number, a replacement for what is none, nothing for what mustn't be."""
+
+    def character(n: Column) -> Column:
+        windows = "".join(chr(k) if (c := bytes([k]).decode("cp1252", "replace")) == "\ufffd" else c for k in range(0x80, 0xA0))  # what HTML reads them as
+        low = F.substr(F.lit(windows), n.cast("int") - 0x7F, F.lit(1))
+        none = n.between(1, 8) | n.between(0x0E, 0x1F) | (n == 0x0B) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE) & (n > 0xFFFD))
+        return (
+            F.when(n.between(0x80, 0x9F), low)
+            .when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(none, "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        )
+
+    return let(number, character)
 
 
 def unescape(text: Column) -> Column:
-    """Common HTML entities as characters."""
-    return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), _ENTITIES, text)
+    """HTML character references, named and numeric, as characters; each is read once, so `&amp;lt;` is `&lt;`."""
+
+    def digits(name: Column) -> Column:
+        short = F.regexp_replace(name, "^#[xX]?0*|;$", "")
+        number = F.coalesce(F.when(name.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short).try_cast("long"), F.lit(0))
+        return _numbered(F.when(F.length(short) > 7, F.lit(1 << 24)).otherwise(number))
+
+    def named(token: Column, name: Column) -> Column:
+        """The whole name, or else the longest beginning that is one and needs no semicolon."""
+        prefix = F.regexp_extract(name, _names()[1], 1)
+        known = F.transform(F.array(name, prefix), _named)
+        return let(known, lambda k: F.coalesce(F.get(k, F.lit(0)), F.concat(F.get(k, F.lit(1)), F.substr(name, F.length(prefix) + 1)), token))
+
+    def one(token: Column) -> Column:
+        short = F.length(token) == 1
+        return F.when(~token.startswith("&") | short, token).otherwise(let(F.substr(token, F.lit(2)), lambda name: F.when(name.startswith("#"), digits(name)).otherwise(named(token, name))))
+
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 1), one), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def clean_cell(text: Column) -> Column:
@@ -162,7 +231,7 @@ def escape_text(text: Column) -> Column:
 
 def human_name(name: Column) -> Column:
     text = F.trim(F.translate(F.coalesce(name, F.lit("")), "_-", "  "))
-    shown = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    shown = F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
     return F.when(F.lower(text).isin("field", "input", "form", "value", "question"), "").otherwise(shown)
 
 

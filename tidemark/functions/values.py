@@ -2,20 +2,23 @@
 
 # Spellings of the state, and places that count with one of them.
 STATE_SPELLINGS = ["ca", "calif", "california"]
-CITIES = """
-san francisco, south san francisco, daly city, colma, brisbane, pacifica, san bruno, millbrae, burlingame,
-hillsborough, san mateo, foster city, belmont, san carlos, redwood city, atherton, menlo park, east palo alto,
-palo alto, woodside, portola valley, half moon bay, mountain view, los altos, los altos hills, sunnyvale,
-cupertino, santa clara, san jose, milpitas, campbell, los gatos, saratoga, oakland, emeryville, alameda,
-berkeley, albany, el cerrito, richmond, san pablo, pinole, hercules, piedmont, san leandro, castro valley,
-hayward, union city, newark, fremont, orinda, lafayette, moraga, walnut creek, pleasant hill, concord, martinez,
-dublin, pleasanton, san ramon, danville, sausalito, mill valley, tiburon, belvedere, corte madera, larkspur,
-ross, san anselmo, fairfax, san rafael, novato, vallejo, benicia
-"""
-PLACES = [" ".join(x.split()) for x in CITIES.split(",")] + ["sf", "s f", "san fran", "south sf", "bay area", "silicon valley"]
+CITIES = [
+    "san francisco", "south san francisco", "daly city", "colma", "brisbane", "pacifica", "san bruno", "millbrae", "burlingame", "hillsborough",
+    "san mateo", "foster city", "belmont", "san carlos", "redwood city", "atherton", "menlo park", "east palo alto", "palo alto", "woodside",
+    "portola valley", "half moon bay", "mountain view", "los altos", "los altos hills", "sunnyvale", "cupertino", "santa clara", "san jose",
+    "milpitas", "campbell", "los gatos", "saratoga", "oakland", "emeryville", "alameda", "berkeley", "albany", "el cerrito", "richmond", "san pablo",
+    "pinole", "hercules", "piedmont", "san leandro", "castro valley", "hayward", "union city", "newark", "fremont", "orinda", "lafayette", "moraga",
+    "walnut creek", "pleasant hill", "concord", "martinez", "dublin", "pleasanton", "san ramon", "danville", "sausalito", "mill valley", "tiburon",
+    "belvedere", "corte madera", "larkspur", "ross", "san anselmo", "fairfax", "san rafael", "novato", "vallejo", "benicia",
+]
+PLACES = [*CITIES, "sf", "s f", "san fran", "south sf", "bay area", "silicon valley"]
 QUALIFIERS = ["county", "hybrid", "remote", "onsite", "on site", "in office"]
 REGIONS = ["san francisco bay area", "sf bay area", "s f bay area"]
-OTHER_STATES = "ak al ar az co ct dc de fl ga hi ia id il in ks ky la ma md me mi mn mo ms mt nc nd ne nh nj nm nv ny oh ok or pa ri sc sd tn tx ut va vt wa wi wv wy".split()
+OTHER_STATES = [
+    "ak", "al", "ar", "az", "co", "ct", "dc", "de", "fl", "ga", "hi", "ia", "id", "il", "in", "ks", "ky", "la", "ma", "md", "me", "mi", "mn", "mo",
+    "ms", "mt", "nc", "nd", "ne", "nh", "nj", "nm", "nv", "ny", "oh", "ok", "or", "pa", "ri", "sc", "sd", "tn", "tx", "ut", "va", "vt", "wa", "wi",
+    "wv", "wy",
+]
 SCOPE_VERSION = "sf-bay-area-roughly-one-hour-v1"
 
 # Hosts and query parameters of links.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
 from tidemark.functions import values as V
+from tidemark.sources import links
 
 # Answers that settle an entry, and the reasons given.
 REFUSED, GONE = [401, 403, 404, 410], [404, 410]
@@ -113,35 +114,49 @@ def href(anchor: Column) -> Column:
     return text.unescape(F.regexp_extract(anchor, r"(?is)^<a\s[^>]*?href\s*=\s*[\"']([^\"']+)", 1))
 
 
+def _resolved(parts: Column) -> Column:
+    """A path from the root of its parts, without dot segments: one fold, however many steps up there are."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.array_append(kept, part))
+
+    dots = F.element_at(parts, -1).isin(".", "..")  # then the path is that of a folder
+    return F.aggregate(parts, F.array().cast("array<string>"), step, lambda kept: F.concat(F.lit("/"), F.array_join(F.when(dots, F.array_append(kept, F.lit(""))).otherwise(kept), "/")))
+
+
 def absolute(link: Column, base_url: Column) -> Column:
     """A link as seen from a page: absolute ones stay; others are a path of the host, a query, or beside the page."""
     scheme, root = F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), F.regexp_extract(base_url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-    page = F.regexp_replace(base_url, r"[?#].*$", "")
-    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
-    whole = (
+    page = F.regexp_extract(base_url, r"^([^?#]*)", 1)
+    whole = F.regexp_extract(base_url, "^([^#]*)", 1)
+    own = F.substr(page, F.length(root) + 1)
+    path = F.regexp_extract(link, r"^([^?#]*)", 1)
+    rest = F.substr(link, F.length(path) + 1)
+    parts = F.split(F.concat(F.regexp_extract(own, "^(.*/)", 1), path), "/")
+    beside = F.filter(parts, lambda x, i: (x != "") | (i == F.size(parts) - 1))  # but for the last one, empty parts go
+    return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link == "", base_url)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
         .when(link.startswith("?"), F.concat(page, link))
-        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .when(link.startswith("#"), F.concat(whole, link))
+        .when(link.startswith("/"), F.concat(root, _resolved(F.split(F.substr(path, F.lit(2)), "/")), rest))
+        .otherwise(F.concat(root, _resolved(beside), rest))
     )
-    for _ in range(4):  # one step up each time
-        whole = F.regexp_replace(whole, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*?)/(?!\.\.?/)[^/?#]+/\.\./", "$1/")
-    return whole
 
 
 def apply_link(html: Column, base_url: Column) -> Column:
     """The first anchor whose text speaks of applying and that leads, safely, to the same host or a known board.
 
-    Links are seen from the page; hidden anchors (by their own attributes) don't count.
+    Links are seen from the page; anchors that are hidden, or in something hidden, don't count.
     """
-    hidden = lambda a: a.rlike(r"(?is)^<a\s[^>]*(\shidden[\s>=]|aria-hidden\s*=\s*[\"']true|display\s*:\s*none|visibility\s*:\s*hidden)")
-    says = lambda a: text.has_any(F.lower(F.regexp_replace(a, "<[^>]*>", " ")), ["apply", "application"])
+    says = lambda a: ~a["hidden"] & text.has_any(F.lower(a["text"]), ["apply", "application"]) & (F.coalesce(a["href"], F.lit("")) != "")
 
     def allowed(link: Column) -> Column:
         board = urls.host(link)
         known = urls.ends_with_any(board, [f".{d}" for d in V.PROVIDER_HOSTS.values()])
         return urls.safe_public(link) & ((board == urls.host(base_url)) | known)
 
-    links = F.transform(F.filter(anchors(html), lambda a: says(a) & ~hidden(a)), lambda a: absolute(href(a), base_url))
-    return F.try_element_at(F.filter(links, allowed), F.lit(1))
+    seen = F.transform(F.filter(links.anchors(html), says), lambda a: absolute(a["href"], base_url))
+    return F.try_element_at(F.filter(seen, allowed), F.lit(1))

@@ -137,5 +137,5 @@ def upsert_block(body: Column, target: Column | str, block: Column) -> Column:
     for first, last in ((mark("start", ":"), mark("end", ":")), (start, end)):  # the older spelling counts where the present one isn't found
         at = F.position(first, body)
         to = F.position(last, body, at + F.length(first))
-        out = F.when((at > 0) & (to > 0), F.concat(F.substring(body, F.lit(1), at - 1), whole, F.substring(body, to + F.length(last), F.lit(1_000_000_000)))).otherwise(out)
+        out = F.when((at > 0) & (to > 0), F.concat(F.substring(body, F.lit(1), at - 1), whole, F.substr(body, to + F.length(last)))).otherwise(out)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,12 @@ PLACEHOLDERS = {"", "select", "select...", "select an option", "choose", "choose
 GROUPS = ["questions", "location_questions", "compliance", "compliance_questions", "demographic_questions", "demographics"]
 
 
+def is_hidden(given: dict[str, str]) -> bool:
+    """Whether an element's own attributes hide it."""
+    style = given.get("style", "").replace(" ", "").lower()
+    return "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
 class _Controls(HTMLParser):
     """One pass over a page. Open elements are frames on a stack; what closes hands its text to who waits for it."""
 
@@ -26,8 +34,7 @@ class _Controls(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = {k: v if v is not None else "" for k, v in attrs}
-        style = given.get("style", "").replace(" ", "").lower()
-        hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+        hidden = is_hidden(given)
         self.serial += 1
         frame = {"tag": tag, "given": given, "n": self.serial, "text": [], "bare": [], "hidden": hidden or bool(self.stack and self.stack[-1]["hidden"])}
         self.has_form |= tag == "form" or given.get("role", "").lower() == "form"
@@ -143,27 +150,68 @@ def questions(pages: DataFrame) -> DataFrame:
 
 _FIELD = "struct<name: string, type: string, values: array<string>, options: array<string>>"
 _QUESTION = f"struct<label: string, question: string, required: string, type: string, name: string, values: array<string>, options: array<string>, fields: array<{_FIELD}>>"
-#: How deep questions are looked for in a group.
-DEPTH = 4
-
-
 def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _inside(value: Column) -> Column:
-    """What a list or object holds, as an array; nothing else holds anything."""
-    items = F.try_variant_get(value, "$", "array<variant>")
-    members = F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
-    none = F.array().cast("array<variant>")
-    return F.when(_kind(value).startswith("ARRAY"), F.coalesce(items, none)).when(_kind(value).startswith("OBJECT"), F.coalesce(members, none)).otherwise(none)
+def _truthy(value: Column) -> Column:
+    """Whether a JSON value is neither missing, null, false, zero nor empty."""
+    shown = F.to_json(value)
+    zero = (_kind(value) != "STRING") & F.coalesce(shown.try_cast("double") == 0, F.lit(False))
+    return value.isNotNull() & ~shown.isin("null", '""', "false", "[]", "{}") & ~zero
+
+
+def _member(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$.{name}", "variant")
+
+
+def _label(value: Column) -> Column:
+    """An object's label, or else its question, if that is a string; whatever else it is counts as none."""
+    chosen = F.when(_truthy(_member(value, "label")), _member(value, "label")).otherwise(_member(value, "question"))
+    return F.when(_kind(chosen) == "STRING", F.try_variant_get(chosen, "$", "string"))
 
 
 def _is_question(value: Column) -> Column:
     """An object with a label that is a string, and fields, a type or whether it is required."""
-    there = lambda f: F.try_variant_get(value, f"$.{f}", "variant").isNotNull()
-    named = lambda f: _kind(F.try_variant_get(value, f"$.{f}", "variant")) == "STRING"
-    return _kind(value).startswith("OBJECT") & (named("label") | named("question")) & (there("fields") | there("required") | there("type"))
+    there = lambda f: _member(value, f).isNotNull()
+    return _kind(value).startswith("OBJECT") & _label(value).isNotNull() & (there("fields") | there("required") | there("type"))
+
+
+def _children(json: Column, value: Column) -> Column:
+    """What a list or object holds, in the order it is written, as JSON; nothing else holds anything.
+
+    Strings and other bare values are left out, as nothing can be found in them; so a member's JSON is what it looks like.
+    """
+    none, nested = F.array().cast("array<string>"), lambda v: _kind(v).startswith("ARRAY") | _kind(v).startswith("OBJECT")
+    items, texts = F.try_variant_get(value, "$", "array<variant>"), F.from_json(json, "array<string>")
+    of_list = F.filter(texts, lambda t, i: nested(F.get(items, i)))
+    members, written = F.try_variant_get(value, "$", "map<string,variant>"), F.from_json(json, "map<string,string>")
+    of_object = F.transform(F.filter(F.map_entries(written), lambda e: nested(F.try_element_at(members, e["key"]))), lambda e: e["value"])
+    kind = _kind(value)
+    return F.coalesce(F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_object), none)
+
+
+def walk(nodes: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
+    """The `json` of all nodes that are `found` below `nodes(.., path array<int>, json)`, and their `path`: the place at each level.
+
+    One round for each level, down to the deepest: what isn't found gives way to what it holds, in order, and what holds
+    nothing goes. Each round is written to the checkpoint folder, so it reads the one before it alone and plans stay
+    small; without such a folder rounds are kept in memory. What is found isn't searched.
+    """
+    done, level = [], nodes
+    shared = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
+    keys = [c for c in nodes.columns if c not in ("path", "json")]
+    while True:
+        told = level.withColumn("v", F.try_parse_json("json"))
+        told = told.select(*keys, "path", "json", F.coalesce(found(F.col("v")), F.lit(False)).alias("hit"), "v")
+        told = told.select(*keys, "path", "hit", F.when(F.col("hit"), F.array("json")).otherwise(_children(F.col("json"), F.col("v"))).alias("held"))
+        told = told.checkpoint() if shared else told.persist()
+        done.append(told.where("hit").select(*keys, "path", F.get("held", F.lit(0)).alias("json")))
+        below = told.where("not hit").select(*keys, "path", F.posexplode("held").alias("at", "json"))
+        level = below.select(*keys, F.array_append("path", F.col("at")).alias("path"), "json")
+        if not level.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, done)
 
 
 def invalid_groups(payloads: DataFrame) -> DataFrame:
@@ -177,21 +225,16 @@ def invalid_groups(payloads: DataFrame) -> DataFrame:
 def schema_questions(payloads: DataFrame) -> DataFrame:
     """Questions of `(page_id, payload)`, a structured form schema as JSON; groups in order, hidden fields left out.
 
-    Questions are found in lists and objects of a group, `DEPTH` deep; a question isn't searched for others. Pages with an
+    Questions are found in lists and objects of a group, however deep; a question isn't searched for others. Pages with an
     invalid group (`invalid_groups`) have none.
     """
-    parsed = payloads.join(invalid_groups(payloads).select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.try_parse_json("payload").alias("p"))
-
-    def group(name: str):
-        found = F.array(F.try_variant_get("p", f"$.{name}", "variant"))
-        for _ in range(DEPTH):  # what isn't a question gives way to what it holds, in its place
-            found = F.flatten(F.transform(found, lambda v: F.when(_is_question(v), F.array(v)).otherwise(_inside(v))))
-        asked = F.transform(F.filter(found, _is_question), lambda v: F.from_json(F.to_json(v), _QUESTION))
-        return F.transform(asked, lambda q: F.struct(F.lit(name).alias("section"), q.alias("q")))
-
-    groups = F.array(*map(group, GROUPS))
-    rows = parsed.select("page_id", F.posexplode(F.flatten(groups)).alias("at", "g")).select("page_id", "at", "g.section", "g.q.*")
-    rows = rows.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "question"))
+    whole = payloads.join(invalid_groups(payloads).select("page_id").distinct(), "page_id", "left_anti")
+    texts = F.from_json("payload", "map<string,string>")
+    each = F.array(*(F.struct(F.lit(g).alias("section"), F.try_element_at(texts, F.lit(g)).alias("json")) for g in GROUPS))
+    groups = whole.where(F.try_parse_json("payload").isNotNull()).select("page_id", F.posexplode(each).alias("group", "g")).where("g.json is not null")
+    asked = walk(groups.select("page_id", "g.section", F.array("group").alias("path"), "g.json"), _is_question)
+    named = asked.withColumn("label", _label(F.try_parse_json("json")))
+    rows = named.select("page_id", "path", "section", "label", F.from_json("json", _QUESTION).alias("q")).select("page_id", "path", "section", "label", *(f"q.{c}" for c in ("required", "type", "name", "values", "options", "fields")))
     visible = F.filter(F.coalesce("fields", F.array().cast(f"array<{_FIELD}>")), lambda f: ~F.lower(F.coalesce(f["type"], F.lit(""))).isin("hidden", "input_hidden"))
     rows = rows.withColumn("visible", visible).where("label is not null and label <> '' and (fields is null or size(fields) = 0 or size(visible) > 0)")
     first, none = F.try_element_at("visible", F.lit(1)), F.array().cast("array<string>")
@@ -199,8 +242,8 @@ def schema_questions(payloads: DataFrame) -> DataFrame:
     told = F.when(F.size("visible") > 0, F.flatten(F.transform("visible", lambda f: F.coalesce(f["values"], f["options"], none)))).otherwise(own)
     shown = F.transform(told, lambda v: F.coalesce(F.get_json_object(v, "$.label"), F.get_json_object(v, "$.name"), F.get_json_object(v, "$.value"), F.when(~v.startswith("{"), v), F.lit("")))
     kind = F.coalesce(first["type"], "type", F.lit("unknown"))
-    out = rows.select("page_id", "at", "label", kind.alias("kind"), text.lenient_boolean(F.col("required")).alias("required"), shown.alias("options"), "section", ((F.size("visible") > 1) & F.lower(kind).isin("checkbox", "select")).alias("multiple"), text.nonempty(F.coalesce(first["name"], "name")).alias("field_name"))
-    numbered = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).drop("at")
+    out = rows.select("page_id", "path", "label", kind.alias("kind"), text.lenient_boolean(F.col("required")).alias("required"), shown.alias("options"), "section", ((F.size("visible") > 1) & F.lower(kind).isin("checkbox", "select")).alias("multiple"), text.nonempty(F.coalesce(first["name"], "name")).alias("field_name"))
+    numbered = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))).drop("path")
     return _classified(numbered)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +16,42 @@ COLUMNS = {
     "company": ["company"], "position": ["position", "role", "job title"], "location": ["location"], "posting": ["posting", "application", "apply"],
     "salary": ["salary", "compensation", "pay"], "age": ["age", "posted", "posting age"],
 }
-_CELL = r"""((?:\\.|<(?:"[^"]*"|'[^']*'|[^>"'])*>|`[^`]*`|[^|\\<`]++|[\\<`])*+)\|"""
+#: What a row is made of: an escaped character, a mark that may open or close something, or a run of others.
+_TOKEN = r"""(?s)(\\.|[^\\<>"'`|]+|.)"""
 #: A category is rejected if it skips so many rows, and more than it parses.
 MANY_SKIPPED = 5
 
 
 def cells(line: Column) -> Column:
-    """The cells of a row; pipes after a backslash, in tags and in code don't separate. Null if it has no first pipe."""
-    row = F.trim(line)
-    closed = F.when(row.endswith("|"), F.substring(row, 2, 1_000_000)).otherwise(F.concat(F.substring(row, 2, 1_000_000), F.lit("|")))
-    return F.when(row.startswith("|"), F.transform(F.regexp_extract_all(closed, F.lit(_CELL), 1), F.trim))
+    """The cells of a row; pipes after a backslash, in tags and in code don't separate. Null if it has no first pipe.
+
+    One fold over the row's tokens, of any number: what a tag, a quoted value in it or code opens stays open until it is
+    closed, or the row ends.
+    """
+
+    def step(s: Column, token: Column) -> Column:
+        quoted = s["quote"] != ""
+        plain = ~s["tag"] & ~s["code"]
+        ends = plain & (token == "|")
+        opens = s["tag"] & ~quoted & token.isin('"', "'")
+        quote = F.when(opens, token).when(quoted & (token == s["quote"]), "").otherwise(s["quote"])
+        tag = F.when(~s["tag"], token == "<").when(~quoted & (token == ">"), False).otherwise(True)
+        return F.struct(
+            F.when(ends, F.array_append(s["cells"], text.strip(s["cell"]))).otherwise(s["cells"]).alias("cells"),
+            F.when(ends, "").otherwise(F.concat(s["cell"], token)).alias("cell"),
+            tag.alias("tag"), F.when(~s["tag"] & (token == "`"), ~s["code"]).otherwise(s["code"]).alias("code"), quote.alias("quote"),
+        )
+
+    def finish(row: Column) -> Callable[[Column], Column]:
+        def last(s: Column) -> Column:
+            rest = text.strip(s["cell"])
+            return F.when((rest != "") | ~row.endswith("|"), F.array_append(s["cells"], rest)).otherwise(s["cells"])
+
+        return last
+
+    none = F.struct(F.array().cast("array<string>").alias("cells"), F.lit("").alias("cell"), F.lit(False).alias("tag"), F.lit(False).alias("code"), F.lit("").alias("quote"))
+    split = lambda row: F.aggregate(F.regexp_extract_all(F.substr(row, F.lit(2)), F.lit(_TOKEN), 1), none, step, finish(row))
+    return text.let(text.strip(line), lambda row: F.when(row.startswith("|"), split(row)))
 
 
 def apply_link(cell: Column) -> Column:
@@ -49,14 +76,15 @@ def sections(documents: DataFrame) -> DataFrame:
 
 
 def table_lines(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, line, row, cells, header, separated, stray)` of every line of each section.
+    """`(source_id, category, line, row, cells, plain, header, separated, stray)` of every line of each section.
 
     header: the place and names of the first line with all required names, null if there is none; separated: whether
     the line behind it is a separator; stray: whether something that isn't a row is behind both.
     """
     lines = sections(documents).where("section is not null").select("source_id", "category", F.posexplode(F.split("section", r"\r?\n")).alias("line", "row"))
-    parsed = lines.withColumn("row", F.trim("row")).withColumn("cells", cells(F.col("row")))
-    names = F.transform("cells", lambda c: F.lower(text.clean_cell(c)))
+    parsed = lines.withColumn("row", text.strip(F.col("row"))).withColumn("cells", cells(F.col("row")))
+    parsed = parsed.withColumn("plain", F.transform("cells", text.clean_cell))
+    names = F.transform("plain", F.lower)
     is_header = F.forall(F.array(*map(F.lit, ("company", "position", "location"))), lambda n: F.array_contains(names, n)) & F.arrays_overlap(names, F.array(*map(F.lit, COLUMNS["posting"])))
     w = Window.partitionBy("source_id", "category")
     known = parsed.withColumn("header", F.min(F.when(is_header, F.struct("line", names.alias("names")))).over(w))
@@ -72,7 +100,7 @@ def parse(documents: DataFrame) -> DataFrame:
     # 1 + the place of the first name that the header has
     at = lambda field: F.coalesce(*(F.nullif(F.array_position("header.names", F.lit(n)), F.lit(0).cast("long")) for n in COLUMNS[field])).cast("int")
     cell = lambda field: F.try_element_at(F.col("cells"), at(field))
-    plain = lambda field: text.nonempty(text.clean_cell(cell(field)))
+    plain = lambda field: text.nonempty(F.try_element_at(F.col("plain"), at(field)))
     fits = F.size("cells") == F.size("header.names")
     out = rows.select("source_id", "category", "line", fits.alias("fits"), *(plain(f).alias(f) for f in ("company", "position", "location", "salary", "age")), text.nonempty(apply_link(cell("posting"))).alias("application_url"))
     whole = F.col("fits") & F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())

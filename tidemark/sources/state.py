@@ -85,11 +85,32 @@ def scan_violations(scans: DataFrame) -> DataFrame:
     return scans.select("canonical_id", F.explode(broken).alias("violation"))
 
 
+#: What JSON is made of: an escaped character, a quote, or a run of anything else.
+_TOKEN = r"""(?s)(\\.|"|[^\\"]+)"""
+
+
+def keys(record: Column) -> Column:
+    """All keys of a JSON text, at any depth, as they are read: a fold over its tokens gives the strings that a colon follows, and
+    each is decoded, so an escaped letter is that letter."""
+
+    def step(s: Column, token: Column) -> Column:
+        quote, inside = token == '"', s["inside"]
+        is_key = ~inside & ~quote & s["last"].isNotNull() & token.rlike(r"^[ \t\r\n]*:")
+        return F.struct(
+            F.when(quote, ~inside).otherwise(inside).alias("inside"),
+            F.when(quote, "").when(inside, F.concat(s["text"], token)).otherwise(s["text"]).alias("text"),
+            F.when(quote & inside, s["text"]).when(quote | inside, F.lit(None).cast("string")).otherwise(F.lit(None).cast("string")).alias("last"),
+            F.when(is_key, F.array_append(s["keys"], s["last"])).otherwise(s["keys"]).alias("keys"),
+        )
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit("").alias("text"), F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("keys"))
+    written = F.aggregate(F.regexp_extract_all(record, F.lit(_TOKEN), 1), start, step, lambda s: s["keys"])
+    return F.transform(written, lambda k: F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), k, F.lit('"]')), "array<string>"), F.lit(0)), k))
+
+
 def key_names(record: Column) -> Column:
-    """All keys of a JSON text, at any depth: its strings that a colon follows."""
-    strings = F.regexp_extract_all(record, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), 1)
-    keys = F.filter(strings, lambda x: x.endswith(":"))
-    return F.transform(keys, lambda x: text.key_name(x))
+    """All keys of a JSON text, at any depth, folded: letters and digits alone, in lower case."""
+    return F.transform(keys(record), lambda k: text.key_name(k))
 
 
 def prohibited(record: Column) -> Column:
