@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 
-from . import render
+from . import actions, render
 
 BATCH_MARK = r"<!-- batch:v1:(\w+) -->"
 
@@ -78,6 +78,27 @@ def deliver(outbox: DataFrame, issues: DataFrame, create: Callable[[dict], int],
     return done.unionByName(spark.createDataFrame(rows, done.schema))
 
 
+def send(outbox: DataFrame, issues: DataFrame, create: str, path: str, find: str | None = None, label: str | None = None, complete: DataFrame | None = None) -> DataFrame:
+    """`deliver` by the sink of `actions`: `(batch_id, issue_number, status)`.
+
+    Pending batches are sent one after the other, by time and id; create, find and label are functions named as
+    `module:function`. find is asked for a batch's issue right before it is sent, so an attempt that is repeated after a
+    lost executor sends nothing twice; what `issues` already shows isn't asked for.
+    """
+    known = outbox.join(sent_marks(issues).withColumnRenamed("issue_number", "found_issue"), "batch_id", "left")
+    if complete is not None:
+        known = known.join(complete.select("batch_id", F.lit(True).alias("whole")), "batch_id", "left")
+    done = known.where("status = 'sent' or found_issue is not null").select("batch_id", F.coalesce("found_issue", "issue_number").cast("long").alias("issue_number"), F.lit("sent").alias("status"))
+    rest = known.where("status <> 'sent' and found_issue is null")
+    whole = F.coalesce("whole", F.lit(False)) if complete is not None else F.lit(True)
+    told = actions.perform(rest.where(whole).drop("found_issue", "whole"), create, f"{path}/sent", "batch_id", find, ["created_at", "batch_id"])
+    sent = told.select(F.col("key").alias("batch_id"), F.col("value").try_cast("long").alias("issue_number"), F.when(F.col("status") == actions.FAILED, F.concat(F.lit("pending: "), F.split("error", ":")[0])).otherwise("sent").alias("status"))
+    if label is not None:  # tried once; an issue without it is sent all the same
+        actions.perform(told.where(f"status = '{actions.DONE}'"), label, f"{path}/labels", "key")
+    missing = rest.where(~whole).select("batch_id", F.lit(None).cast("long").alias("issue_number"), F.lit("pending: entries missing").alias("status"))
+    return done.unionByName(sent).unionByName(missing)
+
+
 def _each(rows: DataFrame, act: Callable[..., None], *columns: str) -> DataFrame:
     """`act` on each of a few rows, one after another on the driver; `(<first column>, done, error)`. One that fails stops no other."""
     out = []

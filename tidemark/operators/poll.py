@@ -14,6 +14,8 @@ from . import history, resolve
 from .sinks import Snapshots
 
 _TABLES = ["entities", "memberships", "sources", "batches"]
+#: Tables that grow with history are committed by key, so a poll writes the buckets that it changes.
+_KEYS = {"entities": ["canonical_id"], "memberships": ["canonical_id"], "batches": ["batch_id"]}
 
 
 @dataclass
@@ -59,7 +61,7 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
         changed = []
         if not dry_run:
             facts = spark.createDataFrame([(step.history.initialized, step.history.scope)], "initialized boolean, scope string")
-            changed = store.commit(**{t: getattr(step.history, t) for t in _TABLES}, facts=facts)
+            changed = store.commit(keys=_KEYS, **{t: getattr(step.history, t) for t in _TABLES}, facts=facts)
             step.history, counts = stored(store), step.counts.collect()
             step.counts = spark.createDataFrame(counts, step.counts.schema)
             step.new = spark.createDataFrame(step.new.collect(), step.new.schema)  # the ids of one alert

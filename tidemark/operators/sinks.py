@@ -3,25 +3,51 @@
 Each table goes to a folder of its own that is never written again; the manifest that names the folders is the
 commit point, written last. Readers follow the newest manifest, so they never see half a commit, and a commit
 that failed leaves only folders that nothing names.
+
+A table may be committed by its key. Then its rows are dealt into buckets by a hash of the key, each with a hash of
+its content, and the table's hash is that of its buckets' in order: a tree of two levels. A commit compares them with
+the last manifest's and writes the buckets that differ; the others stay where an earlier commit put them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Buckets of a table that is committed by its key, as long as it isn't given another number.
+BUCKETS = 64
+
+
+def _sums(df: DataFrame) -> list[Column]:
+    """The count and sums over row hashes, which depend on the rows alone and not on their order."""
+    digest = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    return [F.count("*").alias("n"), *(F.sum(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5))]
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """A row's bucket: of its key alone."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def bucket_hashes(df: DataFrame, keys: list[str], buckets: int) -> dict[int, str]:
+    """The content hash of each bucket that has rows; one small row for each bucket comes to the driver."""
+    rows = df.groupBy(bucket_of(keys, buckets).alias("_bucket")).agg(*_sums(df)).collect()
+    return {r["_bucket"]: "|".join(str(x) for x in r[1:]) for r in rows}
+
+
+def schema_text(df: DataFrame) -> str:
+    return ",".join(sorted(f"{c}:{t}" for c, t in df.dtypes))
 
 
 def content_hash(df: DataFrame) -> str:
     """Equal for tables with equal rows in any order: the count, and sums over row hashes; one small row at the end."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    digest = F.sha2(row, 256)
-    parts = [F.sum(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]
-    r = df.agg(F.count("*").alias("n"), *parts).first()
-    schema = ",".join(sorted(f"{c}:{t}" for c, t in df.dtypes))
-    return f"{schema}|" + "|".join(str(x) for x in r)
+    return f"{schema_text(df)}|" + "|".join(str(x) for x in df.agg(*_sums(df)).first())
 
 
 def json_document(df: DataFrame, keys: list[str]) -> str:
@@ -61,25 +87,54 @@ class Snapshots:
             if schema is None:
                 raise ValueError(f"no committed table {name}")
             return self.spark.createDataFrame([], schema)
+        if "buckets" in entry:
+            folders = sorted({f"{self.base}/{b['folder']}" for b in entry["buckets"].values()})
+            types = T.StructType.fromJson(entry["types"])
+            return self.spark.read.schema(types).parquet(*folders) if folders else self.spark.createDataFrame([], types)
         return self.spark.read.parquet(f"{self.base}/{entry['folder']}")
 
-    def commit(self, **tables: DataFrame) -> list[str]:
-        """Write the tables whose rows changed and commit them together; their names."""
+    def commit(self, keys: dict[str, list[str]] | None = None, buckets: int = BUCKETS, **tables: DataFrame) -> list[str]:
+        """Write the tables whose rows changed and commit them together; their names.
+
+        keys: for tables that are committed by key, its columns; of these only the buckets that changed are written.
+        """
         old = self.manifest()
         entries, changed = dict(old["tables"]), []
         for name, df in tables.items():
-            digest = content_hash(df)
-            if entries.get(name, {}).get("hash") == digest:
-                continue
-            folder = f"tables/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.base}/{folder}")
-            entries[name] = {"folder": folder, "hash": digest}
-            changed.append(name)
+            entry = self._by_key(name, df, keys[name], buckets, entries.get(name)) if name in (keys or {}) else self._whole(name, df, entries.get(name))
+            if entry is not None:
+                entries[name] = entry
+                changed.append(name)
         if changed:
             version = old["version"] + 1
             self._publish(f"{self.base}/manifests/{version:012d}.json", json.dumps({"version": version, "tables": entries}, sort_keys=True))
         return changed
 
+    def _whole(self, name: str, df: DataFrame, old: dict | None) -> dict | None:
+        """A table's new entry, written; None if nothing changed."""
+        digest = content_hash(df)
+        if (old or {}).get("hash") == digest:
+            return None
+        folder = f"tables/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.base}/{folder}")
+        return {"folder": folder, "hash": digest}
+
+    def _by_key(self, name: str, df: DataFrame, keys: list[str], buckets: int, old: dict | None) -> dict | None:
+        """The same, of a table by buckets: a bucket is a folder of a commit, and an entry names one for each."""
+        same = old is not None and old.get("keys") == keys and old.get("count") == buckets and old.get("schema") == schema_text(df)
+        before = old["buckets"] if same else {}
+        hashes = {str(b): h for b, h in bucket_hashes(df, keys, buckets).items()}
+        root = hashlib.sha256("\n".join(f"{b} {hashes[b]}" for b in sorted(hashes, key=int)).encode()).hexdigest()
+        if same and old["hash"] == root:
+            return None
+        moved = [b for b, h in hashes.items() if before.get(b, {}).get("hash") != h]
+        folder = f"tables/{name}-{uuid.uuid4().hex}"
+        if moved:
+            rows = df.withColumn("_bucket", bucket_of(keys, buckets)).where(F.col("_bucket").isin([int(b) for b in moved]))
+            rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.base}/{folder}")
+        kept = {b: before[b] if b not in moved else {"hash": h, "folder": f"{folder}/_bucket={b}"} for b, h in hashes.items()}
+        return {"buckets": kept, "hash": root, "keys": keys, "count": buckets, "schema": schema_text(df), "types": json.loads(df.schema.json())}
+
     def _publish(self, path: str, text: str) -> None:
         """Write beside and rename. On stores whose rename is atomic and fails onto an existing file, as HDFS's is, two writers
         can't both commit a version; elsewhere (object stores, local disks) commits need one writer at a time."""

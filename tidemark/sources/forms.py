@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tidemark.functions import text
+from tidemark.functions.lineage import cut
 
 # Elements without content, inputs that aren't questions, options that aren't answers.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -199,13 +200,11 @@ def walk(nodes: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
     small; without such a folder rounds are kept in memory. What is found isn't searched.
     """
     done, level = [], nodes
-    shared = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
     keys = [c for c in nodes.columns if c not in ("path", "json")]
     while True:
         told = level.withColumn("v", F.try_parse_json("json"))
         told = told.select(*keys, "path", "json", F.coalesce(found(F.col("v")), F.lit(False)).alias("hit"), "v")
-        told = told.select(*keys, "path", "hit", F.when(F.col("hit"), F.array("json")).otherwise(_children(F.col("json"), F.col("v"))).alias("held"))
-        told = told.checkpoint() if shared else told.persist()
+        told = cut(told.select(*keys, "path", "hit", F.when(F.col("hit"), F.array("json")).otherwise(_children(F.col("json"), F.col("v"))).alias("held")))
         done.append(told.where("hit").select(*keys, "path", F.get("held", F.lit(0)).alias("json")))
         below = told.where("not hit").select(*keys, "path", F.posexplode("held").alias("at", "json"))
         level = below.select(*keys, F.array_append("path", F.col("at")).alias("path"), "json")

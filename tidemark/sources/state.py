@@ -71,7 +71,10 @@ def needs_baseline(state: DataFrame) -> DataFrame:
 
 
 def scan_violations(scans: DataFrame) -> DataFrame:
-    """`(canonical_id, violation)` of stored scans (`canonical_id, key, provider, status, attempt_count, issue_number, metadata_keys`)."""
+    """`(canonical_id, violation)` of stored scans (`canonical_id, key, provider, status, attempt_count, issue_number, metadata_keys`).
+
+    Where scans have them, a link has to be there, and metadata to be one JSON object.
+    """
     bad_key: Column = F.exists(F.transform("metadata_keys", text.key_name), lambda k: text.has_any(k, PROHIBITED))
     rules = {
         "key": ~F.col("key").eqNullSafe(F.col("canonical_id")),
@@ -81,6 +84,10 @@ def scan_violations(scans: DataFrame) -> DataFrame:
         "issue": F.coalesce(F.col("issue_number") < 1, F.lit(True)),
         "prohibited field": F.coalesce(bad_key, F.lit(False)),
     }
+    if "application_url" in scans.columns:
+        rules["link"] = text.nonempty(F.col("application_url")).isNull()
+    if "metadata" in scans.columns:
+        rules["metadata"] = F.col("metadata").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json("metadata")).startswith("OBJECT"), F.lit(False))
     broken = F.filter(F.array(*(F.when(test, name) for name, test in rules.items())), lambda x: x.isNotNull())
     return scans.select("canonical_id", F.explode(broken).alias("violation"))
 
