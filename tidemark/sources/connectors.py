@@ -6,13 +6,14 @@ tests and offline runs give one that reads local data.
 
 from __future__ import annotations
 
+import contextlib
 import importlib
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidemark.functions import urls
 
@@ -53,6 +54,18 @@ def http_get(url: str) -> str:
         raise
 
 
+def folder_get(url: str) -> str:
+    """The text of a file in a folder that holds a copy of repositories, on any of Arrow's file systems."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(url)
+    try:
+        with system.open_input_stream(path) as f:
+            return f.read().decode("utf-8")
+    except FileNotFoundError as error:
+        raise Permanent("no such file") from error
+
+
 def page_get(url: str) -> tuple[int, str, str]:
     """Status, final link and text of a public page, decoded as it declares; what can't be decoded is replaced."""
     from urllib.request import Request, urlopen
@@ -89,8 +102,12 @@ def public_pages(links: DataFrame, fetcher: str = f"{__name__}:page_get") -> Dat
 
 
 class _Group(InputPartition):
-    def __init__(self, repository: str, ref: str, files: list[tuple[str, str]]):
-        self.repository, self.ref, self.files = repository, ref, files
+    def __init__(self, repository: str, ref: str, files: list[tuple[str, str]], revision: str | None = None):
+        self.repository, self.ref, self.files, self.revision = repository, ref, files, revision
+
+    @property
+    def name(self) -> str:
+        return f"{self.repository} {self.ref}"
 
 
 class FeedReader(DataSourceReader):
@@ -104,28 +121,73 @@ class FeedReader(DataSourceReader):
             groups.setdefault((repository, ref), []).append((source_id, file))
         return [_Group(*k, files) for k, files in groups.items()]
 
-    def read(self, partition: _Group) -> Iterator[tuple]:
+    def _fetch(self, *parts: str) -> str:
         module, _, name = self.options.get("fetcher", f"{__name__}:http_get").partition(":")
-        fetch = getattr(importlib.import_module(module), name)
         base = self.options.get("base", "").rstrip("/")
+        return with_retries(getattr(importlib.import_module(module), name), "/".join([base, *parts]))
+
+    def revision(self, group: _Group) -> str:
+        """What a repository's ref stands for just now."""
+        revision = self._fetch(group.repository, "revision", group.ref).strip()
+        if len(revision) < 7:
+            raise Permanent("revision is too short")
+        return revision
+
+    def files(self, group: _Group, revision: str) -> Iterator[tuple]:
+        for source_id, file in group.files:
+            try:
+                yield source_id, revision, self._fetch(group.repository, revision, file), None
+            except Exception as error:
+                yield source_id, revision, None, f"{type(error).__name__}: {error}"
+
+    def read(self, partition: _Group) -> Iterator[tuple]:
         try:  # the ref is resolved once, and every file read at that revision
-            revision = with_retries(fetch, f"{base}/{partition.repository}/revision/{partition.ref}").strip()
-            if len(revision) < 7:
-                raise Permanent("revision is too short")
+            revision = self.revision(partition)
         except Exception as error:
             for source_id, _ in partition.files:
                 yield source_id, None, None, f"{type(error).__name__}: {error}"
             return
-        for source_id, file in partition.files:
-            try:
-                yield source_id, revision, with_retries(fetch, f"{base}/{partition.repository}/{revision}/{file}"), None
-            except Exception as error:
-                yield source_id, revision, None, f"{type(error).__name__}: {error}"
+        yield from self.files(partition, revision)
+
+
+class FeedStream(DataSourceStreamReader):
+    """The same feeds as a stream: an offset is the revision of every repository and ref, so a poll reads the feeds of those that
+    moved since the last finished batch, at the revision that its offset names, also when it is repeated.
+
+    A repository whose revision can't be told stays at the last one that could: a failed poll says nothing. Spark keeps
+    offsets in the stream's checkpoint; `commit` is its word that a batch is finished.
+    """
+
+    def __init__(self, options: dict):
+        self.reader = FeedReader(options)
+        self.seen: dict[str, str] = {}
+        self.committed: dict[str, str] | None = None
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        for group in self.reader.partitions():
+            with contextlib.suppress(Exception):  # as unknown as before
+                self.seen[group.name] = self.reader.revision(group)
+        return dict(self.seen)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        for name, revision in start.items():  # a stream that starts again knows what it had
+            self.seen.setdefault(name, revision)
+        groups = {g.name: g for g in self.reader.partitions()}
+        return [_Group(g.repository, g.ref, g.files, end[name]) for name, g in groups.items() if name in end and end[name] != start.get(name)]
+
+    def read(self, partition: _Group) -> Iterator[tuple]:
+        return self.reader.files(partition, partition.revision)
+
+    def commit(self, end: dict) -> None:
+        self.committed = end
 
 
 class FeedSource(DataSource):
-    """`spark.dataSource.register(FeedSource)`, then `spark.read.format("feeds")` with `sources` (tab-separated id,
-    repository, ref and file on each line), `base` and `fetcher`."""
+    """`spark.dataSource.register(FeedSource)`, then `spark.read.format("feeds")` or `spark.readStream.format("feeds")` with
+    `sources` (tab-separated id, repository, ref and file on each line), `base` and `fetcher`."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +199,9 @@ class FeedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return FeedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FeedStream(self.options)
+
 
 class PageReader(DataSourceReader):
     """Pages of a paginated list: each answer names the next link."""
