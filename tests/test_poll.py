@@ -3,7 +3,7 @@
 import pytest
 
 from tidemark.operators import poll, sinks
-from tidemark.plans import feed_queries
+from tests import golden_feeds as feed_queries
 
 SCHEMA = "source_id string, format string, body string, error string, priority int, source_label string, source_file string, job_type string"
 

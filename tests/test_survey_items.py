@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import outbox, render, resolve
-from tidemark.plans import feed_queries
+from tests import golden_feeds as feed_queries
 from tidemark.sources import connectors, registry
 
 

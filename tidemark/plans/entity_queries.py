@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import text, urls
 from tidemark.operators import lifecycle, outbox, render, resolve
 from tidemark.sources import markdown
-from tidemark.streaming import polls as stream
+from tidemark.streaming import memberships as stream
+from tidemark.streaming.polls import _shared
 
 from . import oracle as O
 from .driver_views import observations, polls
@@ -71,7 +72,8 @@ def membership_lifecycle(spark, sf_dir):
 
 
 def stream_lifecycle(spark, sf_dir):
-    return stream.run_stream(observed(spark, sf_dir), polls(spark))
+    """Keyed state of a stream that ends in the middle of the polls, and of another one that goes on from it."""
+    return stream.run(observed(spark, sf_dir), polls(spark), _shared(spark), stops=[3])
 
 
 def entity_lifecycle(spark, sf_dir):
@@ -114,7 +116,8 @@ def fallback_promotion(spark, sf_dir):
 
 
 def source_onboarding(spark, sf_dir):
-    first = polls(spark).where("ok").groupBy("source_id").agg(F.min("run_id").alias("run_id"))
+    """The run in which each source is first heard of; it alerts of nothing there."""
+    first = observed(spark, sf_dir).groupBy("source_id").agg(F.min("run_id").alias("run_id"))
     return first.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("baselined"))
 
 
@@ -198,7 +201,7 @@ ORACLE_SQL = {
     "new_entity_alerts": _q(O.member_ctes() + ", " + _NEW, "select run_id, sha256(string_agg(canonical_id, chr(10) order by canonical_id)) as batch_id, count(*) as entries, 'pending' as status from fresh group by run_id"),
     "batch_resolve": _q(O.lifecycle_ctes() + ", " + _state() + ", " + _NEW, "select f.run_id, bool_and(active is not null) as deliverable, count(*) filter (where active) as still_active, count(*) as entries from fresh f left join state s using (canonical_id) group by f.run_id"),
     "fallback_promotion": _q(O.resolved_ctes() + ", f0 as (select *, row_number() over (partition by canonical_id order by run_id) as r from resolved), d as (select canonical_id, run_id, 'fallback:' || " + O.fingerprint() + " as fallback_id from f0 where r = 1 and canonical_id not like 'fallback:%'), b as (select canonical_id as fallback_id, run_id as fallback_run from f0 where r = 1 and canonical_id like 'fallback:%')", "select fallback_id, arg_min(canonical_id, row(run_id, canonical_id)) as canonical_id, min(run_id) as run_id from d join b using (fallback_id) where fallback_run < run_id group by fallback_id"),
-    "source_onboarding": _q(f"polls as ({O.POLLS})", "select run_id, string_agg(source_id, ',' order by source_id) as baselined from (select source_id, min(run_id) as run_id from polls where ok group by source_id) group by run_id"),
+    "source_onboarding": _q(O.member_ctes(), "select run_id, string_agg(source_id, ',' order by source_id) as baselined from (select source_id, min(run_id) as run_id from observed group by source_id) group by run_id"),
     "alias_union": _q(O.member_ctes(), "select canonical_id, string_agg(distinct application_url, ' ' order by application_url) as url_aliases, count(distinct application_url) as n from members group by canonical_id"),
     "alias_subset": _q(O.member_ctes(), "select canonical_id, run_id, bool_and(seen < run_id) as is_subset from (select distinct canonical_id, run_id, min(run_id) over (partition by canonical_id, application_url) as seen, application_url from members) group by canonical_id, run_id"),
     "parse_health": _q(f"obs as ({O.obs_sql()})", "select source_id, category, candidates, parsed, candidates - parsed as skipped, parsed > 0 and not (candidates - parsed >= 5 and candidates - parsed > parsed) as healthy from (select source_id, category, count(*) as candidates, count(*) filter (where trim(company) <> '' and trim(position) <> '' and trim(salary) <> '' and trim(application_url) <> '') as parsed from obs group by all)"),

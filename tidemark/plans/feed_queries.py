@@ -1,181 +1,162 @@
-"""Queries over inline feeds and pages, held against golden values."""
+"""Queries over feeds, forms and schemas that are rendered from the tables: one document for each customer or part, broken by
+rules on its key, and parsed again."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import render
-from tidemark.sources import forms, html_table, json_feed, markdown, registry
-
-MARKDOWN = """# Feed
-<!-- TABLE_FAANG_START -->
-| Company | Position | Location | Salary | Posting | Age |
-|---|:---|---|---|---|---|
-| <a href="https://a.example" title="x|y"><strong>Alpha</strong></a> | Engineer \\| Core | Palo Alto, CA +1 | $50/hr | <a href="https://a.example"><img alt="logo"></a> <a href="https://jobs.lever.co/alpha/1"><img src="b.png" alt="Apply"></a> | 1d |
-| Beta | Engineer | Oakland, CA | | <a href="https://b.example/info">Info</a> | 2d |
-<!-- TABLE_FAANG_END -->
-<!-- TABLE_QUANT_START -->
-| Company | Position | Location | Application |
-|---|---|---|---|
-| Gamma &amp; Co | *Quant* Dev | SF, CA | [Apply now](https://g.example/apply?x=1) |
-<!-- TABLE_QUANT_END -->
-<!-- TABLE_START -->
-| Company | Position | Location | Salary | Posting | Age |
-|---|---|---|---|---|---|
-| Delta | [Dev](https://d.example) | Remote | $1 | <a class="b" href='https://d.example/j'>Apply</a> | 3d
-| too | few |
-<!-- TABLE_END -->
-"""
-INTERNSHIPS = json.dumps({"updatedAt": "2026-01-01", "jobs": [
-    {"id": "1", "company": " Acme ", "title": "SWE Intern", "location": "San Jose, CA", "category": "Software Engineering", "listingUrl": "https://x.example/1", "url": "https://y.example/1"},
-    {"id": "2", "company": "Acme", "title": "PM", "location": "Reno, NV", "category": "Product", "url": "https://y.example/2"},
-    {"id": "3", "company": "", "title": "SWE", "location": "Reno, NV", "category": "software engineering", "url": "https://y.example/3"},
-]})
-GRADUATES = json.dumps({"jobs": [
-    {"company": "Bolt", "title": "Backend Engineer", "location": "Novato, CA", "eligibility": "New Grad", "url": "https://z.example/1"},
-    {"company": "Bolt", "title": "Product Manager", "location": "Novato, CA", "eligibility": "New Grad", "url": "https://z.example/2"},
-    {"company": "Bolt", "title": "Answer Analyst", "location": "Novato, CA", "eligibility": "Senior", "url": "https://z.example/3"},
-]})
-TABLE = """## Other
-## 💻 Software Engineering Internship Roles
-<table><tr><th>Company</th><th>Role</th><th>Location</th><th>Application</th><th>Age</th></tr>
-<tr><td>🔥 <b>Orbit</b></td><td>SWE Intern 🎓</td><td>San Mateo, CA<br/>Austin, TX</td><td><a href="https://simplify.jobs/p/abc"><img alt="Simplify"></a><a href="https://orbit.example/j/1"><img alt="Apply"></a></td><td>1d</td></tr>
-<tr><td>↳</td><td>Data Intern</td><td><details><summary>2 locations</summary>SF, CA<br>NY</details></td><td><a href="https://simplify.jobs/p/def">Apply</a></td><td>2d</td></tr>
-<tr><td>Nova</td><td>SWE</td><td>SF</td></tr></table>
-## Archived Software Engineering Internship Roles (old)
-<table><tr><td>Old</td></tr></table>
-"""
-FORM = """<header><input name="q" placeholder="Search"></header><form>
-<label for="n">Full name *</label><input id="n" name="full_name" required>
-<label>Email <input type="email" name="email" aria-required="false"></label>
-<span id="t">Phone number</span><input type="tel" aria-labelledby="t">
-<textarea name="cover_letter"></textarea><input type="hidden" name="z"><input type="submit">
-<label for="c">Country</label><select id="c" name="country"><option>Select</option><option>US</option><option>us</option><option>FR</option></select>
-<fieldset><legend>Do you need visa sponsorship?</legend><label><input type="radio" name="v" value="y" required> Yes</label><label><input type="radio" name="v" value="n"> No</label></fieldset>
-<fieldset><legend>Skills</legend><label><input type="checkbox" name="s"> SQL</label><label><input type="checkbox" name="s"> Java</label></fieldset>
-<div style="display: none"><input name="trap"></div></form>"""
-SCHEMA = json.dumps({"questions": [
-    {"label": "First Name", "required": True, "fields": [{"name": "first_name", "type": "input_text", "values": []}]},
-    {"label": "Geo", "required": False, "fields": [{"name": "lat", "type": "input_hidden"}]},
-    {"label": "Why us?", "required": "no", "fields": [{"name": "q1", "type": "textarea", "values": []}]},
-    {"label": "Office", "fields": [{"name": "q2", "type": "multi_value_single_select", "values": [{"label": "SF", "value": 1}, {"label": "sf", "value": 2}, "NY"]}]},
-], "compliance": [{"label": "Consent", "required": True, "fields": [{"name": "c", "type": "checkbox"}]}], "demographic_questions": None})
-
-
-def _documents(spark: SparkSession, **bodies: str) -> DataFrame:
-    return spark.createDataFrame([*bodies.items()], "source_id string, body string")
+from tidemark.functions import text
+from tidemark.operators import actions, enrichment, inspection, render, sinks
+from tidemark.sources import forms, html_table, json_feed, markdown, registry, state
+from tidemark.streaming.polls import _shared
+
+#: How a document is broken, by the customer's key; the others are whole.
+RULES = 11
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
+
+
+def _joined(orders: DataFrame, row: str, name: str, between: str = "") -> DataFrame:
+    """One text for each customer: the rows of its orders, in order."""
+    return orders.selectExpr("c", "k", f"{row} as row").groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), between).alias(name))
+
+
+_HEAD = "| Company | Position | Location | Salary | Posting | Age |"
+_LINE = "| --- | :--- | ---: | :---: | --- | --- |"
+_EMPTY = "\\n".join(f"<!-- TABLE_{t}_START -->\\n{_HEAD}\\n{_LINE}\\n<!-- TABLE_{t}_END -->" for t in ("FAANG", "QUANT"))
+_MALFORMED = "(k % 4 = 3 or (c % 5 = 1 and k % 4 <> 0))"
+_ROW = rf"""concat('|', k % 10, 'Co &eacute; ', k, k % 10, '|1st *Eng* ', k, ' \\| x|', k % 7, ' 2nd St, Oakland, CA ', k % 7, '||',
+  if({_MALFORMED}, 'Info', concat('<a href="https://x.example/', k, '?a=1&amp;b=2" title="a|b"><img alt="Apply"></a>')), '|', k % 30, 'd|')"""
+
+
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(source_id, c, body)`: cells with digits and spaces at their ends, pipes in tags and behind backslashes, references."""
+    rows = _joined(_orders(spark, sf_dir), _ROW, "rows", "\n")
+    body = f"""concat('{_EMPTY}\n<!-- TABLE_START -->\n', if(c % {RULES} = 1, replace('{_HEAD}', ' Location |', ''), '{_HEAD}'), if(c % {RULES} = 2, '', '\n{_LINE}'), '\n', rows,
+      if(c % {RULES} = 3, '\nA note.', ''), if(c % {RULES} = 0, '', '\n<!-- TABLE_END -->'), '\n')"""
+    return rows.selectExpr("concat('c', c) as source_id", "c", f"{body} as body")
+
+
+_JOB = "named_struct('id', string(k), 'company', if(k % 3 = 0, null, concat(' Co ', k, ' ')), 'title', concat('Eng ', k), 'location', 'Oakland, CA', 'category', if(k % 4 = 0, 'Product', 'software engineering'), 'listingUrl', if(k % 2 = 0, concat('https://x.example/', k), null), 'url', concat('https://y.example/', k), 'age', concat(k % 30, 'd'))"
+
+
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _joined(_orders(spark, sf_dir), f"to_json({_JOB})", "rows", ",")
+    body = f"""concat('{{"updatedAt": "2026-01-01", "', if(c % {RULES} = 1, 'items', 'jobs'), '": [', rows, ']', if(c % {RULES} = 0, '', '}}'))"""
+    return jobs.selectExpr("concat('c', c) as source_id", "c", f"{body} as body")
+
+
+_CELLS = """concat('<tr><td>', if(k % 3 = 0, concat('<b>Co ', k, '</b>'), '↳'), '</td><td>Eng ', k, '</td><td>SF, CA<br/>Austin</td><td><a href="https://simplify.jobs/p/', k,
+  '"><img alt="Simplify"></a><a href="https://co.example/', k, '"><img alt="Apply"></a></td><td>', k % 30, 'd</td></tr>')"""
+
+
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _joined(_orders(spark, sf_dir), _CELLS, "rows", "\n")
+    body = f"""concat('## Other\n## 💻 Software Engineering ', if(c % {RULES} = 0, '', 'Internship '), 'Roles\n<table><tr><th>Company</th><th>Role</th><th>Location</th><th>Application</th>', if(c % {RULES} = 1, '', '<th>Age</th>'), '</tr>\n', rows,
+      '</table>\n## Archived Software Engineering Internship Roles (old)\n')"""
+    return rows.selectExpr("concat('c', c) as source_id", "c", f"{body} as body")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(source_id, format, body, error)`: a format for each customer; some weren't fetched, some are of no known format."""
+    kind = {"markdown": "c % 4 < 2", "json_internships": "c % 4 = 2", "html_table": "c % 4 = 3"}
+    made = {"markdown": markdown_documents, "json_internships": json_documents, "html_table": html_documents}
+    parts = [f(spark, sf_dir).where(kind[name]).selectExpr("source_id", f"if(c % 17 = 16, 'csv', '{name}') as format", "if(c % 13 = 12, null, body) as body", "if(c % 13 = 12, 'HTTP 500', null) as error") for name, f in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def markdown_table_scan(spark, sf_dir):
-    return markdown.parse(_documents(spark, feed=MARKDOWN)).select("category", "company", "position", "location", "salary", "age", "application_url", "valid")
+    return markdown.parse(markdown_documents(spark, sf_dir)).select("source_id", "category", "company", "position", "location", "salary", "age", "application_url", "valid")
 
 
 def markdown_health(spark, sf_dir):
-    return markdown.health(markdown.parse(_documents(spark, feed=MARKDOWN))).drop("source_id")
+    return markdown.health(markdown.parse(markdown_documents(spark, sf_dir)))
 
 
 def json_feed_scan(spark, sf_dir):
-    one = json_feed.internships(_documents(spark, internships=INTERNSHIPS, broken="{"))
-    two = json_feed.new_graduates(_documents(spark, graduates=GRADUATES))
-    metadata = F.array_join(F.transform(F.array_sort(F.map_entries("source_metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return one.union(two).select("source_id", "company", "position", "application_url", "category", metadata.alias("metadata"), "valid")
+    return json_feed.internships(json_documents(spark, sf_dir)).select("source_id", "company", "position", "application_url", "source_job_id", "category", "age", "valid")
 
 
 def html_table_scan(spark, sf_dir):
-    return html_table.parse(_documents(spark, feed=TABLE)).select("row", "company", "position", "location", "application_url", "source_url", "source_job_id", "age", "category", "valid")
+    return html_table.parse(html_documents(spark, sf_dir)).select("source_id", "company", "position", "location", "application_url", "source_url", "source_job_id", "age", "category", "valid")
 
 
 def feed_dispatch(spark, sf_dir):
-    rows = [("m", "markdown", MARKDOWN), ("i", "json_internships", INTERNSHIPS), ("g", "json_new_graduates", GRADUATES), ("h", "html_table", TABLE)]
-    found = registry.parse(spark.createDataFrame(rows, "source_id string, format string, body string"))
+    found = registry.parse(documents(spark, sf_dir).where(F.col("format") != "csv"))
     return found.groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
 
 
-def _broken(spark: SparkSession) -> DataFrame:
-    """Feeds that are whole, broken in one way each, or weren't fetched."""
-    lines = MARKDOWN.splitlines()
-    malformed = "\n".join(x.replace("Apply now", "More").replace('alt="Apply"', 'alt="More"') for x in lines)
-    rows = [
-        ("whole", "markdown", MARKDOWN, None),
-        ("no_marker", "markdown", MARKDOWN.replace("<!-- TABLE_QUANT_END -->", ""), None),
-        ("no_header", "markdown", MARKDOWN.replace("| Company | Position | Location | Application |", "| Company | Position | Application |"), None),
-        ("no_separator", "markdown", MARKDOWN.replace("\n|---|---|---|---|\n", "\n"), None),
-        ("stray", "markdown", MARKDOWN.replace("| Beta |", "Note.\n| Beta |"), None),
-        ("malformed", "markdown", malformed, None),
-        ("no_json", "json_internships", "{", None),
-        ("no_array", "json_internships", '{"jobs": {}}', None),
-        ("no_rows", "json_new_graduates", '{"jobs": [5, {"title": "SWE", "eligibility": "New Grad"}]}', None),
-        ("typed", "json_internships", INTERNSHIPS.replace('" Acme "', "5"), None),
-        ("no_section", "html_table", TABLE.replace("Engineering Internship", "Engineering"), None),
-        ("no_columns", "html_table", TABLE.replace("<th>Age</th>", ""), None),
-        ("table", "html_table", TABLE, None),
-        ("away", "markdown", None, "HTTP 500"),
-        ("other", "csv", "a,b", None),
-    ]
-    return spark.createDataFrame(rows, "source_id string, format string, body string, error string")
-
-
-def _diagnosed(spark, *sources: str) -> DataFrame:
-    return registry.diagnose(_broken(spark).where(F.col("source_id").isin(*sources))).select("source_id", "category", "candidates", "parsed", "error")
+def _diagnosed(spark, sf_dir, *errors: str) -> DataFrame:
+    told = markdown.diagnose(markdown_documents(spark, sf_dir)).select("source_id", "category", "candidates", "parsed", "error")
+    return told.where(F.col("error").isin(*errors))
 
 
 def feed_missing_marker(spark, sf_dir):
-    return _diagnosed(spark, "no_marker")
+    return _diagnosed(spark, sf_dir, "not exactly one pair of markers in order")
 
 
 def feed_missing_header(spark, sf_dir):
-    return _diagnosed(spark, "no_header", "no_separator", "stray")
+    return _diagnosed(spark, sf_dir, "no compatible table", "no separator behind the header", "something else than rows behind the header")
 
 
 def feed_all_malformed(spark, sf_dir):
-    return _diagnosed(spark, "malformed", "typed")
+    return _diagnosed(spark, sf_dir, "none of the rows could be parsed", "more rows malformed than parsed")
 
 
 def poll_outcomes(spark, sf_dir):
     """Which polls answered, and why others didn't; a broken feed is never an empty one."""
-    return registry.outcomes(_broken(spark))
+    return registry.outcomes(documents(spark, sf_dir))
 
 
 def healthy_observations(spark, sf_dir):
-    """Observations with all that their feeds tell; none of a source whose poll didn't answer."""
-    metadata = F.array_join(F.transform(F.array_sort(F.map_entries("source_metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return registry.healthy(_broken(spark)).select("source_id", "company", "position", "salary", "age", "season", "source_job_id", metadata.alias("metadata"))
+    """Observations of all feeds that answered; none of a source whose poll didn't."""
+    return registry.healthy(documents(spark, sf_dir)).select("source_id", "company", "position", "location", "age", "application_url")
 
 
 def provenance_infer(spark, sf_dir):
     """Names of the sources of records that carry a file and a type only."""
-    rows = [(1, "README.md", "Internship", None, None), (2, "NEW_GRAD_USA.md", "New Grad", "", None), (3, "README.md", "New Grad", None, ""), (4, "README.md", "Internship", "own", "Own")]
-    return registry.with_provenance(spark.createDataFrame(rows, "id int, source_file string, job_type string, source_id string, source_label string")).select("id", "source_id", "source_label")
-
-
-def _shown(questions: DataFrame) -> DataFrame:
-    return questions.select("ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "category", "section", "is_custom", "field_name")
+    records = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "if(o_orderkey % 3 = 0, 'NEW_GRAD_USA.md', 'README.md') as source_file", "if(o_orderkey % 2 = 0, 'Internship', 'New Grad') as job_type", "if(o_orderkey % 5 = 0, 'own', if(o_orderkey % 5 = 1, '', null)) as source_id", "if(o_orderkey % 5 = 0, 'Own', null) as source_label")
+    return registry.with_provenance(records).select("id", "source_id", "source_label")
 
 
 def html_form_extract(spark, sf_dir):
-    return _shown(forms.questions(spark.createDataFrame([(1, FORM)], "page_id int, html string")))
+    """A form for each part: a named control, a list with a placeholder and repeated answers, radio buttons, hidden ones."""
+    html = """concat('<header><input name="q"></header><form><label for="a">', p_name, ' *</label><input id="a" name="n" required><label>Brand <select name="b"><option>Select</option><option>', p_brand, '</option><option>', lower(p_brand),
+      '</option><option>', p_type, '</option></select></label><fieldset><legend>Size ', p_size, '?</legend><label><input type="radio" name="s" aria-required="false"> Yes</label><label><input type="radio" name="s"> No</label></fieldset><div hidden>',
+      repeat('<div>', p_partkey % 20), '<input name="trap">', repeat('</div>', p_partkey % 20), '</div><textarea name="cover_letter"></textarea></form>')"""
+    pages = _read(spark, sf_dir, "part").selectExpr("p_partkey as page_id", f"{html} as html")
+    return forms.questions(pages).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section", "field_name")
 
 
 def ats_schema_extract(spark, sf_dir):
-    return _shown(forms.schema_questions(spark.createDataFrame([(1, SCHEMA)], "page_id int, payload string")))
+    """A schema for each part: fields that are hidden, values that are objects or texts, groups that are absent."""
+    payload = """concat('{"questions": [{"label": "', p_name, '", "required": ', if(p_size % 2 = 0, 'true', '"no"'), ', "fields": [{"name": "a', p_partkey, '", "type": "input_text"}]}, {"label": "Geo", "fields": [{"name": "lat", "type": "input_hidden"}]},
+      {"label": "Brand", "fields": [{"name": "b", "type": "multi_value_single_select", "values": [{"label": "', p_brand, '", "value": 1}, "', lower(p_brand), '", "', p_type, '"]}]}], "demographic_questions": null', if(p_partkey % 3 = 0, ', "compliance": 5', ''), '}')"""
+    payloads = _read(spark, sf_dir, "part").selectExpr("p_partkey as page_id", f"{payload} as payload")
+    return forms.schema_questions(payloads).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section", "field_name")
 
 
-def scan_block_render(spark, sf_dir):
-    found = forms.questions(spark.createDataFrame([(1, FORM)], "page_id int, html string"))
-    scans = spark.createDataFrame([(1, "generic", "partial", "https://x.example/a b?c=(1)", "Only a part.")], "page_id int, provider string, status string, application_url string, reason string")
-    return render.scan_blocks(scans, found)
+def schema_nested(spark, sf_dir):
+    """Questions up to 12 levels below the top of a group, in lists and in objects, between others; their order is kept."""
+    asked = lambda label: f"""'{{"label": "{label} ', k, '", "type": "text"}}'"""
+    payload = f"""concat('{{"questions": ', repeat('{{"z": [{{"label": 5}}, ', k % 7), '[', {asked('First')}, ', {{"label": "No shape"}}, ', {asked('Second')}, ']', repeat(']}}', k % 7), ', "compliance": [', {asked('Third')}, ']}}')"""
+    payloads = _orders(spark, sf_dir).selectExpr("k as page_id", f"{payload} as payload")
+    return forms.schema_questions(payloads).select("page_id", "ordinal", "label", "section")
 
 
-def schema_nested(spark, sf_dir):
-    """Questions below the top of a group, of other spellings; a group that is a bare value makes a schema invalid."""
-    nested = {"questions": {"page": [{"question": "Why?", "type": "textarea", "name": "w"}, {"label": "No shape"}]}, "compliance": [{"questions": [{"label": "Sex", "required": "yes", "type": "select", "options": ["A", {"name": "B"}]}]}], "demographics": None}
-    rows = [(1, json.dumps(nested)), (2, '{"questions": [], "compliance": 5}'), (3, "{}")]
-    payloads = spark.createDataFrame(rows, "page_id int, payload string")
-    found = forms.schema_questions(payloads).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section")
-    return found.unionByName(forms.invalid_groups(payloads).select("page_id", "section"), allowMissingColumns=True)
+def scan_block_render(spark, sf_dir):
+    """The block of a scan with one question for each part."""
+    parts = _read(spark, sf_dir, "part")
+    scans = parts.selectExpr("p_partkey as page_id", "'generic' as provider", "if(p_partkey % 2 = 0, 'partial', 'complete') as status", "concat('https://x.example/a b/', p_partkey, '?c=(1)') as application_url", "if(p_partkey % 3 = 0, 'Only a part.', '') as reason")
+    asked = parts.selectExpr("p_partkey as page_id", "1 as ordinal", "concat('*', p_name) as label", "'single_select' as field_type", "case p_partkey % 3 when 0 then true when 1 then false end as required", "array(p_brand, p_type) as options", "'other' as category", "string(null) as section", "p_partkey % 5 = 0 as is_custom", "'n' as field_name")
+    return render.scan_blocks(scans, asked)
 
 
 def block_upsert(spark, sf_dir):
@@ -185,127 +166,117 @@ def block_upsert(spark, sf_dir):
     return docs.select("doc_id", F.sha2(render.upsert_block(body, "7", F.lit("new \\1 $2")), 256).alias("body_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, schema_nested, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes, healthy_observations, provenance_infer)}
-
-
-def _golden(columns: str, *rows: tuple) -> str:
-    show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "select * from (values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows) + f") as t({columns})"
-
-
-def _diagnoses(*rows: tuple) -> str:
-    return "select source_id, category, candidates::bigint as candidates, parsed::bigint as parsed, error from (" + _golden("source_id, category, candidates, parsed, error", *rows) + ")"
-
-
-BLOCK = """## Application Questions
-
-**Scan status:** Partial␠
-**Provider:** Generic␠
-**Questions detected:** 7␠
-**Custom / screening questions:** 0
-
-[Open application](<https://x.example/a%20b?c=%281%29>)
-
-> Only a part.
-
-### Work authorization
-
-6. **Do you need visa sponsorship?**␠
-   Required — radio — Options: Yes / No
-
-### Other visible questions
-
-8. **Skills**␠
-   Requirement not stated — multi select — Options: SQL / Java
-
-<details>
-<summary>Standard application fields</summary>
-
-1. **Full name**␠
-   Required — text
-2. **Email**␠
-   Optional — email
-3. **Phone number**␠
-   Requirement not stated — phone
-5. **Country**␠
-   Requirement not stated — single select — Options: US / FR
-4. **Cover letter**␠
-   Requirement not stated — long text
-
-</details>
-
-> Application scanning is read-only. No application was submitted, no answers were entered, and no files were uploaded.
-> This scan is partial: conditional, multi-step, or authentication-gated fields may not be visible.
-""".replace("␠", "  ")
+def character_references(spark, sf_dir):
+    """Whole texts with letters written as references, named and numeric, read again."""
+    written = F.replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&#38;")), F.lit("a"), F.lit("&#47;")), F.lit("o"), F.lit("&#x2019;")), F.lit("e"), F.lit("&eacute;"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2(text.unescape(written), 256).alias("text_sha256"))
+
+
+def apply_links(spark, sf_dir):
+    """Links to apply by, in pages that hide one before it, as seen from a page six folders deep."""
+    html = F.expr("concat('<div hidden><p><a href=/no>Apply</a></p></div><a href=', repeat('../', page_id % 9), 'go/', page_id, '>Apply <b>now</b></a>', coalesce(html, ''))")
+    found = inspection.apply_link(html, F.lit("https://jobs.example.com/1/2/3/4/5/6/page.html?x=../y"))
+    return _read(spark, sf_dir, "pages").select("page_id", found.alias("link"))
+
+
+def prohibited_keys(spark, sf_dir):
+    """Records whose keys mustn't be kept, some with an escaped letter; values may say anything."""
+    record = """concat('{"note": "', coalesce(event_type, ''), ': \\\\"token\\\\": 1", "deep": [{"', case event_id % 4 when 0 then 'to\\\\u006ben' when 1 then 'Set-Cookie' when 2 then 'kind' else 'tok' end, '" : ', event_id, '}]}')"""
+    return _read(spark, sf_dir, "events").selectExpr("event_id", f"{record} as record").select("event_id", state.prohibited(F.col("record")).alias("is_prohibited"))
+
+
+def bucket_commits(spark, sf_dir):
+    """Orders committed by key, and again after some changed, some went and some came: only the buckets that differ are written."""
+    store = sinks.Snapshots(spark, _shared(spark))
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(1).alias("version"))
+    moved = F.col("o_orderkey") % 1000
+    store.commit(keys={"orders": ["o_orderkey"]}, orders=rows.where(moved != 7))
+    later = rows.where(moved != 5).withColumn("version", F.when(moved == 3, 2).otherwise(1))
+    store.commit(keys={"orders": ["o_orderkey"]}, orders=later)
+    return store.read("orders")
+
+
+def refused(row: dict) -> None:
+    """An action that some alerts refuse."""
+    if row["number"] % 7 == 0:
+        raise OSError("refused")
+
+
+def enrichment_loop(spark, sf_dir):
+    """Two runs over all pages as entries, five to an alert: scans that fail are tried once more, alerts that refuse stay pending."""
+    store = sinks.Snapshots(spark, _shared(spark))
+    pages = _read(spark, sf_dir, "pages").selectExpr("page_id", "string(page_id) as canonical_id", "concat('https://jobs.example.com/', page_id) as application_url", "bigint(floor(page_id / 5)) + 1 as issue_number")
+    bodies = pages.selectExpr("issue_number as number", "concat('# Alert ', issue_number) as body").distinct()
+
+    def inspect(failing: int):
+        def told(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+            status = F.when(F.col("canonical_id").cast("long") % failing == 0, "failed").otherwise("partial")
+            asked = targets.selectExpr("canonical_id as page_id", "1 as ordinal", "'Why us?' as label", "'text' as field_type", "true as required", "array() as options", "'job_specific' as category", "string(null) as section", "true as is_custom", "'q' as field_name")
+            return targets.select("canonical_id", F.lit("generic").alias("provider"), status.alias("status"), F.lit("seen").alias("reason")), asked
+
+        return told
+
+    act = f"{__name__}:refused"
+    enrichment.enrich(store, pages, pages, bodies, inspect(3), act, "t1")
+    enrichment.enrich(store, pages.where("false"), pages, bodies, inspect(6), act, "t2")
+    scans = store.read("scans")
+    return scans.select("canonical_id", "status", "attempt_count", "first_scanned", "last_scanned", "issue_number", "update_pending", F.size("questions").cast("long").alias("questions"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, schema_nested, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes,
+        healthy_observations, provenance_infer, character_references, apply_links, prohibited_keys, bucket_commits, enrichment_loop,
+    )
+}
+
+_O = f"o as (select o_custkey as c, o_orderkey as k, 'c' || o_custkey as source_id, o_custkey % {RULES} as r, not {_MALFORMED} as good from (select *, o_custkey as c, o_orderkey as k from orders))"
+_MD = r"""md as (select *, k % 10 || 'Co é ' || k || k % 10 as company, '1st Eng ' || k || ' \| x' as position, k % 7 || ' 2nd St, Oakland, CA ' || k % 7 as location, k % 30 || 'd' as age, case when good then 'https://x.example/' || k || '?a=1&b=2' end as application_url from o)"""
+_JS = "js as (select *, case when k % 3 <> 0 then 'Co ' || k end as company, 'Eng ' || k as position, 'Oakland, CA' as location, k % 30 || 'd' as age, case when k % 2 = 0 then 'https://x.example/' || k else 'https://y.example/' || k end as application_url, k % 3 <> 0 as valid from o where k % 4 <> 0)"
+_HT = "ht as (select *, last_value(case when k % 3 = 0 then 'Co ' || k end ignore nulls) over (partition by c order by k) as company, 'Eng ' || k as position, 'SF, CA | Austin' as location, k % 30 || 'd' as age, 'https://co.example/' || k as application_url from o)"
+_COUNTS = "n as (select source_id, any_value(r) as r, any_value(c) as c, count(*) as candidates, count(*) filter (where good) as parsed from o group by source_id)"
+_ERROR = """case when r = 0 then 'not exactly one pair of markers in order' when r = 1 then 'no compatible table' when r = 2 then 'no separator behind the header' when r = 3 then 'something else than rows behind the header'
+  when parsed = 0 then 'none of the rows could be parsed' when candidates - parsed >= 5 and candidates - parsed > parsed then 'more rows malformed than parsed' end"""
+_TOLD = f"told as (select source_id, 'Other' as category, case when r > 3 then candidates else 0 end::bigint as candidates, case when r > 3 then parsed else 0 end::bigint as parsed, {_ERROR} as error from n)"
+#: What each document comes to, of whichever format it is.
+_POLLS = f"""{_O}, {_MD}, {_JS}, {_HT}, {_COUNTS},
+jn as (select source_id, count(*) filter (where valid) as parsed from js where r > 1 group by source_id),
+hn as (select source_id, count(*) filter (where company is not null) as parsed from ht where r > 1 group by source_id),
+f as (select n.source_id, n.c, n.r, case when n.c % 4 < 2 then 'm' when n.c % 4 = 2 then 'j' else 'h' end as kind, n.candidates, n.parsed as mp, coalesce(jn.parsed, 0) as jp, coalesce(hn.parsed, 0) as hp from n left join jn using (source_id) left join hn using (source_id)),
+p as (select source_id, c, kind, case when c % 13 = 12 or c % 17 = 16 then 0 when kind = 'm' then case when r > 3 then mp else 0 end when kind = 'j' then jp else hp end::bigint as parsed,
+  case when c % 13 = 12 then 'HTTP 500' when c % 17 = 16 then 'no parser for this format'
+    when kind = 'm' then 'Other: ' || (select any_value(error) from (select {_ERROR} as error from (select f.r, f.mp as parsed, f.candidates)))
+    when r = 0 then 'Software Engineering: ' || case kind when 'j' then 'not valid JSON' else 'no section of the expected name' end
+    when r = 1 then 'Software Engineering: ' || case kind when 'j' then 'no array of jobs' else 'unexpected header' end
+    when (case kind when 'j' then jp else hp end) = 0 then 'Software Engineering: no valid rows' end as error from f)"""
+_BLOCK = f"""'## Application Questions' || chr(10) || chr(10) || '**Scan status:** ' || case when p_partkey % 2 = 0 then 'Partial' else 'Complete' end || '  ' || chr(10) || '**Provider:** Generic  ' || chr(10) || '**Questions detected:** 1  ' || chr(10)
+  || '**Custom / screening questions:** ' || case when p_partkey % 5 = 0 then 1 else 0 end || chr(10) || chr(10) || '[Open application](<https://x.example/a%20b/' || p_partkey || '?c=%281%29>)' || chr(10) || chr(10)
+  || case when p_partkey % 3 = 0 then '> Only a part.' || chr(10) || chr(10) else '' end || '### ' || case when p_partkey % 5 = 0 then 'Custom screening questions' else 'Other visible questions' end || chr(10) || chr(10)
+  || '1. **\\*' || p_name || '**  ' || chr(10) || '   ' || case p_partkey % 3 when 0 then 'Required' when 1 then 'Optional' else 'Requirement not stated' end || ' — single select — Options: ' || p_brand || ' / ' || p_type || chr(10) || chr(10)
+  || '{render.READ_ONLY}' || case when p_partkey % 2 = 0 then chr(10) || '{render.PARTIAL}' else '' end || chr(10)"""
+_OPTIONS = "case when lower(p_brand) = lower(p_type) then p_brand else p_brand || '|' || p_type end"
 
 ORACLE_SQL = {
-    "markdown_table_scan": _golden(
-        "category, company, position, location, salary, age, application_url, valid",
-        ("FAANG+", "Alpha", "Engineer \\| Core", "Palo Alto, CA +1", "$50/hr", "1d", "https://jobs.lever.co/alpha/1", True),
-        ("FAANG+", "Beta", "Engineer", "Oakland, CA", None, "2d", None, False),
-        ("Quant", "Gamma & Co", "Quant Dev", "SF, CA", None, None, "https://g.example/apply?x=1", True),
-        ("Other", "Delta", "Dev", "Remote", "$1", "3d", "https://d.example/j", True),
-        ("Other", "too", "few", None, None, None, None, False),
-    ),
-    "markdown_health": "select category, candidates::bigint as candidates, parsed::bigint as parsed, skipped::bigint as skipped, healthy from (values ('FAANG+', 2, 1, 1, true), ('Quant', 1, 1, 0, true), ('Other', 2, 1, 1, true)) as t(category, candidates, parsed, skipped, healthy)",
-    "json_feed_scan": _golden(
-        "source_id, company, position, application_url, category, metadata, valid",
-        ("internships", "Acme", "SWE Intern", "https://x.example/1", "Software Engineering", "category=Software Engineering;feedUpdatedAt=2026-01-01;id=1;listingUrl=https://x.example/1;url=https://y.example/1", True),
-        ("internships", None, "SWE", "https://y.example/3", "Software Engineering", "category=software engineering;feedUpdatedAt=2026-01-01;id=3;url=https://y.example/3", False),
-        ("graduates", "Bolt", "Backend Engineer", "https://z.example/1", "Unknown", "eligibility=New Grad;url=https://z.example/1", True),
-    ),
-    "html_table_scan": _golden(
-        "row, company, position, location, application_url, source_url, source_job_id, age, category, valid",
-        (1, "Orbit", "SWE Intern 🎓", "San Mateo, CA | Austin, TX", "https://orbit.example/j/1", "https://simplify.jobs/p/abc", "abc", "1d", "FAANG+", True),
-        (2, "Orbit", "Data Intern", "SF, CA | NY", "https://simplify.jobs/p/def", "https://simplify.jobs/p/def", "def", "2d", "Unknown", True),
-        (3, None, "SWE", "SF", None, None, None, None, "Unknown", False),
-    ),
-    "feed_dispatch": "select source_id, candidates::bigint as candidates, parsed::bigint as parsed from (values ('m', 5, 3), ('i', 2, 1), ('g', 1, 1), ('h', 3, 2)) as t(source_id, candidates, parsed)",
-    "html_form_extract": _golden(
-        "ordinal, label, field_type, required, options, category, section, is_custom, field_name",
-        (1, "Full name", "text", True, "", "profile", None, False, "full_name"),
-        (2, "Email", "email", False, "", "profile", None, False, "email"),
-        (3, "Phone number", "phone", None, "", "profile", None, False, None),
-        (4, "Cover letter", "long_text", None, "", "resume_documents", None, False, "cover_letter"),
-        (5, "Country", "single_select", None, "US|FR", "profile", None, False, "country"),
-        (6, "Do you need visa sponsorship?", "radio", True, "Yes|No", "work_authorization", "Do you need visa sponsorship?", False, "v"),
-        (8, "Skills", "multi_select", None, "SQL|Java", "other", "Skills", False, "s"),
-    ),
-    "ats_schema_extract": _golden(
-        "ordinal, label, field_type, required, options, category, section, is_custom, field_name",
-        (1, "First Name", "text", True, "", "profile", "questions", False, "first_name"),
-        (2, "Why us?", "long_text", False, "", "job_specific", "questions", True, "q1"),
-        (3, "Office", "single_select", None, "SF|NY", "other", "questions", False, "q2"),
-        (4, "Consent", "checkbox", True, "", "compliance_demographic", "compliance", False, "c"),
-    ),
-    "feed_missing_marker": _diagnoses(("no_marker", "FAANG+", 2, 1, None), ("no_marker", "Quant", 0, 0, "not exactly one pair of markers in order"), ("no_marker", "Other", 2, 1, None)),
-    "feed_missing_header": _diagnoses(
-        ("no_header", "FAANG+", 2, 1, None), ("no_header", "Quant", 0, 0, "no compatible table"), ("no_header", "Other", 2, 1, None),
-        ("no_separator", "FAANG+", 2, 1, None), ("no_separator", "Quant", 0, 0, "no separator behind the header"), ("no_separator", "Other", 2, 1, None),
-        ("stray", "FAANG+", 0, 0, "something else than rows behind the header"), ("stray", "Quant", 1, 1, None), ("stray", "Other", 2, 1, None),
-    ),
-    "feed_all_malformed": _diagnoses(
-        ("malformed", "FAANG+", 2, 0, "none of the rows could be parsed"), ("malformed", "Quant", 1, 0, "none of the rows could be parsed"), ("malformed", "Other", 2, 1, None),
-        ("typed", "Software Engineering", 3, 0, "no valid rows"),
-    ),
-    "poll_outcomes": "select source_id, ok, parsed::bigint as parsed, error from (" + _golden(
-        "source_id, ok, parsed, error",
-        ("whole", True, 3, None), ("no_marker", False, 2, "Quant: not exactly one pair of markers in order"), ("no_header", False, 2, "Quant: no compatible table"),
-        ("no_separator", False, 2, "Quant: no separator behind the header"), ("stray", False, 2, "FAANG+: something else than rows behind the header"), ("malformed", False, 1, "FAANG+: none of the rows could be parsed"),
-        ("no_json", False, 0, "Software Engineering: not valid JSON"), ("no_array", False, 0, "Software Engineering: no array of jobs"), ("no_rows", False, 0, "Software Engineering: no valid rows"),
-        ("typed", False, 0, "Software Engineering: no valid rows"), ("no_section", False, 0, "Software Engineering: no section of the expected name"), ("no_columns", False, 0, "Software Engineering: unexpected header"),
-        ("table", True, 2, None), ("away", False, 0, "HTTP 500"), ("other", False, 0, "no parser for this format"),
-    ) + ")",
-    "healthy_observations": _golden(
-        "source_id, company, position, salary, age, season, source_job_id, metadata",
-        ("whole", "Alpha", "Engineer \\| Core", "$50/hr", "1d", None, None, None), ("whole", "Gamma & Co", "Quant Dev", None, None, None, None, None), ("whole", "Delta", "Dev", "$1", "3d", None, None, None),
-        ("table", "Orbit", "SWE Intern 🎓", None, "1d", "Summer 2027", "abc", "simplify_url=https://simplify.jobs/p/abc"), ("table", "Orbit", "Data Intern", None, "2d", "Summer 2027", "def", "simplify_url=https://simplify.jobs/p/def"),
-    ),
-    "provenance_infer": _golden("id, source_id, source_label", (1, "speedyapply_internships", "SpeedyApply"), (2, "speedyapply_new_grad", "SpeedyApply"), (3, "legacy_speedyapply", "SpeedyApply"), (4, "own", "Own")),
-    "schema_nested": _golden(
-        "page_id, ordinal, label, field_type, required, options, section",
-        (1, 1, "Why?", "long_text", None, "", "questions"), (1, 2, "Sex", "single_select", True, "A|B", "compliance"), (2, None, None, None, None, None, "compliance"),
-    ),
-    "scan_block_render": _golden("page_id, block", (1, BLOCK)),
+    "markdown_table_scan": f"with {_O}, {_MD} select source_id, 'Other' as category, company, position, location, null::varchar as salary, age, application_url, good as valid from md where r > 3",
+    "markdown_health": f"with {_O} select source_id, 'Other' as category, count(*) as candidates, count(*) filter (where good) as parsed, count(*) filter (where not good) as skipped, count(*) filter (where good) > 0 and not (count(*) filter (where not good) >= 5 and count(*) filter (where not good) > count(*) filter (where good)) as healthy from o where r > 3 group by source_id",
+    "json_feed_scan": f"with {_O}, {_JS} select source_id, company, position, application_url, k::varchar as source_job_id, 'Software Engineering' as category, age, valid from js where r > 1",
+    "html_table_scan": f"with {_O}, {_HT} select source_id, company, position, location, application_url, 'https://simplify.jobs/p/' || k as source_url, k::varchar as source_job_id, age, 'Unknown' as category, company is not null as valid from ht where r > 1",
+    "feed_dispatch": f"with {_O}, {_JS}, {_HT}, a as (select source_id, c, 0 as f, good as ok from o where r > 3 union all select source_id, c, 2, valid from js where r > 1 union all select source_id, c, 3, company is not null from ht where r > 1) select source_id, count(*) as candidates, count(*) filter (where ok) as parsed from a where c % 17 <> 16 and c % 13 <> 12 and f = case when c % 4 < 2 then 0 else c % 4 end group by source_id",
+    "feed_missing_marker": f"with {_O}, {_COUNTS}, {_TOLD} select * from told where error like 'not exactly%'",
+    "feed_missing_header": f"with {_O}, {_COUNTS}, {_TOLD} select * from told where error like 'no compatible%' or error like 'no separator%' or error like 'something else%'",
+    "feed_all_malformed": f"with {_O}, {_COUNTS}, {_TOLD} select * from told where error like 'none of%' or error like 'more rows%'",
+    "poll_outcomes": f"with {_POLLS} select source_id, error is null as ok, parsed, error from p",
+    "healthy_observations": f"with {_POLLS}, a as (select 'm' as kind, source_id, company, position, location, age, application_url from md where good union all select 'j', source_id, company, position, location, age, application_url from js where valid union all select 'h', source_id, company, position, location, age, application_url from ht where company is not null) select source_id, company, position, location, age, application_url from a join p using (source_id, kind) where error is null",
+    "provenance_infer": "select o_orderkey as id, case when o_orderkey % 5 = 0 then 'own' when o_orderkey % 3 <> 0 and o_orderkey % 2 = 0 then 'speedyapply_internships' when o_orderkey % 3 = 0 and o_orderkey % 2 = 1 then 'speedyapply_new_grad' else 'legacy_speedyapply' end as source_id, case when o_orderkey % 5 = 0 then 'Own' else 'SpeedyApply' end as source_label from orders",
+    "html_form_extract": f"select p_partkey as page_id, 1 as ordinal, p_name as label, 'text' as field_type, true as required, '' as options, null::varchar as section, 'n' as field_name from part union all select p_partkey, 2, 'Brand', 'single_select', null, {_OPTIONS}, null, 'b' from part union all select p_partkey, 3, 'Size ' || p_size || '?', 'radio', false, 'Yes|No', 'Size ' || p_size || '?', 's' from part union all select p_partkey, 5, 'Cover letter', 'long_text', null, '', null, 'cover_letter' from part",
+    "ats_schema_extract": f"select p_partkey as page_id, 1 as ordinal, p_name as label, 'text' as field_type, p_size % 2 = 0 as required, '' as options, 'questions' as section, 'a' || p_partkey as field_name from part where p_partkey % 3 <> 0 union all select p_partkey, 2, 'Brand', 'single_select', null, {_OPTIONS}, 'questions', 'b' from part where p_partkey % 3 <> 0",
+    "schema_nested": "select o_orderkey as page_id, i as ordinal, ['First', 'Second', 'Third'][i] || ' ' || o_orderkey as label, case i when 3 then 'compliance' else 'questions' end as section from orders, (select unnest([1, 2, 3]) as i)",
+    "scan_block_render": f"select p_partkey as page_id, {_BLOCK} as block from part",
     "block_upsert": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
+    "character_references": "select doc_id, sha256(replace(replace(replace(text, 'e', 'é'), 'a', '/'), 'o', '’')) as text_sha256 from documents",
+    "apply_links": "select page_id, 'https://jobs.example.com/' || array_to_string(['1', '2', '3', '4', '5', '6'][:greatest(6 - (page_id % 9)::int, 0)] || ['go', page_id::varchar], '/') as link from pages",
+    "prohibited_keys": "select event_id, event_id % 4 < 2 as is_prohibited from events",
+    "bucket_commits": "select o_orderkey, o_totalprice, case when o_orderkey % 1000 = 3 then 2 else 1 end as version from orders where o_orderkey % 1000 <> 5",
+    "enrichment_loop": "select page_id::varchar as canonical_id, case when page_id % 6 = 0 then 'failed' else 'partial' end as status, case when page_id % 3 = 0 then 2 else 1 end as attempt_count, 't1' as first_scanned, case when page_id % 3 = 0 then 't2' else 't1' end as last_scanned, floor(page_id / 5)::bigint + 1 as issue_number, (floor(page_id / 5)::bigint + 1) % 7 = 0 as update_pending, 1::bigint as questions from pages",
 }

@@ -163,11 +163,12 @@ def question_categorize(spark, sf_dir):
 
 
 _TYPES = ["input_text", "Multi Select", "textarea", "checkbox", "select", "date-time", "TEL", "", "datetime", "multi_value_single_select"]
-_TYPE_VALUES = "select * from (values " + ", ".join(f"({i}, '{t}', {'true' if i % 2 else 'false'})" for i, t in enumerate(_TYPES)) + ") as t(id, kind, multiple)"
 
 
 def field_type_map(spark, sf_dir):
-    return spark.sql(_TYPE_VALUES).select("id", text.field_type(F.col("kind"), F.col("multiple")).alias("field_type"))
+    """A type for each part, in one of its spellings."""
+    kinds = _read(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES)).cast("int")).alias("kind"))
+    return kinds.select("p_partkey", text.field_type(F.col("kind"), F.col("p_partkey") % 2 == 1).alias("field_type"))
 
 
 def tri_state_required(spark, sf_dir):
@@ -235,7 +236,7 @@ ORACLE_SQL = {
     "anchor_extract": "with m as (select page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>'), lambda a: regexp_extract(a, '(?is)^<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']+)', 1)), lambda h: h <> '') as h from pages) select page_id, len(h) as n, replace(h[1], '&amp;', '&') as first_href from m where len(h) > 0",
     "page_signals": f"with v as ({_PAGE_VALUES}), r as (select id::bigint as id, html from v union all select page_id + 1000, html from pages), t as (select id, lower(regexp_replace(html, '\\s+', ' ', 'g')) as t from r), s as (select id, {_any('t', V.CAPTCHA)} as captcha, {_any('t', V.LOGIN)} as login, {_any('t', V.CLOSED)} as closed, {_steps} as multi_step from t), k as (select *, {_verdict} as k from s) select id, captcha, login, closed, multi_step, case when k in ('login_fields', 'steps', 'fields') then 'partial' else 'unavailable' end as status, {_reason} as reason from k",
     "question_categorize": f"with v as ({_LABEL_VALUES}), r as (select id::bigint as id, label, section from v union all select doc_id + 1000, text, null from documents), c as (select id, {_label('label')} as clean, section from r), l as (select *, lower(clean) as low from c), k as (select *, {_cats} as category from l) select id, sha256(clean) as clean_sha256, category, category = 'job_specific' or (category = 'other' and (contains(clean, '?') or len(list_filter(regexp_split_to_array(clean, '\\s+'), lambda w: w <> '')) >= 5)) as is_custom from k",
-    "field_type_map": f"with v as ({_TYPE_VALUES}), r as (select *, replace(replace(trim(lower(coalesce(nullif(kind, ''), 'unknown'))), '-', '_'), ' ', '_') as r from v), k as (select *, {_kinds} as t from r) select id, case when multiple and t in ('single_select', 'checkbox') then 'multi_select' else t end as field_type from k",
+    "field_type_map": f"with v as (select p_partkey, {_TYPES!r}[p_partkey % {len(_TYPES)} + 1] as kind, p_partkey % 2 = 1 as multiple from part), r as (select *, replace(replace(trim(lower(coalesce(nullif(kind, ''), 'unknown'))), '-', '_'), ' ', '_') as r from v), k as (select *, {_kinds} as t from r) select p_partkey, case when multiple and t in ('single_select', 'checkbox') then 'multi_select' else t end as field_type from k",
     "tri_state_required": "select l_orderkey, bool_or(case l_returnflag when 'R' then true when 'A' then false end) as required from lineitem group by l_orderkey",
     "redact_message": "select doc_id, left(regexp_replace(regexp_replace('see https://x.example/' || doc_id || ' auth_token=' || source || '; ' || text, '(?i)https?://[^\\s''\"<>]+', '<url>', 'g'), '(?i)\\b(cookie|csrf(?:[_ -]?token)?|(?:access|auth|refresh|session|id)?[_ -]?token|authorization)\\s*[=:]\\s*[^\\s,;]+', '\\1=<redacted>', 'g'), 500) as message from documents",
     "markdown_escape": "select doc_id, sha256(replace(replace(replace(replace(text, '\\', '\\\\'), '|', '\\|'), chr(13), ''), chr(10), '<br>')) as cell_sha256, sha256(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), '*', '\\*'), '[', '\\['), ']', '\\]'), '<', '&lt;'), '>', '&gt;'), chr(10), ' ')) as escaped_sha256 from documents",
