@@ -1,8 +1,8 @@
 """Stored history, one poll after another: the incremental form of the lifecycle.
 
 Three tables and a row of facts are all that a poll needs of what was before. `apply_run` gives the next ones by joins
-on the entity's id; what a poll doesn't touch is carried over as it is. Intermediate tables are persisted, as several
-results read them, until `Step.release`.
+on the entity's id; what a poll doesn't touch is carried over as it is. Intermediate tables, which several results read, are
+written to the shared folder, or else kept in memory until `Step.release`.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.lineage import cut
 from tidemark.functions import values as V
 
 from . import lifecycle, outbox, resolve
@@ -109,14 +110,14 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
     answered = answered or [r[0] for r in members.select("source_id").distinct().collect()]
     baseline = initialize or not history.initialized or history.scope != V.SCOPE_VERSION
     found = resolve.resolved(members).withColumn("url_aliases", F.split("url_aliases", " "))
-    found = found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "direct", "url_aliases").persist()
-    moved = promotions(history.entities, found).persist()
+    found = cut(found.select("canonical_id", *((F.col(c) if c in found.columns else F.lit(None)).cast("string").alias(c) for c in VALUES), "direct", "url_aliases"))
+    moved = cut(promotions(history.entities, found))
     entities, stored = _renamed(history.entities, moved), _renamed(history.memberships, moved)
 
     seen = resolve.per_source(members)
     seen = seen.select("canonical_id", "source_id", lifecycle.meaning(seen).alias("meaning"))
     before = stored.select("canonical_id", "source_id", F.struct("last_seen", "active").alias("was"))
-    memberships = lifecycle.fold(stored, seen, at, answered).persist()
+    memberships = cut(lifecycle.fold(stored, seen, at, answered))
     told = memberships.join(before, ["canonical_id", "source_id"], "left").groupBy("canonical_id").agg(
         F.bool_or("active").alias("any_active"),
         F.bool_or(F.coalesce(F.col("active"), F.lit(False)) & (F.col("was").isNull() | ~F.col("last_seen").eqNullSafe(F.col("was.last_seen")))).alias("source_moved"),
@@ -143,7 +144,8 @@ def apply_run(history: History, members: DataFrame, answered: list[str], at, ini
         F.when(active, F.lit(None)).when(was_active, now).otherwise(F.col("o.inactive_at")).alias("inactive_at"),
         is_new.alias("is_new"),
         was_active.alias("was_active"),
-    ).persist()
+    )
+    out = cut(out)
     ready = history.sources.select("source_id").distinct()
     alerting = seen.join(ready, "source_id", "left_semi").select("canonical_id").distinct()
     new = out.where(F.col("is_new") & F.lit(not baseline)).join(alerting, "canonical_id", "left_semi").select("canonical_id", "application_url")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.lineage import cut
 from tidemark.sources import registry
 
 from . import history, resolve
@@ -43,17 +44,18 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
     """
     spark = store.spark
     documents = documents.persist()  # as many rows as there are feeds
+    polls, step, kept = registry.outcomes(documents).persist(), None, []
     try:
-        polls = registry.outcomes(documents).persist()
         told = polls.orderBy("source_id").collect()
         answered = [r["source_id"] for r in told if r["ok"]]
         if not answered:
             raise ValueError("no source answered: " + "; ".join(f"{r['source_id']}: {r['error']}" for r in told))
-        rows = registry.parse(documents.where(F.col("source_id").isin(answered))).where("valid").drop("valid").persist()  # each step is kept, so that plans stay small
+        rows = cut(registry.parse(documents.where(F.col("source_id").isin(answered))).where("valid").drop("valid"))  # each step is written, so that plans stay small
         matching = rows.where(text.location_matches(F.col("location")))
         observed = matching.withColumns({"run_id": F.lit(at), "obs_id": F.xxhash64("source_id", "company", "position", "location", "application_url", "source_url")})
-        known = resolve.identified(observed, documents.select("source_id", "priority")).persist()
-        members = resolve.attach_wrappers(known).persist()
+        known = cut(resolve.identified(observed, documents.select("source_id", "priority")))
+        members = cut(resolve.attach_wrappers(known))
+        kept += [rows, known, members]
         step = history.apply_run(stored(store), members, answered, at, initialize)
         matching = members.groupBy("source_id").agg(F.count("*").alias("matching"))
         summary = polls.join(matching, "source_id", "left").fillna(0, ["matching"]).select("source_id", "ok", "parsed", "matching", "error")
@@ -65,9 +67,11 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
             step.history, counts = stored(store), step.counts.collect()
             step.counts = spark.createDataFrame(counts, step.counts.schema)
             step.new = spark.createDataFrame(step.new.collect(), step.new.schema)  # the ids of one alert
-            step.release()
-            for df in (members, known, rows):
-                df.unpersist()
         return Poll(step, summary, changed)
     finally:
         documents.unpersist()
+        polls.unpersist()
+        if step is not None:
+            step.release()
+        for df in kept:  # those that were kept in memory, there being no shared folder
+            df.unpersist()

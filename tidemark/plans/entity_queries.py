@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
+from tidemark.functions.lineage import cut
 from tidemark.operators import lifecycle, outbox, render, resolve
 from tidemark.sources import markdown
 from tidemark.streaming import memberships as stream
@@ -18,10 +19,10 @@ BASELINES = [0]
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identified observations, kept as every query reads them twice or more (and as Catalyst would otherwise push
-    filters on the identity below it, with a copy of all that it is made of)."""
+    """Identified observations, written once as every query reads them twice or more (and as Catalyst would otherwise push
+    filters on the identity below it, with a copy of all that it is made of); nothing stays in memory."""
     priorities = polls(spark).select("source_id", "priority").distinct()
-    return resolve.identified(observations(spark, sf_dir), priorities).persist()
+    return cut(resolve.identified(observations(spark, sf_dir), priorities))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
