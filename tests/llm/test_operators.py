@@ -84,6 +84,17 @@ def test_minhash_rows_without_id(spark):
     assert collected(found, "doc_id", "component_id", "kept") == sorted([(None, None, True), (1, 1, True), (1, 1, True), (2, 1, False)], key=repr)
 
 
+def test_minhash_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    text = lambda: [rng.choice("abcdefghij") + str(rng.randrange(200)) for _ in range(60)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda ws: " ".join([*ws, "more"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (3, near(b)), (4, near(a)), (7, " ".join(c)), (7, " ".join(d)), (2, near(c)), (9, near(d)), (7, " ".join(c)), (7, " ".join(c).upper()), (8, ""), (8, "x")]
+    found = collected(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "n_shingles", "component_id", "kept")
+    assert found == sorted(minhash.brute_force(rows), key=repr)
+    assert {(r[0], r[2]) for r in found} == {(1, 1), (3, 1), (4, 1), (7, 2), (7, 7), (2, 2), (9, 7), (8, 8)}
+
+
 def test_substrings(docs, rows, none):
     found = collected(substrings.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert found == sorted(substrings.brute_force([r[:2] for r in rows]), key=repr)

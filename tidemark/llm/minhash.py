@@ -4,8 +4,8 @@ Two permutations make all signature coordinates: sigma scatters a shingle over t
 shifted by one place per coordinate, ranks it. Coordinates in bands of equal value propose candidates, and a
 link holds only if the exact Jaccard similarity of the full shingle sets reaches the threshold.
 
-Documents with equal sets form a class, and only its representative (smallest id) goes on, so copies cost
-nothing more. In a band bucket, members are compared with a few probes (at first the most common member) and
+Documents with equal sets form a class, and only its representative (the row with the smallest id) goes on, so copies
+cost nothing more. A class is a node of its own, with a number that is no document's id, until components are told. In a band bucket, members are compared with a few probes (at first the most common member) and
 what is linked by then is taken together; only pairs that are still in different components are left, and
 their members with the most links probe next, until no bucket has such a pair untested. A pair whose symmetric
 difference is too large by a lower bound (shingles that no other set of the crowded buckets has, and what one
@@ -13,8 +13,9 @@ lacks of the bucket's center beyond the other) can't be linked and isn't formed.
 lost, and a bucket of near-copies costs about its size.
 
 Defined cases: a text without words, a null text and a row without id have no links (component: the own id);
-fewer words than a shingle has make one shingle; rows with equal id and text are one document; an empty table
-gives an empty result; a very long text has all its shingles (beyond some 100,000 its coordinates say less, as the
+fewer words than a shingle has make one shingle; rows with equal id and text are one document, rows of one id with
+different texts are linked each on their own, and their component has the smallest id that the row's links reach; an
+empty table gives an empty result; a very long text has all its shingles (beyond some 100,000 its coordinates say less, as the
 permutations are over 2^18 places, which only adds candidates); columns of the input other than the id and the text
 are not read.
 """
@@ -77,7 +78,7 @@ def shingle_set(text: bytes | None, hasher: WordHasher, n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """`(doc_id, n_shingles, set_key binary, bands array<long>)`, the latter two null for empty sets."""
+    """`(doc_id, text_hash, n_shingles, set_key binary, bands array<long>)`, the latter two null for empty sets."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +94,15 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).cast(pa.int64()),
+                        part.column(2).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -207,20 +209,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int
     """One row per document: `doc_id, n_shingles, component_id, kept`."""
     sketches = materialize(sketch(docs, shingle_words, bands, rows), "sketches")
     full = sketches.where("doc_id is not null and set_key is not null")
-    classes = materialize(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n")), "classes")
+    first = F.min(F.struct("doc_id", "text_hash"))  # a row of the class, of which no other class can be
+    classes = full.groupBy("set_key").agg(first.alias("first"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
+    classes = materialize(classes.select("set_key", "first.*", "bands", "n", F.monotonically_increasing_id().alias("rep")), "classes")
     buckets = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(buckets.join(shared, "bucket"), "members")
 
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = prefilter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), involved, "doc_id")
-    sets = materialize(full_sets(texts.join(involved, "doc_id").dropDuplicates(["doc_id"]), shingle_words), "sets")
+    involved = materialize(classes.select("rep", "doc_id", "text_hash").join(members.select("rep").distinct(), "rep"), "involved")
+    texts = prefilter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"), involved, "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    own = texts.join(involved, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    sets = materialize(full_sets(own.select(F.col("rep").alias("doc_id"), "text"), shingle_words), "sets")
     members = materialize(_sized(members, sets, classes.select("rep", "bands"), percent), "members")
     labels = _components(members, sets, percent)
     drop_table(sets)
 
-    of_class = classes.select("set_key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    moved = materialize(of_class.select("set_key", F.coalesce("component", "rep").alias("component_id"), "n"), "moved")
+    linked = labels.withColumnRenamed("node", "rep").join(classes.select("rep", "doc_id"), "rep")
+    low = materialize(linked.groupBy("component").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "lowest")
+    told = join_counted(labels.withColumnRenamed("node", "rep"), low, ["component"]).select("rep", "low")
+    of_class = classes.select("set_key", "rep", "doc_id", "n").join(told, "rep", "left")
+    moved = materialize(of_class.select("set_key", F.coalesce("low", "doc_id").alias("component_id"), "n"), "moved")
     keyed = join_counted(full.select("doc_id", "n_shingles", "set_key"), moved, ["set_key"]).drop("set_key")
     rest = sketches.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return keyed.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -285,22 +293,24 @@ def brute_force(docs: list[tuple], percent: int = PERCENT, n: int = SHINGLE_WORD
     import re
 
     fold = {i: i + 32 for i in range(65, 91)}
-    sets = {}
-    for doc_id, text in docs:
+    sets = []
+    for _, text in docs:
         words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
         k = min(n, len(words))
-        sets[doc_id] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
-    parent = {d: d for d in sets}
+        sets.append({tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set())
+    parent = list(range(len(docs)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
                 parent[y] = x
-    return [(d, len(sets[d]), find(d), find(d) == d) for d in ids]
+    low: dict[int, int] = {}
+    for i, (doc_id, _) in enumerate(docs):
+        low[find(i)] = min(doc_id, low.get(find(i), doc_id))
+    return [(d, len(sets[i]), low[find(i)], low[find(i)] == d) for i, (d, _) in enumerate(docs)]
