@@ -58,6 +58,24 @@ def test_only_changed_buckets_are_written(spark, folder):
     assert commit(wider) == ["t"] and store.read("t").columns == ["k", "v", "a", "w"]
 
 
+def test_index_of_links_reads_and_writes_their_buckets_alone(spark, folder, monkeypatch):
+    store = sinks.Snapshots(spark, f"{folder}/store")
+    kind = "canonical_id string, application_url string, url_aliases array<string>"
+    entries = spark.createDataFrame([(f"e{i:03}", f"u{i}", [f"a{i}", "shared"]) for i in range(1, 200)], kind)
+    assert outbox.index_links(store, entries) and not outbox.index_links(store, entries)
+    before = store.manifest()["tables"]["links"]
+    assert outbox.index_links(store, spark.createDataFrame([("e000", "u0", ["shared"]), ("e900", "u7", None)], kind))  # e007 keeps u7
+    after = store.manifest()["tables"]["links"]
+    assert 1 <= sum(after["buckets"][b] != before["buckets"].get(b) for b in after["buckets"]) <= 2 and after["hash"] != before["hash"]
+    batches = spark.createDataFrame([("b", ["u7", "a9", "shared", "u0", "none"])], "batch_id string, job_urls array<string>")
+    read = []
+    monkeypatch.setattr(store, "_folders", lambda buckets, types, old=store._folders: read.append(len(buckets)) or old(buckets, types))
+    found = [(r["url"], r["canonical_id"], r["found"]) for r in outbox.entries_by_index(batches, store).orderBy("position").collect()]
+    assert found == [("u7", "e007", True), ("a9", "e009", True), ("shared", "e000", True), ("u0", "e000", True), ("none", None, False)] and read[0] <= 5
+    with pytest.raises(ValueError, match="other keys"):
+        store.upsert("links", entries, ["canonical_id"], lambda a, b: b)
+
+
 ENTRIES = "canonical_id string, application_url string"
 TARGETS = "canonical_id string, issue_number long"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import values as V
 
 from . import actions, render
+from .sinks import Snapshots
 
 BATCH_MARK = r"<!-- batch:v1:(\w+) -->"
 
@@ -34,6 +35,25 @@ def entries_by_url(batches: DataFrame, history: DataFrame) -> DataFrame:
     return links.join(first, "url", "left").withColumn("found", F.col("canonical_id").isNotNull())
 
 
+def index_links(store: Snapshots, entries: DataFrame, name: str = "links") -> bool:
+    """Add the links of `entries(canonical_id, application_url, url_aliases)` to the index kept in the store, link by link.
+
+    A poll gives the entries that it saw: only the buckets of their links are read and written, and the rest of the
+    index, however large, stays where it is. A link that several entries have is the first one's, by id.
+    """
+    urls = F.array_distinct(F.concat(F.array("application_url"), F.coalesce("url_aliases", F.array().cast("array<string>"))))
+    links = entries.select(F.explode(urls).alias("url"), "canonical_id").where("url is not null")
+    first = lambda rows: rows.groupBy("url").agg(F.min("canonical_id").alias("canonical_id"))
+    return store.upsert(name, first(links), ["url"], lambda stored, new: first(stored.unionByName(new)))
+
+
+def entries_by_index(batches: DataFrame, store: Snapshots, name: str = "links") -> DataFrame:
+    """`entries_by_url` by the index: of the history only the buckets that the batches' links fall into are read."""
+    links = batches.select("batch_id", F.posexplode("job_urls").alias("position", "url"))
+    known = store.look_up(name, links.select("url"))
+    return links.join(known, "url", "left").withColumn("found", F.col("canonical_id").isNotNull())
+
+
 def deliverable(entries: DataFrame) -> DataFrame:
     """Batches none of whose entries is missing."""
     return entries.groupBy("batch_id").agg(F.bool_and("found").alias("complete")).where("complete").select("batch_id")

@@ -11,7 +11,7 @@ from tidemark.functions import text
 from tidemark.functions.lineage import cut
 from tidemark.sources import registry
 
-from . import history, resolve
+from . import history, outbox, resolve
 from .sinks import Snapshots
 
 _TABLES = ["entities", "memberships", "sources", "batches"]
@@ -58,12 +58,14 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
         kept += [rows, known, members]
         step = history.apply_run(stored(store), members, answered, at, initialize)
         matching = members.groupBy("source_id").agg(F.count("*").alias("matching"))
+        found = step.history.entities.join(members.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "application_url", "url_aliases")
         summary = polls.join(matching, "source_id", "left").fillna(0, ["matching"]).select("source_id", "ok", "parsed", "matching", "error")
         summary = spark.createDataFrame(summary.collect(), summary.schema)
         changed = []
         if not dry_run:
             facts = spark.createDataFrame([(step.history.initialized, step.history.scope)], "initialized boolean, scope string")
             changed = store.commit(keys=_KEYS, **{t: getattr(step.history, t) for t in _TABLES}, facts=facts)
+            outbox.index_links(store, found)
             step.history, counts = stored(store), step.counts.collect()
             step.counts = spark.createDataFrame(counts, step.counts.schema)
             step.new = spark.createDataFrame(step.new.collect(), step.new.schema)  # the ids of one alert

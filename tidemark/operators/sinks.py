@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def bucket_hashes(df: DataFrame, keys: list[str], buckets: int) -> dict[int, str
     return {r["_bucket"]: "|".join(str(x) for x in r[1:]) for r in rows}
 
 
+def _root(hashes: dict[str, str]) -> str:
+    """A table's hash: that of its buckets' in order."""
+    return hashlib.sha256("\n".join(f"{b} {hashes[b]}" for b in sorted(hashes, key=int)).encode()).hexdigest()
+
+
 def schema_text(df: DataFrame) -> str:
     return ",".join(sorted(f"{c}:{t}" for c, t in df.dtypes))
 
@@ -88,9 +94,7 @@ class Snapshots:
                 raise ValueError(f"no committed table {name}")
             return self.spark.createDataFrame([], schema)
         if "buckets" in entry:
-            folders = sorted({f"{self.base}/{b['folder']}" for b in entry["buckets"].values()})
-            types = T.StructType.fromJson(entry["types"])
-            return self.spark.read.schema(types).parquet(*folders) if folders else self.spark.createDataFrame([], types)
+            return self._folders(entry["buckets"], T.StructType.fromJson(entry["types"]))
         return self.spark.read.parquet(f"{self.base}/{entry['folder']}")
 
     def commit(self, keys: dict[str, list[str]] | None = None, buckets: int = BUCKETS, **tables: DataFrame) -> list[str]:
@@ -110,6 +114,41 @@ class Snapshots:
             self._publish(f"{self.base}/manifests/{version:012d}.json", json.dumps({"version": version, "tables": entries}, sort_keys=True))
         return changed
 
+    def upsert(self, name: str, rows: DataFrame, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> bool:
+        """Merge rows into a table by key, and commit it; whether anything changed.
+
+        Only buckets that a row falls into are read and perhaps written, so this costs what they hold, not what the table does.
+        merge: `(stored, new) -> rows`, of the columns of `rows`, and with the keys that either has.
+        """
+        old = self.manifest()
+        entry = old["tables"].get(name)
+        if entry is not None and (entry.get("keys") != keys or entry.get("schema") != schema_text(rows)):
+            raise ValueError(f"table {name} is committed by other keys or with other columns")
+        buckets = entry["count"] if entry else buckets
+        hit = [str(r[0]) for r in rows.select(bucket_of(keys, buckets)).distinct().collect()]
+        there = {b: x for b, x in (entry["buckets"] if entry else {}).items() if b in hit}
+        types = T.StructType.fromJson(entry["types"]) if entry else rows.schema
+        stored = self._folders(there, types)
+        found = self._by_key(name, merge(stored, rows).select(*rows.columns), keys, buckets, {**entry, "buckets": there, "hash": None} if entry else None)
+        new = {**(entry["buckets"] if entry else {}), **found["buckets"]}
+        if entry is not None and new == entry["buckets"]:
+            return False
+        entries = {**old["tables"], name: {**found, "buckets": new, "hash": _root({b: x["hash"] for b, x in new.items()})}}
+        version = old["version"] + 1
+        self._publish(f"{self.base}/manifests/{version:012d}.json", json.dumps({"version": version, "tables": entries}, sort_keys=True))
+        return True
+
+    def look_up(self, name: str, rows: DataFrame) -> DataFrame:
+        """The table's rows with a key that `rows` has; only these keys' buckets are read."""
+        entry = self.manifest()["tables"][name]
+        hit = [str(r[0]) for r in rows.select(bucket_of(entry["keys"], entry["count"])).distinct().collect()]
+        found = self._folders({b: x for b, x in entry["buckets"].items() if b in hit}, T.StructType.fromJson(entry["types"]))
+        return found.join(rows.select(*entry["keys"]).distinct(), entry["keys"], "left_semi")
+
+    def _folders(self, buckets: dict, types: T.StructType) -> DataFrame:
+        folders = sorted({f"{self.base}/{b['folder']}" for b in buckets.values()})
+        return self.spark.read.schema(types).parquet(*folders) if folders else self.spark.createDataFrame([], types)
+
     def _whole(self, name: str, df: DataFrame, old: dict | None) -> dict | None:
         """A table's new entry, written; None if nothing changed."""
         digest = content_hash(df)
@@ -124,7 +163,7 @@ class Snapshots:
         same = old is not None and old.get("keys") == keys and old.get("count") == buckets and old.get("schema") == schema_text(df)
         before = old["buckets"] if same else {}
         hashes = {str(b): h for b, h in bucket_hashes(df, keys, buckets).items()}
-        root = hashlib.sha256("\n".join(f"{b} {hashes[b]}" for b in sorted(hashes, key=int)).encode()).hexdigest()
+        root = _root(hashes)
         if same and old["hash"] == root:
             return None
         moved = [b for b, h in hashes.items() if before.get(b, {}).get("hash") != h]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import actions, enrichment, inspection, render, sinks
+from tidemark.operators import enrichment, inspection, outbox, render, sinks
 from tidemark.sources import forms, html_table, json_feed, markdown, registry, state
 from tidemark.streaming.polls import _shared
 
@@ -196,6 +196,16 @@ def bucket_commits(spark, sf_dir):
     return store.read("orders")
 
 
+def alias_index(spark, sf_dir):
+    """The first page of each link, by an index that pages come to in two polls, looked up by all of them as batches."""
+    store = sinks.Snapshots(spark, _shared(spark))
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("canonical_id"), F.col("url").alias("application_url"), F.array(F.concat("url", F.lit("#"))).alias("url_aliases"))
+    for poll in (1, 0):
+        outbox.index_links(store, pages.where(F.col("page_id") % 2 == poll))
+    batches = pages.select(F.col("page_id").alias("batch_id"), F.array(F.concat("application_url", F.lit("#")), F.lit("gone")).alias("job_urls"))
+    return outbox.entries_by_index(batches, store).select(F.col("batch_id").alias("page_id"), "position", F.col("canonical_id").cast("long").alias("first_page"), "found")
+
+
 def refused(row: dict) -> None:
     """An action that some alerts refuse."""
     if row["number"] % 7 == 0:
@@ -227,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         markdown_table_scan, markdown_health, json_feed_scan, html_table_scan, feed_dispatch, html_form_extract, ats_schema_extract, scan_block_render, schema_nested, block_upsert, feed_missing_marker, feed_missing_header, feed_all_malformed, poll_outcomes,
-        healthy_observations, provenance_infer, character_references, apply_links, prohibited_keys, bucket_commits, enrichment_loop,
+        healthy_observations, provenance_infer, character_references, apply_links, prohibited_keys, bucket_commits, alias_index, enrichment_loop,
     )
 }
 
@@ -278,5 +288,6 @@ ORACLE_SQL = {
     "apply_links": "select page_id, 'https://jobs.example.com/' || array_to_string(['1', '2', '3', '4', '5', '6'][:greatest(6 - (page_id % 9)::int, 0)] || ['go', page_id::varchar], '/') as link from pages",
     "prohibited_keys": "select event_id, event_id % 4 < 2 as is_prohibited from events",
     "bucket_commits": "select o_orderkey, o_totalprice, case when o_orderkey % 1000 = 3 then 2 else 1 end as version from orders where o_orderkey % 1000 <> 5",
+    "alias_index": "select page_id, 0 as position, min(page_id) over (partition by url) as first_page, true as found from pages union all select page_id, 1, null, false from pages",
     "enrichment_loop": "select page_id::varchar as canonical_id, case when page_id % 6 = 0 then 'failed' else 'partial' end as status, case when page_id % 3 = 0 then 2 else 1 end as attempt_count, 't1' as first_scanned, case when page_id % 3 = 0 then 't2' else 't1' end as last_scanned, floor(page_id / 5)::bigint + 1 as issue_number, (floor(page_id / 5)::bigint + 1) % 7 = 0 as update_pending, 1::bigint as questions from pages",
 }
