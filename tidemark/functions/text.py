@@ -173,8 +173,8 @@ def label(text: Column) -> Column:
     """A form label: no tags, single spaces, neither a trailing mark of required fields nor colons."""
     out = unescape(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", " "))
     out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
-    out = F.trim(F.regexp_replace(out, r"(?i)(?:\s|\*)+(?:required)?\s*\*+\s*$", ""))
-    return F.trim(F.regexp_replace(out, ":+$", ""))
+    marked = lambda t: F.when(t.endswith("*"), F.trim(F.regexp_replace(t, r"(?i)(?:\s|\*)+(?:required)?\s*\*+\s*$", ""))).otherwise(t)  # noqa: E731  fixed: the mark's pattern
+    return let(let(out, marked), lambda t: F.when(t.endswith(":"), F.trim(F.regexp_replace(t, ":+$", ""))).otherwise(t))
 
 
 def field_type(kind: Column, multiple: Column | None = None) -> Column:
@@ -193,7 +193,12 @@ def has_any(text: Column, terms: list[str]) -> Column:
 
 
 def question_category(question: Column, section: Column) -> Column:
-    """The first category with a term in the label; demographic terms count in the section too."""
+    """`category_of` a label as it is written."""
+    return category_of(label(question), section)
+
+
+def category_of(clean: Column, section: Column) -> Column:
+    """The first category with a term in a label (as of `label`); demographic terms count in the section too."""
     part = F.lower(F.coalesce(section, F.lit("")))
 
     def judged(text: Column) -> Column:
@@ -204,15 +209,21 @@ def question_category(question: Column, section: Column) -> Column:
             out = out.when((text == "name") | own if name == "profile" else own, name)
         return out.otherwise("other")
 
-    return let(F.lower(label(question)), judged)
+    return let(F.lower(clean), judged)
 
 
 def is_custom_question(question: Column, category: Column) -> Column:
+    """`custom_of` a label as it is written."""
+    return custom_of(label(question), category)
+
+
+def custom_of(clean: Column, category: Column) -> Column:
+    """Whether a label (as of `label`) asks something of its own: by its category, or as a question or a sentence."""
 
     def prompt(text: Column) -> Column:
         return text.contains("?") | (F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")) >= 5)
 
-    return (category == "job_specific") | ((category == "other") & let(label(question), prompt))
+    return (category == "job_specific") | ((category == "other") & let(clean, prompt))
 
 
 def markdown_cell(text: Column) -> Column:

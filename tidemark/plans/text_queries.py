@@ -158,8 +158,9 @@ def question_categorize(spark, sf_dir):
     """Labels and whole documents as labels; what is left of them is shown as a digest."""
     docs = _read(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("label"), F.lit(None).cast("string").alias("section"))
     rows = spark.sql(_LABEL_VALUES).select(F.col("id").cast("long").alias("id"), "label", "section").union(docs)
-    found = rows.select("id", text.label(F.col("label")).alias("clean"), text.question_category(F.col("label"), F.col("section")).alias("category"), "label")
-    return found.select("id", F.sha2("clean", 256).alias("clean_sha256"), "category", text.is_custom_question(F.col("label"), F.col("category")).alias("is_custom"))
+    clean = rows.select("id", text.label(F.col("label")).alias("clean"), "section")  # once, for all that follows from it
+    found = clean.withColumn("category", text.category_of(F.col("clean"), F.col("section")))
+    return found.select("id", F.sha2("clean", 256).alias("clean_sha256"), "category", text.custom_of(F.col("clean"), F.col("category")).alias("is_custom"))
 
 
 _TYPES = ["input_text", "Multi Select", "textarea", "checkbox", "select", "date-time", "TEL", "", "datetime", "multi_value_single_select"]
