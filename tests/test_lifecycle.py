@@ -1,6 +1,7 @@
 import random
+import re
 
-from pyspark.sql import functions as F
+import pytest
 
 from tidemark.operators import lifecycle
 from tidemark.streaming import polls as stream
@@ -63,6 +64,49 @@ def test_failed_poll_is_unknown(spark):
     assert lifecycle.memberships(seen, polls(True)).first()["inactive_at"] == 1
 
 
+def _folded(locations):
+    """One after another."""
+    counts, state, out = lambda x: re.match(r"\d+\s+locations\b", x, re.I) is not None, None, []
+    for x in locations:
+        if x is not None and (state is None or counts(state) and not counts(x) or len(state) <= len(x)):
+            state = x
+        out.append(state)
+    return out
+
+
+def _running(spark, groups, runs=None):
+    rows = [(f"e{e}", r, x) for e, group in enumerate(groups) for r, x in enumerate(group)]
+    random.Random(1).shuffle(rows)
+    found = lifecycle.running_location(spark.createDataFrame(rows, "canonical_id string, run_id int, location string"), runs).collect()
+    by_run = {(r["canonical_id"], r["run_id"]): r["location"] for r in found}
+    assert len(found) == len(rows)
+    return [[by_run[f"e{e}", r] for r in range(len(group))] for e, group in enumerate(groups)]
+
+
 def test_locations_fold(spark):
-    rows = spark.createDataFrame([(["5 locations SF, NY", "Palo Alto"],), (["Palo Alto", "5 locations Palo Alto and more"],), (["A", "BB", "C"],)], "l array<string>")
-    assert [r[0] for r in rows.select(lifecycle._folded_location(F.col("l"))).collect()] == ["Palo Alto", "5 locations Palo Alto and more", "BB"]
+    groups = [["5 locations SF, NY", "Palo Alto"], ["Palo Alto", "5 locations Palo Alto and more"], ["A", "BB", "C"]]
+    assert [g[-1] for g in _running(spark, groups)] == ["Palo Alto", "5 locations Palo Alto and more", "BB"]
+
+
+def test_running_locations_are_the_sequential_fold(spark):
+    """Ties, nulls, empty names, runs of counts and of places; groups of one row and of powers of two and one more."""
+    rng = random.Random(7)
+    kinds = [None, "", "A", "BB", "CC", "3 locations", "12 LOCATIONS", "3 locations now", "Palo Alto, CA", "a place of 16 ch", "a place longer than a count"]
+    groups = [[rng.choice(kinds) for _ in range(n)] for n in [1, 2, 3, 4, 5, 8, 9, 16, 17, 64, 65, 300] for _ in range(6)]
+    groups += [[None, None], ["2 locations"] * 5, ["A" * n for n in range(40, 0, -1)]]
+    assert _running(spark, groups) == [_folded(g) for g in groups]
+    assert _running(spark, groups, 1000) == [_folded(g) for g in groups]
+
+
+def test_more_runs_than_said_are_an_error(spark):
+    with pytest.raises(Exception, match="more than 2 runs of e0"):
+        _running(spark, [["A", "B", "C"]], 2)
+    assert _running(spark, [["A", "B"]], 2) == [["A", "B"]]
+    none = spark.createDataFrame([], "canonical_id string, run_id int, location string")
+    assert lifecycle.running_location(none).collect() == []
+
+
+def test_running_locations_collect_no_lists(spark):
+    rows = spark.createDataFrame([("e", 0, "A")], "canonical_id string, run_id int, location string")
+    plan = lifecycle.running_location(rows, 4096)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1

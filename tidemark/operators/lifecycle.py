@@ -94,29 +94,61 @@ def transitions(active: DataFrame) -> DataFrame:
     return counts.where("inactive + reactivated > 0")
 
 
-def _folded_location(runs: Column) -> Column:
-    """Locations in order, folded: the longer stays, but a mere count of places gives way to places."""
+def _step(bar: Column, place: Column) -> Column:
+    return F.struct(bar.cast("int").alias("bar"), place.alias("place"))
 
-    def step(s: Column, x: Column) -> Column:
-        clean = text.counts_locations(s) & ~text.counts_locations(x)
-        return F.when(s.isNull() | clean, x).when(F.length(s) > F.length(x), s).otherwise(x)
 
-    return F.aggregate(runs, F.lit(None).cast("string"), step)
+def _then(a: Column, b: Column) -> Column:
+    """Two steps as one. A step keeps a place that is longer than its bar, and else puts its own in its stead, which is no longer
+    than the bar; so what two steps do has that form too, and any number of them can be put together in any grouping."""
+    left = F.when(F.length(a["place"]) > b["bar"], a["place"]).otherwise(b["place"])
+    return F.when(a["bar"] > b["bar"], _step(a["bar"], left)).otherwise(b)
 
 
-def survivorship(resolved: DataFrame) -> DataFrame:
-    """Each entity's values as of each run: what is known is never given up for less."""
+def running_location(rows: DataFrame, runs: int | None = None) -> DataFrame:
+    """`rows` (one for each run and entity) with `location` as folded up to their run: the longer stays, of equally long ones the
+    later, but a mere count of places gives way to the next place. Null locations say nothing.
+
+    runs: the most rows of an entity, counted where it isn't given; an entity that has more is an error.
+
+    Behind a place the fold always stands at a place: the one before, or this one if that was shorter or had given way to a count
+    in between. Such steps are put together by doubling, each round over twice as many rows, so an entity's n runs take n log n
+    time and no list of them. Rounds share one shuffle and one order of rows, which may spill.
+    """
+    if runs is None:
+        runs = rows.groupBy("canonical_id").count().agg(F.max("count")).first()[0] or 0
+    w = Window.partitionBy("canonical_id").orderBy("run_id")
+    counts = text.counts_locations(F.col("location"))
+    is_place = F.col("location").isNotNull() & ~counts
+    marked = rows.withColumns({"_place": is_place, "_block": F.count_if(is_place).over(w), "_ordinal": F.row_number().over(w)})
+    within = Window.partitionBy("canonical_id", "_block").orderBy("run_id")
+    longest = F.max_by("location", F.when(counts, F.struct(F.length("location"), F.col("run_id"))))
+    found = marked.withColumn("_count", longest.over(within)).withColumn("_before", F.length(F.lag("_count").over(w)))
+    own = _step(F.greatest(F.length("location"), F.col("_before")), F.col("location"))
+    found = found.withColumn("_steps", F.when(F.col("_place"), own).otherwise(_step(F.lit(-1), F.lit(None).cast("string"))))
+    for r in range(max(runs - 1, 0).bit_length()):
+        before = F.col("_earlier")
+        found = found.withColumn("_earlier", F.lag("_steps", 2**r).over(w))
+        found = found.withColumn("_steps", F.when(before.isNull(), F.col("_steps")).otherwise(_then(before, F.col("_steps"))))
+    place, count = F.col("_steps.place"), F.col("_count")
+    folded = F.when(count.isNotNull() & (place.isNull() | (F.length(count) >= F.length(place))), count).otherwise(place)
+    more = F.raise_error(F.concat(F.lit(f"more than {runs} runs of "), F.col("canonical_id"))).cast("string")
+    return found.withColumn("location", F.when(F.col("_ordinal") > runs, more).otherwise(folded)).select(rows.columns)
+
+
+def survivorship(resolved: DataFrame, runs: int | None = None) -> DataFrame:
+    """Each entity's values as of each run: what is known is never given up for less. runs: as in `running_location`."""
     w = Window.partitionBy("canonical_id").orderBy("run_id")
     kept = lambda c: F.last(c, ignorenulls=True).over(w)
     longest = lambda c: F.max_by(c, F.struct(F.length(c), F.col("run_id"))).over(w)
     sticky = F.first(F.when(F.col("category").isin("FAANG+", "Quant"), F.col("category")), ignorenulls=True).over(w)
     known = kept(F.when(F.col("category") != "Unknown", F.col("category")))
-    return resolved.select(
+    return running_location(resolved, runs).select(
         "run_id",
         "canonical_id",
         longest("company").alias("company"),
         longest("position").alias("position"),
-        _folded_location(F.collect_list("location").over(w)).alias("location"),
+        "location",
         kept("salary").alias("salary"),
         F.first("age", ignorenulls=True).over(w).alias("age"),
         F.coalesce(sticky, known, F.lit("Unknown")).alias("category"),

@@ -87,7 +87,8 @@ def current_snapshot(spark, sf_dir):
 
 
 def running_survivorship(spark, sf_dir):
-    return lifecycle.survivorship(resolve.resolved(members(spark, sf_dir)))
+    found = members(spark, sf_dir)
+    return lifecycle.survivorship(resolve.resolved(found), found.select("run_id").distinct().count())
 
 
 def change_detection(spark, sf_dir):
