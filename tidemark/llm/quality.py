@@ -34,8 +34,6 @@ TRAIN_ROWS, EPOCHS = 5000, 3
 ALPHA, L1 = 1.0, 4.0
 THRESHOLD, CLIP = 0.5, 15.0
 HEADS = ("low_quality", "toxic")
-#: Texts whose features a task holds at once.
-SLICE = 256
 _MARKS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 #: Upper ends of the steps of a share.
@@ -115,19 +113,17 @@ def with_evidence(docs: DataFrame, models: dict[str, tuple[np.ndarray, float]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, SLICE):  # features of few texts at a time
-                part = batch.slice(first, SLICE)
-                found = [features(t) for t in utf8(part.column(text_at))]
-                columns = []
-                for head in HEADS:
-                    if head in own:
-                        weights, prior = own[head]
-                        x = np.array([scores(weights, at, np.ones(len(at), np.float32)) for at in found], dtype=np.float64).reshape(len(found), 2)
-                        logit = np.clip(x[:, 1] - x[:, 0], -CLIP, CLIP)
-                        columns += [logit - prior, 1 / (1 + np.exp(-logit))]
-                    else:
-                        columns += [np.zeros(len(found)), np.zeros(len(found))]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *(pa.array(c, pa.float64()) for c in columns)], names=schema.names)
+            found = [features(t) for t in utf8(batch.column(text_at))]
+            columns = []
+            for head in HEADS:
+                if head in own:
+                    weights, prior = own[head]
+                    x = np.array([scores(weights, at, np.ones(len(at), np.float32)) for at in found], dtype=np.float64).reshape(len(found), 2)
+                    logit = np.clip(x[:, 1] - x[:, 0], -CLIP, CLIP)
+                    columns += [logit - prior, 1 / (1 + np.exp(-logit))]
+                else:
+                    columns += [np.zeros(len(found)), np.zeros(len(found))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(c, pa.float64()) for c in columns)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
