@@ -20,6 +20,16 @@ from tidemark.llm.quality import classify
 
 #: Similarity of shingle sets, in per cent, from which on documents are one.
 NEAR_PERCENT = 80
+#: Bytes of an Arrow batch, about; a row isn't cut. Workers hold a few times a batch, and outlive a stage.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound batches by their bytes, in the session as stages are lazy; a smaller bound of the caller's stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if given > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, null sources and languages are judged like others (by their site and length); without
     labels all are kept; repeated rows are judged alike; an empty table stays empty.
     """
+    bounded(spark)
     narrow, restored = carried(docs, "doc_id", "text")
     sites = narrow.withColumns({"host": F.col("carried.source").cast("string"), "path": F.col("carried.lang").cast("string")})
     return restored(classify(sites, table(spark, sf_dir, "labels")).where("keep"))
@@ -39,6 +50,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null and an empty one empty, and both are kept; a row without id is kept as it is; of repeated
     rows each keeps the same lines; an empty table stays empty.
     """
+    bounded(spark)
     narrow, restored = carried(docs, "doc_id", "text", "n_chars")
     found = dedup_lines(narrow)
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
@@ -50,6 +62,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts and rows without id are no duplicates and are kept; an empty table stays empty.
     """
+    bounded(spark)
     narrow, restored = carried(docs, "doc_id", "text")
     kept = near_duplicates(narrow, NEAR_PERCENT).where("doc_id is not null")
     gone = materialize(kept.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"), "gone")
@@ -62,6 +75,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and are kept; an empty benchmark leaves all; repeated rows are judged alike; an
     empty table stays empty.
     """
+    bounded(spark)
     narrow, restored = carried(docs, "doc_id", "text")
     return restored(mark_benchmark_words(narrow, table(spark, sf_dir, "benchmark")).where(F.size("hit_words") == 0))
 
@@ -72,6 +86,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end token; a null source is the queue of the empty name; rows of one id are documents
     of their own; an empty table gives no pieces.
     """
+    bounded(spark)
     return packed_pieces(docs)
 
 
