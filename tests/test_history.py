@@ -142,3 +142,21 @@ def test_a_broken_feed_ends_nothing(spark):
     assert {r["canonical_id"]: r["active"] for r in second.history.entities.collect()} == {"lever:x:a": True, "lever:x:b": True}
     third = history.apply_run(first.history, _members(spark, [(1, *rows[1][1:])]), ["a", "b"], 1)
     assert {r["canonical_id"]: r["inactive_at"] for r in third.history.entities.collect()} == {"lever:x:a": 1, "lever:x:b": None}
+
+
+def test_links_in_closed_form_are_those_of_the_steps(spark):
+    """Links only grow; a run adds some if it has one that no run before had."""
+    runs = {0: ["https://jobs.lever.co/x/1?a=1"], 1: ["https://jobs.lever.co/x/1?a=2", "https://jobs.lever.co/x/1?a=1"], 2: ["https://jobs.lever.co/x/1?a=1"]}
+    rows = [(run, s, i, run * 10 + i, "C", "P", "L", None, None, "Other", None, "J", url, None, None) for run, urls in runs.items() for i, (s, url) in enumerate(zip(SOURCES, urls))]
+    state = history.empty(spark, "int")
+    for run in runs:
+        mine = [r for r in rows if r[0] == run]
+        state = history.apply_run(state, _members(spark, mine), [r[1] for r in mine], run).history
+    members = _members(spark, rows)
+    stepped = {r["canonical_id"]: list(r["url_aliases"]) for r in state.entities.collect()}
+    assert stepped == {r["canonical_id"]: list(r["url_aliases"]) for r in lifecycle.aliases(members).collect()} == {"lever:x:1": sorted(runs[1])}
+    assert {r["run_id"]: r["adds"] for r in lifecycle.link_changes(members).collect()} == {0: True, 1: True, 2: False}
+    assert {r["run_id"]: (r["observations"], r["entities"], r["duplicates"]) for r in resolve.counts(members).collect()} == {0: (1, 1, 0), 1: (2, 1, 1), 2: (1, 1, 0)}
+    assert lifecycle.aliases(members.limit(0)).count() == 0 and resolve.counts(members.limit(0)).count() == 0
+    unlinked = members.withColumn("application_url", F.lit(None).cast("string"))
+    assert lifecycle.links(unlinked).count() == 0 and not any(r["adds"] for r in lifecycle.link_changes(unlinked).collect())

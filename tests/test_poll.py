@@ -18,6 +18,7 @@ def test_polls_are_committed(spark, tmp_path):
     first = poll.run_poll(store, _documents(spark, feed_queries.MARKDOWN, feed_queries.TABLE), "2026-01-01T00:00:00Z")
     assert first.step.baseline and set(first.changed) == {"entities", "memberships", "sources", "facts", "batches"}
     assert {r["source_id"]: (r["ok"], r["parsed"], r["matching"]) for r in first.sources.collect()} == {"m": (True, 3, 2), "h": (True, 2, 2)}
+    assert tuple(first.counts.first()) == (4, 4, 0)
     before = {r["canonical_id"]: r["active"] for r in store.read("entities").collect()}
     assert len(before) == 4 and all(before.values()) and store.read("batches").count() == 0
     second = poll.run_poll(store, _documents(spark, "# nothing", feed_queries.TABLE.replace("orbit.example/j/1", "orbit.example/j/2")), "2026-01-02T00:00:00Z")

@@ -67,6 +67,23 @@ def entities(members: DataFrame) -> DataFrame:
     return members.groupBy("canonical_id").agg(active.alias("active"), F.min("first_seen").alias("first_seen"), F.when(~active, F.max("inactive_at")).alias("inactive_at"), F.count("*").alias("sources"))
 
 
+def links(members: DataFrame) -> DataFrame:
+    """`(canonical_id, application_url, since)`: each link of an entity, and the run that had it first; none is ever lost."""
+    return members.where("application_url is not null").groupBy("canonical_id", "application_url").agg(F.min("run_id").alias("since"))
+
+
+def aliases(members: DataFrame) -> DataFrame:
+    """`(canonical_id, url_aliases)`: an entity's links over all runs, sorted."""
+    return links(members).groupBy("canonical_id").agg(F.array_sort(F.collect_list("application_url")).alias("url_aliases"))
+
+
+def link_changes(members: DataFrame) -> DataFrame:
+    """`(run_id, canonical_id, adds)`: whether a run has a link of the entity that none before it had."""
+    new = links(members).select("canonical_id", F.col("since").alias("run_id"), F.lit(True).alias("adds")).distinct()
+    seen = members.select("canonical_id", "run_id").distinct()
+    return seen.join(new, ["canonical_id", "run_id"], "left").select("run_id", "canonical_id", F.coalesce("adds", F.lit(False)).alias("adds"))
+
+
 def activity(observed: DataFrame, polls: DataFrame) -> DataFrame:
     """`(canonical_id, run_id, active)` at each run in which it may change: an observation, or the answer behind the last one.
 

@@ -21,11 +21,13 @@ _KEYS = {"entities": ["canonical_id"], "memberships": ["canonical_id"], "batches
 
 @dataclass
 class Poll:
-    """step: the history after the poll, new ids and counts; sources: `(source_id, ok, parsed, matching, error)`; changed: the tables committed."""
+    """step: the history after the poll, new ids and counts; sources: `(source_id, ok, parsed, matching, error)`; changed: the tables committed;
+    counts: one row with the observations, the entries they come to and how many repeat one."""
 
     step: history.Step
     sources: DataFrame
     changed: list[str]
+    counts: DataFrame
 
 
 def stored(store: Snapshots) -> history.History:
@@ -61,6 +63,8 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
         found = step.history.entities.join(members.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "application_url", "url_aliases")
         summary = polls.join(matching, "source_id", "left").fillna(0, ["matching"]).select("source_id", "ok", "parsed", "matching", "error")
         summary = spark.createDataFrame(summary.collect(), summary.schema)
+        counted = resolve.counts(members).drop("run_id")
+        counted = spark.createDataFrame(counted.collect() or [(0, 0, 0)], counted.schema)  # one row; none where nothing matched
         changed = []
         if not dry_run:
             facts = spark.createDataFrame([(step.history.initialized, step.history.scope)], "initialized boolean, scope string")
@@ -69,7 +73,7 @@ def run_poll(store: Snapshots, documents: DataFrame, at: str, initialize: bool =
             step.history, counts = stored(store), step.counts.collect()
             step.counts = spark.createDataFrame(counts, step.counts.schema)
             step.new = spark.createDataFrame(step.new.collect(), step.new.schema)  # the ids of one alert
-        return Poll(step, summary, changed)
+        return Poll(step, summary, changed, counted)
     finally:
         documents.unpersist()
         polls.unpersist()

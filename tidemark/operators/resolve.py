@@ -75,6 +75,15 @@ def resolved(members: DataFrame) -> DataFrame:
     return best.join(links, ["run_id", "canonical_id"])
 
 
+def counts(members: DataFrame) -> DataFrame:
+    """`(run_id, observations, entities, duplicates)`: how many observations are entries of a run, and how many repeat one.
+
+    Entities are counted as groups, so no task holds the ids of a run."""
+    each = members.groupBy("run_id", "canonical_id").agg(F.count("*").alias("n"))
+    found = each.groupBy("run_id").agg(F.sum("n").alias("observations"), F.count("*").alias("entities"))
+    return found.withColumn("duplicates", F.col("observations") - F.col("entities"))
+
+
 def source_labels(members: DataFrame) -> DataFrame:
     """The sorted distinct labels (ids, where sources have none) of each entity's sources and run, joined; `Unknown` if there are none."""
     label = F.coalesce(F.nullif(F.col("source_label"), F.lit("")), F.col("source_id")) if "source_label" in members.columns else F.col("source_id")

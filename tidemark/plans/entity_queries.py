@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
 from tidemark.functions.lineage import cut
-from tidemark.operators import lifecycle, outbox, render, resolve
+from tidemark.operators import history, lifecycle, outbox, render, resolve
 from tidemark.sources import markdown
 from tidemark.streaming import memberships as stream
 from tidemark.streaming.polls import _shared
@@ -64,8 +66,7 @@ def source_labels(spark, sf_dir):
 
 
 def resolution_counts(spark, sf_dir):
-    found = members(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("observations"), F.countDistinct("canonical_id").alias("entities"))
-    return found.withColumn("duplicates", F.col("observations") - F.col("entities"))
+    return resolve.counts(members(spark, sf_dir))
 
 
 def membership_lifecycle(spark, sf_dir):
@@ -82,8 +83,11 @@ def entity_lifecycle(spark, sf_dir):
 
 
 def current_snapshot(spark, sf_dir):
-    active = membership_lifecycle(spark, sf_dir).where("active")
-    return active.groupBy("canonical_id").agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"), F.max("last_seen").alias("last_change"))
+    """Active entities with their active sources; what is kept of a source here is when it last said something new."""
+    found = cut(membership_lifecycle(spark, sf_dir).withColumn("v", F.struct("last_seen")))
+    stored = replace(history.empty(spark, "int"), entities=lifecycle.entities(found).drop("sources"), memberships=found)
+    of = lambda name: F.transform("sources", lambda s: s[name])
+    return history.current(stored).select("canonical_id", F.array_join(of("source_id"), ",").alias("sources"), F.array_max(F.transform(of("v"), lambda v: v["last_seen"])).alias("last_change"))
 
 
 def running_survivorship(spark, sf_dir):
@@ -125,15 +129,13 @@ def source_onboarding(spark, sf_dir):
 
 def alias_union(spark, sf_dir):
     """Links of an entity over all runs; they only grow."""
-    links = members(spark, sf_dir).groupBy("canonical_id").agg(F.array_sort(F.collect_set("application_url")).alias("a"))
-    return links.select("canonical_id", F.array_join("a", " ").alias("url_aliases"), F.size("a").cast("long").alias("n"))
+    found = lifecycle.aliases(members(spark, sf_dir))
+    return found.select("canonical_id", F.array_join("url_aliases", " ").alias("url_aliases"), F.size("url_aliases").cast("long").alias("n"))
 
 
 def alias_subset(spark, sf_dir):
     """Whether a run's links were all known before it."""
-    links = members(spark, sf_dir).select("canonical_id", "run_id", "application_url").distinct()
-    first = F.min("run_id").over(lifecycle.Window.partitionBy("canonical_id", "application_url"))
-    return links.withColumn("first", first).groupBy("canonical_id", "run_id").agg(F.bool_and(F.col("first") < F.col("run_id")).alias("is_subset"))
+    return lifecycle.link_changes(members(spark, sf_dir)).select("canonical_id", "run_id", (~F.col("adds")).alias("is_subset"))
 
 
 def parse_health(spark, sf_dir):

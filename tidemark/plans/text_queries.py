@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
 from tidemark.functions import values as V
+from tidemark.functions.lineage import cut
 from tidemark.operators import inspection, outbox
-from tidemark.sources import state
+from tidemark.sources import forms, json_feed, state
 
 from . import oracle as O
 
@@ -67,16 +68,15 @@ def numbered(rows: DataFrame, group: str, order: str, range_rows: int = RANGE_RO
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     own = placed.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)))
-    counts = rows.sparkSession.createDataFrame(counts.collect(), counts.schema)  # few, as groups are large
     known = own.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
     return known.withColumn("ordinal", F.col("_before") + F.col("_own")).drop("_range", "_group", "_at", "_before", "_own")
 
 
 def first_wins_dedupe(spark, sf_dir):
-    """The first document of each folded text, numbered in order of ids within its language."""
+    """The first document of each folded text, numbered in order of ids within its language; texts are folded once."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(text.fold(F.col("text")), 256).alias("key"))
     first = docs.groupBy("key").agg(F.min_by("lang", "doc_id").alias("lang"), F.min("doc_id").alias("doc_id"))
-    return numbered(first, "lang", "doc_id").select("doc_id", "ordinal")
+    return numbered(cut(first), "lang", "doc_id").select("doc_id", "ordinal")
 
 
 def carry_forward(spark, sf_dir):
@@ -120,9 +120,10 @@ def overlay_targets(spark, sf_dir):
 
 
 def json_props_feed(spark, sf_dir):
-    """Typed values of a JSON column; what isn't a number is null."""
-    events = _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))
-    return events.select("event_id", F.col("p.k").alias("k"))
+    """Each event as a feed of one job, whose id is a value of its JSON column; what isn't a number is null."""
+    job = F.create_map(F.lit("id"), F.from_json("props", "k string")["k"])
+    feeds = _read(spark, sf_dir, "events").select(F.col("event_id").alias("source_id"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
+    return json_feed.rows(feeds).select(F.col("source_id").alias("event_id"), F.expr("try_cast(id as bigint)").alias("k"))
 
 
 def marker_lookup(spark, sf_dir):
@@ -175,7 +176,7 @@ def field_type_map(spark, sf_dir):
 def tri_state_required(spark, sf_dir):
     """A group of controls is required if one is, not if one says so, else unknown."""
     items = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("required"))
-    return items.groupBy("l_orderkey").agg(F.bool_or("required").alias("required"))
+    return items.groupBy("l_orderkey").agg(forms.any_required("required").alias("required"))
 
 
 def redact_message(spark, sf_dir):
@@ -192,8 +193,9 @@ def markdown_escape(spark, sf_dir):
 def option_sets(spark, sf_dir):
     """Answer options in order, the first of each kind regardless of case."""
     parts = _read(spark, sf_dir, "part").select("p_size", "p_partkey", "p_type")
-    first = parts.groupBy("p_size", F.lower("p_type").alias("key")).agg(F.min_by("p_type", "p_partkey").alias("option"), F.min("p_partkey").alias("at"))
-    return first.groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "option"))), lambda x: x["option"]), "; ").alias("options"))
+    first = parts.groupBy("p_size", "p_type").agg(F.min("p_partkey").alias("at"))  # each spelling once, so a group holds no more
+    listed = first.groupBy("p_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "p_type"))), lambda x: x["p_type"]).alias("options"))
+    return listed.select("p_size", F.array_join(forms.distinct_options(F.col("options")), "; ").alias("options"))
 
 
 def sensitive_keys(spark, sf_dir):

@@ -119,15 +119,20 @@ def controls(pages: DataFrame) -> DataFrame:
     return spark.sql("select p.page_id, c.* from {pages} p, lateral form_controls(p.html) c", pages=pages)
 
 
-def _distinct_options(options):
+def distinct_options(options):
     """In order, the first of each regardless of case."""
     clean = F.filter(F.transform(options, text.label), lambda x: x != "")
     return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1)
 
 
+def any_required(required) -> Column:
+    """Of a group of controls: true if one is required, false if one says that it isn't and none is, else unknown."""
+    return F.bool_or(required)
+
+
 def _classified(found: DataFrame) -> DataFrame:
     """Labels, categories and the first of repeated questions."""
-    named = found.withColumns({"label": text.label(F.col("label")), "section": F.nullif(text.label(F.col("section")), F.lit("")), "options": _distinct_options(F.col("options"))}).where("label <> ''")
+    named = found.withColumns({"label": text.label(F.col("label")), "section": F.nullif(text.label(F.col("section")), F.lit("")), "options": distinct_options(F.col("options"))}).where("label <> ''")
     named = named.withColumn("category", text.question_category(F.col("label"), F.col("section")))
     named = named.withColumns({"is_custom": text.is_custom_question(F.col("label"), F.col("category")), "field_type": text.field_type(F.col("kind"), F.col("multiple"))})
     w = Window.partitionBy("page_id", F.lower("label"), "field_type", "section").orderBy("ordinal", F.lower("label"))
@@ -142,7 +147,7 @@ def questions(pages: DataFrame) -> DataFrame:
     single = each.where(~grouped).select("page_id", "ordinal", F.col("shown").alias("label"), "kind", "required", F.when(F.col("kind") == "select", F.col("options")).otherwise(F.array().cast("array<string>")).alias("options"), F.col("legend").alias("section"), ((F.col("kind") == "select") & F.col("multiple")).alias("multiple"), F.col("name").alias("field_name"))
     groups = each.where(grouped).groupBy("page_id", "form", "kind", "name").agg(
         F.min("ordinal").alias("ordinal"), F.min_by("legend", "ordinal").alias("section"), F.min_by("shown", "ordinal").alias("first"), F.count("*").alias("n"),
-        F.bool_or("required").alias("required"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]).alias("options"),
+        any_required("required").alias("required"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]).alias("options"),
     )
     label = F.coalesce("section", F.when(F.col("n") > 1, text.human_name(F.col("name"))).otherwise(F.col("first")), text.human_name(F.col("name")))
     groups = groups.select("page_id", "ordinal", label.alias("label"), "kind", "required", "options", "section", ((F.col("kind") == "checkbox") & (F.col("n") > 1)).alias("multiple"), F.col("name").alias("field_name"))
