@@ -1,5 +1,6 @@
 """Registered queries, with their last columns, against brute force."""
 
+import hashlib
 import os
 import random
 import re
@@ -56,3 +57,26 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     found = queries.QUERIES["op7_minhash_near_dedup"](spark, DATA).collect()
     assert len(set(map(top, ids))) < len(ids)
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found} == {(i, len(sets[i]), top(i), top(i) == i) for i in ids} and len(found) == len(ids)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_benchmark_words_are_those_of_every_window(spark):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    items = {}
+    for i, t in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect():
+        w = words(t)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            items.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+    want = set()
+    for i, t in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        w, hit, of = words(t), set(), set()
+        for n in {len(x) for x in items}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in items:
+                    hit |= set(range(k, k + n))
+                    of |= items[tuple(w[k : k + n])]
+        want.add((i, len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit)))
+    found = queries.QUERIES["op5_decontamination"](spark, DATA).collect()
+    assert any(x[5] for x in want) and len(found) == len(want)
+    assert {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found} == want
