@@ -80,3 +80,22 @@ def test_benchmark_words_are_those_of_every_window(spark):
     found = queries.QUERIES["op5_decontamination"](spark, DATA).collect()
     assert any(x[5] for x in want) and len(found) == len(want)
     assert {(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_removed_words_are_those_of_windows_that_start_before(spark):
+    docs = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    first = {}
+    for i in sorted(docs):
+        for k in range(len(docs[i]) - 49):
+            first.setdefault(hash(tuple(docs[i][k : k + 50])), i)
+    want = set()
+    for i, w in docs.items():
+        gone = set()
+        for k in range(len(w) - 49):
+            if first[hash(tuple(w[k : k + 50]))] < i:
+                gone |= set(range(k, k + 50))
+        want.add((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    found = queries.QUERIES["op9_substring_dedup"](spark, DATA).collect()
+    assert any(x[2] for x in want) and len(found) == len(want)
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == want
