@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.functions.lineage import spread
 from tidemark.operators import enrichment, inspection, outbox, render, sinks
 from tidemark.sources import forms, html_table, json_feed, markdown, registry, state
 from tidemark.streaming.polls import _shared
@@ -131,7 +132,7 @@ def html_form_extract(spark, sf_dir):
     html = """concat('<header><input name="q"></header><form><label for="a">', p_name, ' *</label><input id="a" name="n" required><label>Brand <select name="b"><option>Select</option><option>', p_brand, '</option><option>', lower(p_brand),
       '</option><option>', p_type, '</option></select></label><fieldset><legend>Size ', p_size, '?</legend><label><input type="radio" name="s" aria-required="false"> Yes</label><label><input type="radio" name="s"> No</label></fieldset><div hidden>',
       repeat('<div>', p_partkey % 20), '<input name="trap">', repeat('</div>', p_partkey % 20), '</div><textarea name="cover_letter"></textarea></form>')"""
-    pages = _read(spark, sf_dir, "part").selectExpr("p_partkey as page_id", f"{html} as html")
+    pages = spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey").selectExpr("p_partkey as page_id", f"{html} as html")
     return forms.questions(pages).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section", "field_name")
 
 

@@ -122,7 +122,8 @@ def controls(pages: DataFrame) -> DataFrame:
 def distinct_options(options):
     """In order, the first of each regardless of case."""
     clean = F.filter(F.transform(options, text.label), lambda x: x != "")
-    return F.filter(clean, lambda x, i: F.array_position(F.transform(clean, F.lower), F.lower(x)) == i + 1)
+    first = lambda each: F.filter(each["clean"], lambda x, i: F.array_position(each["low"], F.lower(x)) == i + 1)
+    return text.let(text.let(clean, lambda c: F.struct(c.alias("clean"), F.transform(c, F.lower).alias("low"))), first)
 
 
 def any_required(required) -> Column:
@@ -141,17 +142,22 @@ def _classified(found: DataFrame) -> DataFrame:
 
 
 def questions(pages: DataFrame) -> DataFrame:
-    """Questions of pages; radio buttons and checkboxes of a name in a form are one."""
+    """Questions of pages; radio buttons and checkboxes of a name in a form are one.
+
+    Any other control is a group of its own, by its ordinal, so pages are parsed once."""
     each = controls(pages).withColumn("shown", F.coalesce("label", text.human_name(F.col("name"))))
     grouped = F.col("kind").isin("radio", "checkbox") & (F.coalesce("name", F.lit("")) != "")
-    single = each.where(~grouped).select("page_id", "ordinal", F.col("shown").alias("label"), "kind", "required", F.when(F.col("kind") == "select", F.col("options")).otherwise(F.array().cast("array<string>")).alias("options"), F.col("legend").alias("section"), ((F.col("kind") == "select") & F.col("multiple")).alias("multiple"), F.col("name").alias("field_name"))
-    groups = each.where(grouped).groupBy("page_id", "form", "kind", "name").agg(
+    each = each.withColumn("alone", F.when(~grouped, F.col("ordinal")))
+    groups = each.groupBy("page_id", "form", "kind", "name", "alone").agg(
         F.min("ordinal").alias("ordinal"), F.min_by("legend", "ordinal").alias("section"), F.min_by("shown", "ordinal").alias("first"), F.count("*").alias("n"),
-        any_required("required").alias("required"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]).alias("options"),
+        any_required("required").alias("required"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]).alias("answers"),
+        F.min_by("options", "ordinal").alias("own"), F.bool_or("multiple").alias("several"),
     )
+    single, select = F.col("alone").isNotNull(), F.col("kind") == "select"
     label = F.coalesce("section", F.when(F.col("n") > 1, text.human_name(F.col("name"))).otherwise(F.col("first")), text.human_name(F.col("name")))
-    groups = groups.select("page_id", "ordinal", label.alias("label"), "kind", "required", "options", "section", ((F.col("kind") == "checkbox") & (F.col("n") > 1)).alias("multiple"), F.col("name").alias("field_name"))
-    return _classified(single.unionByName(groups))
+    options = F.when(~single, F.col("answers")).when(select, F.col("own")).otherwise(F.array().cast("array<string>"))
+    multiple = F.when(single, select & F.col("several")).otherwise((F.col("kind") == "checkbox") & (F.col("n") > 1))
+    return _classified(groups.select("page_id", "ordinal", F.when(single, F.col("first")).otherwise(label).alias("label"), "kind", "required", options.alias("options"), "section", multiple.alias("multiple"), F.col("name").alias("field_name")))
 
 
 _FIELD = "struct<name: string, type: string, values: array<string>, options: array<string>>"
