@@ -153,11 +153,15 @@ def schema_nested(spark, sf_dir):
 
 
 def scan_block_render(spark, sf_dir):
-    """The block of a scan with one question for each part."""
-    parts = _read(spark, sf_dir, "part")
+    """The block of a scan of each part's form: questions of all kinds, read from the form, in their sections and folded."""
+    html = """concat('<header><input name="q" placeholder="Search"></header><form><label for="n">Full name *</label><input id="n" name="full_name" required><label>Email <input type="email" name="email" aria-required="false"></label>',
+      '<span id="t">Phone number</span><input type="tel" aria-labelledby="t"><textarea name="cover_letter"></textarea><input type="hidden" name="z"><input type="submit"><label for="c">Country</label><select id="c" name="country"><option>Select</option><option>',
+      p_brand, '</option><option>', lower(p_brand), '</option><option>', p_type, '</option></select><fieldset><legend>Do you need visa sponsorship?</legend><label><input type="radio" name="v"',
+      case p_partkey % 3 when 0 then ' required' when 1 then ' aria-required="false"' else '' end, '> Yes</label><label><input type="radio" name="v"> No</label></fieldset><fieldset><legend>*', p_name, if(p_partkey % 5 = 0, '?', ''),
+      '</legend><label><input type="checkbox" name="s"> SQL</label><label><input type="checkbox" name="s"> Java</label></fieldset><div style="display: none"><input name="trap"></div></form>')"""
+    parts = spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     scans = parts.selectExpr("p_partkey as page_id", "'generic' as provider", "if(p_partkey % 2 = 0, 'partial', 'complete') as status", "concat('https://x.example/a b/', p_partkey, '?c=(1)') as application_url", "if(p_partkey % 3 = 0, 'Only a part.', '') as reason")
-    asked = parts.selectExpr("p_partkey as page_id", "1 as ordinal", "concat('*', p_name) as label", "'single_select' as field_type", "case p_partkey % 3 when 0 then true when 1 then false end as required", "array(p_brand, p_type) as options", "'other' as category", "string(null) as section", "p_partkey % 5 = 0 as is_custom", "'n' as field_name")
-    return render.scan_blocks(scans, asked)
+    return render.scan_blocks(scans, forms.questions(parts.selectExpr("p_partkey as page_id", f"{html} as html")))
 
 
 def block_upsert(spark, sf_dir):
@@ -261,11 +265,14 @@ p as (select source_id, c, kind, case when c % 13 = 12 or c % 17 = 16 then 0 whe
     when r = 0 then 'Software Engineering: ' || case kind when 'j' then 'not valid JSON' else 'no section of the expected name' end
     when r = 1 then 'Software Engineering: ' || case kind when 'j' then 'no array of jobs' else 'unexpected header' end
     when (case kind when 'j' then jp else hp end) = 0 then 'Software Engineering: no valid rows' end as error from f)"""
-_BLOCK = f"""'## Application Questions' || chr(10) || chr(10) || '**Scan status:** ' || case when p_partkey % 2 = 0 then 'Partial' else 'Complete' end || '  ' || chr(10) || '**Provider:** Generic  ' || chr(10) || '**Questions detected:** 1  ' || chr(10)
+_BLOCK = f"""'## Application Questions' || chr(10) || chr(10) || '**Scan status:** ' || case when p_partkey % 2 = 0 then 'Partial' else 'Complete' end || '  ' || chr(10) || '**Provider:** Generic  ' || chr(10) || '**Questions detected:** 7  ' || chr(10)
   || '**Custom / screening questions:** ' || case when p_partkey % 5 = 0 then 1 else 0 end || chr(10) || chr(10) || '[Open application](<https://x.example/a%20b/' || p_partkey || '?c=%281%29>)' || chr(10) || chr(10)
-  || case when p_partkey % 3 = 0 then '> Only a part.' || chr(10) || chr(10) else '' end || '### ' || case when p_partkey % 5 = 0 then 'Custom screening questions' else 'Other visible questions' end || chr(10) || chr(10)
-  || '1. **\\*' || p_name || '**  ' || chr(10) || '   ' || case p_partkey % 3 when 0 then 'Required' when 1 then 'Optional' else 'Requirement not stated' end || ' — single select — Options: ' || p_brand || ' / ' || p_type || chr(10) || chr(10)
-  || '{render.READ_ONLY}' || case when p_partkey % 2 = 0 then chr(10) || '{render.PARTIAL}' else '' end || chr(10)"""
+  || case when p_partkey % 3 = 0 then '> Only a part.' || chr(10) || chr(10) else '' end || case when p_partkey % 5 = 0 then '### Custom screening questions' || chr(10) || chr(10) || '8. **\\*' || p_name || '?' || asked else '' end
+  || '### Work authorization' || chr(10) || chr(10) || '6. **Do you need visa sponsorship?**  ' || chr(10) || '   ' || case p_partkey % 3 when 0 then 'Required' when 1 then 'Optional' else 'Requirement not stated' end || ' — radio — Options: Yes / No' || chr(10) || chr(10)
+  || case when p_partkey % 5 = 0 then '' else '### Other visible questions' || chr(10) || chr(10) || '8. **\\*' || p_name || asked end || '<details>' || chr(10) || '<summary>Standard application fields</summary>' || chr(10) || chr(10)
+  || '1. **Full name**  ' || chr(10) || '   Required — text' || chr(10) || '2. **Email**  ' || chr(10) || '   Optional — email' || chr(10) || '3. **Phone number**  ' || chr(10) || '   Requirement not stated — phone' || chr(10)
+  || '5. **Country**  ' || chr(10) || '   Requirement not stated — single select — Options: ' || p_brand || case when lower(p_brand) = lower(p_type) then '' else ' / ' || p_type end || chr(10) || '4. **Cover letter**  ' || chr(10) || '   Requirement not stated — long text' || chr(10) || chr(10)
+  || '</details>' || chr(10) || chr(10) || '{render.READ_ONLY}' || case when p_partkey % 2 = 0 then chr(10) || '{render.PARTIAL}' else '' end || chr(10)"""
 _OPTIONS = "case when lower(p_brand) = lower(p_type) then p_brand else p_brand || '|' || p_type end"
 
 ORACLE_SQL = {
@@ -283,7 +290,7 @@ ORACLE_SQL = {
     "html_form_extract": f"select p_partkey as page_id, 1 as ordinal, p_name as label, 'text' as field_type, true as required, '' as options, null::varchar as section, 'n' as field_name from part union all select p_partkey, 2, 'Brand', 'single_select', null, {_OPTIONS}, null, 'b' from part union all select p_partkey, 3, 'Size ' || p_size || '?', 'radio', false, 'Yes|No', 'Size ' || p_size || '?', 's' from part union all select p_partkey, 5, 'Cover letter', 'long_text', null, '', null, 'cover_letter' from part",
     "ats_schema_extract": f"select p_partkey as page_id, 1 as ordinal, p_name as label, 'text' as field_type, p_size % 2 = 0 as required, '' as options, 'questions' as section, 'a' || p_partkey as field_name from part where p_partkey % 3 <> 0 union all select p_partkey, 2, 'Brand', 'single_select', null, {_OPTIONS}, 'questions', 'b' from part where p_partkey % 3 <> 0",
     "schema_nested": "select o_orderkey as page_id, i as ordinal, ['First', 'Second', 'Third'][i] || ' ' || o_orderkey as label, case i when 3 then 'compliance' else 'questions' end as section from orders, (select unnest([1, 2, 3]) as i)",
-    "scan_block_render": f"select p_partkey as page_id, {_BLOCK} as block from part",
+    "scan_block_render": f"select p_partkey as page_id, {_BLOCK} as block from (select *, '**  ' || chr(10) || '   Requirement not stated — multi select — Options: SQL / Java' || chr(10) || chr(10) as asked from part)",
     "block_upsert": "with b as (select doc_id, text as t, '<!-- scan:start 7 -->' || chr(10) || 'new \\1 $2' || chr(10) || '<!-- scan:end 7 -->' as k from documents) select doc_id, sha256(case when doc_id % 2 = 0 then t || k || t else t || case when right(t, 1) = chr(10) or t = '' then '' else chr(10) end || chr(10) || k || chr(10) end) as body_sha256 from b",
     "character_references": "select doc_id, sha256(replace(replace(replace(text, 'e', 'é'), 'a', '/'), 'o', '’')) as text_sha256 from documents",
     "apply_links": "select page_id, 'https://jobs.example.com/' || array_to_string(['1', '2', '3', '4', '5', '6'][:greatest(6 - (page_id % 9)::int, 0)] || ['go', page_id::varchar], '/') as link from pages",
