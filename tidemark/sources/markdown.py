@@ -36,11 +36,13 @@ def cells(line: Column) -> Column:
         opens = s["tag"] & ~quoted & token.isin('"', "'")
         quote = F.when(opens, token).when(quoted & (token == s["quote"]), "").otherwise(s["quote"])
         tag = F.when(~s["tag"], token == "<").when(~quoted & (token == ">"), False).otherwise(True)
-        return F.struct(
+        marked = F.struct(
             F.when(ends, F.array_append(s["cells"], text.strip(s["cell"]))).otherwise(s["cells"]).alias("cells"),
             F.when(ends, "").otherwise(F.concat(s["cell"], token)).alias("cell"),
             tag.alias("tag"), F.when(~s["tag"] & (token == "`"), ~s["code"]).otherwise(s["code"]).alias("code"), quote.alias("quote"),
         )
+        longer = F.struct(s["cells"].alias("cells"), F.concat(s["cell"], token).alias("cell"), s["tag"].alias("tag"), s["code"].alias("code"), s["quote"].alias("quote"))
+        return F.when(F.length(token) > 1, longer).otherwise(marked)  # a mark is one character
 
     def finish(row: Column) -> Callable[[Column], Column]:
         def last(s: Column) -> Column:
@@ -75,13 +77,13 @@ def sections(documents: DataFrame) -> DataFrame:
     return documents.select("source_id", F.explode(F.array(*each)).alias("s")).select("source_id", "s.*")
 
 
-def table_lines(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, line, row, cells, plain, header, separated, stray)` of every line of each section.
+#: Of lines as `table_lines` has them: those that are rows.
+_IS_ROW = "separated and not stray and cells is not null and line > header.line + 1"
 
-    header: the place and names of the first line with all required names, null if there is none; separated: whether
-    the line behind it is a separator; stray: whether something that isn't a row is behind both.
-    """
-    lines = sections(documents).where("section is not null").select("source_id", "category", F.posexplode(F.split("section", r"\r?\n")).alias("line", "row"))
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """`table_lines`, and one line without a row, which isn't `marked`, for each section that is null."""
+    lines = sections(documents).select("source_id", "category", F.col("section").isNotNull().alias("marked"), F.posexplode_outer(F.split("section", r"\r?\n")).alias("line", "row"))
     parsed = lines.withColumn("row", text.strip(F.col("row"))).withColumn("cells", cells(F.col("row")))
     parsed = parsed.withColumn("plain", F.transform("cells", text.clean_cell))
     names = F.transform("plain", F.lower)
@@ -94,29 +96,43 @@ def table_lines(documents: DataFrame) -> DataFrame:
     return known.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
-def parse(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, line, company, position, location, salary, age, application_url, source_url, valid)` of every row."""
-    rows = table_lines(documents).where("separated and not stray and cells is not null and line > header.line + 1")
+def table_lines(documents: DataFrame) -> DataFrame:
+    """`(source_id, category, line, row, cells, plain, header, separated, stray)` of every line of each section.
+
+    header: the place and names of the first line with all required names, null if there is none; separated: whether
+    the line behind it is a separator; stray: whether something that isn't a row is behind both.
+    """
+    return _lines(documents).where("marked").drop("marked")
+
+
+def _valued(rows: DataFrame, *kept: str) -> DataFrame:
+    """Lines with the values that they have as rows, and whether these are all there."""
     # 1 + the place of the first name that the header has
     at = lambda field: F.coalesce(*(F.nullif(F.array_position("header.names", F.lit(n)), F.lit(0).cast("long")) for n in COLUMNS[field])).cast("int")
     cell = lambda field: F.try_element_at(F.col("cells"), at(field))
     plain = lambda field: text.nonempty(F.try_element_at(F.col("plain"), at(field)))
     fits = F.size("cells") == F.size("header.names")
-    out = rows.select("source_id", "category", "line", fits.alias("fits"), *(plain(f).alias(f) for f in ("company", "position", "location", "salary", "age")), text.nonempty(apply_link(cell("posting"))).alias("application_url"))
+    out = rows.select("source_id", "category", "line", *kept, fits.alias("fits"), *(plain(f).alias(f) for f in ("company", "position", "location", "salary", "age")), text.nonempty(apply_link(cell("posting"))).alias("application_url"))
     whole = F.col("fits") & F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())
     return out.withColumns({"source_url": F.col("application_url"), "valid": whole}).drop("fits")
 
 
+def parse(documents: DataFrame) -> DataFrame:
+    """`(source_id, category, line, company, position, location, salary, age, application_url, source_url, valid)` of every row."""
+    return _valued(table_lines(documents).where(_IS_ROW))
+
+
 def diagnose(documents: DataFrame) -> DataFrame:
-    """`(source_id, category, candidates, parsed, skipped, error)`: one row for every expected category of every document."""
-    tables = table_lines(documents).groupBy("source_id", "category").agg(F.max("header").isNotNull().alias("headed"), F.max("separated").alias("separated"), F.max("stray").alias("stray"))
-    counts = parse(documents).groupBy("source_id", "category").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
-    each = sections(documents).select("source_id", "category", F.col("section").isNotNull().alias("marked"))
-    known = each.join(tables, ["source_id", "category"], "left").join(counts, ["source_id", "category"], "left")
-    known = known.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("candidates", "parsed")}).withColumn("skipped", F.col("candidates") - F.col("parsed"))
+    """`(source_id, category, candidates, parsed, skipped, error)`: one row for every expected category of every document.
+
+    Lines are read once: rows are counted among all of them."""
+    lines = _lines(documents).withColumns({"headed": F.col("header").isNotNull(), "is_row": F.expr(_IS_ROW)})
+    rows = _valued(lines, "marked", "headed", "separated", "stray", "is_row")
+    known = rows.groupBy("source_id", "category").agg(*(F.bool_or(c).alias(c) for c in ("marked", "headed", "separated", "stray")), F.count_if("is_row").alias("candidates"), F.count_if(F.col("is_row") & F.col("valid")).alias("parsed"))
+    known = known.withColumn("skipped", F.col("candidates") - F.col("parsed"))
     error = (
         F.when(~F.col("marked"), "not exactly one pair of markers in order")
-        .when(~F.coalesce("headed", F.lit(False)), "no compatible table")
+        .when(~F.col("headed"), "no compatible table")
         .when(~F.col("separated"), "no separator behind the header")
         .when(F.col("stray"), "something else than rows behind the header")
         .when((F.col("candidates") > 0) & (F.col("parsed") == 0), "none of the rows could be parsed")
