@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -80,17 +80,11 @@ def _section():
     return F.when(F.col("body").rlike(SECTION), F.regexp_extract("body", SECTION, 1))
 
 
-def _headers(all_cells: DataFrame) -> DataFrame:
-    """`(source_id, names, fit)`: the names of the first row, and whether they are the expected ones."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct("column", "cell"))), lambda x: F.lower(x["cell"]))
-    header = all_cells.where("row = 0").groupBy("source_id").agg(names.alias("names"))
-    return header.withColumn("fit", (F.size("names") == len(HEADER)) & F.forall(F.array(*map(F.lit, HEADER)), lambda n: F.array_contains("names", n)))
-
-
 def diagnose(documents: DataFrame) -> DataFrame:
     """`(source_id, category, candidates, parsed, skipped, error)`: one row for each document; a table without valid rows has an error."""
-    parsed = parse(documents).groupBy("source_id").agg(F.count("*").alias("candidates"), F.count_if("valid").alias("parsed"))
-    known = documents.select("source_id", _section().isNotNull().alias("there")).join(_headers(cells(documents)).drop("names"), "source_id", "left").join(parsed, "source_id", "left").fillna(0, ["candidates", "parsed"])
+    is_row = F.col("fit") & (F.col("row") > 0)
+    told = _valued(_rows(documents)).groupBy("source_id").agg(F.bool_or("fit").alias("fit"), F.count_if(is_row).alias("candidates"), F.count_if(is_row & F.col("valid")).alias("parsed"))
+    known = documents.select("source_id", _section().isNotNull().alias("there")).join(told, "source_id", "left").fillna(0, ["candidates", "parsed"])
     error = F.when(~F.coalesce("there", F.lit(False)), "no section of the expected name").when(F.col("fit").isNull(), "empty table").when(~F.col("fit"), "unexpected header").when(F.col("parsed") == 0, "no valid rows")
     return known.select("source_id", F.lit("Software Engineering").alias("category"), "candidates", "parsed", (F.col("candidates") - F.col("parsed")).alias("skipped"), error.alias("error"))
 
@@ -103,18 +97,31 @@ def cells(documents: DataFrame) -> DataFrame:
     return spark.sql("select d.source_id, c.* from {found} d, lateral table_cells(d.section) c", found=found)
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """`(source_id, row, c, names, fit, fits)` of every row, the first with the names too, from one pass over the pages.
+
+    c: the row's cells in order; names, fit: those of the first row, and whether they are the expected ones."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct("column", "cell", "links"))), lambda x: F.struct(x["cell"].alias("cell"), x["links"].alias("links")))
+    rows = cells(documents).groupBy("source_id", "row").agg(held.alias("c"))
+    first = F.when(F.col("row") == 0, F.transform("c", lambda x: F.lower(x["cell"])))
+    named = rows.withColumn("names", F.max(first).over(Window.partitionBy("source_id")))
+    fit = (F.size("names") == len(HEADER)) & F.forall(F.array(*map(F.lit, HEADER)), lambda n: F.array_contains("names", n))
+    return named.withColumns({"fit": F.when(F.col("names").isNotNull(), fit), "fits": F.size("c") == len(HEADER)})
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """`(source_id, row, company, position, location, application_url, source_url, source_job_id, age, category, season, source_metadata, valid)`."""
-    all_cells = cells(documents)
-    good = _headers(all_cells).where("fit").drop("fit")
-    rows = all_cells.where("row > 0").groupBy("source_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "cell", "links"))), lambda x: F.struct(x["cell"].alias("cell"), x["links"].alias("links"))).alias("c"))
-    rows = rows.join(good, "source_id").withColumn("fits", F.size("c") == len(HEADER))
-    at = lambda name: F.try_element_at("c", F.array_position("names", F.lit(name)).cast("int"))
-    named = rows.select("source_id", "row", "fits", *(at(n)["cell"].alias(n) for n in HEADER), at("application")["links"].alias("links"))
+    return _valued(_rows(documents)).where("fit and row > 0").drop("fit")
+
+
+def _valued(rows: DataFrame) -> DataFrame:
+    """Rows with their values; the names' own row has none to carry forward."""
+    at = lambda name: F.try_element_at("c", F.nullif(F.array_position("names", F.lit(name)), F.lit(0).cast("long")).cast("int"))
+    named = rows.select("source_id", "row", "fit", "fits", *(at(n)["cell"].alias(n) for n in HEADER), at("application")["links"].alias("links"))
 
     shown = F.trim(F.regexp_replace(F.translate("company", PRESENTATION, ""), r"(?U)\s+", " "))
     continued = F.trim("company").isin(CONTINUED)
-    named = named.withColumn("own", F.when(F.col("fits") & ~continued, F.nullif(shown, F.lit(""))))
+    named = named.withColumn("own", F.when((F.col("row") > 0) & F.col("fits") & ~continued, F.nullif(shown, F.lit(""))))
     company = F.when(continued, text.carry_forward("own", "source_id", "row")).otherwise(F.col("own"))
 
     direct = lambda link: ~urls.host(link["href"]).endswith(OWN_HOST)
@@ -124,7 +131,7 @@ def parse(documents: DataFrame) -> DataFrame:
     out = named.select(
         "source_id", "row", company.alias("company"), text.nonempty(F.col("role")).alias("position"), text.nonempty(F.col("location")).alias("location"), link.alias("application_url"),
         source_url.alias("source_url"), urls.aggregator_job_id(source_url).alias("source_job_id"), text.nonempty(F.col("age")).alias("age"),
-        F.when(F.col("company").contains(HOT), "FAANG+").otherwise("Unknown").alias("category"), "fits",
+        F.when(F.col("company").contains(HOT), "FAANG+").otherwise("Unknown").alias("category"), "fit", "fits",
         F.lit(SEASON).alias("season"), F.map_filter(F.create_map(F.lit("simplify_url"), source_url), lambda k, v: v.isNotNull()).alias("source_metadata"),
     )
     return out.withColumn("valid", F.col("fits") & F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())).drop("fits")
