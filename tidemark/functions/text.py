@@ -158,8 +158,8 @@ def unescape(text: Column) -> Column:
         short = F.length(token) == 1
         return F.when(~token.startswith("&") | short, token).otherwise(let(F.substr(token, F.lit(2)), lambda name: F.when(name.startswith("#"), digits(name)).otherwise(named(token, name))))
 
-    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 1), one), "")
-    return F.when(text.contains("&"), whole).otherwise(text)
+    whole = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_REFERENCE), 1), one), "")
+    return let(text, lambda t: F.when(t.contains("&"), whole(t)).otherwise(t))
 
 
 def clean_cell(text: Column) -> Column:
