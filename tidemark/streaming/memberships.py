@@ -1,50 +1,41 @@
-"""Memberships as keyed state of one stream: each entry of each source is a key, whose state the next poll's rows meet.
+"""Memberships as the state of one stream: what each entry of each source is known by meets the next polls' rows.
 
 A row says which poll of its source answered before it (`prior`), so whether the source was without the entry in between
-follows from the key's own state, and a key that a poll doesn't list isn't touched: its end is the first answer behind its
-last row, which is worked out when memberships are read. A poll costs as much as it has rows, not as much as
-there is history.
+follows from the key's own state, and a key that a poll doesn't list keeps it: its end is the first answer behind its
+last row, which is worked out when memberships are read. The state is a table with one row for each key, however many polls
+there were; a batch of the stream is joined to it by one shuffle, natively, as a call of Python for each key takes
+milliseconds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import lifecycle
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROW = "run_id int, canonical_id string, source_id string, prior int, meaning string"
-_STATE = "first_seen int, last_seen int, last_run int, meaning string"
-_OUT = "canonical_id string, source_id string, first_seen int, last_seen int, last_run int"
-
-
-class Memberships(StatefulProcessor):
-    """First and last change of a key, its last row's poll, and what that row said."""
+_KEY = ["canonical_id", "source_id"]
+_STATE = "canonical_id string, source_id string, first_seen int, last_seen int, last_run int, meaning string"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("membership", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else None
-        first, last, run, meaning = old or (None, None, None, None)
-        for now, prior, said in sorted(pd.concat(rows)[["run_id", "prior", "meaning"]].itertuples(index=False, name=None), key=lambda r: r[0]):
-            if run is not None and now <= run:  # a poll that came before, or comes again
-                continue
-            away = run is not None and not pd.isna(prior) and prior > run
-            if run is None or said != meaning or away:
-                last = int(now)
-            first, run, meaning = first if first is not None else int(now), int(now), said
-        self.state.update((first, last, run, meaning))
-        yield pd.DataFrame([(*key, first, last, run)], columns=["canonical_id", "source_id", "first_seen", "last_seen", "last_run"])
+def fold(state: DataFrame, rows: DataFrame) -> DataFrame:
+    """`state` after `rows`: first and last change of a key, its last row's poll, and what that row said.
 
-    def close(self) -> None:
-        pass
+    Rows of polls that came before, or come again, change nothing.
+    """
+    none = F.lit(None).cast("int")
+    old = state.select(*_KEY, F.col("last_run").alias("run_id"), none.alias("prior"), "meaning", "first_seen", "last_seen", F.lit(0).alias("new"))
+    new = rows.select(*_KEY, "run_id", "prior", "meaning", none.alias("first_seen"), none.alias("last_seen"), F.lit(1).alias("new"))
+    key, order = Window.partitionBy(*_KEY), Window.partitionBy(*_KEY).orderBy("run_id", "new")
+    known = F.max(F.when(F.col("new") == 0, F.col("run_id"))).over(key)
+    told = old.unionByName(new).withColumns({"known": known, "again": F.lag("run_id").over(order).eqNullSafe(F.col("run_id"))})
+    told = told.where("not again and (known is null or run_id >= known)").withColumns({"before": F.lag("run_id").over(order), "said": F.lag("meaning").over(order)})
+    changed = F.col("before").isNull() | (F.col("meaning") != F.col("said")) | F.coalesce(F.col("prior") > F.col("before"), F.lit(False))
+    last = F.when(F.col("new") == 0, F.col("last_seen")).when(changed, F.col("run_id"))
+    return told.groupBy(*_KEY).agg(
+        F.min(F.coalesce("first_seen", "run_id")).alias("first_seen"), F.max(last).alias("last_seen"), F.max("run_id").alias("last_run"), F.max_by("meaning", "run_id").alias("meaning")
+    )
 
 
 def rows_of(observed: DataFrame, polls: DataFrame) -> DataFrame:
@@ -56,28 +47,37 @@ def rows_of(observed: DataFrame, polls: DataFrame) -> DataFrame:
     return rows.select("run_id", "canonical_id", "source_id", F.col("prior").cast("int").alias("prior"), "meaning")
 
 
+def _version(spark: SparkSession, checkpoint: str) -> int:
+    """The batch whose state was written last; -1 before the first."""
+    spark.createDataFrame([], "batch long").write.mode("append").parquet(f"{checkpoint}/versions")  # so that there is a folder
+    return spark.read.schema("batch long").parquet(f"{checkpoint}/versions").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+
+
+def _state(spark: SparkSession, checkpoint: str, version: int) -> DataFrame:
+    """The state behind a batch. Two folders take turns, so that a batch never writes what it reads."""
+    return spark.read.schema(_STATE).parquet(f"{checkpoint}/state-{version % 2}") if version >= 0 else spark.createDataFrame([], _STATE)
+
+
 def advance(spark: SparkSession, folder: str, checkpoint: str) -> None:
     """Take all that has come to `folder` since the last call into the state under `checkpoint`, and stop.
 
-    A call that is broken off goes on from its last finished batch; rows of a batch that is repeated change nothing.
+    A call that is broken off goes on from its last finished batch; a batch whose state was written isn't folded again.
     """
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKS)
-    try:
-        rows = spark.readStream.schema(ROW).option("recursiveFileLookup", "true").parquet(folder)
-        moved = rows.groupBy("canonical_id", "source_id").transformWithStateInPandas(Memberships(), _OUT, "Update", "None")
-        query = moved.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        version = _version(session, checkpoint)
+        if version < number:
+            fold(_state(session, checkpoint, version), batch).write.mode("overwrite").parquet(f"{checkpoint}/state-{number % 2}")
+            session.createDataFrame([(number,)], "batch long").write.mode("append").parquet(f"{checkpoint}/versions")
+
+    rows = spark.readStream.schema(ROW).option("recursiveFileLookup", "true").parquet(folder)
+    rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{checkpoint}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
 def read(spark: SparkSession, checkpoint: str, polls: DataFrame) -> DataFrame:
     """`(canonical_id, source_id, first_seen, last_seen, inactive_at, active)`, from the state and the polls that answered."""
-    state = spark.read.format("statestore").option("stateVarName", "membership").load(checkpoint).select("key.*", "value.*")
+    state = _state(spark, checkpoint, _version(spark, checkpoint))
     order = Window.partitionBy("source_id").orderBy("run_id")
     after = polls.where("ok").select("source_id", F.col("run_id").cast("int").alias("last_run"), F.lead("run_id").over(order).cast("int").alias("inactive_at"))
     ended = state.join(after, ["source_id", "last_run"], "left")
