@@ -13,14 +13,22 @@ FIRST = ["salary", "age", "category", "posted", "season"]
 LONGEST = ["company", "position", "location"]
 
 
+#: What an observation's identity and fallback key are made of.
+NAMING = ["application_url", "company", "position", "job_type", "location", "season"]
+
+
 def identified(obs: DataFrame, priorities: DataFrame) -> DataFrame:
     """Observations with their link's identity, the fallback key and their strength.
 
-    priorities: `(source_id, priority)`; a source without one comes last.
+    priorities: `(source_id, priority)`; a source without one comes last. Polls repeat what they list, so identities and keys
+    are worked out once for each set of the values that they are made of, in as many tasks as shuffles have.
     """
     known = obs.join(priorities, "source_id", "left").withColumn("priority", F.coalesce("priority", F.lit(1_000_000)))
-    known = urls.with_identity(known, "application_url")
-    known = known.withColumn("fingerprint", text.fingerprint(*(F.col(c) for c in ("company", "position", "job_type", "location", "season"))))
+    named = urls.with_identity(obs.select(NAMING).distinct(), "application_url")
+    named = named.withColumn("fingerprint", text.fingerprint(*(F.col(c) for c in ("company", "position", "job_type", "location", "season"))))
+    named = named.withColumnsRenamed({c: f"_{c}" for c in NAMING})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in NAMING]  # nulls are values here
+    known = known.join(named, same, "left").drop(*(f"_{c}" for c in NAMING))
     return known.withColumn("strength", F.when(F.col("stable"), 0).when(F.col("direct"), 1).otherwise(2))
 
 
