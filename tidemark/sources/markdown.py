@@ -16,8 +16,13 @@ COLUMNS = {
     "company": ["company"], "position": ["position", "role", "job title"], "location": ["location"], "posting": ["posting", "application", "apply"],
     "salary": ["salary", "compensation", "pay"], "age": ["age", "posted", "posting age"],
 }
-#: What a row is made of: an escaped character, a mark that may open or close something, or a run of others.
-_TOKEN = r"""(?s)(\\.|[^\\<>"'`|]+|.)"""
+#: An escaped character, a tag with quoted values, and code, each up to the row's end if it isn't closed; then a cell, with its
+#: separator. What may repeat never gives back what it took, so a row of any length is read once.
+_ESCAPED = r"\\(?:.|\z)"
+_QUOTED = "|".join(rf"{q}(?:{_ESCAPED}|[^\\{q}]++)*+(?:{q}|\z)" for q in "\"'")
+_TAG = rf"<(?:{_ESCAPED}|{_QUOTED}|[^\\\"'>]++)*+(?:>|\z)"
+_CODE = rf"`(?:{_ESCAPED}|{_TAG}|[^\\<`]++)*+(?:`|\z)"
+_CELL = rf"(?s)((?:{_ESCAPED}|{_TAG}|{_CODE}|[^\\<`|]++)*+)(?:\||\z)"
 #: A category is rejected if it skips so many rows, and more than it parses.
 MANY_SKIPPED = 5
 
@@ -25,34 +30,11 @@ MANY_SKIPPED = 5
 def cells(line: Column) -> Column:
     """The cells of a row; pipes after a backslash, in tags and in code don't separate. Null if it has no first pipe.
 
-    One fold over the row's tokens, of any number: what a tag, a quoted value in it or code opens stays open until it is
-    closed, or the row ends.
+    What a tag, a quoted value in it or code opens stays open until it is closed, or the row ends. One pattern reads the row; it
+    also finds an empty cell behind the end.
     """
-
-    def step(s: Column, token: Column) -> Column:
-        quoted = s["quote"] != ""
-        plain = ~s["tag"] & ~s["code"]
-        ends = plain & (token == "|")
-        opens = s["tag"] & ~quoted & token.isin('"', "'")
-        quote = F.when(opens, token).when(quoted & (token == s["quote"]), "").otherwise(s["quote"])
-        tag = F.when(~s["tag"], token == "<").when(~quoted & (token == ">"), False).otherwise(True)
-        marked = F.struct(
-            F.when(ends, F.array_append(s["cells"], text.strip(s["cell"]))).otherwise(s["cells"]).alias("cells"),
-            F.when(ends, "").otherwise(F.concat(s["cell"], token)).alias("cell"),
-            tag.alias("tag"), F.when(~s["tag"] & (token == "`"), ~s["code"]).otherwise(s["code"]).alias("code"), quote.alias("quote"),
-        )
-        longer = F.struct(s["cells"].alias("cells"), F.concat(s["cell"], token).alias("cell"), s["tag"].alias("tag"), s["code"].alias("code"), s["quote"].alias("quote"))
-        return F.when(F.length(token) > 1, longer).otherwise(marked)  # a mark is one character
-
-    def finish(row: Column) -> Callable[[Column], Column]:
-        def last(s: Column) -> Column:
-            rest = text.strip(s["cell"])
-            return F.when((rest != "") | ~row.endswith("|"), F.array_append(s["cells"], rest)).otherwise(s["cells"])
-
-        return last
-
-    none = F.struct(F.array().cast("array<string>").alias("cells"), F.lit("").alias("cell"), F.lit(False).alias("tag"), F.lit(False).alias("code"), F.lit("").alias("quote"))
-    split = lambda row: F.aggregate(F.regexp_extract_all(F.substr(row, F.lit(2)), F.lit(_TOKEN), 1), none, step, finish(row))
+    found = lambda row: F.regexp_extract_all(F.substr(row, F.lit(2)), F.lit(_CELL), 1)
+    split = lambda row: text.let(found(row), lambda all_: F.transform(F.slice(all_, F.lit(1), F.size(all_) - 1), text.strip))
     return text.let(text.strip(line), lambda row: F.when(row.startswith("|"), split(row)))
 
 
@@ -126,8 +108,22 @@ def diagnose(documents: DataFrame) -> DataFrame:
     """`(source_id, category, candidates, parsed, skipped, error)`: one row for every expected category of every document.
 
     Lines are read once: rows are counted among all of them."""
+    return _told(_read(documents))
+
+
+def _read(documents: DataFrame) -> DataFrame:
+    """All lines with the values that they have as rows, and what is known of their tables."""
     lines = _lines(documents).withColumns({"headed": F.col("header").isNotNull(), "is_row": F.expr(_IS_ROW)})
-    rows = _valued(lines, "marked", "headed", "separated", "stray", "is_row")
+    return _valued(lines, "marked", "headed", "separated", "stray", "is_row")
+
+
+def both(documents: DataFrame, hold: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What `diagnose` tells and what `parse` gives, of lines that are read once and held in between."""
+    read = hold(_read(documents))
+    return _told(read), read.where("marked and is_row").drop("marked", "headed", "separated", "stray", "is_row")
+
+
+def _told(rows: DataFrame) -> DataFrame:
     known = rows.groupBy("source_id", "category").agg(*(F.bool_or(c).alias(c) for c in ("marked", "headed", "separated", "stray")), F.count_if("is_row").alias("candidates"), F.count_if(F.col("is_row") & F.col("valid")).alias("parsed"))
     known = known.withColumn("skipped", F.col("candidates") - F.col("parsed"))
     error = (
