@@ -82,8 +82,18 @@ def _section():
 
 def diagnose(documents: DataFrame) -> DataFrame:
     """`(source_id, category, candidates, parsed, skipped, error)`: one row for each document; a table without valid rows has an error."""
+    return _told(_valued(_rows(documents)), documents)
+
+
+def both(documents: DataFrame, hold) -> tuple[DataFrame, DataFrame]:
+    """What `diagnose` tells and what `parse` gives, of rows that are read once and held in between."""
+    rows = hold(_valued(_rows(documents)))
+    return _told(rows, documents), rows.where("fit and row > 0").drop("fit")
+
+
+def _told(rows: DataFrame, documents: DataFrame) -> DataFrame:
     is_row = F.col("fit") & (F.col("row") > 0)
-    told = _valued(_rows(documents)).groupBy("source_id").agg(F.bool_or("fit").alias("fit"), F.count_if(is_row).alias("candidates"), F.count_if(is_row & F.col("valid")).alias("parsed"))
+    told = rows.groupBy("source_id").agg(F.bool_or("fit").alias("fit"), F.count_if(is_row).alias("candidates"), F.count_if(is_row & F.col("valid")).alias("parsed"))
     known = documents.select("source_id", _section().isNotNull().alias("there")).join(told, "source_id", "left").fillna(0, ["candidates", "parsed"])
     error = F.when(~F.coalesce("there", F.lit(False)), "no section of the expected name").when(F.col("fit").isNull(), "empty table").when(~F.col("fit"), "unexpected header").when(F.col("parsed") == 0, "no valid rows")
     return known.select("source_id", F.lit("Software Engineering").alias("category"), "candidates", "parsed", (F.col("candidates") - F.col("parsed")).alias("skipped"), error.alias("error"))

@@ -36,29 +36,53 @@ def _observations(jobs: DataFrame, category: Column, season: Column, kept_keys:
     link = F.coalesce("listingUrl", "url")
     pairs = [F.lit(k) if i == 0 else F.col(k) for k in kept_keys for i in (0, 1)]
     metadata = F.map_filter(F.create_map(*pairs, F.lit("feedUpdatedAt"), F.col("updated_at")), lambda k, v: v.isNotNull())
-    out = jobs.select("source_id", "index", "company", F.col("title").alias("position"), "location", link.alias("application_url"), F.col("id").alias("source_job_id"), F.col("url").alias("source_url"), "posted", "age", season.cast("string").alias("season"), category.alias("category"), metadata.alias("source_metadata"))
+    out = jobs.select("source_id", "index", "company", F.col("title").alias("position"), "location", link.alias("application_url"), F.col("id").alias("source_job_id"), F.col("url").alias("source_url"), "posted", "age", season.cast("string").alias("season"), category.alias("category"), metadata.alias("source_metadata"), "in_scope", "object", "error")
     whole = F.forall(F.array("company", "position", "location", "application_url"), lambda x: x.isNotNull())
     return out.withColumn("valid", whole)
 
 
+def software(jobs: DataFrame) -> DataFrame:
+    """All jobs as observations, and which of them are in scope."""
+    scoped = jobs.withColumn("in_scope", F.col("error").isNull() & (F.lower("category") == CATEGORY.lower()))
+    return _observations(scoped, F.lit(CATEGORY), F.col("season"), ["id", "url", "listingUrl", "category", "season", "posted", "age"])
+
+
+def early(jobs: DataFrame) -> DataFrame:
+    scoped = jobs.withColumn("in_scope", F.col("error").isNull() & F.col("eligibility").isin(V.LEVELS) & text.has_any(F.lower("title"), V.TITLE_TOKENS))
+    return _observations(scoped, F.lit("Unknown"), F.lit(None), ["id", "url", "listingUrl", "eligibility", "matchKind", "posted", "age"])
+
+
 def internships(documents: DataFrame) -> DataFrame:
-    jobs = rows(documents).where(f"error is null and lower(category) = '{CATEGORY.lower()}'")
-    return _observations(jobs, F.lit(CATEGORY), F.col("season"), ["id", "url", "listingUrl", "category", "season", "posted", "age"])
+    return _kept(software(rows(documents)))
 
 
 def new_graduates(documents: DataFrame) -> DataFrame:
     """Early-career rows whose title names software work; the feed has no categories."""
-    jobs = rows(documents).where(F.col("error").isNull() & F.col("eligibility").isin(V.LEVELS) & text.has_any(F.lower("title"), V.TITLE_TOKENS))
-    return _observations(jobs, F.lit("Unknown"), F.lit(None), ["id", "url", "listingUrl", "eligibility", "matchKind", "posted", "age"])
+    return _kept(early(rows(documents)))
+
+
+def _kept(read: DataFrame) -> DataFrame:
+    return read.where("in_scope").drop("in_scope", "object", "error")
 
 
-def diagnose(documents: DataFrame, parse=internships) -> DataFrame:
+def _told(read: DataFrame) -> DataFrame:
+    feed = read.groupBy("source_id").agg(
+        F.count("index").alias("candidates"), F.count_if(F.col("index").isNotNull() & ~F.col("object")).alias("broken"), F.max("error").alias("feed_error"),
+        F.count_if(F.col("in_scope") & F.col("valid")).alias("parsed"), F.count_if(F.col("in_scope") & ~F.col("valid")).alias("lacking"),
+    )
+    error = F.coalesce("feed_error", F.when(F.col("parsed") == 0, "no valid rows"))
+    return feed.select("source_id", F.lit(CATEGORY).alias("category"), "candidates", "parsed", (F.col("broken") + F.col("lacking")).alias("skipped"), error.alias("error"))
+
+
+def diagnose(documents: DataFrame, scope=software) -> DataFrame:
     """`(source_id, category, candidates, parsed, skipped, error)`: one row for each document; a feed without valid rows has an error.
 
-    Candidates are all jobs of the feed; skipped ones aren't objects, or are in scope and lack what is required.
+    Candidates are all jobs of the feed; skipped ones aren't objects, or are in scope and lack what is required. Jobs are read once.
     """
-    feed = rows(documents).groupBy("source_id").agg(F.count("index").alias("candidates"), F.count_if(F.col("index").isNotNull() & ~F.col("object")).alias("broken"), F.max("error").alias("feed_error"))
-    kept = parse(documents).groupBy("source_id").agg(F.count_if("valid").alias("parsed"), F.count_if(~F.col("valid")).alias("lacking"))
-    known = feed.join(kept, "source_id", "left").fillna(0, ["parsed", "lacking"])
-    error = F.coalesce("feed_error", F.when(F.col("parsed") == 0, "no valid rows"))
-    return known.select("source_id", F.lit(CATEGORY).alias("category"), "candidates", "parsed", (F.col("broken") + F.col("lacking")).alias("skipped"), error.alias("error"))
+    return _told(scope(rows(documents)))
+
+
+def both(documents: DataFrame, hold, scope=software) -> tuple[DataFrame, DataFrame]:
+    """What `diagnose` tells and the observations, of jobs that are read once and held in between."""
+    read = hold(scope(rows(documents)))
+    return _told(read), _kept(read)

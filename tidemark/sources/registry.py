@@ -7,10 +7,14 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
+
 from . import html_table, json_feed, markdown
 
 PARSERS = {"markdown": markdown.parse, "json_internships": json_feed.internships, "json_new_graduates": json_feed.new_graduates, "html_table": html_table.parse}
-DIAGNOSES = {"markdown": markdown.diagnose, "json_internships": json_feed.diagnose, "json_new_graduates": partial(json_feed.diagnose, parse=json_feed.new_graduates), "html_table": html_table.diagnose}
+DIAGNOSES = {"markdown": markdown.diagnose, "json_internships": json_feed.diagnose, "json_new_graduates": partial(json_feed.diagnose, scope=json_feed.early), "html_table": html_table.diagnose}
+#: Both at once, of feeds that are read once.
+READERS = {"markdown": markdown.both, "json_internships": json_feed.both, "json_new_graduates": partial(json_feed.both, scope=json_feed.early), "html_table": html_table.both}
 #: What an observation holds, and the type; a parser gives what its feed has.
 COLUMNS = {
     "source_id": "string", "company": "string", "position": "string", "location": "string", "salary": "string", "application_url": "string", "age": "string", "category": "string",
@@ -29,9 +33,13 @@ def parse(documents: DataFrame) -> DataFrame:
     unknown = {r["format"] for r in documents.select("format").distinct().collect()} - set(PARSERS)
     if unknown:
         raise ValueError(f"unknown feed formats: {sorted(unknown)}")
+    return _shown(_by_format(documents, PARSERS), documents)
+
+
+def _shown(parsed: list[DataFrame], documents: DataFrame) -> DataFrame:
     known = [c for c in PROVENANCE if c in documents.columns]
     shown = lambda d: d.select(*((F.col(c) if c in d.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()))
-    rows = reduce(DataFrame.unionByName, map(shown, _by_format(documents, PARSERS)))
+    rows = reduce(DataFrame.unionByName, map(shown, parsed))
     return rows.join(documents.select("source_id", *known), "source_id") if known else rows
 
 
@@ -46,7 +54,11 @@ def outcomes(documents: DataFrame) -> DataFrame:
     A document that wasn't fetched, whose format isn't known, or one of whose categories is broken says nothing of its
     source: the poll isn't ok, and what the source listed before stays as it is.
     """
-    told = diagnose(documents).groupBy("source_id").agg(F.sum("parsed").alias("parsed"), F.min(F.when(F.col("error").isNotNull(), F.struct("category", "error"))).alias("first"))
+    return _outcomes(documents, diagnose(documents))
+
+
+def _outcomes(documents: DataFrame, diagnosed: DataFrame) -> DataFrame:
+    told = diagnosed.groupBy("source_id").agg(F.sum("parsed").alias("parsed"), F.min(F.when(F.col("error").isNotNull(), F.struct("category", "error"))).alias("first"))
     known = documents.join(told, "source_id", "left")
     given = F.col("error") if "error" in documents.columns else F.lit(None).cast("string")
     missing = F.when(F.col("body").isNull(), F.coalesce(given, F.lit("not fetched"))).when(~F.coalesce(F.col("format").isin(list(PARSERS)), F.lit(False)), "no parser for this format")
@@ -55,9 +67,10 @@ def outcomes(documents: DataFrame) -> DataFrame:
 
 
 def healthy(documents: DataFrame) -> DataFrame:
-    """Valid observations of the documents that answered."""
-    polls = outcomes(documents)
-    return parse(documents.where(F.col("format").isin(list(PARSERS)))).where("valid").join(polls.where("ok").select("source_id"), "source_id", "left_semi").drop("valid")
+    """Valid observations of the documents that answered; each is read once."""
+    told, parsed = zip(*_by_format(documents, {name: partial(f, hold=cut) for name, f in READERS.items()}))
+    polls = _outcomes(documents, reduce(DataFrame.unionByName, told))
+    return _shown(parsed, documents).where("valid").join(polls.where("ok").select("source_id"), "source_id", "left_semi").drop("valid")
 
 
 def inferred(source_file: Column, job_type: Column) -> Column:
