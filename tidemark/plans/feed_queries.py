@@ -140,7 +140,7 @@ def ats_schema_extract(spark, sf_dir):
     """A schema for each part: fields that are hidden, values that are objects or texts, groups that are absent."""
     payload = """concat('{"questions": [{"label": "', p_name, '", "required": ', if(p_size % 2 = 0, 'true', '"no"'), ', "fields": [{"name": "a', p_partkey, '", "type": "input_text"}]}, {"label": "Geo", "fields": [{"name": "lat", "type": "input_hidden"}]},
       {"label": "Brand", "fields": [{"name": "b", "type": "multi_value_single_select", "values": [{"label": "', p_brand, '", "value": 1}, "', lower(p_brand), '", "', p_type, '"]}]}], "demographic_questions": null', if(p_partkey % 3 = 0, ', "compliance": 5', ''), '}')"""
-    payloads = _read(spark, sf_dir, "part").selectExpr("p_partkey as page_id", f"{payload} as payload")
+    payloads = spread(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type"), "p_partkey").selectExpr("p_partkey as page_id", f"{payload} as payload")
     return forms.schema_questions(payloads).select("page_id", "ordinal", "label", "field_type", "required", F.array_join("options", "|").alias("options"), "section", "field_name")
 
 
@@ -148,7 +148,7 @@ def schema_nested(spark, sf_dir):
     """Questions up to 12 levels below the top of a group, in lists and in objects, between others; their order is kept."""
     asked = lambda label: f"""'{{"label": "{label} ', k, '", "type": "text"}}'"""
     payload = f"""concat('{{"questions": ', repeat('{{"z": [{{"label": 5}}, ', k % 7), '[', {asked('First')}, ', {{"label": "No shape"}}, ', {asked('Second')}, ']', repeat(']}}', k % 7), ', "compliance": [', {asked('Third')}, ']}}')"""
-    payloads = _orders(spark, sf_dir).selectExpr("k as page_id", f"{payload} as payload")
+    payloads = spread(_orders(spark, sf_dir).select("k"), "k").selectExpr("k as page_id", f"{payload} as payload")
     return forms.schema_questions(payloads).select("page_id", "ordinal", "label", "section")
 
 

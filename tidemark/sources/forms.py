@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import json
+import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tidemark.functions import text
-from tidemark.functions.lineage import cut
 
 # Elements without content, inputs that aren't questions, options that aren't answers.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -162,66 +162,93 @@ def questions(pages: DataFrame) -> DataFrame:
 
 _FIELD = "struct<name: string, type: string, values: array<string>, options: array<string>>"
 _QUESTION = f"struct<label: string, question: string, required: string, type: string, name: string, values: array<string>, options: array<string>, fields: array<{_FIELD}>>"
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
 
-def _truthy(value: Column) -> Column:
-    """Whether a JSON value is neither missing, null, false, zero nor empty."""
-    shown = F.to_json(value)
-    zero = (_kind(value) != "STRING") & F.coalesce(shown.try_cast("double") == 0, F.lit(False))
-    return value.isNotNull() & ~shown.isin("null", '""', "false", "[]", "{}") & ~zero
-
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit(""))
 
-def _member(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
 
+_STRING = r'"[^"\\]*(?:\\.[^"\\]*)*"'
+#: Of a JSON text: strings, brackets and bare values, each with the key before it.
+_TOKEN = re.compile(rf'(?:({_STRING})\s*:\s*)?({_STRING}|[][{{}}]|[^][{{}}",:\s]+)', re.DOTALL)
+_GROUP_OF = {g: i for i, g in enumerate(GROUPS)}
 
-def _label(value: Column) -> Column:
-    """An object's label, or else its question, if that is a string; whatever else it is counts as none."""
-    chosen = F.when(_truthy(_member(value, "label")), _member(value, "label")).otherwise(_member(value, "question"))
-    return F.when(_kind(chosen) == "STRING", F.try_variant_get(chosen, "$", "string"))
 
+def _plain(token: str) -> str:
+    """A JSON string's text; half a surrogate pair is a question mark."""
+    return json.loads(token).encode("utf-8", "replace").decode() if "\\" in token else token[1:-1]
 
-def _is_question(value: Column) -> Column:
-    """An object with a label that is a string, and fields, a type or whether it is required."""
-    there = lambda f: _member(value, f).isNotNull()
-    return _kind(value).startswith("OBJECT") & _label(value).isNotNull() & (there("fields") | there("required") | there("type"))
 
+def _truthy(token: str) -> bool:
+    """Whether a bare JSON value is neither null, false, zero nor empty."""
+    return token not in ('""', "null", "false") and (token[0] not in "-0123456789" or float(token) != 0)
 
-def _children(json: Column, value: Column) -> Column:
-    """What a list or object holds, in the order it is written, as JSON; nothing else holds anything.
 
-    Strings and other bare values are left out, as nothing can be found in them; so a member's JSON is what it looks like.
-    """
-    none, nested = F.array().cast("array<string>"), lambda v: _kind(v).startswith("ARRAY") | _kind(v).startswith("OBJECT")
-    items, texts = F.try_variant_get(value, "$", "array<variant>"), F.from_json(json, "array<string>")
-    of_list = F.filter(texts, lambda t, i: nested(F.get(items, i)))
-    members, written = F.try_variant_get(value, "$", "map<string,variant>"), F.from_json(json, "map<string,string>")
-    of_object = F.transform(F.filter(F.map_entries(written), lambda e: nested(F.try_element_at(members, e["key"]))), lambda e: e["value"])
-    kind = _kind(value)
-    return F.coalesce(F.when(kind.startswith("ARRAY"), of_list).when(kind.startswith("OBJECT"), of_object), none)
+def _label(members: dict[str, str | bool]) -> str | None:
+    """An object's label, or else its question, if that is a string; whatever else it is counts as none."""
+    told = members.get("label", False)
+    chosen = told if (told if isinstance(told, bool) else _truthy(told)) else members.get("question")
+    return _plain(chosen) if isinstance(chosen, str) and chosen[0] == '"' else None
 
 
-def walk(nodes: DataFrame, found: Callable[[Column], Column]) -> DataFrame:
-    """The `json` of all nodes that are `found` below `nodes(.., path array<int>, json)`, and their `path`: the place at each level.
+def asked(payload: str) -> list[tuple[int, list[int], str, str]] | None:
+    """The questions in the groups of a valid JSON text: `(group, path, json, label)`, None if a group is a bare value.
 
-    One round for each level, down to the deepest: what isn't found gives way to what it holds, in order, and what holds
-    nothing goes. Each round is written to the checkpoint folder, so it reads the one before it alone and plans stay
-    small; without such a folder rounds are kept in memory. What is found isn't searched.
+    A question is an object with a label that is a string, and fields, a type or whether it is required. What is in it
+    isn't searched: it is taken back when the object around it ends. `path` has the place at each level, among lists
+    and objects.
     """
-    done, level = [], nodes
-    keys = [c for c in nodes.columns if c not in ("path", "json")]
-    while True:
-        told = level.withColumn("v", F.try_parse_json("json"))
-        told = told.select(*keys, "path", "json", F.coalesce(found(F.col("v")), F.lit(False)).alias("hit"), "v")
-        told = cut(told.select(*keys, "path", "hit", F.when(F.col("hit"), F.array("json")).otherwise(_children(F.col("json"), F.col("v"))).alias("held")))
-        done.append(told.where("hit").select(*keys, "path", F.get("held", F.lit(0)).alias("json")))
-        below = told.where("not hit").select(*keys, "path", F.posexplode("held").alias("at", "json"))
-        level = below.select(*keys, F.array_append("path", F.col("at")).alias("path"), "json")
-        if not level.limit(1).count():
+    out, open_, top, group = [], [], None, None
+    for m in _TOKEN.finditer(payload):
+        key, token = m.groups()
+        if key:
+            key = _plain(key)
+        if token in "{[":
+            if len(open_) == 1:
+                group = _GROUP_OF.get(key)
+            # members, where it begins, questions before it, lists and objects in it, its own key
+            top = [{} if token == "{" else None, m.start(2), len(out), 0, key]
+            open_.append(top)
+        elif token in "}]":
+            members, start, before, _, own = open_.pop()
+            if not open_:
+                break
+            top = open_[-1]
+            if members and group is not None and ("type" in members or "fields" in members or "required" in members) and (label := _label(members)) is not None:
+                out[before:] = [(group, [group, *[f[3] for f in open_[1:]]], payload[start : m.end()], label)]
+            top[3] += 1
+            if own in ("label", "question", "fields", "required", "type"):
+                top[0][own] = payload[start + 1 : m.start()].strip(" \t\r\n") != ""
+        elif top is None:
             break
-    return reduce(DataFrame.unionByName, done)
+        elif key is not None:
+            if len(open_) == 1 and token != "null" and key in _GROUP_OF:
+                return None
+            top[0][key] = token
+    return out
+
+
+def walk(payloads: DataFrame) -> DataFrame:
+    """`(page_id, path, section, json, label)` of all that is `asked` in `(page_id, payload)`; a payload with an invalid
+    group has one row, whose path is null. Each text is read once, however deep it is."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, groups, paths, texts, labels = [], [], [], [], []
+            for i, payload in enumerate(batch.column(1).to_pylist()):
+                for group, path, text_, label in [(None, None, None, None)] if (found := asked(payload)) is None else found:
+                    at.append(i)
+                    groups.append(None if group is None else GROUPS[group])
+                    paths.append(path)
+                    texts.append(text_)
+                    labels.append(label)
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(paths, pa.list_(pa.int32())), *(pa.array(c, pa.string()) for c in (groups, texts, labels))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "path", "section", "json", "label"])
+
+    valid = payloads.where(F.try_parse_json("payload").isNotNull()).select("page_id", "payload")
+    kind = payloads.schema["page_id"].dataType.simpleString()
+    return valid.mapInArrow(run, f"page_id {kind}, path array<int>, section string, json string, label string")
 
 
 def invalid_groups(payloads: DataFrame) -> DataFrame:
@@ -236,24 +263,20 @@ def schema_questions(payloads: DataFrame) -> DataFrame:
     """Questions of `(page_id, payload)`, a structured form schema as JSON; groups in order, hidden fields left out.
 
     Questions are found in lists and objects of a group, however deep; a question isn't searched for others. Pages with an
-    invalid group (`invalid_groups`) have none.
+    invalid group (`invalid_groups`) have none. What a question says is read once, by `inline`, which no filter passes.
     """
-    whole = payloads.join(invalid_groups(payloads).select("page_id").distinct(), "page_id", "left_anti")
-    texts = F.from_json("payload", "map<string,string>")
-    each = F.array(*(F.struct(F.lit(g).alias("section"), F.try_element_at(texts, F.lit(g)).alias("json")) for g in GROUPS))
-    groups = whole.where(F.try_parse_json("payload").isNotNull()).select("page_id", F.posexplode(each).alias("group", "g")).where("g.json is not null")
-    asked = walk(groups.select("page_id", "g.section", F.array("group").alias("path"), "g.json"), _is_question)
-    named = asked.withColumn("label", _label(F.try_parse_json("json")))
-    rows = named.select("page_id", "path", "section", "label", F.from_json("json", _QUESTION).alias("q")).select("page_id", "path", "section", "label", *(f"q.{c}" for c in ("required", "type", "name", "values", "options", "fields")))
+    found = walk(payloads)
+    rows = found.select("page_id", "path", "section", F.col("label").alias("own_label"), F.inline(F.array(F.from_json("json", _QUESTION)))).withColumn("label", F.col("own_label"))
     visible = F.filter(F.coalesce("fields", F.array().cast(f"array<{_FIELD}>")), lambda f: ~F.lower(F.coalesce(f["type"], F.lit(""))).isin("hidden", "input_hidden"))
-    rows = rows.withColumn("visible", visible).where("label is not null and label <> '' and (fields is null or size(fields) = 0 or size(visible) > 0)")
+    rows = rows.withColumn("visible", visible).where("path is null or (label <> '' and (fields is null or size(fields) = 0 or size(visible) > 0))")
     first, none = F.try_element_at("visible", F.lit(1)), F.array().cast("array<string>")
     own = F.coalesce("values", "options", none)
     told = F.when(F.size("visible") > 0, F.flatten(F.transform("visible", lambda f: F.coalesce(f["values"], f["options"], none)))).otherwise(own)
     shown = F.transform(told, lambda v: F.coalesce(F.get_json_object(v, "$.label"), F.get_json_object(v, "$.name"), F.get_json_object(v, "$.value"), F.when(~v.startswith("{"), v), F.lit("")))
     kind = F.coalesce(first["type"], "type", F.lit("unknown"))
     out = rows.select("page_id", "path", "label", kind.alias("kind"), text.lenient_boolean(F.col("required")).alias("required"), shown.alias("options"), "section", ((F.size("visible") > 1) & F.lower(kind).isin("checkbox", "select")).alias("multiple"), text.nonempty(F.coalesce(first["name"], "name")).alias("field_name"))
-    numbered = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("path"))).drop("path")
+    page = Window.partitionBy("page_id").orderBy("path")
+    numbered = out.withColumns({"ordinal": F.row_number().over(page), "unsound": F.bool_or(F.col("path").isNull()).over(page)}).where("not unsound").drop("path", "unsound")
     return _classified(numbered)
 
 
