@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import carried, materialize, table, without
+from tidemark.llm.common import bounded, carried, materialize, table, without
 from tidemark.llm.decontamination import decontaminate as mark_benchmark_words
 from tidemark.llm.lines import dedup_lines
 from tidemark.llm.minhash import near_duplicates
@@ -20,16 +20,6 @@ from tidemark.llm.quality import classify
 
 #: Similarity of shingle sets, in per cent, from which on documents are one.
 NEAR_PERCENT = 80
-#: Bytes of an Arrow batch, about; a row isn't cut. Workers hold a few times a batch, and outlive a stage.
-BATCH_BYTES = 4 << 20
-
-
-def bounded(spark: SparkSession) -> None:
-    """Bound batches by their bytes, in the session as stages are lazy; a smaller bound of the caller's stays."""
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
-    if given > BATCH_BYTES:
-        spark.conf.set(setting, str(BATCH_BYTES))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 22
 #: A key is hot if it has such a part of all rows, and more rows than a task could mind.
 HOT, FEW = 1000, 32
+#: Bytes of an Arrow batch, about; a row isn't cut. Workers hold a few times a batch, and outlive a stage.
+BATCH_BYTES = 4 << 20
+#: Whether Spark removes shuffle files as soon as the query that wrote them ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,13 +40,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: it is computed once and outlives lost executors."""
+    """Write `df` to the shared folder and read it back: it is computed once and outlives lost executors.
+
+    What it shuffled is removed when it is written, as the table is read in its place.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    given = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, given)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound batches by their bytes, in the session as stages are lazy; a smaller bound of the caller's stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if given > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)

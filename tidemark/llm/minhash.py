@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_table, join_counted, materialize, mix64, ngram_hashes, prefilter, table, utf8
+from .common import WordHasher, bounded, drop_table, join_counted, materialize, mix64, ngram_hashes, prefilter, table, utf8
 from .graph import connected_components
 
 SHINGLE_WORDS, PERCENT = 5, 85
@@ -207,6 +207,7 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: `doc_id, n_shingles, component_id, kept`."""
+    bounded(docs.sparkSession)
     sketches = materialize(sketch(docs, shingle_words, bands, rows), "sketches")
     full = sketches.where("doc_id is not null and set_key is not null")
     first = F.min(F.struct("doc_id", "text_hash"))  # a row of the class, of which no other class can be
