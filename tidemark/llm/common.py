@@ -127,18 +127,21 @@ def sampled(rows: DataFrame, n: int, size: int, seed: int, *key: str) -> list:
     return found if len(found) >= min(n, size) else first_by_hash(rows, n, size, seed, *key, wide=True).collect()
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", how: str = "inner", hashed: bool = False) -> DataFrame:
     """`rows` joined (inner or left) with `counted`: one row for each key, and in `n` the number of `rows` with it.
 
+    hashed: `counted` is narrow, so a task holds its part of it, a row for each key, and `rows` aren't sorted.
+
     A key with a `HOT`-th of all rows is hot; there are `HOT` of them at most, whatever the input, so they are
     broadcast, and no task gets all rows of one. `rows` and `counted` are read twice where there are hot keys.
     """
     total = counted.agg(F.sum(n)).first()[0] or 0
     is_hot = (F.col(n) * HOT >= total) & (F.col(n) > FEW)
     hot = counted.where(is_hot)
+    held = lambda df: df.drop(n).hint("shuffle_hash") if hashed else df.drop(n)
     if not hot.limit(1).count():
-        return rows.join(counted.drop(n), keys, how)
-    warm = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(counted.where(~is_hot).drop(n), keys, how)
+        return rows.join(held(counted), keys, how)
+    warm = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(held(counted.where(~is_hot)), keys, how)
     return warm.unionByName(rows.join(F.broadcast(hot.drop(n)), keys))
 
 

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHasher, drop_table, join_counted, materialize, mix64, prefilter, split_by, table, utf8
+from .common import BASE, WordHasher, bounded, drop_table, join_counted, materialize, mix64, prefilter, split_by, table, utf8
 
 WINDOW = 50
 #: Rounds that name by hash, each within its task; a window without a symbol of the last one is its own anchor.
@@ -251,7 +251,7 @@ def name_globally(state: DataFrame) -> DataFrame:
         shared = groups.groupBy("left", "right").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low < high")
         name = F.monotonically_increasing_id() * 16 + (number + 1)  # no two rounds give one name twice
         names = materialize(shared.select("left", "right", "n", name.alias("name")), "names")
-        told = join_counted(groups, names, ["left", "right"]).groupBy("row").agg(F.collect_list(F.struct("at", "name")).alias("told"))
+        told = join_counted(groups, names, ["left", "right"], hashed=True).groupBy("row").agg(F.collect_list(F.struct("at", "name")).alias("told"))
         old, state = state, materialize(_renamed(state.join(told, "row", "left"), kind, number + LOCAL_ROUNDS + 1), "state")
         drop_table(old)
         drop_table(names)
@@ -408,11 +408,10 @@ def _removed(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """`(doc_id, text_key, start, windows, low_id, low_key, low_start)`: windows of a document that hash like windows of
     a smaller one, and where these are."""
-    first = _first_texts(profile.where("doc_id is not null and size(starts) > 0"))
-    state = name_globally(materialize(first.select(F.monotonically_increasing_id().alias("row"), *first.columns), "state"))
+    state = name_globally(_first_texts(profile.where("doc_id is not null and size(starts) > 0")))
     anchors = state.select("doc_id", "text_key", F.explode(F.arrays_zip("anchors", "starts", "sizes")).alias("r")).select("doc_id", "text_key", F.col("r.anchors").alias("anchor"), "r.starts", "r.sizes")
     shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n"), "shared")
-    told = join_counted(prefilter(anchors, shared, "anchor"), shared, ["anchor"])
+    told = join_counted(prefilter(anchors, shared, "anchor"), shared, ["anchor"], hashed=True)
     wanted = materialize(told.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "starts", "sizes")).alias("spans")), "wanted")
     drop_table(shared)
     runs = materialize(_runs(prefilter(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "text_key", "spans")), "runs")
@@ -438,13 +437,14 @@ def repeated_spans(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def _first_texts(profile: DataFrame) -> DataFrame:
-    """The state of each distinct text, under its smallest id; only copies are shuffled."""
-    columns = [c.split()[0] for c in STATE.split(", ")][3:]
-    profile = profile.withColumn("n_words", F.col("n_words").cast("int"))
+    """The state of each distinct text, under its smallest id; only copies are shuffled, and only their firsts written again."""
+    columns = [c for c in (c.split()[0] for c in STATE.split(", ")) if c in profile.columns]
+    others = [c for c in columns if c not in ("doc_id", "text_key")]
+    profile = profile.withColumn("n_words", F.col("n_words").cast("int")).select(*columns)
     copies = materialize(profile.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key"), "copies")
     maybe, single = split_by(profile, copies, "text_key")
-    firsts = maybe.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*columns)).alias("s"))
-    return single.select("doc_id", "text_key", *columns).unionByName(firsts.select("doc_id", "text_key", "s.*"))
+    firsts = maybe.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct(*others)).alias("s")).select("doc_id", "text_key", "s.*")
+    return single.unionByName(materialize(firsts.select(*columns), "state"))
 
 
 def verifiable_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -463,19 +463,20 @@ def dedup_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     `kept_text` is null where nothing is removed: the text is as it was.
     """
+    bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(_profile(docs), "profile")
+    profile = materialize(_profile(docs).withColumn("row", F.monotonically_increasing_id()), "profile")
+    texts = materialize(profile.select("doc_id", "n_words", "text_key", "words_sha"), "texts")  # the profile goes after the first round
     known = docs.where("doc_id is not null")
     found = repeated_spans(known, profile)
     spans = materialize(verifiable_spans(known, found), "verifiable")
     drop_table(found)
-    texts = prefilter(known, spans, "doc_id").join(spans, "doc_id").select("doc_id", "text", "text_key", "spans")
-    changed = _removed(texts)
+    changed = _removed(prefilter(known, spans, "doc_id").join(spans, "doc_id").select("doc_id", "text", "text_key", "spans"))
     if not keep_text:
         changed = changed.drop("kept_text")
     changed = changed.dropDuplicates(["doc_id", "text_key"])
-    low = profile.where("doc_id is not null").groupBy("words_sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    out = join_counted(profile.select("doc_id", "n_words", "text_key", "words_sha"), materialize(low, "copies"), ["words_sha"], how="left").join(changed, ["doc_id", "text_key"], "left")
+    low = texts.where("doc_id is not null").groupBy("words_sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    out = join_counted(texts, materialize(low, "copies"), ["words_sha"], how="left").join(changed, ["doc_id", "text_key"], "left")
     copy = (F.col("low") < F.col("doc_id")) & (F.col("n_words") >= WINDOW)
     columns = [
         "doc_id",
