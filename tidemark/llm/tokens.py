@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
-#: Remembered words in one Python worker; then it starts afresh.
-CACHE_WORDS = 300_000
+#: Remembered words of a generation in one Python worker, which keeps two: about 200 MB.
+CACHE_WORDS = 500_000
 _encoders: dict = {}
 
 
@@ -19,11 +21,40 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+class Words(dict):
+    """Ids by word, worked out when first asked for; a full generation gives way to the next, which takes over what is asked for again."""
+
+    def __init__(self, find: Callable[[bytes], bytes]):
+        super().__init__()
+        self.find, self.before = find, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.find(word)
+        if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def _latin_pieces() -> re.Pattern:
+    """The vocabulary's pattern of pieces for characters below U+0250 but white space and controls, which NFC leaves as they are."""
+    kinds = {"L": "", "N": "", "other": ""}
+    for c in map(chr, range(0x250)):
+        kind = unicodedata.category(c)[0]
+        if kind not in "CZ":
+            kinds[kind if kind in "LN" else "other"] += re.escape(c)
+    return re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[{other}]+".format(**kinds))
+
+
 class Encoder:
     """`tokenizers` applied between ASCII white space, which the vocabulary drops and never joins across.
 
-    Upper-case A-Z may be folded first, as the vocabulary folds all case. Texts that may hold a special token
-    go through the tokenizer whole. The ids equal those of encoding the text at once (tests/llm).
+    Upper-case A-Z may be folded first, as the vocabulary folds all case. Words of Latin letters, digits and marks go
+    to the model by the vocabulary's pieces. Texts that may hold a special token go through the tokenizer whole. The
+    ids equal those of encoding the text at once (tests/llm).
     """
 
     def __init__(self, path: str):
@@ -33,8 +64,8 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.model = self.tokenizer.model
+        self.tokenizer, self.known = Tokenizer.from_file(path), Words(self._word)
+        self.model, self.characters, self.pieces = self.tokenizer.model, dict(enumerate(byte_characters())), _latin_pieces()
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"]
         self.special = [t["content"].encode().lower() for t in spec["added_tokens"]]
@@ -42,21 +73,22 @@ class Encoder:
     def _tokens(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: bytes) -> bytes:
-        stem = word.rstrip(b".,!")
-        if len(stem) < len(word) and stem:
-            last = stem.decode()[-1].lower()
-            if last.isalpha() and len(last) == 1 and ord(last) < 0x250:  # a letter and a mark never share a token
-                return self._remembered(stem) + self._remembered(word[len(stem) :])
         if word.isalpha():  # bytes: ASCII letters alone, one piece
-            return np.array([t.id for t in self.model.tokenize(word.decode())], dtype="<u4").tobytes()
-        return self._tokens(word.decode())
-
-    def _remembered(self, word: bytes) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = self._word(word)
-        return ids
+            return self._piece(word.decode())
+        text = word.decode()
+        low = text.lower()
+        pieces = self.pieces.findall(low)
+        if sum(map(len, pieces)) < len(low):  # other characters
+            return self._tokens(text)
+        if len(pieces) == 1:
+            return self._piece(low)
+        return b"".join([self.known[p.encode()] for p in pieces])
 
     def __call__(self, text: bytes | None) -> bytes:
         """The ids as little-endian unsigned 32-bit values."""
@@ -65,15 +97,7 @@ class Encoder:
         low = text.lower()
         if not self.by_word or any(s in low for s in self.special):
             return self._tokens(text.decode())
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, out = self.known, []
-        for w in low.split():
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = self._word(w)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, low.split()))
 
 
 # ---- byte-level vocabularies ------------------------------------------------------------------
