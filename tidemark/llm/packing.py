@@ -159,6 +159,26 @@ def pieces_of(phases: list[Phase], queue: int, start: int, stop: int, turns: Tur
         yield from zip((cuts + base).tolist(), [*(cuts[1:] + base).tolist(), b + base], sequence.tolist(), offset.tolist(), strict=True)
 
 
+def pieces_by_document(phases: list[Phase], queue: int, spans: list[tuple[int, int]], turns: Turns) -> Iterator[tuple[int, int, int, int, int]]:
+    """Where documents `(first token, behind the last)` of a queue go: (number of the document, and as `pieces_of`).
+
+    Documents that follow one another are placed together, and cut apart then.
+    """
+    first = 0
+    while first < len(spans):
+        last = first + 1
+        while last < len(spans) and spans[last][0] == spans[last - 1][1]:
+            last += 1
+        doc = first
+        for a, b, sequence, offset in pieces_of(phases, queue, spans[first][0], spans[last - 1][1], turns):
+            at = a
+            while at < b:
+                end = min(b, spans[doc][1])
+                yield doc, at, end, sequence, offset + at - a
+                doc, at = doc + (end == spans[doc][1]), end
+        first = last
+
+
 def _queued(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"))
 
@@ -216,10 +236,15 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
         types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
-                rows = []
+                rows, queues = [], {}
                 for doc_id, queue, at, n, ids in zip(*(c.to_pylist() for c in batch.slice(first, 256).columns), strict=True):
-                    wide = np.frombuffer(ids, kind).astype("<u4").tobytes()
-                    for a, b, sequence, offset in pieces_of(phases, number[queue], at, at + n, turns):
+                    queues.setdefault(queue, []).append((doc_id, at, n, ids))
+                for queue, own in queues.items():
+                    seen = -1
+                    for i, a, b, sequence, offset in pieces_by_document(phases, number[queue], [(at, at + n) for _, at, n, _ in own], turns):
+                        if i != seen:
+                            seen, (doc_id, at, n, ids) = i, own[i]
+                            wide = np.frombuffer(ids, kind).astype("<u4").tobytes()
                         rows.append((doc_id, queue, a - at, b - a, n, sequence, offset, wide[4 * (a - at) : 4 * (b - at)]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
