@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Remembered words of a generation in one Python worker, which keeps two: about 200 MB.
-CACHE_WORDS = 500_000
+#: Remembered words of a generation in one Python worker, which keeps two: about 120 MB.
+CACHE_WORDS = 300_000
 _encoders: dict = {}
 
 
